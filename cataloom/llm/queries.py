@@ -14,6 +14,9 @@ TOKENIZER, END_ID, MAX_TOKENS = "word_bpe_49k.json", 2, 2048
 #: Target weights of sources; any other source has weight 1.
 MIX_WEIGHTS, MIX_SEED = {"src0": 3.0, "src1": 2.0, "src2": 0.5}, 17
 
+#: Rules of the contract: (host, path, verdict).
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -27,6 +30,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), max_tokens=MAX_TOKENS)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -35,18 +44,37 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit_rules, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import poisson_mix
 
     return poisson_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_table
 
     return token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import kept_lines, line_bitmaps
 
@@ -55,8 +83,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import fit_labeller, main_text
+
+    pages = table(spark, sf_dir, "pages")
+    return main_text(pages, fit_labeller(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_source_mixing, op7_token_store, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_decontamination, op4_quality_rules, op5_source_mixing, op6_suffix_dedup, op7_token_store, op8_near_dedup, op9_line_dedup, op10_html_extraction)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -9,6 +9,20 @@ from cataloom.llm import queries as q
 from cataloom.llm.common import table, written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base limits or the learned rules reject go."""
+    from cataloom.llm.quality_rules import fit_rules, kept
+
+    return kept(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of exact and near copies stays."""
+    from cataloom.llm.minhash_dedup import one_of_each
+
+    return one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more occurs in benchmark items go."""
     from cataloom.llm.decontaminate import contamination
@@ -32,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_table(docs, q.tokenizer_path(), end_id=q.END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-STAGES = [("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
 
 #: Neither the trained rules nor the tokenizer can be stated in SQL.
 ORACLE_SQL = None
