@@ -45,7 +45,8 @@ def line_bitmaps(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 1, keep
     postings = written(line_postings(docs, min_chars=min_chars, key=key, text=text), "line-postings")
     per_doc = postings.groupBy("h", "k").agg(F.min("pos").alias("pos"))
     found = per_doc.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first")).filter(F.col("n") >= min_docs)
-    hits = postings.join(found.select("h", "first"), "h")
+    # a table of its own, so that the join can split a hot line's postings, or send the found lines to them if they are few
+    hits = postings.join(written(found.select("h", "first"), "line-found"), "h")
     if keep_first:
         hits = hits.filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("pos") == F.col("first.pos"))))
     words = hits.groupBy("k", "r", F.shiftright("pos", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos & 63))").alias("dropped"))
