@@ -1,28 +1,882 @@
-"""Registered queries of the catalogue engine."""
+"""Registered queries of the catalogue engine, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import geo, text, urls
+from .operators import enrich, facets, html, integrate, present, report, resolve, retrieve
+from .operators.filters import Selection, browse
+from .plans.engine import Engine
+from .plans.standin import SQL as CAT
+from .plans.standin import catalogue, table
+from .schema import FALLBACK_ABOUT, REFINED
+from .streaming import incremental
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return browse_filtered(spark, sf_dir)
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+COUNTRIES = ("NATION_1", "NATION_3", "NATION_5", "NATION_8", "NATION_13")
+CHOSEN = Selection(expo="1998", countries=COUNTRIES, l1=(2, 3))
+CHOSEN_L2 = Selection(l1=(2, 3), l2=(203, 311, 2407))
+TOP = 10
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _in(values: tuple) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
+# --- browsing and facets -------------------------------------------------------------------------------------------------
 
+_ROW = "id, company_name, hq_country, array_to_string(list_sort(expos), '|') AS expos"
 
+
+def _row(df: DataFrame) -> DataFrame:
+    return df.select("id", "company_name", "hq_country", F.array_join(F.array_sort("expos"), "|").alias("expos"))
+
+
+@query("browse_filtered", f"WITH {CAT} SELECT {_ROW} FROM cat WHERE list_contains(expos, '1998') AND hq_country IN ({_in(COUNTRIES)}) AND list_has_any(l1, [2, 3])")
 def browse_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zero-query browsing: suppliers of chosen countries by name."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("company_name"), F.col("n_name").alias("hq_country"))
-    return rows.orderBy(F.lower(F.coalesce("company_name", F.lit(""))), "id")
+    return _row(browse(catalogue(spark, sf_dir), CHOSEN)[0])
+
+
+@query("browse_all_paged", f"WITH {CAT} SELECT {_ROW} FROM cat ORDER BY lower(company_name), id LIMIT 10 OFFSET 20")
+def browse_all_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row(browse(catalogue(spark, sf_dir), Selection(), limit=10, offset=20)[0])
+
+
+_M = {"e": "list_contains(expos, '1998')", "c": f"hq_country IN ({_in(COUNTRIES)})", "l": "list_has_any(l1, [2, 3])"}
+_PAIRS = "pairs AS (SELECT l1, l2, min('Size ' || size) AS name FROM lines GROUP BY l1, l2)"
+FACETS = {
+    "expos": f"SELECT 'expos' AS dim, v AS value, v AS label, count(*) AS n FROM (SELECT unnest(expos) AS v FROM cat WHERE {_M['c']} AND {_M['l']}) GROUP BY v",
+    "countries": f"SELECT 'countries' AS dim, hq_country AS value, hq_country AS label, count(*) AS n FROM cat WHERE {_M['e']} AND {_M['l']} GROUP BY hq_country",
+    "l1": f"SELECT 'l1' AS dim, v::VARCHAR AS value, 'Brand ' || v AS label, count(*) AS n FROM (SELECT unnest(l1) AS v FROM cat WHERE {_M['e']} AND {_M['c']}) GROUP BY v",
+    "l2": f"SELECT 'l2' AS dim, v::VARCHAR AS value, min(name) AS label, count(DISTINCT id) AS n FROM (SELECT id, unnest(l2) AS v FROM cat WHERE {_M['e']} AND {_M['c']} AND {_M['l']}) JOIN pairs ON v = l2 WHERE l1 IN (2, 3) GROUP BY v",
+    "total": f"SELECT 'total' AS dim, 'all' AS value, 'all' AS label, count(*) AS n FROM cat WHERE {_M['e']} AND {_M['c']} AND {_M['l']} HAVING count(*) > 0",
+}
+
+
+def _facet(dim: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = catalogue(spark, sf_dir)
+        return facets.facets(c, CHOSEN, facets.taxonomy(c)).filter(F.col("dim") == dim)
+
+    return run
+
+
+for _dim, _sql in FACETS.items():
+    query({"l2": "facet_l2_under_l1"}.get(_dim, f"facet_{_dim}"), f"WITH {CAT}, {_PAIRS} {_sql}")(_facet(_dim))
+
+
+@query("facet_l2_supersedes", f"WITH {CAT} SELECT count(*) AS n FROM cat WHERE list_has_any(l2, [203, 311, 2407])")
+def facet_l2_supersedes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return browse(catalogue(spark, sf_dir), CHOSEN_L2)[1].withColumnRenamed("total", "n")
+
+
+@query("taxonomy_l1_l2", f"WITH {CAT} SELECT l1 AS l1_id, 'Brand ' || l1 AS l1_name, l2 AS l2_id, min('Size ' || size) AS l2_name FROM lines JOIN supplier ON id = s_suppkey GROUP BY l1, l2")
+def taxonomy_l1_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.taxonomy(catalogue(spark, sf_dir))
+
+
+# --- retrieval -----------------------------------------------------------------------------------------------------------
+
+_TOK = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+def _bm25_sql(where: str = "TRUE", idf: str = "ln(1 + (n_docs - df + 0.5) / (df + 0.5))") -> str:
+    """Statistics are those of all documents; where restricts the ones that are found."""
+    return f"""
+docs AS (SELECT doc_id AS id, lang, {_TOK} AS w FROM documents),
+stats AS (SELECT count(*)::DOUBLE AS n_docs, avg(len(w)) AS avgdl FROM docs),
+tf AS (SELECT id, lang, len(w) AS dl, term, count(*) AS tf FROM (SELECT id, lang, w, unnest(w) AS term FROM docs) GROUP BY id, lang, w, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark),
+sparse AS (SELECT query_id, id, round(sum({idf} * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM tf JOIN df USING (term) JOIN asked USING (term), stats WHERE {where} GROUP BY query_id, id),
+sparse_top AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sparse)"""
+
+
+def _dense_sql(where: str = "TRUE", queries: str = "SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id") -> str:
+    return f"""
+vq AS ({queries}),
+dense AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, vq WHERE {where}),
+dense_top AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dense)"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).join(_vectors(spark, sf_dir), F.col("query_id") == F.col("id")).select("query_id", "vector")
+
+
+@query("bm25_topk", f"WITH {_bm25_sql()} SELECT query_id, id, score, rank FROM sparse_top WHERE rank <= {TOP}")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top(retrieve.bm25(_texts(spark, sf_dir), _asked(spark, sf_dir)), TOP)
+
+
+_LANG = "lang IN ('en', 'de')"
+
+
+@query("bm25_filtered", f"WITH {_bm25_sql(_LANG)} SELECT query_id, id, score, rank FROM sparse_top WHERE rank <= {TOP}")
+def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    return retrieve.top(retrieve.bm25(docs.filter(F.col("lang").isin("en", "de")), _asked(spark, sf_dir), corpus=docs), TOP)
+
+
+@query("bm25_no_idf", f"WITH {_bm25_sql(idf='1')} SELECT query_id, id, score, rank FROM sparse_top WHERE rank <= {TOP}")
+def bm25_no_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top(retrieve.bm25(_texts(spark, sf_dir), _asked(spark, sf_dir), idf=False), TOP)
+
+
+@query("dense_topk", f"WITH {_dense_sql()} SELECT query_id, id, score, rank FROM dense_top WHERE rank <= {TOP}")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top(retrieve.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)), TOP)
+
+
+@query("dense_filtered", f"WITH {_dense_sql('label IN (1, 4, 7)')} SELECT query_id, id, score, rank FROM dense_top WHERE rank <= {TOP}")
+def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top(retrieve.dense(_vectors(spark, sf_dir).filter(F.col("label").isin(1, 4, 7)), _query_vectors(spark, sf_dir)), TOP)
+
+
+@query("vector_distances", f"WITH {_dense_sql()} SELECT query_id, vec_id AS id, round(list_distance(embedding::DOUBLE[], q), 6) AS l2, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: abs(p[1] - p[2]))), 6) AS l1 FROM embeddings, vq")
+def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.broadcast(_query_vectors(spark, sf_dir).withColumnRenamed("vector", "q"))
+    both = _vectors(spark, sf_dir).join(asked, F.lit(True))
+    return both.select("query_id", "id", F.round(retrieve.distance(F.col("vector"), F.col("q")), 6).alias("l2"), F.round(retrieve.distance(F.col("vector"), F.col("q"), "l1"), 6).alias("l1"))
+
+
+def _branches(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
+    dense = retrieve.top(retrieve.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)), k)
+    return dense, retrieve.top(retrieve.bm25(_texts(spark, sf_dir), _asked(spark, sf_dir)), k)
+
+
+_BOTH = f"{_bm25_sql()}, {_dense_sql()}"
+_RRF = "fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM dense_top WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM sparse_top WHERE rank <= 50) GROUP BY query_id, id)"
+_RANKED = "ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused)"
+
+
+@query("rrf_fusion", f"WITH {_BOTH}, {_RRF}, {_RANKED} SELECT * FROM ranked WHERE rank <= {TOP}")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top(retrieve.fused(*_branches(spark, sf_dir)), TOP)
+
+
+@query(
+    "dbsf_fusion",
+    f"""WITH {_BOTH},
+parts AS (SELECT *, avg(score) OVER w AS m, stddev_pop(score) OVER w AS sd FROM (SELECT 'd' AS b, * FROM dense_top WHERE rank <= 50 UNION ALL SELECT 's', * FROM sparse_top WHERE rank <= 50) WINDOW w AS (PARTITION BY b, query_id)),
+fused AS (SELECT query_id, id, round(sum(CASE WHEN coalesce(sd, 0) < 1e-12 THEN 0.5 ELSE greatest(0, least(1, (score - (m - 3 * sd)) / (6 * sd))) END), 6) AS score FROM parts GROUP BY query_id, id),
+{_RANKED} SELECT * FROM ranked WHERE rank <= {TOP}""",
+)
+def dbsf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top(retrieve.fused(*_branches(spark, sf_dir), "dbsf"), TOP)
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(catalogue(spark, sf_dir), _texts(spark, sf_dir).select("id", "text"), _vectors(spark, sf_dir).select("id", "vector"))
+
+
+_HYBRID_COLUMNS = "query_id, id, score, rank, company_name, hq_country"
+
+
+@query(
+    "hybrid_search",
+    f"WITH {CAT}, allowed AS (SELECT id FROM cat WHERE hq_country IN ({_in(COUNTRIES)})), {_bm25_sql('id IN (SELECT id FROM allowed)')}, {_dense_sql('vec_id IN (SELECT id FROM allowed)')}, {_RRF}, {_RANKED} SELECT {_HYBRID_COLUMNS} FROM ranked JOIN cat USING (id) WHERE rank <= 5",
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval under a country filter over companies with texts and vectors of the same id."""
+    found = _engine(spark, sf_dir).search(_asked(spark, sf_dir), _query_vectors(spark, sf_dir), Selection(countries=COUNTRIES))
+    return found.select("query_id", "id", "score", "rank", "company_name", "hq_country")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_search(spark, sf_dir)
+
+
+_SHORT = f"{_bm25_sql('id IN (SELECT doc_id FROM labels)')}, short AS (SELECT * FROM sparse_top WHERE rank <= 20)"
+
+
+def _rerank_sql(base: str, judge: str, part: str) -> str:
+    return f"""
+j AS (SELECT s.query_id, s.id, s.score, s.rank, judge, round(s.score, 4) AS raw, count(*) OVER w AS size, coalesce(given, 0) AS given
+  FROM short s LEFT JOIN {part} USING (query_id, id) LEFT JOIN (SELECT query_id, count(*) AS given FROM {part} GROUP BY query_id) USING (query_id) WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT *, coalesce(judge, avg(judge) OVER w, 0.5) AS filled, min(raw) OVER w AS lo, max(raw) OVER w AS hi, avg(raw) OVER w AS m, stddev_pop(raw) OVER w AS sd, size > 1 AND given::DOUBLE / size >= 0.6 AS used FROM j WINDOW w AS (PARTITION BY query_id)),
+g AS (SELECT *, avg(filled) OVER w AS fm, stddev_pop(filled) OVER w AS fsd FROM f WINDOW w AS (PARTITION BY query_id)),
+r AS (SELECT query_id, id, score, rank, CASE WHEN used THEN round({base}, 4) END AS retrieval_norm, CASE WHEN used THEN round(judge, 3) END AS llm_score, CASE WHEN used THEN round(0.4::DOUBLE * ({base}) + 0.6::DOUBLE * ({judge}), 4) END AS final_score FROM g)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC NULLS LAST, rank) AS position FROM r"""
+
+
+_MINMAX = "CASE WHEN hi - lo < 1e-12 THEN 0.5::DOUBLE ELSE (raw - lo) / (hi - lo) END"
+_Z = "CASE WHEN sd < 1e-12 THEN 0 ELSE (raw - m) / sd END"
+_ZJ = "CASE WHEN fsd < 1e-12 THEN 0 ELSE (filled - fm) / fsd END"
+_LABEL_JUDGE = "judged AS (SELECT query_id, id, judge FROM short JOIN (SELECT doc_id AS id, (quality * 0.5 + toxic * 0.25)::DOUBLE AS judge FROM labels WHERE quality IS NOT NULL {extra}) USING (id))"
+
+
+def _shortlist(spark: SparkSession, sf_dir: str, labelled: bool) -> DataFrame:
+    docs = _texts(spark, sf_dir)
+    some = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi") if labelled else docs
+    return retrieve.top(retrieve.bm25(some, _asked(spark, sf_dir), corpus=docs), 20)
+
+
+def _judged(spark: SparkSession, sf_dir: str, shortlist: DataFrame, condition: str = "true") -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(condition).select(F.col("doc_id").alias("id"), (F.col("quality") * 0.5 + F.col("toxic") * 0.25).alias("judge"))
+    return shortlist.select("query_id", "id").join(labels, "id")
+
+
+@query("rerank_minmax", f"WITH {_SHORT}, {_LABEL_JUDGE.format(extra='AND toxic = 0')}, {_rerank_sql(_MINMAX, 'filled', 'judged')}")
+def rerank_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = _shortlist(spark, sf_dir, True)
+    return retrieve.rerank(short, _judged(spark, sf_dir, short, "toxic = 0"))
+
+
+@query("rerank_zscore", f"WITH {_SHORT}, {_LABEL_JUDGE.format(extra='AND toxic = 0')}, {_rerank_sql(_Z, _ZJ, 'judged')}")
+def rerank_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = _shortlist(spark, sf_dir, True)
+    return retrieve.rerank(short, _judged(spark, sf_dir, short, "toxic = 0"), normalise="zscore")
+
+
+@query("rerank_coverage_fallback", f"WITH {_bm25_sql()}, short AS (SELECT * FROM sparse_top WHERE rank <= 20), {_LABEL_JUDGE.format(extra='')}, {_rerank_sql(_MINMAX, 'filled', 'judged')}")
+def rerank_coverage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = _shortlist(spark, sf_dir, False)
+    return retrieve.rerank(short, _judged(spark, sf_dir, short))
+
+
+@query("judge_reply_parse", "SELECT item_id AS query_id, doc_id AS id, greatest(0, least(1, quality * 1.5))::DOUBLE AS judge FROM labels JOIN benchmark ON doc_id % 10 = item_id % 10 WHERE quality IS NOT NULL")
+def judge_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a judge as text, made of labels, and parsed again."""
+    item = table(spark, sf_dir, "benchmark").select("item_id", F.pmod("item_id", F.lit(10)).alias("m"))
+    labels = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").withColumn("m", F.pmod("doc_id", F.lit(10)))
+    pair = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(", "), (F.col("quality") * 1.5).cast("string"), F.lit("]"))
+    replies = labels.groupBy("m").agg(F.concat(F.lit("```json\n{\"results\": [[\"x\"], "), F.concat_ws(", ", F.collect_list(pair)), F.lit("]}\n```")).alias("raw")).join(item, "m").select(F.col("item_id").alias("query_id"), "raw")
+    return enrich.judge_scores(replies)
+
+
+# --- keys, urls and places -----------------------------------------------------------------------------------------------
+
+_SUFFIX = {"BUILDING": " Co., Ltd.", "AUTOMOBILE": " GmbH & Co. KG", "MACHINERY": " S.p.A.", "HOUSEHOLD": " CORPORATION", "FURNITURE": " India Technologies Pvt. Ltd."}
+
+
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.create_map(*(F.lit(x) for pair in _SUFFIX.items() for x in pair))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", F.coalesce(names[F.col("c_mktsegment")], F.lit(""))).alias("name"))
+
+
+_FIRMS = "firms AS (SELECT c_custkey AS id, c_name || CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SUFFIX.items()) + " ELSE '' END AS name FROM customer)"
+_ENDING = r"(\s+(" + "|".join(sorted(text.LEGAL_SUFFIXES, key=len, reverse=True)) + r")\.?)+$"
+_SQUASH = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_NAME_KEY = _SQUASH.format(r"""regexp_replace(regexp_replace(lower(name), '[.,()\[\]{}''"]', ' ', 'g'), '[&/]', ' and ', 'g')""")
+
+
+@query("merge_key_name", f"WITH {_FIRMS} SELECT id, trim(regexp_replace(trim(regexp_replace({_NAME_KEY}, '{_ENDING}', '')), '{_ENDING}', '')) AS merge_key FROM firms")
+def merge_key_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _firms(spark, sf_dir).select("id", text.name_key(F.col("name")).alias("merge_key"))
+
+
+@query("merge_key_v3", rf"WITH {_FIRMS} SELECT id, {_SQUASH.format(rf'''regexp_replace(regexp_replace(lower(name), '[^\w\s]', ' ', 'g'), '\b({text.FALLBACK_SUFFIXES})\b', ' ', 'g')''')} AS merge_key FROM firms")
+def merge_key_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _firms(spark, sf_dir).select("id", text.fallback_key(F.col("name")).alias("merge_key"))
+
+
+@query("merge_key_stripped", rf"WITH {_FIRMS} SELECT id, {_SQUASH.format(rf'''regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]+', ' ', 'g'), '\b({text.PORTAL_WORDS})\b', ' ', 'g')''')} AS merge_key FROM firms")
+def merge_key_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _firms(spark, sf_dir).select("id", text.portal_key(F.col("name")).alias("merge_key"))
+
+
+@query("name_slugs", r"WITH " + _FIRMS + r""", s AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(name), '\s+', '-', 'g'), '[^a-z0-9&.\-]', '', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM firms)
+SELECT id, slug, list_contains([regexp_replace(slug, '\.', '', 'g')], slug) AS plain FROM s""")
+def name_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = text.slug(F.col("name"))
+    return _firms(spark, sf_dir).select("id", s.alias("slug")).withColumn("plain", F.regexp_replace("slug", r"\.", "") == F.col("slug"))
+
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
+_DOMAIN = rf"regexp_replace(regexp_replace(regexp_replace({_HOST}, '^.*@', ''), ':\d*$', ''), '^www\.', '')"
+
+
+@query("url_domain", f"SELECT page_id, CASE WHEN d <> '' AND d NOT IN ({_in(tuple(urls.MAIL_HOSTS))}) THEN d END AS domain FROM (SELECT page_id, {_DOMAIN} AS d FROM pages)")
+def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.website_domain(F.col("url")).alias("domain"))
+
+
+@query("url_full_domain", rf"SELECT page_id, CASE WHEN d <> '' AND string_split(d, '.')[1] NOT IN ({_in(tuple(urls.GENERIC_LABELS))}) THEN d END AS domain FROM (SELECT page_id, regexp_replace({_HOST}, '^www\d*\.', '') AS d FROM pages)")
+def url_full_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.full_domain(F.col("url")).alias("domain"))
+
+
+@query("domain_collisions", rf"SELECT d AS domain, array_to_string(list_sort(list(DISTINCT name)), '|') AS names FROM (SELECT {_DOMAIN} AS d, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) AS name FROM pages) WHERE d <> '' GROUP BY d HAVING count(DISTINCT name) > 1")
+def domain_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]+)", 1).alias("name"))
+    return resolve.collisions(pages, "url", "name").select("domain", F.array_join("names", "|").alias("names"))
+
+
+_PLACE = {"en": ", Cambridge, England", "fr": ", Paris, France, France", "de": ", 80331 Muenchen, Bavaria, Germany", "es": ", Wonju-si, Korea (South)"}
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.create_map(*(F.lit(x) for pair in _PLACE.items() for x in pair))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.coalesce(ends[F.col("lang")], F.lit(""))).alias("place"))
+
+
+_PLACES = "places AS (SELECT doc_id, source || CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PLACE.items()) + " ELSE '' END AS place FROM documents)"
+_PARTS = "parts AS (SELECT doc_id, trim(unnest(string_split(place, ','))) AS part, generate_subscripts(string_split(place, ','), 1) AS i FROM places)"
+_NAMES = "names AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(geo.COUNTRIES.items())) + ") t(o, k, v))"
+
+
+@query(
+    "country_normalise",
+    f"""WITH {_PLACES}, {_PARTS}, {_NAMES},
+hits AS (SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY (lower(part) <> k)::INTEGER, i DESC, o) AS n FROM parts JOIN names ON contains(lower(part), k))
+SELECT places.doc_id, coalesce(v, 'Unknown') AS country FROM places LEFT JOIN hits ON places.doc_id = hits.doc_id AND n = 1""",
+)
+def country_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).select("doc_id", geo.country_of(F.col("place")).alias("country"))
+
+
+@query("location_dedupe", f"WITH {_PLACES}, {_PARTS}, f AS (SELECT doc_id, part, min(i) AS i FROM parts WHERE part <> '' GROUP BY doc_id, part) SELECT doc_id, string_agg(part, ', ' ORDER BY i) AS place FROM f GROUP BY doc_id")
+def location_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).select("doc_id", geo.deduped_place(F.col("place")).alias("place"))
+
+
+@query(
+    "parse_hq",
+    rf"""WITH {_PLACES}, v AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(place, '\b\d{{5,6}}\b', '', 'g'), ','), lambda p: trim(p)), lambda p: p <> '' AND NOT regexp_full_match(p, '[\d\s\-#]+')) AS p FROM places)
+SELECT doc_id, CASE WHEN len(p) >= 3 THEN p[-3] || ', ' || p[-2] WHEN len(p) > 0 THEN p[1] ELSE 'India' END AS location, CASE WHEN len(p) > 0 THEN p[-1] ELSE 'India' END AS country FROM v""",
+)
+def parse_hq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _places(spark, sf_dir).select("doc_id", geo.headquarters_of(F.col("place")).alias("h")).select("doc_id", "h.location", "h.country")
+
+
+@query(
+    "format_hq",
+    f"""WITH {_PLACES}, c AS (SELECT doc_id, place, CASE lang WHEN 'en' THEN 'UK' WHEN 'fr' THEN 'France' WHEN 'de' THEN 'Austria' ELSE 'Unknown' END AS country, lang FROM places JOIN documents USING (doc_id))
+SELECT doc_id, CASE lang WHEN 'en' THEN place || ', United Kingdom' WHEN 'fr' THEN place WHEN 'de' THEN 'Austria' ELSE place END AS hq FROM c""",
+)
+def format_hq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _places(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    country = F.when(F.col("lang") == "en", "UK").when(F.col("lang") == "fr", "France").when(F.col("lang") == "de", "Austria").otherwise("Unknown")
+    return rows.select("doc_id", geo.card_headquarters(F.col("place"), country).alias("hq"))
+
+
+# --- texts ---------------------------------------------------------------------------------------------------------------
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(" + _STRIP.format("coalesce(t, '')") + r", '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: " + _STRIP.format("s") + "), lambda s: s <> '')"
+
+
+@query("sentence_split", f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_SENT} AS s FROM (SELECT doc_id, text AS t FROM documents))")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = text.sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+def _announced(c: str = "text") -> Column:
+    """German texts get a sentence that only announces a booth."""
+    return F.when(F.col("lang") == "de", F.concat(F.lit("Visit us at booth A12. "), F.col(c))).otherwise(F.col(c))
+
+
+_ANNOUNCED = "a AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'Visit us at booth A12. ' || text ELSE text END AS t FROM documents)"
+_BOILER = "(?i)" + "|".join(f"(?:{p})" for p in text.BOILERPLATE)
+_CLEAN = f"""c AS (SELECT doc_id, t, s, list_filter(s, lambda x: NOT regexp_matches(x, '{_BOILER}')) AS kept, list_filter(s, lambda x: regexp_matches(x, '{_BOILER}')) AS removed FROM (SELECT doc_id, t, {_SENT} AS s FROM a))"""
+
+
+@query("overview_clean", f"WITH {_ANNOUNCED}, {_CLEAN} SELECT doc_id, len(kept) AS n_kept, len(removed) AS n_removed, length(array_to_string(kept, ' ')) < 20 AS fallback_used, md5(CASE WHEN length(array_to_string(kept, ' ')) < 20 THEN t ELSE array_to_string(kept, ' ') END) AS digest FROM c")
+def overview_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.cleaned_overview(_announced()).alias("c"))
+    return rows.select("doc_id", F.size("c.kept").alias("n_kept"), F.size("c.removed").alias("n_removed"), F.col("c.fallback_used"), F.md5("c.cleaned").alias("digest"))
+
+
+@query("boilerplate_audit", f"WITH {_ANNOUNCED}, {_CLEAN} SELECT doc_id, array_to_string(removed, '|') AS removed FROM c WHERE len(removed) > 0")
+def boilerplate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", _announced().alias("t"))
+    return report.boilerplate_audit(rows, "doc_id", "t").select("doc_id", F.array_join("removed", "|").alias("removed"))
+
+
+@query("truncate_words", rf"SELECT doc_id, CASE WHEN length(t) <= 500 THEN t ELSE regexp_replace(t[1:500], ' [^ ]*$', '') || ' ...[truncated]' END AS short FROM (SELECT doc_id, {_STRIP.format('text')} AS t FROM documents)")
+def truncate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text"), 500).alias("short"))
+
+
+@query("content_hash", "SELECT doc_id, h AS content_hash, sha1(source || ':' || h)[1:24] AS cache_key FROM (SELECT doc_id, source, sha1(text || chr(10) || lang || chr(10))[1:20] AS h FROM documents)")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = text.digest(F.col("text"), F.col("lang"), F.lit(None).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", h.alias("content_hash"), text.cache_key(F.col("source"), h).alias("cache_key"))
+
+
+@query("text_chunk", f"""WITH {CAT} SELECT id, company_name || coalesce(' | About: ' || nullif(CASE WHEN length(array_to_string(s, ' ')) < 20 THEN {_STRIP.format("t")} ELSE array_to_string(s, ' ') END, ''), '') || CASE WHEN hq_country <> 'Unknown' THEN ' | HQ: ' || hq_country ELSE '' END || CASE WHEN len(l1) > 0 THEN ' | Categories: ' || array_to_string(list_transform(list_sort(l1), lambda x: 'Brand ' || x), '; ') ELSE '' END AS chunk FROM cat LEFT JOIN (SELECT doc_id, t, {_SENT} AS s FROM (SELECT doc_id, text AS t FROM documents)) ON doc_id = id""")
+def text_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("about"))
+    rows = catalogue(spark, sf_dir).join(docs, "id", "left")
+    full = rows.withColumns({"refined": F.lit(None).cast(REFINED), "hq_location": F.lit(None).cast("string"), "cat_l1_names": F.transform(F.array_sort("cat_l1_ids"), lambda x: F.concat(F.lit("Brand "), x.cast("string"))), "cat_l2_names": F.array().cast("array<string>")})
+    return full.select("id", enrich.text_chunk().alias("chunk"))
+
+
+_STOP = _in(tuple(text.QUERY_STOPWORDS))
+
+
+@query("query_tokens", f"""WITH t AS (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w, generate_subscripts(string_split_regex(lower(text), '[^a-z0-9]+'), 1) AS i FROM benchmark),
+f AS (SELECT item_id, w, min(i) AS i FROM t WHERE length(w) >= 3 AND w NOT IN ({_STOP}) GROUP BY item_id, w)
+SELECT item_id, string_agg(w, ' ' ORDER BY i) AS tokens FROM f GROUP BY item_id""")
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.query_tokens(F.col("text")), " ").alias("tokens")).filter("tokens <> ''")
+
+
+@query("text_parts")
+def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in parts for translation: at most 800 characters each, nothing lost."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("pos", "part"))
+
+
+# --- integration ---------------------------------------------------------------------------------------------------------
+
+
+def _shows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers as records of two shows."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_seq"), F.lit("show-s").alias("_file"), F.col("s_name").alias("company_name"), F.lit("Taipei").alias("location"), F.col("s_acctbal").cast("string").alias("extra"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_seq"), F.lit("show-c").alias("_file"), F.col("c_name").alias("company_name"), F.array(F.struct(F.lit("Tokyo").alias("location"), F.concat(F.lit("https://x.example/ebooth.aspx?BoothID="), F.col("c_custkey").cast("string")).alias("ebooth_url"))).alias("sources"), F.array(F.lit("Tokyo")).alias("locations"))
+    return integrate.union_conformed([s, c])
+
+
+@query("union_conform", "SELECT 'show-s' AS _file, s_suppkey AS _seq, s_name AS company_name, 'Taipei' AS location, '' AS ebooth_url, '' AS about, 0 AS n_categories FROM supplier UNION ALL SELECT 'show-c', c_custkey, c_name, 'Tokyo', 'https://x.example/ebooth.aspx?BoothID=' || c_custkey, '', 0 FROM customer")
+def union_conform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shows(spark, sf_dir).select("_file", "_seq", "company_name", "location", "ebooth_url", "about", F.size("cat_l1_ids").alias("n_categories"))
+
+
+@query("schema_drift", "SELECT event_type AS _file, array_to_string(list_sort(list(DISTINCT k)), '|') AS dropped, 'about|company_name' AS missing FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) GROUP BY event_type")
+def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events").select(F.col("event_type").alias("_file"), F.from_json("props", "map<string,string>").alias("record"))
+    out = integrate.schema_drift(raw, ["company_name", "about"])
+    return out.select("_file", F.array_join("dropped", "|").alias("dropped"), F.array_join("missing", "|").alias("missing"))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes on customers: several of a source, German ones with the note in the website column."""
+    name = F.concat(F.lit(" customer#"), F.lpad((F.col("doc_id") % 700).cast("string"), 9, "0"))
+    note = F.concat_ws(" ", F.lit("Note"), F.col("doc_id").cast("string"))
+    german = F.col("lang") == "de"
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_seq"), name.alias("company"), F.when(german, note).otherwise(F.lit("https://a.example")).alias("website"), F.when(german, "").when(F.col("lang") == "es", "").otherwise(note).alias("snippet"))
+
+
+@query(
+    "snippet_join",
+    """WITH n AS (SELECT upper(trim(' customer#' || lpad((doc_id % 700)::VARCHAR, 9, '0'))) AS k, arg_max(CASE WHEN lang = 'es' THEN '' ELSE 'Note ' || doc_id END, doc_id) AS snippet FROM documents GROUP BY 1)
+SELECT c_custkey AS id, coalesce(snippet, '') AS snippet, CASE WHEN k IS NULL THEN 'none' WHEN snippet = '' THEN 'empty' ELSE 'text' END AS snippet_match FROM customer LEFT JOIN n ON upper(c_name) = k""",
+)
+def snippet_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    firms = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company_name"))
+    return integrate.with_snippets(firms, _notes(spark, sf_dir)).select("id", "snippet", "snippet_match")
+
+
+@query(
+    "translation_overwrite",
+    """WITH t AS (SELECT 'Customer#' || lpad((doc_id % 700)::VARCHAR, 9, '0') AS k, arg_max(CASE WHEN lang = 'es' THEN '' ELSE source END, doc_id) AS about FROM documents GROUP BY 1)
+SELECT c_custkey AS id, CASE WHEN k IS NULL THEN c_mktsegment ELSE about END AS about FROM customer LEFT JOIN t ON c_name = k""",
+)
+def translation_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("about"))
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_seq"), F.concat(F.lit("Customer#"), F.lpad((F.col("doc_id") % 700).cast("string"), 9, "0")).alias("company_name"), F.when(F.col("lang") == "es", F.lit(None)).otherwise(F.col("source")).alias("about"))
+    return integrate.overwritten(base, t, ("about",)).select("id", "about")
+
+
+def _booths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders of a customer as a second listing: by booth number for those with one, else by name; some columns are empty."""
+    base = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("company_name"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise(F.concat(F.lit("https://x.example/e.aspx?boothid="), F.col("c_custkey").cast("string"))).alias("ebooth_url"),
+        F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "").otherwise(F.col("c_mktsegment")).alias("about"), F.lit("").alias("website"), F.lit("United States").alias("hq_location"),
+    )
+    more = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("_seq"), F.concat(F.lit(" Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("company_name"),
+        F.concat(F.lit("https://y.example/e.aspx?BoothID="), F.col("o_custkey").cast("string")).alias("ebooth_url"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("about"), F.col("o_orderpriority").alias("website"),
+        F.when(F.col("o_orderstatus") == "O", "Japan").otherwise(F.col("o_orderpriority")).alias("hq_location"),
+    )
+    return base, more
+
+
+_LAST = "o AS (SELECT o_custkey, max(o_orderkey) AS k, arg_max(o_orderpriority, o_orderkey) AS p, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY o_custkey)"
+
+
+@query("backfill_join", f"WITH {_LAST} SELECT c_custkey AS id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN coalesce('Order ' || k, '') ELSE c_mktsegment END AS about, coalesce(p, '') AS website FROM customer LEFT JOIN o ON c_custkey = o_custkey")
+def backfill_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, more = _booths(spark, sf_dir)
+    return integrate.backfilled(base, more).select("id", "about", "website")
+
+
+@query(
+    "trusted_overwrite",
+    f"""WITH {_LAST}, h AS (SELECT c_custkey AS id, k IS NOT NULL AND c_mktsegment <> 'BUILDING' AS hit, CASE WHEN s = 'O' THEN 'Japan' ELSE p END AS t FROM customer LEFT JOIN o ON c_custkey = o_custkey)
+SELECT id, CASE WHEN hit THEN t ELSE 'United States' END AS hq_location, CASE WHEN hit THEN 'trusted' ELSE 'base' END AS hq_location_source, lower(CASE WHEN hit THEN t ELSE 'United States' END) IN ({_in(tuple(geo.SUSPICIOUS))}) AS still_suspicious FROM h""",
+)
+def trusted_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, more = _booths(spark, sf_dir)
+    return integrate.trusted_overwrite(base, more).select("id", "hq_location", "hq_location_source", "still_suspicious")
+
+
+@query("anti_only_in_default", "SELECT c_custkey AS id, c_name AS company_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def anti_only_in_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("company_name"))
+    return integrate.only_in(a, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id")
+
+
+@query("positional_zip", "SELECT doc_id AS _seq, d.source AS left_value, e.lang AS right_value FROM documents d JOIN documents e USING (doc_id)")
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return integrate.zipped(d.select(F.col("doc_id").alias("_seq"), F.col("source").alias("left_value")), d.select(F.col("doc_id").alias("_seq"), F.col("lang").alias("right_value")))
+
+
+@query(
+    "fallback_join",
+    """WITH s AS (SELECT s_suppkey AS i, lower(replace(s_name, 'Supplier', 'Customer')) AS k, s_acctbal AS v FROM supplier)
+SELECT c_custkey AS row_index, coalesce(a.v, b.v) AS balance FROM customer LEFT JOIN s a ON c_custkey + 50 = a.i LEFT JOIN s b ON lower(c_name) = b.k""",
+)
+def fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 50).alias("row_index"), F.col("c_name").alias("company_name"))
+    other = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_index"), F.regexp_replace("s_name", "Supplier", "Customer").alias("company_name"), F.col("s_acctbal").alias("balance"))
+    return integrate.fallback_join(base, other, ["balance"]).select((F.col("row_index") - 50).alias("row_index"), "balance")
+
+
+@query(
+    "append_merge",
+    """WITH a AS (SELECT 0 AS side, c_custkey AS seq, c_name AS name, 'J' AS loc FROM customer UNION ALL SELECT 1, o_orderkey, ' customer#' || lpad((o_custkey * 2)::VARCHAR, 9, '0'), o_orderpriority FROM orders),
+g AS (SELECT lower(trim(name)) AS k, arg_min(name, side * 1000000000000 + seq) AS name, count(*) AS n_sources FROM a GROUP BY 1),
+f AS (SELECT lower(trim(name)) AS k, loc, min(side * 1000000000000 + seq) AS o FROM a GROUP BY 1, 2)
+SELECT g.name AS company_name, n_sources, string_agg(loc, '|' ORDER BY o) AS locations FROM g JOIN f USING (k) GROUP BY ALL""",
+)
+def append_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = lambda loc: F.array(F.struct(loc.alias("location"), F.lit("").alias("ebooth_url")))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_seq"), F.col("c_name").alias("company_name"), F.array(F.lit("J")).alias("locations"), source(F.lit("J")).alias("sources"))
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_seq"), F.concat(F.lit(" customer#"), F.lpad((F.col("o_custkey") * 2).cast("string"), 9, "0")).alias("company_name"), F.array("o_orderpriority").alias("locations"), source(F.col("o_orderpriority")).alias("sources"))
+    return integrate.merged_into(a, b).select("company_name", F.size("sources").cast("bigint").alias("n_sources"), F.array_join("locations", "|").alias("locations"))
+
+
+# --- entity resolution ---------------------------------------------------------------------------------------------------
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records of customers, in several spellings; priorities stand for descriptions and shows, statuses for countries."""
+    ending = F.when(F.col("o_orderstatus") == "O", " Co., Ltd.").when(F.col("o_orderstatus") == "F", " CORPORATION").otherwise("")
+    number = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("_seq"), F.concat(F.lit("Customer "), number, ending).alias("company_name"),
+        F.when(F.col("o_orderpriority") == "5-LOW", FALLBACK_ABOUT).when(F.col("o_orderpriority") == "3-MEDIUM", "").otherwise(F.col("o_orderpriority")).alias("about"),
+        F.when(F.col("o_orderstatus") == "O", "Japan").when(F.col("o_orderstatus") == "F", "Taiwan").otherwise("Unknown").alias("hq_country"), F.col("o_orderstatus").alias("hq_location"),
+        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(F.lit("http://www.c"), F.col("o_custkey").cast("string"), F.lit(".example/"), F.col("o_orderstatus"))).alias("website"), F.lit("").alias("website_scrape"),
+        F.array("o_orderpriority").alias("locations"), F.array(F.struct(F.col("o_orderpriority").alias("location"), F.col("o_orderkey").cast("string").alias("ebooth_url"))).alias("sources"),
+    )
+
+
+_RECORDS = f"""r AS (SELECT o_orderkey AS seq, o_custkey AS c, 'Customer ' || lpad(o_custkey::VARCHAR, 9, '0') || CASE o_orderstatus WHEN 'O' THEN ' Co., Ltd.' WHEN 'F' THEN ' CORPORATION' ELSE '' END AS name,
+  CASE o_orderpriority WHEN '5-LOW' THEN '{FALLBACK_ABOUT}' WHEN '3-MEDIUM' THEN '' ELSE o_orderpriority END AS about, CASE o_orderstatus WHEN 'O' THEN 'Japan' WHEN 'F' THEN 'Taiwan' ELSE 'Unknown' END AS country,
+  o_orderstatus AS st, o_orderpriority AS p, CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'http://www.c' || o_custkey || '.example/' || o_orderstatus END AS website FROM orders)"""
+_LOCS = "l AS (SELECT {k} AS k, p, min(seq) AS o FROM r GROUP BY 1, 2), ll AS (SELECT k, string_agg(p, '|' ORDER BY o) AS locations FROM l GROUP BY k)"
+_ABOUT = f"coalesce(arg_max(about, length(about) * 1000000000 - seq) FILTER (about NOT IN ('', '{FALLBACK_ABOUT}')), arg_min(about, seq) FILTER (about <> ''), '{FALLBACK_ABOUT}')"
+
+
+@query(
+    "dedupe_by_name",
+    f"""WITH {_RECORDS}, {_LOCS.format(k='c')}
+SELECT arg_min(name, seq) AS company_name, {_ABOUT} AS about, coalesce(arg_min(country, seq) FILTER (country <> 'Unknown'), 'Unknown') AS hq_country,
+  coalesce(arg_min(st, seq) FILTER (country <> 'Unknown'), arg_min(st, seq)) AS hq_location, CASE WHEN count(DISTINCT country) FILTER (country <> 'Unknown') > 1 THEN 'Japan|Taiwan' END AS conflict,
+  coalesce(arg_min(website, seq) FILTER (website <> ''), '') AS website, any_value(locations) AS locations, count(*) AS n_sources FROM r JOIN ll ON c = k GROUP BY c""",
+)
+def dedupe_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = resolve.by_name(_records(spark, sf_dir))
+    return e.select("company_name", "about", "hq_country", "hq_location", F.array_join("hq_country_conflict", "|").alias("conflict"), "website", F.array_join("locations", "|").alias("locations"), F.size("sources").cast("bigint").alias("n_sources"))
+
+
+@query(
+    "dedupe_by_domain",
+    f"""WITH {_RECORDS}, m AS (SELECT *, CASE WHEN website = '' THEN '__name__customer ' || lpad(c::VARCHAR, 9, '0') ELSE 'c' || c || '.example' END AS mk FROM r),
+t AS (SELECT mk, about, min(seq) AS o FROM m WHERE about NOT IN ('', '{FALLBACK_ABOUT}') GROUP BY 1, 2), ta AS (SELECT mk, string_agg(about, chr(10) || chr(10) ORDER BY o) AS a FROM t GROUP BY mk),
+cc AS (SELECT mk, country, min(seq) AS o FROM m GROUP BY 1, 2), ca AS (SELECT mk, string_agg(country, '|' ORDER BY o) AS cs, count(*) AS nc, arg_min(country, o) FILTER (country <> 'Unknown') AS fc FROM cc GROUP BY mk)
+SELECT m.mk AS merge_key, arg_max(name, length(name) * 1000000000 - seq) AS company_name, coalesce(any_value(a), '{FALLBACK_ABOUT}') AS about, coalesce(any_value(fc), 'Unknown') AS hq_country,
+  CASE WHEN any_value(nc) > 1 THEN any_value(cs) END AS conflict, coalesce(arg_min(website, seq) FILTER (website <> ''), '#') AS website, count(*) AS n_sources FROM m LEFT JOIN ta USING (mk) JOIN ca USING (mk) GROUP BY m.mk""",
+)
+def dedupe_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = resolve.by_domain(_records(spark, sf_dir))
+    return e.select(F.col("_merge_key").alias("merge_key"), "company_name", "about", "hq_country", F.array_join("_hq_country_conflict", "|").alias("conflict"), "website", F.size("sources").cast("bigint").alias("n_sources"))
+
+
+@query("canonical_name", f"WITH {_RECORDS} SELECT c AS k, arg_max(name, length(name) * 1000000000 - seq) AS company_name FROM r GROUP BY c")
+def canonical_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).withColumn("k", F.substring("company_name", 10, 9).cast("bigint"))
+    return rows.groupBy("k").agg(resolve.longest(F.col("company_name")).alias("company_name"))
+
+
+@query("about_merge", f"WITH {_RECORDS} SELECT c AS k, {_ABOUT} AS about FROM r GROUP BY c")
+def about_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).withColumn("k", F.substring("company_name", 10, 9).cast("bigint"))
+    return rows.groupBy("k").agg(resolve.merged_about().alias("about"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as records of suppliers with one category each; the name of a category depends on the line."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_brand", "Brand#", "").cast("int").alias("l1"), "p_size", "p_type")
+    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_seq"), "l1", "p_size", "p_type", F.concat("p_type", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"))
+
+
+_LINES = "r AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS seq, replace(p_brand, 'Brand#', '')::INTEGER AS l1, p_size, p_type, p_type || ' ' || p_partkey AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query("id_union", f"WITH {_LINES}, f AS (SELECT k, l1, min(seq) AS o, min(struct_pack(s := seq, n := name)).n AS name FROM r GROUP BY k, l1) SELECT k, string_agg(l1::VARCHAR, '|' ORDER BY o, name) AS ids, string_agg(name, '|' ORDER BY o, name) AS names FROM f GROUP BY k")
+def id_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # lines with one ordinal stand in order of name
+    rows = _lines(spark, sf_dir).groupBy("k", "_seq").agg(F.sort_array(F.collect_list(F.struct("name", "l1"))).alias("v")).select("k", "_seq", F.col("v.l1").alias("ids"), F.col("v.name").alias("names"))
+    out = resolve.id_union(rows, "k", "ids", "names")
+    return out.select("k", F.array_join(F.transform("ids", lambda x: x.cast("string")), "|").alias("ids"), F.array_join("names", "|").alias("names"))
+
+
+@query(
+    "tree_merge",
+    f"""WITH {_LINES}, c AS (SELECT k, l1, p_size, min(seq) AS o FROM r GROUP BY k, l1, p_size), n AS (SELECT k, l1, min(o) AS o, string_agg(p_size::VARCHAR, ',' ORDER BY o, p_size) AS kids FROM c GROUP BY k, l1)
+SELECT k, string_agg(l1 || ':' || kids, '|' ORDER BY o, l1) AS tree FROM n GROUP BY k""",
+)
+def tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = F.struct(F.col("l1").alias("l1_id"), F.lit("Brand").alias("l1_name"), F.array(F.struct(F.col("p_size").cast("int").alias("id"), F.lit("Size").alias("name"))).alias("children"))
+    rows = _lines(spark, sf_dir).groupBy("k", "_seq").agg(F.sort_array(F.collect_list(node)).alias("cat_tree"))
+    tree = resolve.merged_trees(rows, "k")
+    line = F.array_join(F.transform("cat_tree", lambda n: F.concat(n["l1_id"].cast("string"), F.lit(":"), F.array_join(F.transform(n["children"], lambda c: c["id"].cast("string")), ","))), "|")
+    return tree.select("k", line.alias("tree"))
+
+
+# --- reports -------------------------------------------------------------------------------------------------------------
+
+
+@query("duplicate_ids", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.duplicate_ids(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+_PLAIN = "regexp_replace(url, '[0-9].*$', '')"
+
+
+@query("url_collisions", f"SELECT {_PLAIN} AS url, array_to_string(list_sort(list(page_id)), '|') AS names FROM pages WHERE url <> '' GROUP BY 1 HAVING count(*) > 1")
+def url_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[0-9].*$", "").alias("u"), "page_id")
+    return resolve.url_collisions(pages, "u", "page_id").select("url", F.array_join(F.transform("names", lambda x: x.cast("string")), "|").alias("names"))
+
+
+@query("status_distribution", "SELECT coalesce(nullif(string_split(o_orderpriority, ' ')[1], ''), 'unset') AS value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM orders GROUP BY 1")
+def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.distribution(table(spark, sf_dir, "orders"), F.col("o_orderpriority"))
+
+
+@query(
+    "completeness",
+    """WITH r AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)), f AS (SELECT count(*) AS n, count(*) FILTER (trim(text) <> '') AS a, count(quality) AS b, count(toxic) AS c, count(*) FILTER (trim(text) <> '' AND quality IS NOT NULL AND toxic IS NOT NULL) AS d FROM r)
+SELECT field, filled, n - filled AS empty, round(100 * filled / n, 1) AS percent FROM (SELECT n, unnest(['text', 'quality', 'toxic', 'all']) AS field, unnest([a, b, c, d]) AS filled FROM f)""",
+)
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return report.completeness(rows, ["text", "quality", "toxic"])
+
+
+@query(
+    "coverage_counts",
+    f"""WITH {_RECORDS}, e AS (SELECT c, count(DISTINCT p) AS np, count(DISTINCT country) FILTER (country <> 'Unknown') AS nk, {_ABOUT} AS about, count(*) FILTER (website <> '') AS nw FROM r GROUP BY c)
+SELECT count(*) AS rows, count(*) FILTER (np > 1) AS multi_show, count(*) FILTER (nk > 1) AS conflicts, count(*) FILTER (about <> '{FALLBACK_ABOUT}') AS with_about, count(*) FILTER (nw > 0) AS with_website FROM e""",
+)
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.coverage(resolve.by_name(_records(spark, sf_dir)))
+
+
+_STATUS = "CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'ok' WHEN 'view' THEN 'ok' WHEN 'login' THEN 'no_url' ELSE 'ssl_error' END"
+
+
+@query(
+    "scrape_summary",
+    f"""WITH s AS (SELECT user_id AS _file, {_STATUS} AS status, value AS chars FROM events), e AS (SELECT _file, string_agg(status || ': ' || n, '; ' ORDER BY n DESC, status) AS errors FROM (SELECT _file, status, count(*) AS n FROM s WHERE status NOT IN ('ok', 'no_url') GROUP BY 1, 2) GROUP BY 1),
+c AS (SELECT _file, count(*) AS total, count(*) FILTER (status = 'no_url') AS no_url, count(*) FILTER (status = 'ok') AS success, count(*) FILTER (status NOT IN ('ok', 'no_url')) AS failed FROM s GROUP BY 1)
+SELECT c.*, CASE WHEN success + failed > 0 THEN round(100 * success / (success + failed), 1) END AS success_rate, coalesce(errors, '') AS errors FROM c LEFT JOIN e USING (_file)""",
+)
+def scrape_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.create_map(*(F.lit(x) for x in ("error", "timeout", "click", "ok", "view", "ok", "login", "no_url")))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("_file"), F.coalesce(status[F.col("event_type")], F.lit("ssl_error")).alias("status"), F.col("value").alias("chars"))
+    return report.scrape_summary(rows).drop("avg_chars")
+
+
+@query("failure_histogram", f"SELECT {_STATUS} AS status, count(*) AS n FROM events WHERE {_STATUS} <> 'ok' GROUP BY 1")
+def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.create_map(*(F.lit(x) for x in ("error", "timeout", "click", "ok", "view", "ok", "login", "no_url")))
+    return report.failures(table(spark, sf_dir, "events").select(F.coalesce(status[F.col("event_type")], F.lit("ssl_error")).alias("status")))
+
+
+@query("sample_deterministic", "SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
+def sample_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
+
+
+@query("exhibitor_merge")
+def exhibitor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines of a supplier as exhibitors: halls in one list, booths joined."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_seq"), F.concat(F.lit("B"), F.col("l_linenumber").cast("string")).alias("booth"), F.array(F.col("l_linenumber").cast("int")).alias("halls"), F.col("l_linestatus").alias("website"))
+    return resolve.merged_exhibitors(rows, F.col("name"))
+
+
+# --- HTML, enrichment and presentation -----------------------------------------------------------------------------------
+
+_HREFS = r"""a AS (SELECT page_id, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS h FROM pages)"""
+
+
+@query("html_links", f"WITH {_HREFS} SELECT page_id, unnest(h) AS href, (generate_subscripts(h, 1) - 1)::INTEGER AS pos FROM a")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.links(table(spark, sf_dir, "pages"), "page_id").select("page_id", "href", "pos")
+
+
+@query(
+    "html_category_tree",
+    f"""WITH {_HREFS}, l AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM a),
+m AS (SELECT page_id, pos, CASE WHEN pos % 3 = 1 THEN length(href) END AS l1, CASE WHEN pos % 3 <> 1 THEN length(href) END AS l2 FROM l),
+p AS (SELECT *, last_value(l1 IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS parent FROM m),
+c AS (SELECT page_id, parent, l2, min(pos) AS o FROM p WHERE l2 IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT page_id, parent, min(pos) AS o FROM p GROUP BY 1, 2),
+k AS (SELECT page_id, parent, string_agg(l2::VARCHAR, ',' ORDER BY o) AS kids FROM c GROUP BY 1, 2)
+SELECT n.page_id, string_agg(coalesce(n.parent::VARCHAR, 'Uncategorized') || ':' || coalesce(kids, ''), '|' ORDER BY n.o) AS tree FROM n LEFT JOIN k ON n.page_id = k.page_id AND n.parent IS NOT DISTINCT FROM k.parent GROUP BY n.page_id""",
+)
+def html_category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menu links as categories: every third opens a level-1 node, and the length of its address is its number."""
+    found = html.links(table(spark, sf_dir, "pages"), "page_id")
+    n, head = F.length("href"), F.col("pos") % 3 == 1
+    marks = found.select("page_id", "pos", F.when(head, n).alias("l1"), F.when(~head, n).alias("l2"), F.col("text").alias("name"))
+    line = F.array_join(F.transform("cat_tree", lambda x: F.concat(F.coalesce(x["l1_id"].cast("string"), x["l1_name"]), F.lit(":"), F.array_join(F.transform(x["children"], lambda c: c["id"].cast("string")), ","))), "|")
+    return html.category_tree(marks, "page_id").select("page_id", line.alias("tree"))
+
+
+@query("html_main_text")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of homepages by their elements, and why a page gives none."""
+    rows = table(spark, sf_dir, "pages").withColumn("text", html.main_text("html"))
+    return rows.select("page_id", "text", html.fetch_status(F.col("url"), F.col("html"), F.col("text")).alias("status"))
+
+
+@query("html_table_rows")
+def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rows, made of the list items of each page."""
+    as_table = F.regexp_replace(F.regexp_replace("html", "<li>", "<tr><td>"), "</li>", "</td></tr>")
+    return html.table_rows(table(spark, sf_dir, "pages").select("page_id", as_table.alias("html")), "page_id")
+
+
+@query("overview_parse", "SELECT doc_id, 'Makes ' || source || '.' AS summary, 'A' || doc_id AS booth, lang AS valueChain, 'High' AS relevance, source || '|' || lang AS capabilities, TRUE AS structured FROM documents")
+def overview_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    about = F.format_string("Makes %s. Booth: A%s. Value Chain Role: %s. key capabilities: %s, %s. Semiconductor Relevance: High.", "source", F.col("doc_id").cast("string"), "lang", "source", "lang")
+    rows = table(spark, sf_dir, "documents").select("doc_id", present.parsed_overview(about).alias("o"))
+    return rows.select("doc_id", "o.summary", "o.booth", "o.valueChain", "o.relevance", F.array_join("o.capabilities", "|").alias("capabilities"), "o.structured")
+
+
+@query("relevance_level", "SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '2-HIGH' THEN 'high' WHEN o_orderpriority = '3-MEDIUM' THEN 'medium' WHEN o_orderpriority = '5-LOW' THEN 'low' END AS level FROM orders")
+def relevance_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), present.relevance_level(F.regexp_replace("o_orderpriority", "^[0-9]-", "")).alias("level"))
+
+
+_ENTRY = f"""{CAT}, n AS (SELECT DISTINCT id, l1, l2, 'Brand ' || l1 AS parent, 'Size ' || size AS label FROM lines JOIN supplier ON id = s_suppkey),
+m AS (SELECT *, CASE WHEN l2 IN (203, 311, 2407) THEN 'l2' WHEN l1 IN (2, 3) THEN 'l1' WHEN contains(lower(parent), 'brand 20') OR contains(lower(label), '200') THEN 'query' END AS reason FROM n),
+e AS (SELECT id, parent, label, reason IS NOT NULL AS hit, reason, (row_number() OVER (PARTITION BY id ORDER BY (reason IS NULL)::INTEGER, l1, l2))::INTEGER AS pos FROM m)"""
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present.split_categories(catalogue(spark, sf_dir).filter("cat_tree IS NOT NULL"), l1=[2, 3], l2=[203, 311, 2407])
+
+
+_NO_QUERY = _ENTRY.replace(" WHEN contains(lower(parent), 'brand 20') OR contains(lower(label), '200') THEN 'query'", "")
+
+
+@query("category_split", f"WITH {_NO_QUERY} SELECT * FROM e")
+def category_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir)
+
+
+@query(
+    "visible_categories",
+    f"""WITH {_NO_QUERY}, s AS (SELECT id, count(*) AS total, count(*) FILTER (hit) AS hits FROM e GROUP BY id),
+v AS (SELECT *, CASE WHEN hits > 0 THEN least(hits, 6) ELSE least(total, 3) END AS n FROM s)
+SELECT v.id, string_agg(label, '|' ORDER BY pos) FILTER (pos <= n) AS shown, any_value(total - n) AS hidden FROM v JOIN e USING (id) GROUP BY v.id""",
+)
+def visible_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present.visible_categories(_split(spark, sf_dir)).select("id", F.array_join("shown", "|").alias("shown"), "hidden")
+
+
+def _enrichable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("company_name"), F.when(F.col("lang") == "es", "").otherwise(F.col("text")).alias("about"), F.when(F.col("lang") == "fr", F.col("text")).otherwise("").alias("website_scrape"), F.lit("").alias("snippet"), F.array("lang").alias("cat_l1_names"), none.alias("cat_l2_names"))
+
+
+@query(
+    "llm_routing",
+    rf"""WITH d AS (SELECT doc_id, {_STRIP.format("CASE WHEN lang = 'es' THEN '' ELSE text END")} AS a, {_STRIP.format("CASE WHEN lang = 'fr' THEN text ELSE '' END")} AS w FROM documents)
+SELECT doc_id, CASE WHEN a = '' AND w = '' THEN 'empty-input' WHEN length(a) >= 500 THEN 'single' WHEN w <> '' THEN 'two-stage' ELSE 'single' END AS route FROM d""",
+)
+def llm_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.routed(_enrichable(spark, sf_dir)).select("doc_id", "route")
+
+
+@query("llm_refine_stub")
+def llm_refine_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents refined by the offline client, with parsed blocks."""
+    return enrich.refined(_enrichable(spark, sf_dir), wait=0.0).select("doc_id", "refine_status", "refined.summary", F.size("refined.capabilities").alias("n_capabilities"))
+
+
+@query(
+    "json_coerce",
+    """SELECT doc_id, CASE WHEN lang = 'es' THEN NULL ELSE source END AS summary, CASE WHEN lang = 'es' THEN NULL WHEN lang = 'de' THEN 'a|b' WHEN lang = 'fr' THEN '' ELSE lang END AS capabilities, CASE WHEN lang = 'es' THEN NULL ELSE (lang = 'de')::INTEGER END AS n_regions FROM documents""",
+)
+def json_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in several shapes: a list, a single value, nothing, prose around, and no object at all."""
+    lang, source = F.col("lang"), F.col("source")
+    q = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    raw = (
+        F.when(lang == "de", q('```json\n{"summary": "', source, '", "capabilities": ["a", "b"], "regional_presence": {"Asia": "x"}}\n```'))
+        .when(lang == "fr", q('Here: {"summary": "', source, '", "regional_presence": "none"} as asked'))
+        .when(lang == "es", F.lit("no answer"))
+        .otherwise(q('{"summary": "', source, '", "capabilities": "', lang, '"}'))
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", enrich.coerced(raw).alias("r"))
+    return rows.select("doc_id", "r.summary", F.array_join("r.capabilities", "|").alias("capabilities"), F.when(F.col("r").isNotNull(), F.size("r.regional_presence")).alias("n_regions"))
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.windowed_events(table(spark, sf_dir, "events"))
+
+
+@query("todo_rows", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def todo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.filters import unfinished
+
+    done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
+    return unfinished(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), done, "id")
+
+
+@query("checkpoint_last_wins", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def checkpoint_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = integrate.last_by(table(spark, sf_dir, "events"), F.col("user_id"), ["event_id", "event_type"], "event_id")
+    return rows.select(F.col("k").alias("user_id"), "event_id", "event_type")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"browse_all": browse_filtered}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"browse_all": "SELECT s_suppkey AS id, s_name AS company_name, n_name AS hq_country FROM supplier JOIN nation ON s_nationkey = n_nationkey"}
+    return dict(ORACLE)
