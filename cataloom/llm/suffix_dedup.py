@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, mix64, small_batches, texts_of, windows, word_hashes, written
+from .common import by_bytes, small_batches, texts_of, windows, word_hashes, written
 
 MIN_WORDS, GRAM, SPREAD = 50, 6, 20
 #: Words behind a selected position that any passage about it holds, and words beyond that can matter on either side.
@@ -102,20 +102,21 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), REACH, (~same).argmax(1))
 
 
-def _extend(core: np.ndarray, doc: np.ndarray, after: np.ndarray, before: np.ndarray, to: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-    """Extends each row against the row to[i] (-1: none), and widens left and right where both make a whole passage."""
+def _extend(core: np.ndarray, doc: np.ndarray, after: np.ndarray, before: np.ndarray, to: np.ndarray, left: np.ndarray, right: np.ndarray, tails: np.ndarray) -> None:
+    """Extends each row against the row to[i] (-1: none), and widens left and right where both make a whole passage. tails gets how
+    many words behind the core are the same; no suffix of another document has more than the nearest ones in sorted order."""
     i = np.flatnonzero((to >= 0) & (core == core[to]) & (doc != doc[to]))
     if len(i):
         lead, tail = _common(before[i], before[to[i]]), _common(after[i], after[to[i]])
+        tails[i] = np.maximum(tails[i], tail)
         whole = lead + tail >= REACH
         i, lead, tail = i[whole], lead[whole], tail[whole]
         left[i], right[i] = np.maximum(left[i], lead), np.maximum(right[i], tail)
 
 
-def _documents(k: pa.Array, r: np.ndarray) -> np.ndarray:
+def _documents(k: pa.Array) -> np.ndarray:
     """A number for each document among the rows."""
-    ids = pa.compute.dictionary_encode(k, null_encoding="encode").indices
-    return mix64(np.asarray(ids).astype(np.uint64)) ^ r.astype(np.uint64)
+    return np.asarray(pa.compute.dictionary_encode(k, null_encoding="encode").indices)
 
 
 def _neighbours(suffixes: DataFrame) -> DataFrame:
@@ -132,22 +133,22 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
         table = pa.Table.from_batches(rows).combine_chunks()
         column = lambda c: table.column(c).combine_chunks()
         core = np.asarray(table.column("c"))
-        doc = _documents(column("k"), np.asarray(table.column("r")))
+        doc = _documents(column("k"))
         n = len(core)
         fresh = np.ones(n, bool)
         fresh[1:] = (doc[1:] != doc[:-1]) | (core[1:] != core[:-1])
         run_of, heads = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
         above, below = heads[run_of] - 1, np.append(heads[1:], -1)[run_of]
-        left, right = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        left, right, tails = np.full(n, -1, np.int32), np.full(n, -1, np.int32), np.zeros(n, np.int32)
         after, before = _words(column("after")), _words(column("before"))
         for to in (above, below):
-            _extend(core, doc, after, before, to, left, right)
+            _extend(core, doc, after, before, to, left, right, tails)
         side = (run_of == 0) * 1 + (run_of == len(heads) - 1) * 2
         part = TaskContext.get().partitionId()
-        out = table.append_column("left", pa.array(left)).append_column("right", pa.array(right)).append_column("side", pa.array(side.astype(np.int32))).append_column("part", pa.array(np.full(n, part, np.int32)))
+        out = table.append_column("left", pa.array(left)).append_column("right", pa.array(right)).append_column("tail", pa.array(tails)).append_column("side", pa.array(side.astype(np.int32))).append_column("part", pa.array(np.full(n, part, np.int32)))
         yield from out.to_batches(max_chunksize=5000)
 
-    fields = [*suffixes.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("left", "right", "side", "part"))]
+    fields = [*suffixes.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("left", "right", "tail", "side", "part"))]
     order = ["c", "after", "before", "k", "r", "pos"]
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, T.StructType(fields))
@@ -164,8 +165,8 @@ def _across(edges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            left, right = np.asarray(batch.column("left")).copy(), np.asarray(batch.column("right")).copy()
-            core, r = np.asarray(batch.column("c")), np.asarray(batch.column("r"))
+            left, right, tails = (np.asarray(batch.column(c)).copy() for c in ("left", "right", "tail"))
+            core = np.asarray(batch.column("c"))
             after, before = _words(batch.column("after")), _words(batch.column("before"))
             part, side, keys = np.asarray(batch.column("part")), np.asarray(batch.column("side")), batch.column("k").to_pylist()
             for bit, step, end in ((1, -1, "last"), (2, 1, "first")):
@@ -174,19 +175,20 @@ def _across(edges: DataFrame) -> DataFrame:
                     if not 0 <= to < len(ends):
                         continue
                     e = ends[to][end]
-                    other = np.array([keys[i] != e["k"] or r[i] != e["r"] for i in range(n)])
+                    other = np.array([keys[i] != e["k"] for i in range(n)])
                     i = np.flatnonzero((part == p) & (side & bit > 0) & (core == e["c"]) & other)
                     if len(i):
                         lead = _common(before[i], np.frombuffer(bytes(e["before"]), ">u4")[None, :])
                         tail = _common(after[i], np.frombuffer(bytes(e["after"]), ">u4")[None, :])
+                        tails[i] = np.maximum(tails[i], tail)
                         whole = lead + tail >= REACH
                         left[i[whole]] = np.maximum(left[i[whole]], lead[whole])
                         right[i[whole]] = np.maximum(right[i[whole]], tail[whole])
-            out = batch.drop_columns(["left", "right"])
-            yield pa.record_batch([*out.columns, pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=[*out.schema.names, "left", "right"])
+            out = batch.drop_columns(["left", "right", "tail"])
+            yield pa.record_batch([*out.columns, *(pa.array(x, pa.int32()) for x in (left, right, tails))], names=[*out.schema.names, "left", "right", "tail"])
 
-    columns = [f for f in edges.schema.fields if f.name not in ("left", "right")]
-    return edges.mapInArrow(run, T.StructType([*columns, T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType())])).select(*edges.columns)
+    columns = [f for f in edges.schema.fields if f.name not in ("left", "right", "tail")]
+    return edges.mapInArrow(run, T.StructType([*columns, *(T.StructField(c, T.IntegerType()) for c in ("left", "right", "tail"))])).select(*edges.columns)
 
 
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,32 +197,34 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     A row for each passage of each document that has one, the first document included; begin and end count words, end excluded,
     and overlapping passages are one. source is the lowest key of a document that shares part of it, so all but the rows with
     source = key can go. Words are runs of anything but ASCII white space, compared byte by byte through 64-bit hashes. Whole
-    texts are read; a null or empty text, or one of fewer words, has no passage. Rows with the same key and text are one document;
-    a null key is a key like others, and sorts first. An empty table gives an empty table; other columns aren't read.
+    texts are read; a null or empty text, or one of fewer words, has no passage. Rows with the same key are one document, also if
+    their texts differ; rows with a null key together are one, which is never a source. An empty table gives an empty table; other columns aren't read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r"), F.col(text).alias("t"))
     found = written(_classes(rows), "suffix-classes")
-    who = F.struct("k", "r")
-    shared = found.groupBy("c").agg(F.min(who).alias("low"), F.max(who).alias("high")).filter("low <> high").select("c", F.col("low.k").alias("source"))
+    several = lambda df, by: df.groupBy(by).agg(F.min("k").alias("source"), F.max("k").alias("high"), F.max(F.col("k").isNull()).alias("unknown")).filter("source <> high OR (unknown AND source IS NOT NULL)")
+    # tables of their own, so that the joins can split the rows of a hot class
+    shared = written(several(found, "c").select("c", "source"), "suffix-shared")
     at = found.join(shared, "c").groupBy("k", "r").agg(F.collect_set(F.struct("pos", "c", "source")).alias("at"))
     same = lambda a, b: a["k"].eqNullSafe(b["k"]) & (a["r"] == b["r"])
     # one row of each document, though rows repeat
     texts = rows.join(at, same(rows, at)).select(rows["k"], rows["r"], "t", "at")
     compared = written(_neighbours(_suffixes(texts)), "suffix-neighbours")
     inner = compared.filter("side = 0").select(*compared.columns)
-    checked = written(inner.unionByName(_across(compared.filter("side > 0"))), "suffixes")
+    checked = inner.unionByName(_across(compared.filter("side > 0")))
     done = checked.filter("left >= 0").select("k", "r", "source", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + CORE + F.col("right")).alias("end"))
 
-    # classes with a suffix whose neighbours gave nothing: every passage of MIN_WORDS about each of their suffixes, by its hash
-    open_classes = checked.filter("left < 0").select("c").distinct()
+    # classes with a suffix whose neighbours gave nothing: every passage of MIN_WORDS about each of their suffixes, by its hash;
+    # passages that reach farther behind the core than any neighbour agrees aren't shared
+    open_classes = written(checked.filter("left < 0").select("c").distinct(), "suffix-open")
     rest = checked.join(open_classes, "c", "left_semi")
     lead = F.col("lead")
     head, tail = F.expr("substring(before, 1, 4 * lead)"), F.expr(f"substring(after, 1, 4 * ({REACH} - lead))")
-    about = rest.select("c", "k", "r", "pos", "source", "before", "after", F.explode(F.sequence(F.lit(0), F.lit(REACH))).alias("lead"))
+    about = rest.select("c", "k", "r", "pos", "source", "before", "after", F.explode(F.sequence(REACH - F.col("tail"), F.lit(REACH))).alias("lead"))
     inside = (F.expr(f"lead = 0 OR substring(before, 4 * lead - 3, 4) <> X'00000000'")) & (F.expr(f"lead = {REACH} OR substring(after, 4 * ({REACH} - lead) - 3, 4) <> X'00000000'"))
     passages = written(about.filter(inside).select(F.xxhash64("c", lead, head, tail).alias("h"), "k", "r", "source", (F.col("pos") - lead).alias("begin")), "passages")
-    both = passages.groupBy("h").agg(F.min(who).alias("low"), F.max(who).alias("high")).filter("low <> high").select("h")
+    both = written(several(passages, "h").select("h"), "passages-shared")
     exact = passages.join(both, "h", "left_semi").select("k", "r", "source", "begin", (F.col("begin") + MIN_WORDS).alias("end"))
 
     spans = done.unionByName(exact).groupBy("k", "r").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "source"))).alias("spans"))
