@@ -17,8 +17,8 @@ MIN_URLS, MIN_SHARE = 20, 0.01
 MERGE_Z = 1.96
 #: Labelled urls that a host's own rate counts for in its templates, and the overall rate in a host.
 SMOOTHING = 8.0
-#: Templates of which such a smoothed share of urls is labelled bad are rejected.
-REJECT_SHARE = 0.5
+#: Templates of which such a smoothed share of urls is labelled bad are rejected, if so many of their own urls are labelled.
+REJECT_SHARE, REJECT_LABELS = 0.5, 5
 
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 WILD, DEEP = "*", "**"
@@ -92,12 +92,12 @@ def template_tree(urls: DataFrame) -> DataFrame:
     overall = (total[1] or 0) / total[0] if total[0] else 0.0
     host_share = (F.col("host_bad") + SMOOTHING * overall) / (F.col("host_labelled") + SMOOTHING)
     share = (F.col("bad") + SMOOTHING * host_share) / (F.col("labelled") + SMOOTHING)
-    judged = templates.join(hosts, "host").withColumn("share", share).withColumn("reject", F.col("share") >= REJECT_SHARE).drop("host_labelled", "host_bad")
+    judged = templates.join(hosts, "host").withColumn("share", share).withColumn("reject", (F.col("share") >= REJECT_SHARE) & (F.col("labelled") >= REJECT_LABELS)).drop("host_labelled", "host_bad")
     return leaves.select("host", "segs", F.col("prefix").alias("template")).join(judged, ["host", "template"])
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], *, key: str = "page_id", url: str = "url", label_key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(key, host, path, rule, template, share, verdict), a row for each row of pages.
+    """(key, host, path, rule, template, labelled, share, verdict), a row for each row of pages.
 
     The longest rule that fits decides; else a url is blocked if its template is rejected. labels give label 0 (bad) or 1 by key;
     null labels, and keys with labels that differ, are unknown. A null url, or one without ://, has an empty host and path, and is
@@ -107,7 +107,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     rows = pages.select(F.col(key).alias("k"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(label_key).alias("lk")).agg(F.min(label).alias("a"), F.max(label).alias("b")).filter("a = b").select("lk", (1 - F.col("a")).alias("label"))
     tree = written(template_tree(rows.join(known, F.col("k") == F.col("lk"), "left").select("host", "path", "label")), "url-templates")
-    found = rows.withColumn("segs", typed_segments(F.col("path"))).join(tree.select("host", "segs", "template", "share", "reject"), ["host", "segs"], "left")
+    found = rows.withColumn("segs", typed_segments(F.col("path"))).join(tree.select("host", "segs", "template", "labelled", "share", "reject"), ["host", "segs"], "left")
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(decided, F.when(F.col("reject"), "block").otherwise("allow"))
-    return found.select(F.col("k").alias(key), "host", "path", rule.alias("rule"), "template", F.round("share", 6).alias("share"), verdict.alias("verdict"))
+    return found.select(F.col("k").alias(key), "host", "path", rule.alias("rule"), "template", "labelled", F.round("share", 6).alias("share"), verdict.alias("verdict"))

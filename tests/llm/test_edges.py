@@ -1,0 +1,285 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cataloom.llm import decontaminate, html_extract, line_dedup, minhash_dedup, mixing, pieces, quality_rules, queries, suffix_dedup, token_counts, token_store, url_filter
+from cataloom.llm.components import components
+
+R = random.Random(1)
+WORDS = [f"{a}{b}{c}" for a in "bdkmt" for b in "aeiou" for c in "lnrs"]
+PATH = queries.tokenizer_path()
+
+
+def words(n):
+    return " ".join(R.choice(WORDS) for _ in range(n))
+
+
+LONG = words(30_000)
+ROWS = [(1, "one two three"), (2, None), (3, ""), (None, "null key"), (1, "one two three"), (1, "same key, other text"), (5, LONG), (6, "x" * 50_000), (7, " \n\n ")]
+#: Names that the operators use inside.
+CLASH = "k long, r long, x long, h long, t string, n long, s string, doc long, pos int, start long, n_tokens long, mix_copy int, text2 string, id string, kept boolean"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    extra = ["".join(c for c in part.split()[0]) for part in CLASH.split(",")]
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("source", F.lit("a"))
+    for name, kind in zip(extra, [p.split()[1] for p in CLASH.split(",")], strict=True):
+        df = df.withColumn(name, F.lit(None).cast(kind))
+    return df
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.filter("false")
+
+
+def library(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+
+
+def test_token_counts(docs, nothing):
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(docs, PATH).collect())
+    assert got == sorted((k or 0, len((t or "").encode()), len(library(t))) for k, t in ROWS)
+    assert token_counts.token_counts(nothing, PATH).count() == 0
+
+
+@pytest.mark.parametrize("text", ["it's they'RE 'S '", "a<|endoftext|>b <|ENDOFTEXT|>", "ÀÉ İstanbul ΣΑΣ ß", "é ́x\x1cy z w", "1234 5a6 ½", "don't!!!###$$$ foo_bar", "日本語 テキスト 👩‍👩‍👧", "\r\n\t\x0b\x0c"])
+def test_pieces_are_the_library_s(text):
+    table = pieces.payloads(PATH, "<u4")
+    got = b"".join(b"".join(ids) for _, group in pieces.grouped([text.encode()], 4) for ids in table.of(group))
+    assert np.frombuffer(got, "<u4").tolist() == library(text)
+
+
+def test_token_store(docs, nothing):
+    got = sorted(token_store.token_table(docs, PATH, end_id=2).collect(), key=lambda r: r["start"])
+    want = sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+    start = 0
+    for r, (k, t) in zip(got, want, strict=True):
+        ids = [*library(t), 2]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert token_store.token_table(nothing, PATH, end_id=2).count() == 0
+
+
+def test_keyed_access(spark, docs):
+    store = token_store.write_store(docs, PATH, end_id=2)
+    asked = spark.createDataFrame([(5,), (99,), (None,), (1,), (1,)], "doc_id long")
+    got = token_store.read_records(token_store.locate(asked, store), store, payload=True).collect()
+    assert sorted(r["k"] or 0 for r in got) == [0, 1, 1, 1, 5]
+    long = next(r for r in got if r["k"] == 5)
+    assert np.frombuffer(long["ids"], store.dtype).tolist() == [*library(LONG), 2]
+
+
+def test_perfect_hash():
+    h = np.unique(np.random.default_rng(0).integers(0, 2**63, 20_000).astype(np.uint64))
+    levels, rest, slots = token_store.build_mph(h)
+    assert sorted(slots.tolist()) == list(range(len(h)))
+    entries = np.zeros(len(h), token_store.ENTRY)
+    entries["fp"][slots] = token_store._fingerprint(h)
+    entries["record"][slots] = np.arange(len(h))
+    mph = token_store.Mph(token_store._pack(levels, rest, entries))
+    assert (mph.entries["record"][mph.find(h)] == np.arange(len(h))).all()
+    strange = np.random.default_rng(1).integers(2**63, 2**64 - 1, 1000, dtype=np.uint64)
+    assert (mph.find(strange) == -1).mean() > 0.99
+
+
+def test_line_dedup(spark, docs, nothing):
+    rows = [(i, f" Shared Line \nown {i}\n\nshared line") for i in range(12)] + [(1, " Shared Line \nown 1\n\nshared line"), (20, None), (21, "a\n" * 200 + "shared LINE"), (22, "rare\nrare"), (None, "SHARED line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.kept_lines(df, line_dedup.line_bitmaps(df, min_docs=10, keep_first=False)).collect())
+
+    def brute(t):
+        lines = (t or "").split("\n")
+        keep = [x for x in lines if x.strip(" \t\n\x0b\x0c\r").lower() != "shared line"]
+        return len(lines), len(lines) - len(keep), "\n".join(keep)
+
+    assert got == sorted((k or 0, *brute(t)) for k, t in rows)
+    first = {r["doc_id"]: r["kept"] for r in line_dedup.kept_lines(df, line_dedup.line_bitmaps(df, min_docs=10)).collect()}
+    assert first[None] == "SHARED line" and first[0] == "own 0\n"
+    assert line_dedup.kept_lines(docs, line_dedup.line_bitmaps(docs)).count() == len(ROWS)
+    assert line_dedup.kept_lines(nothing, line_dedup.line_bitmaps(nothing)).count() == 0
+
+
+def test_decontamination(spark, docs, nothing):
+    phrase = words(20)
+    items = spark.createDataFrame([(1, phrase), (2, "short ITEM"), (3, None), (4, ""), (1, phrase), (5, "never seen here")], "item_id long, text string")
+    rows = [(1, f"{words(30)} {phrase} {words(5)}"), (2, " ".join(phrase.split()[2:14])), (3, " ".join(phrase.split()[3:17]).upper()), (4, "a Short-item, short item"), (5, None), (6, ""), (None, phrase), (3, words(4))]
+    got = sorted(((r["doc_id"] or 0), r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect())
+    assert got == sorted([(1, 55, 20, ["1"]), (2, 12, 0, []), (3, 14, 14, ["1"]), (4, 5, 4, ["2"]), (5, 0, 0, []), (6, 0, 0, []), (0, 20, 20, ["1"]), (3, 4, 0, [])])
+    assert {r["n_hit"] for r in decontaminate.contamination(docs, items).collect()} == {0}
+    assert decontaminate.contamination(nothing, items).count() == 0
+    assert {r["contaminated"] for r in decontaminate.contamination(docs, items.filter("false")).collect()} == {False}
+
+
+def test_proximity(spark):
+    item = "alpha beta gamma delta epsilon"
+    rows = [(1, "x alpha beta gamma delta epsilon"), (2, "alpha beta gamma delta word word epsilon"), (3, "epsilon alpha")]
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    got = {r["k"]: r["gap"] for r in decontaminate.proximity_matches(index, slop=3).collect()}
+    assert got[1] == 0 and 3 not in got
+
+
+def test_quality(spark, docs, nothing):
+    labels = spark.createDataFrame([(1, 0), (1, 1), (5, 1), (None, 0), (7, None)], "doc_id long, quality int")
+    rules = quality_rules.fit_rules(docs, labels)
+    got = quality_rules.judge(docs, rules).collect()
+    assert len(got) == len(ROWS) and {r["doc_id"] for r in got if r["kept"]} == {5}
+    assert quality_rules.judge(nothing, rules).count() == 0
+    assert quality_rules.kept(docs, rules).columns == docs.columns and quality_rules.kept(docs, rules).count() == 1
+
+
+def test_rules_learn_a_threshold():
+    x = {"a": np.arange(300.0), "b": np.random.default_rng(0).random(300)}
+    rules = quality_rules.learn_rules(x, x["a"] > 200)
+    assert len(rules) == 1 and rules[0][0].feature == "a" and 195 < rules[0][0].value < 206
+
+
+def test_mixing(spark, docs, nothing):
+    rows = [(i, "a" if i % 4 else "b") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("mix_order", F.lit(1))
+    got = mixing.poisson_mix(df, {"a": 1.0, "b": 3.0}, seed=3)
+    n = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(n["b"] / (n["a"] + n["b"]) - 0.75) < 0.04 and got.columns == ["doc_id", "source", "mix_copy", "mix_order"]
+    order = [r["mix_order"] for r in got.collect()]
+    assert order == sorted(order)
+    assert mixing.poisson_mix(df, {"a": 0.0}, seed=3).filter("source = 'a'").count() == 0
+    assert mixing.poisson_mix(docs, {}, total=90).count() > 30 and mixing.poisson_mix(nothing, {}).count() == 0
+
+
+def test_mixing_with_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    df = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "a").alias("source"))
+    salted = sorted(tuple(r) for r in mixing.poisson_mix(df, {"a": 2.0}).collect())
+    monkeypatch.undo()
+    assert salted == sorted(tuple(r) for r in mixing.poisson_mix(df, {"a": 2.0}).collect())
+
+
+def test_passages(docs, nothing, spark):
+    p = words(80)
+    rows = [(1, p), (2, f"{words(9)} {p}"), (3, words(80)), (None, p), (4, None), (5, ""), (1, p)]
+    got = {(r["doc_id"], r["begin"], r["end"], r["source"]) for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0, 80, 1), (2, 9, 89, 1), (None, 0, 80, 1)}
+    assert suffix_dedup.repeated_passages(docs).count() == 0 and suffix_dedup.repeated_passages(nothing).count() == 0
+
+
+def test_near_duplicates(spark, docs, nothing):
+    base = words(200).split()
+    near = base.copy()
+    near[100] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, words(200)), (4, " ".join(base)), (5, None), (6, ""), (7, "a b"), (8, "a b"), (9, "a c"), (None, words(60))]
+    got = {r["doc_id"]: (r["class_id"], r["class_size"], r["n_links"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 3, 1), 2: (1, 3, 1), 4: (1, 3, 1), 3: (3, 1, 0), 5: (5, 2, 0), 6: (5, 2, 0), 7: (7, 2, 0), 8: (7, 2, 0), 9: (9, 1, 0), None: (None, 1, 0)}
+    assert minhash_dedup.near_duplicates(docs).count() == len(ROWS) and minhash_dedup.near_duplicates(nothing).count() == 0
+    kept = minhash_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 5, 6, 7]
+
+
+def test_samples_estimate_weighted_jaccard():
+    r = np.random.default_rng(4)
+    h = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
+    wa, wb = r.choice([0.95, 1.0, 2.0, 3.0], len(h)), r.choice([0.95, 1.0, 2.0, 3.0], len(h))
+    j = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
+    est = []
+    for seed in range(30):
+        s = minhash_dedup.Sampler(seed)
+        a, b = (s.signatures(h, w, np.array([0, len(h)])) for w in (wa, wb))
+        est.append((a == b).mean())
+    assert abs(np.mean(est) - j) < 0.03
+
+
+def test_large_bucket_loses_no_link(spark):
+    base = words(150).split()
+    rows = []
+    for i in range(60):
+        w = base.copy()
+        for j in range(i % 6):
+            w[(7 * i + 23 * j) % 150] = f"edit{i % 20}x{j}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for k, t in rows}
+    for a in sets:
+        for b in sets:
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.82:
+                assert got[a] == got[b]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 180)]
+    got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {101: 100, 180: 150, 200: 150}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, "HTTP://A.Example.COM/en/7?x"), (2, None), (3, "no scheme"), (4, "https://b.example.net"), (None, "https://x.org/es/1"), (5, "http://com/en/#f"), (1, "HTTP://A.Example.COM/en/7?x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("n", F.lit(2))
+    labels = spark.createDataFrame([(1, 0), (4, None)], "doc_id long, quality int")
+    got = sorted((r["page_id"] or 0, r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, labels, queries.URL_RULES).collect())
+    want = [(1, "a.example.com", "/en/7", "example.com/en/7", "allow")] * 2 + [(2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "b.example.net", "", None, "allow"), (0, "x.org", "/es/1", "org/es/", "block"), (5, "com", "/en/", "com/en/", "block")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert url_filter.judge_urls(pages.filter("false"), labels, queries.URL_RULES).count() == 0
+
+
+def test_bad_branch_is_rejected(spark):
+    rows = [(i, f"https://h.example/{'spam' if i % 2 else 'news'}/{i}.html") for i in range(400)] + [(1000 + i, f"https://h.example/news/w{i}") for i in range(50)]
+    labels = [(i, 0 if i % 2 else 1) for i in range(0, 200)]
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int"), []).collect()}
+    assert got[301] == ("/spam/<n>.html", "block") and got[300][1] == "allow" and got[1000] == ("/news/*", "allow")
+
+
+def test_html(spark):
+    page = "<html><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>Some  text,\nmore <b>bold<br>words.</p></article><footer>End</footer></body></html>"
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p"), (1, "u", page), (4, "u", "<article>" + "<p>word word word.</p>" * 3000 + "</article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("k", F.lit(1))
+    net = html_extract.fit_labeller(pages)
+    got = html_extract.main_text(pages, net).collect()
+    assert len(got) == len(rows) and next(r for r in got if r["page_id"] == 2)["text"] == ""
+    assert html_extract.main_text(pages.filter("false"), net).count() == 0
+    assert [b.text for b in html_extract.blocks_of(page)] == ["Home", "A & B", "Some text, more bold words.", "End"]
+
+
+def test_gradients():
+    r = np.random.default_rng(0)
+    net = html_extract.Labeller.fresh(2)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    x = r.standard_normal((2, 5, html_extract.PATH_DIM + html_extract.WORD_DIM + html_extract.NUMBERS)) * 0.3
+    mask = np.array([[True] * 5, [True] * 3 + [False] * 2])
+    y = (r.random((2, 5)) > 0.5).astype(float)
+    _, g = net.gradients(x, mask, y)
+    for k in ("xf", "hb", "cf", "o"):
+        flat = net.w[k].ravel()
+        i = int(r.integers(len(flat)))
+        keep, e = flat[i], 1e-3
+        flat[i] = keep + e
+        up = net.gradients(x, mask, y)[0]
+        flat[i] = keep - e
+        down = net.gradients(x, mask, y)[0]
+        flat[i] = keep
+        assert abs((up - down) / (2 * e) - g[k].ravel()[i]) < 2e-3
+
+
+def test_held_out_accuracy(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [html_extract.blocks_of(r["html"]) for r in pages.orderBy("page_id").collect()]
+    labels = [html_extract.weak_labels(b) for b in rows]
+    r, hasher = np.random.default_rng(0), html_extract.Hasher()
+    strange = [b.text for p in rows[:120] for b in p]
+    xs, ys = [], []
+    for b, y in zip(rows[:120], labels[:120], strict=True):
+        for c, z in ((b, y), *(html_extract.variant(b, y, strange, r) for _ in range(2))):
+            xs.append(hasher.page(c))
+            ys.append(z)
+    net = html_extract.train(xs, ys)
+    found = html_extract.label_pages(net, rows[120:], hasher)
+    assert np.mean(np.concatenate([a == (y > 0) for a, y in zip(found, labels[120:], strict=True)])) > 0.995
+    others = [html_extract.variant(b, y, strange, r) for b, y in zip(rows[120:], labels[120:], strict=True)]
+    found = html_extract.label_pages(net, [b for b, _ in others], hasher)
+    assert np.mean(np.concatenate([a == (y > 0) for a, (_, y) in zip(found, others, strict=True)])) > 0.97
