@@ -107,14 +107,14 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 asked AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark),
 sparse AS (SELECT query_id, id, round(sum({idf} * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM tf JOIN df USING (term) JOIN asked USING (term), stats WHERE {where} GROUP BY query_id, id),
-sparse_top AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sparse)"""
+sparse_top AS (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM sparse)"""
 
 
 def _dense_sql(where: str = "TRUE", queries: str = "SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id") -> str:
     return f"""
 vq AS ({queries}),
 dense AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, vq WHERE {where}),
-dense_top AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dense)"""
+dense_top AS (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM dense)"""
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +176,7 @@ def _branches(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame,
 
 _BOTH = f"{_bm25_sql()}, {_dense_sql()}"
 _RRF = "fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM dense_top WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM sparse_top WHERE rank <= 50) GROUP BY query_id, id)"
-_RANKED = "ranked AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused)"
+_RANKED = "ranked AS (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM fused)"
 
 
 @query("rrf_fusion", f"WITH {_BOTH}, {_RRF}, {_RANKED} SELECT * FROM ranked WHERE rank <= {TOP}")
@@ -226,7 +226,7 @@ j AS (SELECT s.query_id, s.id, s.score, s.rank, judge, round(s.score, 4) AS raw,
 f AS (SELECT *, coalesce(judge, avg(judge) OVER w, 0.5) AS filled, min(raw) OVER w AS lo, max(raw) OVER w AS hi, avg(raw) OVER w AS m, stddev_pop(raw) OVER w AS sd, size > 1 AND given::DOUBLE / size >= 0.6 AS used FROM j WINDOW w AS (PARTITION BY query_id)),
 g AS (SELECT *, avg(filled) OVER w AS fm, stddev_pop(filled) OVER w AS fsd FROM f WINDOW w AS (PARTITION BY query_id)),
 r AS (SELECT query_id, id, score, rank, CASE WHEN used THEN round({base}, 4) END AS retrieval_norm, CASE WHEN used THEN round(judge, 3) END AS llm_score, CASE WHEN used THEN round(0.4::DOUBLE * ({base}) + 0.6::DOUBLE * ({judge}), 4) END AS final_score FROM g)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC NULLS LAST, rank) AS position FROM r"""
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC NULLS LAST, rank))::INTEGER AS position FROM r"""
 
 
 _MINMAX = "CASE WHEN hi - lo < 1e-12 THEN 0.5::DOUBLE ELSE (raw - lo) / (hi - lo) END"
@@ -386,7 +386,7 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _SENT = r"list_filter(list_transform(string_split(regexp_replace(" + _STRIP.format("coalesce(t, '')") + r", '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: " + _STRIP.format("s") + "), lambda s: s <> '')"
 
 
-@query("sentence_split", f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_SENT} AS s FROM (SELECT doc_id, text AS t FROM documents))")
+@query("sentence_split", f"SELECT doc_id, len(s)::INTEGER AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, {_SENT} AS s FROM (SELECT doc_id, text AS t FROM documents))")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = text.sentences(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
@@ -402,7 +402,7 @@ _BOILER = "(?i)" + "|".join(f"(?:{p})" for p in text.BOILERPLATE)
 _CLEAN = f"""c AS (SELECT doc_id, t, s, list_filter(s, lambda x: NOT regexp_matches(x, '{_BOILER}')) AS kept, list_filter(s, lambda x: regexp_matches(x, '{_BOILER}')) AS removed FROM (SELECT doc_id, t, {_SENT} AS s FROM a))"""
 
 
-@query("overview_clean", f"WITH {_ANNOUNCED}, {_CLEAN} SELECT doc_id, len(kept) AS n_kept, len(removed) AS n_removed, length(array_to_string(kept, ' ')) < 20 AS fallback_used, md5(CASE WHEN length(array_to_string(kept, ' ')) < 20 THEN t ELSE array_to_string(kept, ' ') END) AS digest FROM c")
+@query("overview_clean", f"WITH {_ANNOUNCED}, {_CLEAN} SELECT doc_id, len(kept)::INTEGER AS n_kept, len(removed)::INTEGER AS n_removed, length(array_to_string(kept, ' ')) < 20 AS fallback_used, md5(CASE WHEN length(array_to_string(kept, ' ')) < 20 THEN t ELSE array_to_string(kept, ' ') END) AS digest FROM c")
 def overview_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", text.cleaned_overview(_announced()).alias("c"))
     return rows.select("doc_id", F.size("c.kept").alias("n_kept"), F.size("c.removed").alias("n_removed"), F.col("c.fallback_used"), F.md5("c.cleaned").alias("digest"))

@@ -75,7 +75,7 @@ def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).collect()
     if not asked:
         return vectors.select(F.lit(None).cast("bigint").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    rows = F.array(*(F.struct(F.lit(q["query_id"]).alias("query_id"), F.array(*(F.lit(x) for x in q["vector"])).alias("vector")) for q in asked))
+    rows = F.array(*(F.struct(F.lit(q["query_id"]).cast("bigint").alias("query_id"), F.array(*(F.lit(x) for x in q["vector"])).alias("vector")) for q in asked))
     scored = vectors.select("id", "vector", F.explode(rows).alias("q"))
     return scored.select("q.query_id", "id", F.round(cosine(F.col("vector"), F.col("q.vector")), 6).alias("score")).filter("score IS NOT NULL")
 
