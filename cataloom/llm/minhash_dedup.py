@@ -332,6 +332,16 @@ def near_duplicate_links(docs: DataFrame) -> DataFrame:
     return out.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max("j").alias("j"))
 
 
+def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(k, x, root) for each row of docs, x being the hash of its text and root that of its class's lowest text; and the links."""
+    small_batches(docs.sparkSession)
+    x = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(key).alias("k"), x.alias("x"), F.col(text).alias("t"))
+    links = written(near_duplicate_links(rows.select("x", "t")), "near-links")
+    roots = written(components(links.select("a", "b")), "near-roots")
+    return written(rows.select("k", "x").join(roots, F.col("x") == F.col("v"), "left").select("k", "x", F.coalesce("root", "x").alias("root")), "near-ids"), links
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, class_size, n_links), a row for each row of docs: classes of exact and near copies.
 
@@ -341,13 +351,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     compared. A text of fewer than five words is one shingle; a text without words has no near copies. A null key is lowest.
     Repeated rows are copies. An empty table gives an empty table; other columns aren't read.
     """
-    small_batches(docs.sparkSession)
-    x = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(key).alias("k"), x.alias("x"), F.col(text).alias("t"))
-    links = written(near_duplicate_links(rows.select("x", "t")), "near-links")
-    roots = written(components(links.select("a", "b")), "near-roots")
+    ids, links = _classed(docs, key, text)
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
-    ids = written(rows.select("k", "x").join(roots, F.col("x") == F.col("v"), "left").select("k", "x", F.coalesce("root", "x").alias("root")), "near-ids")
     # a null key is lowest, so min() must see it
     lowest = ids.groupBy("root").agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k"))["k"].alias("class_id"), F.count("*").alias("class_size"))
     lowest = written(lowest, "near-classes")
@@ -356,8 +361,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs with their columns, one for each class of near_duplicates: the one with the lowest key, and of rows with
-    that key the one with the lowest hash of the text; exact repeats of that row go, too."""
-    keep = near_duplicates(docs, key=key, text=text).select("class_id").distinct()
+    that key the one with the lowest hash of the text; exact repeats of that row go, too. Classes with the same lowest key are told
+    apart if it is null; else the key is one document, and the row with the lowest hash stays for all of them."""
+    ids, _ = _classed(docs, key, text)
+    # by class, so that the row is one of its own and classes with a null key stay apart
+    lowest = ids.groupBy("root").agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k", "x")).alias("low")).select("low.k", "low.x")
+    keep = lowest.groupBy("k", F.when(F.col("k").isNull(), F.col("x")).alias("apart")).agg(F.min("x").alias("x"))
     packed = docs.select(F.struct("*").alias("doc"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("x"))
-    first = packed.join(keep, packed["k"].eqNullSafe(keep["class_id"]), "left_semi").groupBy("k").agg(F.min_by("doc", "x").alias("doc"))
+    first = packed.join(keep, packed["k"].eqNullSafe(keep["k"]) & (packed["x"] == keep["x"]), "left_semi").groupBy("x").agg(F.first("doc").alias("doc"))
     return first.select("doc.*")

@@ -182,6 +182,18 @@ def test_near_duplicates(spark, docs, nothing):
     assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 5, 6, 7]
 
 
+def test_classes_with_null_or_foreign_keys_keep_a_row(spark):
+    a, b, c = (words(100) for _ in range(3))
+    rows, want = [(None, a), (1, a), (None, b), (2, b), (None, c)], [(0, a), (0, b), (0, c)]
+    for i in range(10, 20):
+        # of the two texts under one id, the first belongs to a class with a lower one
+        known, own = words(100), words(100)
+        rows += [(i, known), (100 + i, known), (100 + i, own)]
+        want += [(i, known), (100 + i, own)]
+    kept = minhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted(want)
+
+
 def test_samples_estimate_weighted_jaccard():
     r = np.random.default_rng(4)
     h = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
