@@ -3,8 +3,9 @@
 A passage of MIN_WORDS words holds, among its first SPREAD word positions, one whose GRAM words hash lowest; both copies select it,
 whatever stands around. Only these suffixes are retained. Suffixes whose first CORE words no other document has are dropped by a
 count; the rest are sorted by what follows and what stands before, and each is compared with its neighbours of other documents and
-extended right and left. A suffix whose neighbours don't give a whole passage may still match a suffix farther off: its class is
-looked through exactly, by the hashes of all passages about it.
+extended right and left. A suffix farther off may share more on one side, unless all of the class have the same words before or
+behind the core, or the class has two suffixes only: what neighbours leave open in other classes is looked through exactly, by the
+hashes of the passages about each suffix.
 """
 
 from __future__ import annotations
@@ -123,7 +124,8 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
     """The sorted suffixes with left and right: how far a passage that a neighbour shares reaches beyond the core, or -1.
 
     A range of the sorted suffixes is one task's; side is 1 for rows of its first document, 2 for rows of its last (3: both),
-    whose neighbour on that side stands in another task, part.
+    whose neighbour on that side stands in another task, part. mixed is 0 where neighbours tell all of a class, 1 where others may
+    share more, and 2 for classes that can go on in another task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +147,16 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
             _extend(core, doc, after, before, to, left, right, tails)
         side = (run_of == 0) * 1 + (run_of == len(heads) - 1) * 2
         part = TaskContext.get().partitionId()
-        out = table.append_column("left", pa.array(left)).append_column("right", pa.array(right)).append_column("tail", pa.array(tails)).append_column("side", pa.array(side.astype(np.int32))).append_column("part", pa.array(np.full(n, part, np.int32)))
+        first = np.flatnonzero(np.append(True, core[1:] != core[:-1]))
+        class_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+        uniform = [np.logical_and.reduceat((words == words[first][class_of]).all(1), first) for words in (after, before)]
+        mixed = np.where(uniform[0] | uniform[1] | (np.diff(np.append(first, n)) == 2), 0, 1)
+        mixed[[0, -1]] = 2
+        mixed = mixed[class_of]
+        out = table.append_column("left", pa.array(left)).append_column("right", pa.array(right)).append_column("tail", pa.array(tails)).append_column("mixed", pa.array(mixed.astype(np.int32))).append_column("side", pa.array(side.astype(np.int32))).append_column("part", pa.array(np.full(n, part, np.int32)))
         yield from out.to_batches(max_chunksize=5000)
 
-    fields = [*suffixes.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("left", "right", "tail", "side", "part"))]
+    fields = [*suffixes.schema.fields, *(T.StructField(c, T.IntegerType()) for c in ("left", "right", "tail", "mixed", "side", "part"))]
     order = ["c", "after", "before", "k", "r", "pos"]
     n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, T.StructType(fields))
@@ -215,14 +223,18 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     checked = inner.unionByName(_across(compared.filter("side > 0")))
     done = checked.filter("left >= 0").select("k", "r", "source", (F.col("pos") - F.col("left")).alias("begin"), (F.col("pos") + CORE + F.col("right")).alias("end"))
 
-    # classes with a suffix whose neighbours gave nothing: every passage of MIN_WORDS about each of their suffixes, by its hash;
-    # passages that reach farther behind the core than any neighbour agrees aren't shared
-    open_classes = written(checked.filter("left < 0").select("c").distinct(), "suffix-open")
-    rest = checked.join(open_classes, "c", "left_semi")
+    # passages of MIN_WORDS that neighbours leave open, by how many words they begin before the core; those that reach farther behind
+    # it than any neighbour agrees aren't shared
     lead = F.col("lead")
+    inside = (F.expr("lead = 0 OR substring(before, 4 * lead - 3, 4) <> X'00000000'")) & (F.expr(f"lead = {REACH} OR substring(after, 4 * ({REACH} - lead) - 3, 4) <> X'00000000'"))
+    ends = [f(F.xxhash64(c)).alias(f"{a}_{c}") for c in ("before", "after") for a, f in (("low", F.min), ("high", F.max))]
+    cut = checked.filter("mixed & 2 <> 0").groupBy("c").agg(F.count("*").alias("n"), *ends).filter("n > 2 AND low_before <> high_before AND low_after <> high_after").select("c")
+    unsure = checked.filter("mixed & 5 <> 0").unionByName(checked.filter("mixed = 2").join(cut, "c", "left_semi"))
+    asked = unsure.select("c", "before", "after", F.explode(F.expr(f"filter(sequence({REACH} - tail, {REACH}), x -> x < {REACH} - right OR x > left)")).alias("lead"))
+    asked = written(asked.filter(inside).groupBy("c").agg(F.collect_set("lead").alias("leads")), "suffix-open")
+    rest = checked.join(asked, "c")
     head, tail = F.expr("substring(before, 1, 4 * lead)"), F.expr(f"substring(after, 1, 4 * ({REACH} - lead))")
-    about = rest.select("c", "k", "r", "pos", "source", "before", "after", F.explode(F.sequence(REACH - F.col("tail"), F.lit(REACH))).alias("lead"))
-    inside = (F.expr(f"lead = 0 OR substring(before, 4 * lead - 3, 4) <> X'00000000'")) & (F.expr(f"lead = {REACH} OR substring(after, 4 * ({REACH} - lead) - 3, 4) <> X'00000000'"))
+    about = rest.select("c", "k", "r", "pos", "source", "before", "after", F.explode(F.expr(f"filter(leads, x -> x >= {REACH} - tail)")).alias("lead"))
     passages = written(about.filter(inside).select(F.xxhash64("c", lead, head, tail).alias("h"), "k", "r", "source", (F.col("pos") - lead).alias("begin")), "passages")
     both = written(several(passages, "h").select("h"), "passages-shared")
     exact = passages.join(both, "h", "left_semi").select("k", "r", "source", "begin", (F.col("begin") + MIN_WORDS).alias("end"))

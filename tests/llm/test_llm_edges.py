@@ -170,6 +170,34 @@ def test_passages(docs, nothing, spark):
     assert suffix_dedup.repeated_passages(docs).count() == 0 and suffix_dedup.repeated_passages(nothing).count() == 0
 
 
+def passages_by_force(rows):
+    where = {}
+    for k, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            where.setdefault(tuple(w[i : i + 50]), set()).add(k)
+    want = set()
+    for k, t in rows:
+        w, merged = t.split(), []
+        for i in range(len(w) - 49):
+            if len(where[tuple(w[i : i + 50])]) > 1:
+                merged = [*merged[:-1], (merged[-1][0], i + 50)] if merged and i <= merged[-1][1] else [*merged, (i, i + 50)]
+        want |= {(k, *x) for x in merged}
+    return want
+
+
+def test_passages_that_share_different_stretches(spark):
+    r = random.Random(3)
+    rows = []
+    for _ in range(12):
+        base = words(90).split()
+        for _ in range(8):
+            a, b = r.randint(5, 32), r.randint(60, 85)
+            rows.append((len(rows), f"{words(25)} {' '.join(base[a:b])} {words(25)}"))
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["begin"], x["end"]) for x in got} == passages_by_force(rows)
+
+
 def test_near_duplicates(spark, docs, nothing):
     base = words(200).split()
     near = base.copy()
