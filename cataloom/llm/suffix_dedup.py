@@ -165,7 +165,8 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
 def _across(edges: DataFrame) -> DataFrame:
     """The rows at the ends of ranges, compared with the nearest row of the range before or behind.
 
-    Two rows of each range, the first and the last, go to the driver: as many as there are tasks.
+    Two rows of each range, the first and the last, go to the driver: as many as there are tasks. Where that row is of the same
+    document, another's may lie behind it: then mixed gets 4, and tail leaves all open.
     """
     ends = edges.groupBy("part").agg(*(f(F.struct("c", "after", "before", "k", "r", "pos")).alias(a) for f, a in ((F.min, "first"), (F.max, "last")))).orderBy("part").collect()
     place = {x["part"]: i for i, x in enumerate(ends)}
@@ -173,7 +174,7 @@ def _across(edges: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            left, right, tails = (np.asarray(batch.column(c)).copy() for c in ("left", "right", "tail"))
+            left, right, tails, mixed = (np.asarray(batch.column(c)).copy() for c in ("left", "right", "tail", "mixed"))
             core = np.asarray(batch.column("c"))
             after, before = _words(batch.column("after")), _words(batch.column("before"))
             part, side, keys = np.asarray(batch.column("part")), np.asarray(batch.column("side")), batch.column("k").to_pylist()
@@ -184,7 +185,9 @@ def _across(edges: DataFrame) -> DataFrame:
                         continue
                     e = ends[to][end]
                     other = np.array([keys[i] != e["k"] for i in range(n)])
-                    i = np.flatnonzero((part == p) & (side & bit > 0) & (core == e["c"]) & other)
+                    met = (part == p) & (side & bit > 0) & (core == e["c"])
+                    tails[met & ~other], mixed[met & ~other] = REACH, mixed[met & ~other] | 4
+                    i = np.flatnonzero(met & other)
                     if len(i):
                         lead = _common(before[i], np.frombuffer(bytes(e["before"]), ">u4")[None, :])
                         tail = _common(after[i], np.frombuffer(bytes(e["after"]), ">u4")[None, :])
@@ -192,11 +195,11 @@ def _across(edges: DataFrame) -> DataFrame:
                         whole = lead + tail >= REACH
                         left[i[whole]] = np.maximum(left[i[whole]], lead[whole])
                         right[i[whole]] = np.maximum(right[i[whole]], tail[whole])
-            out = batch.drop_columns(["left", "right", "tail"])
-            yield pa.record_batch([*out.columns, *(pa.array(x, pa.int32()) for x in (left, right, tails))], names=[*out.schema.names, "left", "right", "tail"])
+            out = batch.drop_columns(["left", "right", "tail", "mixed"])
+            yield pa.record_batch([*out.columns, *(pa.array(x, pa.int32()) for x in (left, right, tails, mixed))], names=[*out.schema.names, "left", "right", "tail", "mixed"])
 
-    columns = [f for f in edges.schema.fields if f.name not in ("left", "right", "tail")]
-    return edges.mapInArrow(run, T.StructType([*columns, *(T.StructField(c, T.IntegerType()) for c in ("left", "right", "tail"))])).select(*edges.columns)
+    columns = [f for f in edges.schema.fields if f.name not in ("left", "right", "tail", "mixed")]
+    return edges.mapInArrow(run, T.StructType([*columns, *(T.StructField(c, T.IntegerType()) for c in ("left", "right", "tail", "mixed"))])).select(*edges.columns)
 
 
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -198,6 +198,16 @@ def test_passages_that_share_different_stretches(spark):
     assert {(x["doc_id"], x["begin"], x["end"]) for x in got} == passages_by_force(rows)
 
 
+def test_passages_of_a_document_over_several_ranges(spark):
+    base = words(50)
+    fresh = [words(20) for _ in range(300)]
+    rows = [(0, " ".join(f"{f} {base}" for f in fresh))]
+    # each shares 12 words before the base with one of its places only, and the base in part
+    rows += [(1 + j, f"{words(30)} {' '.join(fresh[15 * j].split()[-12:] + base.split()[:38])} {words(30)}") for j in range(20)]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["begin"], x["end"]) for x in got} == passages_by_force(rows)
+
+
 def test_near_duplicates(spark, docs, nothing):
     base = words(200).split()
     near = base.copy()
