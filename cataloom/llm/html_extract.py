@@ -116,12 +116,19 @@ def blocks_of(page: str | None) -> list[Block]:
 # --- features ------------------------------------------------------------------------------------------------------------
 
 
+class _Places(dict):
+    def __missing__(self, word: str) -> int:
+        h = zlib.crc32(word.lower().encode())
+        self[word] = place = h % WORD_DIM + (0 if h >> 16 & 1 else WORD_DIM)
+        return place
+
+
 class Hasher:
     """Hashed vectors of names and words, each computed once."""
 
     def __init__(self) -> None:
         self.paths: dict[tuple[str, ...], np.ndarray] = {}
-        self.words: dict[str, int] = {}
+        self.words = _Places()
 
     def path(self, path: tuple[str, ...]) -> np.ndarray:
         v = self.paths.get(path)
@@ -137,17 +144,13 @@ class Hasher:
         return v
 
     def text(self, text: str) -> np.ndarray:
-        """Of the first and last words of the block, which show what it is; the numbers tell of the rest."""
-        words = text.split(None, 12)[:12]
-        v = np.zeros(WORD_DIM, np.float32)
-        for w in words:
-            h = self.words.get(w)
-            if h is None:
-                if len(self.words) > 200_000:
-                    self.words.clear()
-                h = self.words[w] = zlib.crc32(w.lower().encode())
-            v[h % WORD_DIM] += 1.0 if h >> 16 & 1 else -1.0
-        return v / np.sqrt(max(len(words), 1))
+        """Of all words of the block."""
+        words = text.split()
+        if len(self.words) > 200_000:
+            self.words.clear()
+        # a word's place, and WORD_DIM more if its sign is minus
+        counts = np.bincount([self.words[w] for w in words], minlength=2 * WORD_DIM)
+        return ((counts[:WORD_DIM] - counts[WORD_DIM:]) / np.sqrt(max(len(words), 1))).astype(np.float32)
 
     def page(self, blocks: list[Block]) -> np.ndarray:
         out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + NUMBERS), np.float32)

@@ -296,6 +296,11 @@ def test_html(spark):
     assert [b.text for b in html_extract.blocks_of(page)] == ["Home", "A & B", "Some text, more bold words.", "End"]
 
 
+def test_all_words_of_a_block_count():
+    hasher, start = html_extract.Hasher(), words(12)
+    assert not np.array_equal(hasher.text(f"{start} {words(40)}"), hasher.text(f"{start} {words(40)}"))
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     net = html_extract.Labeller.fresh(2)
