@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, small_batches, texts_of, windows, word_hashes, written
+from .common import by_bytes, mix64, small_batches, texts_of, windows, word_hashes, written
 
 MIN_WORDS, GRAM, SPREAD = 50, 6, 20
 #: Words behind a selected position that any passage about it holds, and words beyond that can matter on either side.
@@ -115,9 +115,10 @@ def _extend(core: np.ndarray, doc: np.ndarray, after: np.ndarray, before: np.nda
         left[i], right[i] = np.maximum(left[i], lead), np.maximum(right[i], tail)
 
 
-def _documents(k: pa.Array) -> np.ndarray:
+def _documents(k: pa.Array, r: np.ndarray) -> np.ndarray:
     """A number for each document among the rows."""
-    return np.asarray(pa.compute.dictionary_encode(k, null_encoding="encode").indices)
+    ids = pa.compute.dictionary_encode(k, null_encoding="encode").indices
+    return mix64(np.asarray(ids).astype(np.uint64)) ^ r.astype(np.uint64)
 
 
 def _neighbours(suffixes: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
         table = pa.Table.from_batches(rows).combine_chunks()
         column = lambda c: table.column(c).combine_chunks()
         core = np.asarray(table.column("c"))
-        doc = _documents(column("k"))
+        doc = _documents(column("k"), np.asarray(table.column("r")))
         n = len(core)
         fresh = np.ones(n, bool)
         fresh[1:] = (doc[1:] != doc[:-1]) | (core[1:] != core[:-1])
@@ -175,7 +176,7 @@ def _across(edges: DataFrame) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             left, right, tails, mixed = (np.asarray(batch.column(c)).copy() for c in ("left", "right", "tail", "mixed"))
-            core = np.asarray(batch.column("c"))
+            core, r = np.asarray(batch.column("c")), np.asarray(batch.column("r"))
             after, before = _words(batch.column("after")), _words(batch.column("before"))
             part, side, keys = np.asarray(batch.column("part")), np.asarray(batch.column("side")), batch.column("k").to_pylist()
             for bit, step, end in ((1, -1, "last"), (2, 1, "first")):
@@ -184,7 +185,7 @@ def _across(edges: DataFrame) -> DataFrame:
                     if not 0 <= to < len(ends):
                         continue
                     e = ends[to][end]
-                    other = np.array([keys[i] != e["k"] for i in range(n)])
+                    other = np.array([keys[i] != e["k"] or r[i] != e["r"] for i in range(n)])
                     met = (part == p) & (side & bit > 0) & (core == e["c"])
                     tails[met & ~other], mixed[met & ~other] = REACH, mixed[met & ~other] | 4
                     i = np.flatnonzero(met & other)
@@ -208,13 +209,14 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     A row for each passage of each document that has one, the first document included; begin and end count words, end excluded,
     and overlapping passages are one. source is the lowest key of a document that shares part of it, so all but the rows with
     source = key can go. Words are runs of anything but ASCII white space, compared byte by byte through 64-bit hashes. Whole
-    texts are read; a null or empty text, or one of fewer words, has no passage. Rows with the same key are one document, also if
-    their texts differ; rows with a null key together are one, which is never a source. An empty table gives an empty table; other columns aren't read.
+    texts are read; a null or empty text, or one of fewer words, has no passage. Rows with the same key and text are one document;
+    a null key is never a source, which is null if all documents have it. An empty table gives an empty table; other columns aren't read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("r"), F.col(text).alias("t"))
     found = written(_classes(rows), "suffix-classes")
-    several = lambda df, by: df.groupBy(by).agg(F.min("k").alias("source"), F.max("k").alias("high"), F.max(F.col("k").isNull()).alias("unknown")).filter("source <> high OR (unknown AND source IS NOT NULL)")
+    who = F.xxhash64("k", "r")
+    several = lambda df, by: df.groupBy(by).agg(F.min("k").alias("source"), F.min(who).alias("low"), F.max(who).alias("high")).filter("low <> high")
     # tables of their own, so that the joins can split the rows of a hot class
     shared = written(several(found, "c").select("c", "source"), "suffix-shared")
     at = found.join(shared, "c").groupBy("k", "r").agg(F.collect_set(F.struct("pos", "c", "source")).alias("at"))

@@ -208,6 +208,13 @@ def test_passages_of_a_document_over_several_ranges(spark):
     assert {(x["doc_id"], x["begin"], x["end"]) for x in got} == passages_by_force(rows)
 
 
+def test_passages_of_texts_without_keys_of_their_own(spark):
+    p, q = words(60), words(60)
+    rows = [(None, p), (None, f"{words(5)} {p}"), (7, q), (7, f"{words(5)} {q}"), (8, words(60))]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["begin"], x["end"], x["source"]) for x in got} == {(None, 0, 60, None), (None, 5, 65, None), (7, 0, 60, 7), (7, 5, 65, 7)}
+
+
 def test_near_duplicates(spark, docs, nothing):
     base = words(200).split()
     near = base.copy()
