@@ -189,10 +189,10 @@ def passages_by_force(rows):
 def test_passages_that_share_different_stretches(spark):
     r = random.Random(3)
     rows = []
-    for _ in range(12):
-        base = words(90).split()
-        for _ in range(8):
-            a, b = r.randint(5, 32), r.randint(60, 85)
+    for _ in range(150):
+        base = words(70).split()
+        for _ in range(4):
+            a, b = r.randint(0, 19), r.randint(51, 70)
             rows.append((len(rows), f"{words(25)} {' '.join(base[a:b])} {words(25)}"))
     got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(x["doc_id"], x["begin"], x["end"]) for x in got} == passages_by_force(rows)
