@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with long texts the default of Spark (10,000) is too much for a worker.
 ARROW_ROWS = 1000
+#: Bytes of one Arrow batch.
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the rows of an Arrow batch, and so a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> None:
+    """Bounds the rows and bytes of an Arrow batch, and so the memory of a task and its Python worker.
+
+    Plans read these settings when they run, so they stay for the session; a lower setting of the user is left alone.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        have = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b") or 0)
+        if not 0 < have <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

@@ -4,11 +4,18 @@ A text is the multiset of its five-word shingles, each weighing its count times
 the improved scheme is a (shingle, level) pair that two texts share with the probability of their weighted Jaccard similarity.
 SAMPLES of them make a signature; texts that agree on all ROWS samples of a band meet in a bucket.
 
-A bucket never gives all its pairs. Its most central text, the hub, is compared with every other; what is similar to the hub is
-linked to it and done. The distance 1 - J is a metric, so a text below NEAR = 2 * THRESHOLD - 1 to the hub can't be linked to any of
-those, and only texts between NEAR and THRESHOLD can. Two texts that were compared with one hub can be similar only if they differ
-little from it, or differ from it alike in enough of their shingles; other pairs are never made, and no similar pair is lost. What
-isn't linked meets again under a next hub. In the last of ROUNDS, all that are left are compared in this way.
+A bucket never gives all its pairs. Its most central text, the hub, is compared with every other, and what is similar to the hub is
+linked to it. Let m be the weight of the hub's shingles that a text lacks, e that of its shingles that the hub lacks, and w the hub's
+weight. With THRESHOLD t and p = t / (1 + t), a text costs (1 - p) m + p e; it is similar to the hub if that is (1 - 2p) w or less, and
+two texts are similar if and only if they differ from the hub alike (lack the same, have the same more) in a weight of
+
+    need = (their costs) - (1 - 2p) w
+
+or more. Two texts of which one isn't similar to the hub so have a difference in common that, in any order of differences, has a
+weight of need or more from there on in both texts (a prefix filter). Only pairs with such a difference are made, so nothing similar
+is lost within a bucket. 1 - J is a metric: if one of a pair is below LOW to the hub, the other is below HIGH = LOW + 1 - THRESHOLD.
+Texts below HIGH meet again under a next hub, and after the last of ROUNDS they are paired with an empty hub, which makes the rule
+above the prefix filter of all their shingles.
 """
 
 from __future__ import annotations
@@ -30,9 +37,17 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 ROUNDS = 3
-NEAR = 2 * THRESHOLD - 1
-#: A pair is verified if it shares so much of its signature: five standard deviations below THRESHOLD, or NEAR for pairs with a hub.
-SURE, SURE_NEAR = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SAMPLES), NEAR - 4 * math.sqrt(NEAR * (1 - NEAR) / SAMPLES)
+#: Texts with LOW or more to a hub are paired by their differences from it; those below HIGH meet under a next hub.
+LOW = 0.5
+HIGH = LOW + 1 - THRESHOLD
+#: The share p of the weight of both texts that similar texts have in common, see above.
+SHARE = THRESHOLD / (1 + THRESHOLD)
+#: A pair is verified if it shares so much of its signature: five standard deviations below THRESHOLD, or LOW for pairs with a hub.
+SURE, SURE_LOW = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SAMPLES), LOW - 4 * math.sqrt(LOW * (1 - LOW) / SAMPLES)
+#: Sums of weights are compared with this tolerance.
+EPSILON = 1e-6
+#: Partners of a text that one group of rows holds at most, about; the text is sent once to each group.
+PARTNERS = 256
 #: Shingles in this share of the documents or more have a lower weight, at most by DAMPING. There are at most (shingles per
 #: document) / FREQUENT of them, however many documents there are, so their table can be broadcast.
 FREQUENT, DAMPING = 0.01, 0.1
@@ -222,42 +237,25 @@ def _likely(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Of two sorted shingle sets with weights."""
-    at = np.searchsorted(b[0], a[0])
-    at[at == len(b[0])] = 0
-    hit = b[0][at] == a[0] if len(b[0]) else np.zeros(len(a[0]), bool)
-    shared = float(np.minimum(a[1][hit], b[1][at[hit]]).sum())
-    return shared / (float(a[1].sum()) + float(b[1].sum()) - shared)
-
+def elements(texts: list[bytes], frequent: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text as a set: the sorted names of its shingles, with another name for each further occurrence, and their weights."""
+    h, tf, first = shingles(texts)
+    idf = weights_of(h, np.ones(len(h)), frequent)
+    if (tf > 1).any():
+        owner = np.repeat(np.arange(len(texts)), np.diff(first))
+        of = np.repeat(np.arange(len(h)), tf)
+        nth = (np.arange(len(of)) - np.repeat(np.cumsum(tf) - tf, tf)).astype(np.uint64)
+        names = np.where(nth > 0, mix64(h[of] + nth * np.uint64(0x9E3779B97F4A7C15)), h[of])
+        order = np.lexsort((names, owner[of]))
+        first = np.searchsorted(owner[of], np.arange(len(texts) + 1))
+        h, idf = names[order], idf[of][order]
+    return [(h[i:j], idf[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
 
-def _verified(pairs: DataFrame, texts: DataFrame, frequent: Broadcast, least: float) -> DataFrame:
-    """(a, b, j, weight, inside, missing, delta, parts) for pairs with a weighted Jaccard similarity j of least or more, from their
-    whole texts: the weight of a, that of its shingles that b has, that of b's shingles that a lacks (each once), and in what a
-    differs from b: the shingles that only a has, and the complements of those that only b has, with their weights."""
-    both = pairs.join(texts.select(F.col("x").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("x").alias("b"), F.col("t").alias("tb")), "b")
-    schema = "a long, b long, j double, weight double, inside double, missing double, delta array<long>, parts array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "ta", BATCH_BYTES):
-            sides = []
-            for c in ("ta", "tb"):
-                texts = texts_of(part.column(c))
-                # a hub's text comes again and again
-                known = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-                h, tf, first = shingles(list(known))
-                w, once = weights_of(h, tf, frequent.value), weights_of(h, np.ones(len(h)), frequent.value)
-                sides.append([tuple(v[first[i] : first[i + 1]] for v in (h, w, once)) for i in (known[t] for t in texts)])
-            rows = []
-            for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                if (j := weighted_jaccard(x[:2], y[:2])) >= least:
-                    hit, lacks = _held(x[0], y[0]), ~_held(y[0], x[0])
-                    rows.append((i, j, float(x[1].sum()), float(x[1][hit].sum()), float(y[2][lacks].sum()), np.concatenate((x[0][~hit], ~y[0][lacks])).astype(np.int64), np.concatenate((x[1][~hit], y[2][lacks]))))
-            take = pa.array([r[0] for r in rows], pa.int64())
-            numbers = [pa.array([r[c] for r in rows], pa.float64()) for c in (1, 2, 3, 4)]
-            yield pa.record_batch([part.column("a").take(take), part.column("b").take(take), *numbers, pa.array([r[5] for r in rows], pa.list_(pa.int64())), pa.array([r[6] for r in rows], pa.list_(pa.float64()))], names=["a", "b", "j", "weight", "inside", "missing", "delta", "parts"])
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, schema)
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two texts as elements() gives them; 0 if both are empty."""
+    shared = float(a[1][_held(a[0], b[0])].sum())
+    return shared / max(float(a[1].sum()) + float(b[1].sum()) - shared, EPSILON)
 
 
 def _held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,31 +265,83 @@ def _held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
-def _possible(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b), a of left and b of right, both (hub, x, weight, inside, missing, delta, parts): pairs under one hub that can reach
-    THRESHOLD.
+def differences(x: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    """The part of x in need, half of the hub's included; and those differences from the hub at which a shared prefix can begin, with
+    the weight from there on: first what only x has, then the complements of what only the hub has, the rarest first."""
+    more, less = ~_held(x[0], hub[0]), ~_held(hub[0], x[0])
+    e, m, half = float(x[1][more].sum()), float(hub[1][less].sum()), (1 - 2 * SHARE) * float(hub[1].sum()) / 2
+    cost = (1 - SHARE) * m + SHARE * e
+    sides = []
+    for names, w in ((x[0][more], x[1][more]), (~hub[0][less], hub[1][less])):
+        order = np.lexsort((names, -w))
+        sides.append((names[order], w[order]))
+    names, w = (np.concatenate(p) for p in zip(*sides, strict=True))
+    tail = np.cumsum(w[::-1])[::-1]
+    # a partner that shares need has a cost of SHARE * need or more; a text similar to the hub is only paired with one that isn't
+    least = (cost - 2 * half) / (1 - SHARE) if cost > 2 * half else cost
+    keep = tail >= least - EPSILON
+    return cost - half, names[keep].astype(np.int64), tail[keep]
+
+
+FOUND = "a long, b long, j double, part double, names array<long>, tails array<double>"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 6
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "b", "j", "part", "names", "tails"])
+
 
-    Such a pair shares THRESHOLD / (1 + THRESHOLD) * (weight of a + weight of b) or more. Of a's weight inside the hub it shares no
-    more than what b doesn't miss, unless both miss it; so the two must differ from the hub alike in a weight of
-    need = that share - (inside of a) + (missing of b). Pairs with need <= 0 are made by these numbers alone. For the others, with a's
-    differences in order of how many texts of right have them, they have one in common before the last of weight need (a prefix
-    filter), and only such pairs are made.
+def _verified(pairs: DataFrame, texts: DataFrame, frequent: Broadcast, least: float, differ: bool = False) -> DataFrame:
+    """(a, b, j, part, names, tails) for distinct pairs with a weighted Jaccard similarity j of least or more, from their whole
+    texts; the last three are the differences of a from b if asked for, else null.
+
+    Rows are dealt by b and a number, so that a task reads b's text once and then streams those of its partners.
     """
-    share = THRESHOLD / (1 + THRESHOLD)
-    la = left.select("hub", F.col("x").alias("a"), (F.col("inside") - share * F.col("weight")).alias("spare"))
-    asks = (share * F.col("weight") + F.col("missing")).alias("asks")
-    rb = right.select("hub", F.col("x").alias("b"), asks)
-    close = la.join(rb, "hub").filter((F.col("a") != F.col("b")) & (F.col("asks") <= F.col("spare") + 1e-6)).select("a", "b")
-
-    ro = right.select("hub", F.col("x").alias("b"), asks, F.explode("delta").alias("s"))
-    often = written(ro.groupBy("hub", "s").agg(F.count("*").alias("n"), F.min("asks").alias("least")), "difference-counts")
-    pairs = F.explode(F.arrays_zip(F.col("delta").alias("s"), F.col("parts").alias("w"))).alias("o")
-    lo = left.select("hub", F.col("x").alias("a"), (F.col("inside") - share * F.col("weight")).alias("spare"), pairs).select("hub", "a", "spare", "o.s", "o.w")
-    ordered = Window.partitionBy("hub", "a").orderBy(F.coalesce("n", F.lit(0)).desc(), F.col("s").desc())
-    # the weight of a difference and of all that are more frequent; the differences of one text are a window's group
-    tails = lo.join(often, ["hub", "s"], "left").withColumn("most", F.col("spare") + F.sum("w").over(ordered) + 1e-6).filter("n > 0 AND least <= most")
-    alike = tails.select("hub", "a", "s", "most").join(ro, ["hub", "s"]).filter("a <> b AND asks <= most").select("a", "b")
-    return close.union(alike).distinct()
+    groups = F.ceil(F.col("n") / PARTNERS).cast("int")
+    counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    body = pairs.join(counts, "b").select("b", F.pmod(F.xxhash64("a"), groups).cast("int").alias("part"), "a")
+    body = body.join(texts.select(F.col("x").alias("a"), "t"), "a").select("b", "part", "a", "t")
+    heads = counts.join(texts.select(F.col("x").alias("b"), "t"), "b").select("b", F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "t")
+    rows = heads.union(body).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
+        for batch in by_bytes(batches, "t", BATCH_BYTES):
+            out = []
+            for a, b, x in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), elements(texts_of(batch.column("t")), frequent.value), strict=True):
+                if a is None:
+                    hub = x
+                elif (j := weighted_jaccard(x, hub)) >= least - 1e-12:
+                    out.append((a, b, j, *(differences(x, hub) if differ else (None, None, None))))
+            yield _found(out)
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def _alike(found: DataFrame, turn: int) -> DataFrame:
+    """(a, b) under one hub b of found (a, b, j, part, names, tails, turn): pairs, not both similar to it, that can be similar; those
+    of earlier turns aren't made again."""
+    # hubs with nothing but similar texts have no such pair
+    open_hubs = found.groupBy("b").agg(F.min("j").alias("j"), F.max("turn").alias("turn")).filter((F.col("j") < THRESHOLD) & (F.col("turn") == turn)).select("b")
+    rows = found.join(open_hubs, "b", "left_semi").select(F.col("b").alias("hub"), F.col("a").alias("x"), "part", "turn", (F.col("j") < THRESHOLD).alias("rest"), F.explode(F.arrays_zip("names", "tails")).alias("o"))
+    rows = written(rows.select("hub", F.col("o.names").alias("s"), "x", "part", F.col("o.tails").alias("tail"), "rest", "turn"), "differences")
+    left, right = rows.filter("rest").alias("l"), rows.alias("r")
+    met = left.join(right, ["hub", "s"]).filter(f"l.x <> r.x AND (NOT r.rest OR l.x < r.x) AND greatest(l.turn, r.turn) = {turn} AND l.part + r.part <= least(l.tail, r.tail) + {EPSILON}")
+    return met.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
+
+
+def _prefixes(left: DataFrame, texts: DataFrame, frequent: Broadcast) -> DataFrame:
+    """What is left of each bucket (bucket, x) in the form of _verified, with the bucket in place of b and an empty hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = np.empty(0, np.uint64), np.empty(0)
+        for batch in by_bytes(batches, "t", BATCH_BYTES):
+            sets = elements(texts_of(batch.column("t")), frequent.value)
+            yield _found([(a, None, 0.0, *differences(x, empty)) for a, x in zip(batch.column("x").to_pylist(), sets, strict=True)])
+
+    rows = texts.join(left.select("x").distinct(), "x", "left_semi").select("x", "t").mapInArrow(run, FOUND)
+    return rows.drop("b").join(left.select(F.col("x").alias("a"), F.col("bucket").alias("b")), "a").withColumn("turn", F.lit(0))
 
 
 def near_duplicate_links(docs: DataFrame) -> DataFrame:
@@ -307,25 +357,30 @@ def near_duplicate_links(docs: DataFrame) -> DataFrame:
     left = written(members.join(central, "x").select("bucket", "x", "met"), "bucket-texts")
     texts = written(docs.join(left.select("x").distinct(), "x", "left_semi").dropDuplicates(["x"]), "bucket-contents")
     links: list[DataFrame] = []
-    tested = spark.createDataFrame([], "a long, b long, j double, weight double, inside double, missing double, delta array<long>, parts array<double>")
+    tested = spark.createDataFrame([], f"{FOUND}, turn int")
+
+    def paired(found: DataFrame, turn: int, name: str) -> None:
+        pairs = written(_likely(_alike(found, turn), signatures, SURE), f"possible-{name}")
+        links.append(written(_verified(pairs, texts, frequent, THRESHOLD), f"near-links-{name}").select("a", "b", "j"))
+
     for turn in range(ROUNDS):
-        last = turn == ROUNDS - 1
         hubs = left.groupBy("bucket").agg(F.max(F.struct("met", "x"))["x"].alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
         met = written(left.join(written(hubs, f"hubs-{turn}"), "bucket").filter("x <> hub"), f"hub-pairs-{turn}")
         if met.isEmpty():
+            left = None
             break
         pairs = met.select(F.col("x").alias("a"), F.col("hub").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = written(_verified(pairs if last else _likely(pairs, signatures, SURE_NEAR), texts, frequent, 0.0 if last else NEAR), f"hub-links-{turn}")
+        found = written(_verified(written(_likely(pairs, signatures, SURE_LOW), f"likely-{turn}"), texts, frequent, LOW, differ=True).withColumn("turn", F.lit(turn)), f"hub-links-{turn}")
         links.append(found.filter(F.col("j") >= THRESHOLD).select("a", "b", "j"))
         tested = tested.unionByName(found)
-        known = tested.withColumnsRenamed({"a": "x", "b": "hub"})
-        judged = met.select("x", "hub").distinct().join(known, ["x", "hub"])
-        star, rest = judged.filter(F.col("j") >= THRESHOLD), judged.filter(F.col("j") < THRESHOLD)
-        more = _possible(rest.filter(F.col("j") >= NEAR), star)
-        if last:
-            more = more.union(_possible(rest, rest).filter("a < b"))
-        links.append(written(_verified(_likely(written(more, f"possible-{turn}"), signatures, SURE), texts, frequent, THRESHOLD), f"near-links-{turn}").select("a", "b", "j"))
-        left = written(met.join(star.select("x", "hub"), ["x", "hub"], "left_anti").select("bucket", "x", "met"), f"bucket-rest-{turn}")
+        paired(tested, turn, str(turn))
+        known = tested.select(F.col("a").alias("x"), F.col("b").alias("hub"), "j").filter(F.col("j") >= HIGH)
+        left = written(met.join(known, ["x", "hub"], "left_anti").select("bucket", "x", "met"), f"bucket-rest-{turn}")
+    if left is not None:
+        several = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+        left = written(left.join(several, "bucket", "left_semi"), "bucket-last")
+        if not left.isEmpty():
+            paired(_prefixes(left, texts, frequent), 0, "last")
     out = links[0] if links else tested.select("a", "b", "j")
     for more in links[1:]:
         out = out.unionByName(more)
@@ -360,13 +415,13 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with their columns, one for each class of near_duplicates: the one with the lowest key, and of rows with
-    that key the one with the lowest hash of the text; exact repeats of that row go, too. Classes with the same lowest key are told
-    apart if it is null; else the key is one document, and the row with the lowest hash stays for all of them."""
+    """The rows of docs with their columns, one for each class of near_duplicates, whatever the keys: the one with the lowest key, a
+    null key being lowest, and of rows with that key the one with the lowest hash of the text. Of rows with that key and text, one
+    stays, chosen by a hash of all its columns. An empty table gives an empty table."""
     ids, _ = _classed(docs, key, text)
-    # by class, so that the row is one of its own and classes with a null key stay apart
-    lowest = ids.groupBy("root").agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k", "x")).alias("low")).select("low.k", "low.x")
-    keep = lowest.groupBy("k", F.when(F.col("k").isNull(), F.col("x")).alias("apart")).agg(F.min("x").alias("x"))
-    packed = docs.select(F.struct("*").alias("doc"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("x"))
-    first = packed.join(keep, packed["k"].eqNullSafe(keep["k"]) & (packed["x"] == keep["x"]), "left_semi").groupBy("x").agg(F.first("doc").alias("doc"))
+    # by root, so that no two classes share a row, though their keys are null or repeat
+    keep = ids.groupBy("root").agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k", "x")).alias("low")).select("low.k", "low.x")
+    others = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c != text)).cast("string")
+    packed = docs.select(F.struct("*").alias("doc"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("x"), F.xxhash64(others, F.col(text)).alias("tie"))
+    first = packed.join(keep, packed["k"].eqNullSafe(keep["k"]) & (packed["x"] == keep["x"]), "left_semi").groupBy("x").agg(F.min_by("doc", "tie").alias("doc"))
     return first.select("doc.*")

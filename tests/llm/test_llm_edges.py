@@ -1,7 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -224,7 +227,8 @@ def test_near_duplicates(spark, docs, nothing):
     assert got == {1: (1, 3, 1), 2: (1, 3, 1), 4: (1, 3, 1), 3: (3, 1, 0), 5: (5, 2, 0), 6: (5, 2, 0), 7: (7, 2, 0), 8: (7, 2, 0), 9: (9, 1, 0), None: (None, 1, 0)}
     assert minhash_dedup.near_duplicates(docs).count() == len(ROWS) and minhash_dedup.near_duplicates(nothing).count() == 0
     kept = minhash_dedup.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 5, 6, 7]
+    # id 1 has two texts that are not alike
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 1, 2, 5, 6, 7]
 
 
 def test_classes_with_null_or_foreign_keys_keep_a_row(spark):
@@ -232,9 +236,9 @@ def test_classes_with_null_or_foreign_keys_keep_a_row(spark):
     rows, want = [(None, a), (1, a), (None, b), (2, b), (None, c)], [(0, a), (0, b), (0, c)]
     for i in range(10, 20):
         # of the two texts under one id, the first belongs to a class with a lower one
-        known, own = words(100), words(100)
-        rows += [(i, known), (100 + i, known), (100 + i, own)]
-        want += [(i, known), (100 + i, own)]
+        known, own, other = words(100), words(100), words(100)
+        rows += [(i, known), (100 + i, known), (100 + i, own), (100 + i, other), (100 + i, other)]
+        want += [(i, known), (100 + i, own), (100 + i, other)]
     kept = minhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted(want)
 
@@ -252,20 +256,66 @@ def test_samples_estimate_weighted_jaccard():
     assert abs(np.mean(est) - j) < 0.03
 
 
-def test_large_bucket_loses_no_link(spark):
-    base = words(150).split()
-    rows = []
-    for i in range(60):
-        w = base.copy()
-        for j in range(i % 6):
-            w[(7 * i + 23 * j) % 150] = f"edit{i % 20}x{j}"
-        rows.append((i, " ".join(w)))
-    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {k: set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for k, t in rows}
-    for a in sets:
-        for b in sets:
-            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.82:
-                assert got[a] == got[b]
+def weighted_by_force(texts):
+    """All weighted Jaccard similarities of different texts, the inverse document frequency as near-dedup states it."""
+    sets = {k: Counter(zip(*(t.split()[i:] for i in range(5)), strict=False)) for k, t in texts.items()}
+    df = Counter(g for c in sets.values() for g in c)
+    n, least = len(sets), max(minhash_dedup.FREQUENT * len(sets), 2)
+    idf = {g: 1 - minhash_dedup.DAMPING * math.log(c / least) / math.log(n / least) if c >= least else 1.0 for g, c in df.items()}
+    weight = lambda c: sum(idf[g] * m for g, m in c.items())
+    return {(a, b): s / (weight(sets[a]) + weight(sets[b]) - s) for a in sets for b in sets if a < b for s in [weight(sets[a] & sets[b])]}
+
+
+def variants(count, rate):
+    """A text, versions of it that have their own word at every place with a probability up to rate, and two versions of a version."""
+    r, base, out = random.Random(5), words(120).split(), {}
+    for i in range(count):
+        p = rate * i / count
+        w = [f"own{i}x{j}" if r.random() < p else x for j, x in enumerate(base)]
+        out[3 * i] = " ".join(w)
+        for k in (1, 2):
+            out[3 * i + k] = " ".join(f"own{i}x{j}x{k}" if r.random() < 0.02 else x for j, x in enumerate(w))
+    return out
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    texts = variants(60, 0.1) | {1000 + i: " ".join(["rep eat"] * 40 + [f"end{i}"] * (i % 3)) for i in range(9)}
+    texts = {k: t for k, t in texts.items() if t not in {texts[j] for j in texts if j < k}}
+    j = weighted_by_force(texts)
+    root = {k: k for k in texts}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    degree = Counter()
+    for (a, b), v in sorted(j.items()):
+        if v >= 0.8:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+            degree.update((a, b))
+    assert 20 < len({top(k) for k in texts}) < len(texts) - 40 and min(abs(v - 0.8) for v in j.values()) > 1e-6
+    got = {r["doc_id"]: r for r in minhash_dedup.near_duplicates(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert {k: r["class_id"] for k, r in got.items()} == {k: top(k) for k in texts}
+    sizes = Counter(map(top, texts))
+    assert all(r["class_size"] == sizes[top(k)] and (r["n_links"] > 0) == (degree[k] > 0) and r["n_links"] <= degree[k] for k, r in got.items())
+
+
+def test_differences_tell_the_similarity():
+    none = np.empty(0, np.uint64), np.empty(0)
+    texts = [t.encode() for t in variants(12, 0.2).values()] + [b"a b c d e " * 9, b"a b c d e " * 8]
+    sets = minhash_dedup.elements(texts, none)
+    seen = Counter()
+    for hub in (sets[0], sets[20], sets[-1], none):
+        parts = [minhash_dedup.differences(x, hub) for x in sets]
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            (pa, na, ta), (pb, nb, tb) = parts[i], parts[j]
+            v, star = minhash_dedup.weighted_jaccard(sets[i], sets[j]), [minhash_dedup.weighted_jaccard(sets[k], hub) >= 0.8 for k in (i, j)]
+            if not all(star) and v >= 0.8:
+                tails = {**dict(zip(nb, tb, strict=True))}
+                assert any(n in tails and pa + pb <= min(t, tails[n]) + 1e-6 for n, t in zip(na, ta, strict=True))
+                seen[sum(star)] += 1
+    assert seen[0] > 5 and seen[1] > 1
 
 
 def test_components(spark):

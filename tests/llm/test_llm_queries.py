@@ -122,7 +122,7 @@ def test_op8_finds_every_link(spark, docs):
         for b in ids[:i]:
             shared = sum((sets[a] & sets[b]).values())
             j = shared / (sum(sets[a].values()) + sum(sets[b].values()) - shared)
-            if docs[a] == docs[b] or j >= 0.82:
+            if docs[a] == docs[b] or j >= 0.805:  # the weights are not all 1
                 assert got[a]["class_id"] == got[b]["class_id"]
     for k, r in got.items():
         assert r["class_id"] <= k and got[r["class_id"]]["class_id"] == r["class_id"]
