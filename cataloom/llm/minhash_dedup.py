@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ HIGH = LOW + 1 - THRESHOLD
 SHARE = THRESHOLD / (1 + THRESHOLD)
 #: A pair is verified if it shares so much of its signature: five standard deviations below THRESHOLD, or LOW for pairs with a hub.
 SURE, SURE_LOW = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SAMPLES), LOW - 4 * math.sqrt(LOW * (1 - LOW) / SAMPLES)
+#: Under a hub with LARGE texts or more, differences that a part of 1 / COMMON of them have are the last in order.
+LARGE, COMMON = 16, 8
 #: Sums of weights are compared with this tolerance.
 EPSILON = 1e-6
 #: Partners of a text that one group of rows holds at most, about; the text is sent once to each group.
@@ -265,44 +268,55 @@ def _held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
-def differences(x: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
-    """The part of x in need, half of the hub's included; and those differences from the hub at which a shared prefix can begin, with
-    the weight from there on: first what only x has, then the complements of what only the hub has, the rarest first."""
+def differences(x: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The part of x in need, half of the hub's included, and that half; and the differences of x from the hub with their weights:
+    first what only x has, then the complements of what only the hub has, the rarest first."""
     more, less = ~_held(x[0], hub[0]), ~_held(hub[0], x[0])
-    e, m, half = float(x[1][more].sum()), float(hub[1][less].sum()), (1 - 2 * SHARE) * float(hub[1].sum()) / 2
-    cost = (1 - SHARE) * m + SHARE * e
+    half = (1 - 2 * SHARE) * float(hub[1].sum()) / 2
+    cost = (1 - SHARE) * float(hub[1][less].sum()) + SHARE * float(x[1][more].sum())
     sides = []
     for names, w in ((x[0][more], x[1][more]), (~hub[0][less], hub[1][less])):
         order = np.lexsort((names, -w))
         sides.append((names[order], w[order]))
     names, w = (np.concatenate(p) for p in zip(*sides, strict=True))
+    return cost - half, half, names.astype(np.int64), w
+
+
+def prefix(part: float, half: float, names: np.ndarray, w: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the differences at which a shared prefix can begin, with the weight from there on; common ones are the last in order."""
+    if len(common):
+        order = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[order], names), len(common) - 1)
+        later = np.argsort(np.where(common[order][at] == names, order[at] + 1, 0), kind="stable")
+        names, w = names[later], w[later]
     tail = np.cumsum(w[::-1])[::-1]
     # a partner that shares need has a cost of SHARE * need or more; a text similar to the hub is only paired with one that isn't
-    least = (cost - 2 * half) / (1 - SHARE) if cost > 2 * half else cost
+    least = (part - half) / (1 - SHARE) if part > half else part + half
     keep = tail >= least - EPSILON
-    return cost - half, names[keep].astype(np.int64), tail[keep]
+    return names[keep], tail[keep]
 
 
-FOUND = "a long, b long, j double, part double, names array<long>, tails array<double>"
+FOUND = "a long, b long, j double, part double, half double, names array<long>, weights array<double>"
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "b", "j", "part", "names", "tails"])
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "b", "j", "part", "half", "names", "weights"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, frequent: Broadcast, least: float, differ: bool = False) -> DataFrame:
-    """(a, b, j, part, names, tails) for distinct pairs with a weighted Jaccard similarity j of least or more, from their whole
-    texts; the last three are the differences of a from b if asked for, else null.
+    """(a, b, j, part, half, names, weights) for distinct pairs with a weighted Jaccard similarity j of least or more, from their
+    whole texts; the last four are the differences of a from b if asked for, else null.
 
     Rows are dealt by b and a number, so that a task reads b's text once and then streams those of its partners.
     """
     groups = F.ceil(F.col("n") / PARTNERS).cast("int")
     counts = pairs.groupBy("b").agg(F.count("*").alias("n"))
     body = pairs.join(counts, "b").select("b", F.pmod(F.xxhash64("a"), groups).cast("int").alias("part"), "a")
-    body = body.join(texts.select(F.col("x").alias("a"), "t"), "a").select("b", "part", "a", "t")
-    heads = counts.join(texts.select(F.col("x").alias("b"), "t"), "b").select("b", F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "t")
+    # texts are shuffled at every size, rather than sent to where a small table of pairs is, so that plans stay alike
+    body = body.join(texts.select(F.col("x").alias("a"), "t").hint("merge"), "a").select("b", "part", "a", "t")
+    heads = counts.join(texts.select(F.col("x").alias("b"), "t").hint("merge"), "b").select("b", F.explode(F.sequence(F.lit(0), groups - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "t")
     rows = heads.union(body).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,24 +327,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent: Broadcast, least: fl
                 if a is None:
                     hub = x
                 elif (j := weighted_jaccard(x, hub)) >= least - 1e-12:
-                    out.append((a, b, j, *(differences(x, hub) if differ else (None, None, None))))
+                    out.append((a, b, j, *(differences(x, hub) if differ else [None] * 4)))
             yield _found(out)
 
     return rows.mapInArrow(run, FOUND)
 
 
-def _alike(found: DataFrame, turn: int) -> DataFrame:
-    """(a, b) under one hub b of found (a, b, j, part, names, tails, turn): pairs, not both similar to it, that can be similar; those
-    of earlier turns aren't made again."""
-    # hubs with nothing but similar texts have no such pair
-    open_hubs = found.groupBy("b").agg(F.min("j").alias("j"), F.max("turn").alias("turn")).filter((F.col("j") < THRESHOLD) & (F.col("turn") == turn)).select("b")
-    rows = found.join(open_hubs, "b", "left_semi").select(F.col("b").alias("hub"), F.col("a").alias("x"), "part", "turn", (F.col("j") < THRESHOLD).alias("rest"), F.explode(F.arrays_zip("names", "tails")).alias("o"))
-    rows = written(rows.select("hub", F.col("o.names").alias("s"), "x", "part", F.col("o.tails").alias("tail"), "rest", "turn"), "differences")
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(x, label) for each of nodes (x, met): a text within two links of it, the one that met most. Equal labels so mean one class."""
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    label = nodes.select("x", F.struct("met", F.col("x").alias("of")).alias("label"))
+    for _ in range(2):
+        near = both.join(label.select(F.col("x").alias("b"), "label"), "b").select(F.col("a").alias("x"), "label")
+        label = written(label.union(near).groupBy("x").agg(F.max("label").alias("label")), "labels")
+    return label.select("x", F.col("label.of").alias("label"))
+
+
+def _tops(tested: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(x, top): of the hubs with LOW or more that a text was compared with, the one that met most."""
+    return tested.select(F.col("a").alias("x"), "b").join(nodes.select(F.col("x").alias("b"), "met"), "b").groupBy("x").agg(F.max(F.struct("met", "b"))["b"].alias("top"))
+
+
+def _alike(found: DataFrame, labels: DataFrame, tops: DataFrame, turn: int) -> DataFrame:
+    """(a, b) under one hub b of found (a, b, j, part, half, names, weights, turn): pairs, not both similar to it, that can be similar.
+
+    Pairs of earlier turns aren't made again. Those with one label (x, label) aren't needed: links hold them together already. Those
+    with one top (x, top) are decided by their differences from it, and made under no other hub.
+    """
+    marked = found.join(labels.withColumnRenamed("x", "a"), "a").join(tops.withColumnRenamed("x", "a"), "a", "left")
+    # under the other hubs there is no such pair
+    ends = [f(c).alias(name) for f, c, name in ((F.count, "a", "n"), (F.min, "j", "low"), (F.max, "turn", "late"), (F.min, "label", "one"), (F.max, "label", "other"))]
+    hubs = written(marked.groupBy("b").agg(*ends).filter((F.col("low") < THRESHOLD) & (F.col("late") == turn) & (F.col("one") != F.col("other"))).select("b", "n"), "open-hubs")
+    rows = marked.join(hubs, "b", "left_semi")
+    # differences that many texts of a hub have go last; they are few, COMMON times the differences of a text at most
+    counts = rows.join(hubs.filter(F.col("n") >= LARGE), "b").select("b", "n", F.explode("names").alias("s")).groupBy("b", "n", "s").agg(F.count("*").alias("many"))
+    common = counts.filter(F.col("many") * COMMON >= F.col("n")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("many", "s")))["s"].alias("common"))
+    rows = rows.join(written(common, "common-differences"), "b", "left").select("b", "a", "label", "top", "part", "half", "names", "weights", "common", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [_lists(batch.column(c)) for c in ("names", "weights", "common")]
+            parts, halves = batch.column("part").to_pylist(), batch.column("half").to_pylist()
+            got = [prefix(p, h, *x) for p, h, *x in zip(parts, halves, *lists, strict=True)]
+            kept = [pa.array([g[i] for g in got], pa.list_(kind)) for i, kind in ((0, pa.int64()), (1, pa.float64()))]
+            rest = pa.array([p > h for p, h in zip(parts, halves, strict=True)], pa.bool_())
+            yield pa.record_batch([*(batch.column(c) for c in ("b", "a", "label", "top", "part", "turn")), rest, *kept], names=["hub", "x", "label", "top", "part", "turn", "rest", "names", "tails"])
+
+    rows = rows.mapInArrow(run, "hub long, x long, label long, top long, part double, turn int, rest boolean, names array<long>, tails array<double>")
+    rows = rows.select("hub", "x", "label", "top", "part", "rest", "turn", F.explode(F.arrays_zip("names", "tails")).alias("o"))
+    rows = written(rows.select("hub", F.col("o.names").alias("s"), "x", "label", "top", "part", F.col("o.tails").alias("tail"), "rest", "turn"), "differences")
     left, right = rows.filter("rest").alias("l"), rows.alias("r")
-    met = left.join(right, ["hub", "s"]).filter(f"l.x <> r.x AND (NOT r.rest OR l.x < r.x) AND greatest(l.turn, r.turn) = {turn} AND l.part + r.part <= least(l.tail, r.tail) + {EPSILON}")
+    met = left.join(right, ["hub", "s"]).filter(f"l.label <> r.label AND (l.top = l.hub OR coalesce(l.top <> r.top, true)) AND (NOT r.rest OR l.x < r.x) AND greatest(l.turn, r.turn) = {turn} AND l.part + r.part <= least(l.tail, r.tail) + {EPSILON}")
     return met.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")).distinct()
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """A view of each list; a null one is empty."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0))
+    return np.split(flat, ends[:-1]) if len(ends) else []
+
+
 def _prefixes(left: DataFrame, texts: DataFrame, frequent: Broadcast) -> DataFrame:
     """What is left of each bucket (bucket, x) in the form of _verified, with the bucket in place of b and an empty hub."""
 
@@ -353,14 +409,17 @@ def near_duplicate_links(docs: DataFrame) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(members.join(sizes, "bucket"), "bucket-members")
     # how many texts meet a text: the original of a group of copies meets most
-    central = members.groupBy("x").agg(F.sum("n").alias("met"))
+    central = written(members.groupBy("x").agg(F.sum("n").alias("met")), "bucket-central")
     left = written(members.join(central, "x").select("bucket", "x", "met"), "bucket-texts")
-    texts = written(docs.join(left.select("x").distinct(), "x", "left_semi").dropDuplicates(["x"]), "bucket-contents")
+    texts = written(docs.join(left.select("x").distinct().hint("merge"), "x", "left_semi").dropDuplicates(["x"]), "bucket-contents")
     links: list[DataFrame] = []
     tested = spark.createDataFrame([], f"{FOUND}, turn int")
 
     def paired(found: DataFrame, turn: int, name: str) -> None:
-        pairs = written(_likely(_alike(found, turn), signatures, SURE), f"possible-{name}")
+        linked = links[0].select("a", "b")
+        for more in links[1:]:
+            linked = linked.union(more.select("a", "b"))
+        pairs = written(_likely(_alike(found, _labels(central, linked), _tops(tested, central), turn), signatures, SURE), f"possible-{name}")
         links.append(written(_verified(pairs, texts, frequent, THRESHOLD), f"near-links-{name}").select("a", "b", "j"))
 
     for turn in range(ROUNDS):

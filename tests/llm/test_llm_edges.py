@@ -307,7 +307,9 @@ def test_differences_tell_the_similarity():
     sets = minhash_dedup.elements(texts, none)
     seen = Counter()
     for hub in (sets[0], sets[20], sets[-1], none):
-        parts = [minhash_dedup.differences(x, hub) for x in sets]
+        whole = [minhash_dedup.differences(x, hub) for x in sets]
+        often = [n for n, c in Counter(n for d in whole for n in d[2].tolist()).most_common() if c > 8][::-1]
+        parts = [(d[0], *minhash_dedup.prefix(*d, np.array(often, np.int64))) for d in whole]
         for i, j in itertools.combinations(range(len(sets)), 2):
             (pa, na, ta), (pb, nb, tb) = parts[i], parts[j]
             v, star = minhash_dedup.weighted_jaccard(sets[i], sets[j]), [minhash_dedup.weighted_jaccard(sets[k], hub) >= 0.8 for k in (i, j)]
