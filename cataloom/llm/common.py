@@ -92,18 +92,16 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the white-space separated words of all texts, and each text's first place in them (one more at the end)."""
+def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined by spaces; where each white-space separated word begins there, its bytes and its 64-bit hash; and each
+    text's first place among the words (one more at the end)."""
     joined = b" ".join(texts)
     data = np.frombuffer(joined, dtype=np.uint8)
-    if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    space = _SPACE[data]
-    solid = np.flatnonzero(~space)
+    solid = np.flatnonzero(~_SPACE[data])
+    if not len(solid):
+        return joined, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     starts_of_text = np.concatenate(([0], np.cumsum(lengths + 1)))
-    if not len(solid):
-        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     first = np.empty(len(solid), dtype=bool)
     first[0] = True
     np.not_equal(np.diff(solid), 1, out=first[1:])
@@ -113,7 +111,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.arange(len(solid), dtype=np.int64) - np.repeat(heads, count)
     value = (data[solid].astype(np.uint64) + np.uint64(1)) * _powers(int(count.max()))[inside]
     hashes = mix64(np.add.reduceat(value, heads) + count.astype(np.uint64))
-    return hashes, np.searchsorted(word_at, starts_of_text)
+    return joined, word_at, count, hashes, np.searchsorted(word_at, starts_of_text)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the white-space separated words of all texts, and each text's first place in them (one more at the end)."""
+    return word_spans(texts)[3:]
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -9,7 +9,8 @@ Files below the store's folder:
 
 The index is built by bucket of hashed keys, about KEYS_PER_BUCKET each, so no task holds more than that. A function has levels
 of bit arrays: a key belongs to the first level where no other key of the bucket has its bit, and its slot is the number of bits
-set before. An entry holds a fingerprint, so that strange keys are told apart, and where the key's records stand.
+set before. An entry holds a fingerprint from another hash of the key, so that strange keys are told apart, and where the key's records
+stand. Keys that share their 64-bit hash with another are listed behind the function, with entries of their own.
 """
 
 from __future__ import annotations
@@ -88,18 +89,30 @@ def build_mph(hashes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return levels, rest, slots
 
 
-def _pack(levels: list[np.ndarray], rest: np.ndarray, entries: np.ndarray) -> bytes:
-    head = struct.pack("<III", len(levels), len(rest), len(entries)) + b"".join(struct.pack("<I", len(b)) for b in levels)
-    return head + b"".join(np.packbits(b).tobytes() for b in levels) + rest.astype("<u8").tobytes() + entries.tobytes()
+def _pack(h: np.ndarray, g: np.ndarray, places: dict[str, np.ndarray]) -> bytes:
+    """A file of the keys with hashes h, other hashes g for fingerprints, and the places of their records."""
+    entries = np.zeros(len(h), ENTRY)
+    entries["fp"] = _fingerprint(g)
+    for c, v in places.items():
+        entries[c] = v
+    alone, first = np.unique(h, return_index=True)
+    more = np.ones(len(h), bool)
+    more[first] = False
+    more = np.flatnonzero(more)[np.argsort(h[more], kind="stable")]
+    levels, rest, slots = build_mph(alone)
+    placed = np.zeros(len(alone), ENTRY)
+    placed[slots] = entries[first]
+    head = struct.pack("<IIII", len(levels), len(rest), len(placed), len(more)) + b"".join(struct.pack("<I", len(b)) for b in levels)
+    return head + b"".join([*(np.packbits(b).tobytes() for b in levels), rest.astype("<u8").tobytes(), h[more].astype("<u8").tobytes(), placed.tobytes(), entries[more].tobytes()])
 
 
 class Mph:
     """A hash function and its entries, read from a file's bytes."""
 
     def __init__(self, data: bytes):
-        n, n_rest, n_entries = struct.unpack_from("<III", data)
-        sizes = struct.unpack_from(f"<{n}I", data, 12)
-        at = 12 + 4 * n
+        n, n_rest, n_entries, n_more = struct.unpack_from("<IIII", data)
+        sizes = struct.unpack_from(f"<{n}I", data, 16)
+        at = 16 + 4 * n
         self.bits, self.ranks, base = [], [], 0
         for size in sizes:
             bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-size // 8), at), count=size).astype(bool)
@@ -108,11 +121,12 @@ class Mph:
             self.ranks.append(base + np.cumsum(bits) - 1)
             base += int(bits.sum())
         self.rest = np.frombuffer(data, "<u8", n_rest, at)
-        self.base = base
-        self.entries = np.frombuffer(data, ENTRY, n_entries, at + 8 * n_rest)
+        self.more = np.frombuffer(data, "<u8", n_more, at + 8 * n_rest)
+        self.base, self.alone = base, n_entries
+        self.entries = np.frombuffer(data, ENTRY, n_entries + n_more, at + 8 * (n_rest + n_more))
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash, or -1 where its fingerprint isn't that of the slot."""
+    def find(self, hashes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The slot of each key by its two hashes, or -1 where its fingerprint isn't that of the slot."""
         slots = np.full(len(hashes), -1, np.int64)
         left = np.arange(len(hashes))
         for level, (bits, ranks) in enumerate(zip(self.bits, self.ranks, strict=True)):
@@ -126,17 +140,23 @@ class Mph:
             at = np.minimum(np.searchsorted(self.rest, hashes[left]), len(self.rest) - 1)
             found = self.rest[at] == hashes[left]
             slots[left[found]] = self.base + at[found]
-        good = slots >= 0
-        good[good] = self.entries["fp"][slots[good]] == _fingerprint(hashes[good])
+        fp, good = _fingerprint(others), slots >= 0
+        good[good] = self.entries["fp"][slots[good]] == fp[good]
+        for i in np.flatnonzero(~good & np.isin(hashes, self.more)):
+            same = self.alone + np.flatnonzero(self.more == hashes[i])
+            hit = same[self.entries["fp"][same] == fp[i]]
+            if len(hit):
+                slots[i], good[i] = hit[0], True
         return np.where(good, slots, -1)
 
 
-def _fingerprint(h: np.ndarray) -> np.ndarray:
-    return (mix64(h ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype("<u4")
+def _fingerprint(g: np.ndarray) -> np.ndarray:
+    return (g >> np.uint64(32)).astype("<u4")
 
 
-def _key_hash(key: str) -> Column:
-    return F.xxhash64(F.col(key).isNull(), F.col(key))
+def _key_hashes(key: str) -> tuple[Column, Column]:
+    """The hash of a key, and another that doesn't follow from it."""
+    return F.xxhash64(F.col(key).isNull(), F.col(key)).alias("h"), F.xxhash64(F.lit("fingerprint"), F.col(key)).alias("g")
 
 
 # --- writing -------------------------------------------------------------------------------------------------------------
@@ -149,31 +169,26 @@ def write_store(docs: DataFrame, tokenizer_path: str, *, end_id: int, path: str
     by side in one shard, in the order of their texts; the index leads to the first and tells how many there are. Other columns
     of docs are not read. An empty table gives a store without shards.
     """
-    from tokenizers import Tokenizer
-
     spark = docs.sparkSession
     small_batches(spark)
     path = path or shared_dir(spark, "tokens")
     _files(path)[0].create_dir(_files(path)[1])
-    dtype = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(True) - 1, end_id) < 1 << 16 else "<u4"
-    end = np.asarray([end_id], dtype).tobytes()
+    dtype = "<u2" if max(pieces.Encoder(tokenizer_path).size - 1, end_id) < 1 << 16 else "<u4"
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _files(path)
         task = TaskContext.get()
         name, part = f"{root}/shard-{task.partitionId():06d}", f".{task.taskAttemptId()}"
-        table, width, at = pieces.payloads(tokenizer_path, dtype), np.dtype(dtype).itemsize, 0
+        table, at = pieces.pieces(tokenizer_path), 0
         starts = [np.zeros(1, np.int64)]
         out = None
         for batch in by_bytes(batches, "t", BATCH_BYTES):
             out = out or fs.open_output_stream(name + part)
-            parts: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-            for owners, group in pieces.grouped(texts_of(batch.column("t"))):
-                for i, ids in zip(owners, table.of(group), strict=True):
-                    parts[i] += ids
-            payloads = [b"".join(p) + end for p in parts]
-            n = np.asarray([len(p) // width for p in payloads], np.int64)
-            out.write(b"".join(payloads))
+            ids, n = table.ids(texts_of(batch.column("t")))
+            owner, n = np.repeat(np.arange(len(n)), n), n + 1
+            payload = np.full(int(n.sum()), end_id, dtype)
+            payload[np.arange(len(ids)) + owner] = ids
+            out.write(payload.tobytes())
             begin, first = at + np.cumsum(n) - n, sum(map(len, starts)) - 1
             at += int(n.sum())
             starts.append(begin + n)
@@ -194,19 +209,13 @@ def write_store(docs: DataFrame, tokenizer_path: str, *, end_id: int, path: str
 
     def index(batch: pa.Table) -> pa.Table:
         fs, root = _files(path)
-        h = np.asarray(batch.column("h")).astype(np.uint64)
-        h, first = np.unique(h, return_index=True)
-        levels, rest, slots = build_mph(h)
-        entries = np.zeros(len(h), ENTRY)
-        entries["fp"][slots] = _fingerprint(h)
-        for c in ("shard", "record", "count"):
-            entries[c][slots] = np.asarray(batch.column(c))[first]
+        h, g = (np.asarray(batch.column(c)).astype(np.uint64) for c in "hg")
         bucket = batch.column("bucket")[0].as_py()
-        _put(fs, f"{root}/index-{bucket:06d}.mph", TaskContext.get().taskAttemptId(), _pack(levels, rest, entries))
+        _put(fs, f"{root}/index-{bucket:06d}.mph", TaskContext.get().taskAttemptId(), _pack(h, g, {c: np.asarray(batch.column(c)) for c in ("shard", "record", "count")}))
         return pa.table({"bucket": pa.array([bucket], pa.int64()), "keys": pa.array([len(h)], pa.int64())})
 
-    hashed = keys.withColumn("h", _key_hash("k")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    hashed.select("bucket", "h", "shard", "record", "count").groupBy("bucket").applyInArrow(index, "bucket long, keys long").write.parquet(f"{path}/buckets")
+    hashed = keys.select("*", *_key_hashes("k")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    hashed.select("bucket", "h", "g", "shard", "record", "count").groupBy("bucket").applyInArrow(index, "bucket long, keys long").write.parquet(f"{path}/buckets")
     return Store(path, dtype, buckets)
 
 
@@ -230,12 +239,12 @@ def locate(keys: DataFrame, store: Store, key: str = "doc_id") -> DataFrame:
         else:
             with fs.open_input_stream(name) as f:
                 mph = Mph(f.read())
-            slots, entries = mph.find(np.asarray(batch.column("h")).astype(np.uint64)), mph.entries
+            slots, entries = mph.find(*(np.asarray(batch.column(c)).astype(np.uint64) for c in "hg")), mph.entries
         found = entries[slots[slots >= 0]]
         return pa.table({"k": batch.column("k").filter(pa.array(slots >= 0)), "shard": found["shard"].astype(np.int32), "record": found["record"].astype(np.int64), "count": found["count"].astype(np.int64)})
 
     # a shuffled key set is distinct by hash, so that a bucket is as small as in the index
-    distinct = keys.selectExpr(f"`{key}` AS k").distinct().withColumn("h", _key_hash("k")).withColumn("bucket", F.pmod("h", F.lit(store.buckets)))
+    distinct = keys.selectExpr(f"`{key}` AS k").distinct().select("*", *_key_hashes("k")).withColumn("bucket", F.pmod("h", F.lit(store.buckets)))
     return distinct.groupBy("bucket").applyInArrow(find, f"k {kind}, shard int, record long, count long")
 
 

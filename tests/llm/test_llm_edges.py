@@ -56,9 +56,32 @@ def test_token_counts(docs, nothing):
 
 @pytest.mark.parametrize("text", ["it's they'RE 'S '", "a<|endoftext|>b <|ENDOFTEXT|>", "ÀÉ İstanbul ΣΑΣ ß", "é ́x\x1cy z w", "1234 5a6 ½", "don't!!!###$$$ foo_bar", "日本語 テキスト 👩‍👩‍👧", "\r\n\t\x0b\x0c"])
 def test_pieces_are_the_library_s(text):
-    table = pieces.payloads(PATH, "<u4")
-    got = b"".join(b"".join(ids) for _, group in pieces.grouped([text.encode()], 4) for ids in table.of(group))
-    assert np.frombuffer(got, "<u4").tolist() == library(text)
+    ids, n = pieces.Pieces(PATH).ids([text.encode(), b"", text.encode()])
+    assert ids.tolist() == library(text) * 2 and n.tolist() == [len(library(text)), 0, len(library(text))]
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = ["two  words\n\nand 'more", "", " lead", "x" * 300]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    for file, ids in ((path, want), (model, sentencepiece.SentencePieceProcessor(model_file=model).encode(texts))):
+        table = pieces.Pieces(file)
+        assert not table.encoder.drops_space and table.lengths([t.encode() for t in texts]).tolist() == [len(x) for x in ids]
+        assert table.ids([t.encode() for t in texts])[0].tolist() == sum(ids, [])
+    assert pieces.Encoder(PATH).drops_space and pieces.Encoder(PATH).separate_words
+
+
+def test_a_full_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_PIECES", 50)
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 20)
+    table = pieces.Pieces(PATH)
+    for text in (words(100), LONG, words(40) + " strange0! Strange1?"):
+        assert table.ids([text.encode()])[0].tolist() == library(text)
 
 
 def test_token_store(docs, nothing):
@@ -82,16 +105,18 @@ def test_keyed_access(spark, docs):
 
 
 def test_perfect_hash():
-    h = np.unique(np.random.default_rng(0).integers(0, 2**63, 20_000).astype(np.uint64))
+    r = np.random.default_rng(0)
+    h = np.unique(r.integers(0, 2**63, 20_000).astype(np.uint64))
     levels, rest, slots = token_store.build_mph(h)
     assert sorted(slots.tolist()) == list(range(len(h)))
-    entries = np.zeros(len(h), token_store.ENTRY)
-    entries["fp"][slots] = token_store._fingerprint(h)
-    entries["record"][slots] = np.arange(len(h))
-    mph = token_store.Mph(token_store._pack(levels, rest, entries))
-    assert (mph.entries["record"][mph.find(h)] == np.arange(len(h))).all()
-    strange = np.random.default_rng(1).integers(2**63, 2**64 - 1, 1000, dtype=np.uint64)
-    assert (mph.find(strange) == -1).mean() > 0.99
+    # of these, five keys share their hash with another, and two with two others
+    h = np.concatenate((h, h[:5], h[3:5]))
+    g = r.permutation(np.arange(len(h), dtype=np.uint64) * np.uint64(2**40 + 2**32))
+    mph = token_store.Mph(token_store._pack(h, g, {"record": np.arange(len(h))}))
+    assert (mph.entries["record"][mph.find(h, g)] == np.arange(len(h))).all()
+    assert (mph.find(h[:1000], g[1000:2000]) == -1).all()
+    strange = r.integers(2**63, 2**64 - 1, 1000, dtype=np.uint64)
+    assert (mph.find(strange, strange) == -1).mean() > 0.99
 
 
 def test_line_dedup(spark, docs, nothing):
