@@ -18,8 +18,8 @@ from .line_dedup import ascii_lower
 
 #: What stands between words, once A-Z is in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Terms of the test set up to this number are broadcast (a few dozen bytes each); more are joined by shuffle.
-BROADCAST_TERMS = 500_000
+#: Tables of the test set of up to so many bytes, arrays and all, are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -28,8 +28,9 @@ def words_of(text: Column) -> Column:
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    """df, a written table, to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    """df, a written table, to be broadcast if its rows, as text with some 40 bytes for each value, are small."""
+    size = df.select(F.octet_length(F.struct("*").cast("string")).alias("bytes")).agg(F.sum(F.col("bytes") + 40 * len(df.columns))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 @dataclass(frozen=True)

@@ -348,6 +348,30 @@ def _tops(tested: DataFrame, nodes: DataFrame) -> DataFrame:
     return tested.select(F.col("a").alias("x"), "b").join(nodes.select(F.col("x").alias("b"), "met"), "b").groupBy("x").agg(F.max(F.struct("met", "b"))["b"].alias("top"))
 
 
+def _common(rows: DataFrame) -> DataFrame:
+    """(b, common) from the differences (b, n, names) of a hub's n texts: those that many have, the most common last.
+
+    A task counts among its own texts and reports what a part of 1 / COMMON of them have, so common is short: 2 * COMMON times the
+    differences of a text at most. It only says what goes last in order, and any such list gives the same pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, n, names = np.asarray(batch.column("b")), np.asarray(batch.column("n")), _lists(batch.column("names"))
+            hubs, first, hub, texts = np.unique(b, return_index=True, return_inverse=True, return_counts=True)
+            owner, flat = np.repeat(hub, [len(x) for x in names]), np.concatenate(names) if names else np.empty(0, np.int64)
+            order = np.lexsort((flat, owner))
+            owner, flat = owner[order], flat[order]
+            heads = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (flat[1:] != flat[:-1]))[: len(flat)])
+            often = np.diff(np.append(heads, len(flat)))
+            keep = (often > 1) & (often * COMMON >= texts[owner[heads]])
+            at = owner[heads][keep]
+            yield pa.record_batch([pa.array(hubs[at]), pa.array(n[first][at]), pa.array(flat[heads][keep]), pa.array(often[keep])], names=["b", "n", "s", "many"])
+
+    found = rows.sortWithinPartitions("b").mapInArrow(run, "b long, n long, s long, many long").groupBy("b", "n", "s").agg(F.sum("many").alias("many"))
+    return found.filter(F.col("many") * 2 * COMMON >= F.col("n")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("many", "s")))["s"].alias("common"))
+
+
 def _alike(found: DataFrame, labels: DataFrame, tops: DataFrame, turn: int) -> DataFrame:
     """(a, b) under one hub b of found (a, b, j, part, half, names, weights, turn): pairs, not both similar to it, that can be similar.
 
@@ -359,9 +383,7 @@ def _alike(found: DataFrame, labels: DataFrame, tops: DataFrame, turn: int) -> D
     ends = [f(c).alias(name) for f, c, name in ((F.count, "a", "n"), (F.min, "j", "low"), (F.max, "turn", "late"), (F.min, "label", "one"), (F.max, "label", "other"))]
     hubs = written(marked.groupBy("b").agg(*ends).filter((F.col("low") < THRESHOLD) & (F.col("late") == turn) & (F.col("one") != F.col("other"))).select("b", "n"), "open-hubs")
     rows = marked.join(hubs, "b", "left_semi")
-    # differences that many texts of a hub have go last; they are few, COMMON times the differences of a text at most
-    counts = rows.join(hubs.filter(F.col("n") >= LARGE), "b").select("b", "n", F.explode("names").alias("s")).groupBy("b", "n", "s").agg(F.count("*").alias("many"))
-    common = counts.filter(F.col("many") * COMMON >= F.col("n")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("many", "s")))["s"].alias("common"))
+    common = _common(rows.select("b", "names").join(hubs.filter(F.col("n") >= LARGE), "b"))
     rows = rows.join(written(common, "common-differences"), "b", "left").select("b", "a", "label", "top", "part", "half", "names", "weights", "common", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

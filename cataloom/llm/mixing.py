@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Sources up to this number are broadcast with their distributions (some 500 bytes each); more are joined with salt.
-BROADCAST_SOURCES = 20_000
-#: Parts into which a source's rows are dealt where the distributions are too many to broadcast.
+#: Sources up to this number are broadcast, a name and a number each, if their names have NAME_BYTES together at most; more are
+#: joined with salt.
+BROADCAST_SOURCES, NAME_BYTES = 20_000, 4 << 20
+#: Parts into which a source's rows are dealt where the sources are too many to broadcast.
 SALTS = 64
+#: From this rate on, the count is that of the normal distribution with its mean and variance, rounded.
+NORMAL_RATE = 2000.0
+#: Copies of one row that are made at a time.
+COPIES = 1000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -21,30 +27,37 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... of a Poisson distribution, up to where it is 1 in double precision."""
+def poisson_count(rate: Column, u: Column) -> Column:
+    """The lowest k with P(X <= k) > u of a Poisson distribution: sums of its terms from 0 on, kept as two numbers, no array of them.
+
+    From NORMAL_RATE on, where a sum from 0 would take as long as the rate, it is the rounded quantile of the normal distribution,
+    by two more uniform numbers from u (Box and Muller). Where the sum is 1 in double precision, k is the last before.
+    """
     top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    first = F.named_struct(F.lit("log"), -rate, F.lit("sum"), F.exp(-rate), F.lit("all"), F.array(F.exp(-rate)))
+    first = F.named_struct(F.lit("log"), -rate, F.lit("sum"), F.exp(-rate), F.lit("k"), F.when((F.exp(-rate) <= u) & (F.exp(-rate) < 1 - 2.0**-52), 1).otherwise(0))
 
     def step(acc: Column, k: Column) -> Column:
         log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
         total = acc["sum"] + F.exp(log)
-        return F.named_struct(F.lit("log"), log, F.lit("sum"), total, F.lit("all"), F.concat(acc["all"], F.array(total)))
+        return F.named_struct(F.lit("log"), log, F.lit("sum"), total, F.lit("k"), acc["k"] + F.when((total <= u) & (total < 1 - 2.0**-52), 1).otherwise(0))
 
-    cdf = F.aggregate(F.sequence(F.lit(1), top), first, step)["all"]
-    return F.when(rate > 0, F.filter(cdf, lambda c: c < F.lit(1 - 2.0**-52))).otherwise(F.array().cast("array<double>"))
+    small = F.aggregate(F.sequence(F.lit(1), F.when(rate < NORMAL_RATE, top).otherwise(1)), first, step)["k"]
+    fine = u * float(1 << 26)
+    normal = F.sqrt(-2 * F.log((F.floor(fine) + 0.5) / float(1 << 26))) * F.cos(2 * math.pi * (fine - F.floor(fine)))
+    large = F.round(rate + F.sqrt(rate) * normal)
+    return F.when(rate < NORMAL_RATE, F.when(rate > 0, small).otherwise(0).cast("bigint")).otherwise(F.greatest(large, F.lit(0.0)).cast("bigint"))
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float], *, default_weight: float = 1.0, total: int | None = None, source: str = "source") -> DataFrame:
     """The mean repetitions of a document of each source, so that the sources share total rows (all rows of docs by default) by
-    weight: s, n, rate, cdf. The rows of all docs are counted. A null source is a source without a name; a source that weights
+    weight: s, n, rate. The rows of all docs are counted. A null source is a source without a name; a source that weights
     lacks has default_weight."""
     named = F.create_map(*(F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1])))) if weights else F.lit(None).cast("map<string,double>")
     counts = written(docs.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).withColumn("w", F.coalesce(named[F.col("s")], F.lit(float(default_weight)))), "mix-counts")
     sums = counts.agg(F.sum("n"), F.sum("w")).first()
     rows, weight = (total if total is not None else sums[0] or 0), sums[1] or 1.0
     rate = F.lit(float(rows)) * F.col("w") / F.lit(float(weight)) / F.col("n")
-    return counts.select("s", "n", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    return counts.select("s", "n", rate.alias("rate"))
 
 
 def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, seed: int = 0, default_weight: float = 1.0, total: int | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -55,20 +68,22 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, seed: int = 0,
     mix_order, a hash by which the rows are sorted. Columns of docs with these names are replaced. A null key or source is a value
     like others; an empty table gives an empty table; texts are carried whole. A source with weight 0 gives no rows.
 
-    Sources are few beside documents; their distributions are broadcast up to BROADCAST_SOURCES of them, and joined with salt
-    beyond, so that a hot source is dealt over SALTS parts.
+    Sources are few beside documents; their rates are broadcast up to BROADCAST_SOURCES of them with NAME_BYTES of names, and joined
+    with salt beyond, so that a hot source is dealt over SALTS parts. A rare source with a large weight repeats few documents very
+    often: their copies are made in parts of COPIES, and the shuffle by hash spreads them.
     """
     columns = [c for c in docs.columns if c not in ("mix_copy", "mix_order")]
     rates = written(source_rates(docs, weights, default_weight=default_weight, total=total, source=source), "mix-rates")
     packed = docs.select(F.struct(*columns).alias("doc"), F.col(key).alias("k"), F.col(source).alias("s"))
-    if rates.count() <= BROADCAST_SOURCES:
+    size = rates.agg(F.count("*"), F.sum(F.octet_length(F.col("s").cast("string")))).first()
+    if size[0] <= BROADCAST_SOURCES and (size[1] or 0) <= NAME_BYTES:
         joined = packed.join(F.broadcast(rates), packed["s"].eqNullSafe(rates["s"]))
     else:
         salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         packed = packed.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))
         joined = packed.join(salted, packed["s"].eqNullSafe(salted["s"]) & (packed["salt"] == salted["salt"]))
-    u = uniform(F.lit(seed), "k")
-    counted = joined.select("doc", "k", u.alias("u"), "cdf").withColumn("times", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).filter("times > 0")
-    copies = counted.select("doc", "k", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("mix_copy"))
+    counted = joined.select("doc", "k", poisson_count(F.col("rate"), uniform(F.lit(seed), "k")).alias("times")).filter("times > 0")
+    parts = counted.select("doc", "k", "times", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / COPIES))).alias("part"))
+    copies = parts.select("doc", "k", F.explode(F.sequence(F.col("part") * COPIES + 1, F.least("times", (F.col("part") + 1) * COPIES))).alias("mix_copy")).withColumn("mix_copy", F.col("mix_copy").cast("int"))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.coalesce(F.col("k").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
     return copies.withColumn("mix_order", order).orderBy("mix_order").select(*(F.col("doc")[c].alias(c) for c in columns), "mix_copy", "mix_order")

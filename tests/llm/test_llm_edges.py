@@ -182,6 +182,21 @@ def test_mixing(spark, docs, nothing):
     assert mixing.poisson_mix(docs, {}, total=90).count() > 30 and mixing.poisson_mix(nothing, {}).count() == 0
 
 
+def test_a_rare_source_with_a_large_target(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "rare").otherwise("usual").alias("source"))
+    got = {r["source"]: r["count"] for r in mixing.poisson_mix(df, {"rare": 1.0, "usual": 1.0}, seed=1).groupBy("source").count().collect()}
+    assert abs(got["rare"] - 15_000) < 700 and abs(got["usual"] - 15_000) < 700
+    copies = mixing.poisson_mix(df, {"rare": 1.0}, seed=1).filter("source = 'rare'").groupBy("doc_id").agg(F.max("mix_copy").alias("top"), F.count("*").alias("n"), F.countDistinct("mix_copy").alias("d")).collect()
+    assert len(copies) == 2 and all(r["top"] == r["n"] == r["d"] for r in copies)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3, 7.5, 1999.0, 2001.0])
+def test_counts_have_the_distribution(spark, rate):
+    u = spark.range(20_000).select(mixing.uniform("id").alias("u"))
+    r = u.select(mixing.poisson_count(F.lit(rate), F.col("u")).alias("k")).agg(F.avg("k"), F.var_samp("k")).first()
+    assert abs(r[0] - rate) <= 5 * (rate / 20_000) ** 0.5 and abs(r[1] - rate) <= 0.06 * rate
+
+
 def test_mixing_with_many_sources(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "a").alias("source"))
