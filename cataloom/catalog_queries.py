@@ -154,12 +154,12 @@ def bm25_no_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dense_topk", f"WITH {_dense_sql()} SELECT query_id, id, score, rank FROM dense_top WHERE rank <= {TOP}")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.top(retrieve.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)), TOP)
+    return retrieve.top(retrieve.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), TOP), TOP)
 
 
 @query("dense_filtered", f"WITH {_dense_sql('label IN (1, 4, 7)')} SELECT query_id, id, score, rank FROM dense_top WHERE rank <= {TOP}")
 def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.top(retrieve.dense(_vectors(spark, sf_dir).filter(F.col("label").isin(1, 4, 7)), _query_vectors(spark, sf_dir)), TOP)
+    return retrieve.top(retrieve.dense(_vectors(spark, sf_dir).filter(F.col("label").isin(1, 4, 7)), _query_vectors(spark, sf_dir), TOP), TOP)
 
 
 @query("vector_distances", f"WITH {_dense_sql()} SELECT query_id, vec_id AS id, round(list_distance(embedding::DOUBLE[], q), 6) AS l2, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: abs(p[1] - p[2]))), 6) AS l1 FROM embeddings, vq")
@@ -170,7 +170,7 @@ def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _branches(spark: SparkSession, sf_dir: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
-    dense = retrieve.top(retrieve.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir)), k)
+    dense = retrieve.top(retrieve.dense(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), k), k)
     return dense, retrieve.top(retrieve.bm25(_texts(spark, sf_dir), _asked(spark, sf_dir)), k)
 
 

@@ -80,7 +80,7 @@ def folded(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends; null is empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s++|\s++$", "")
 
 
 def squash(c: Column) -> Column:
@@ -152,20 +152,35 @@ def is_boilerplate(sentence: Column) -> Column:
 
 
 def cleaned_overview(c: Column) -> Column:
-    """Struct (cleaned, removed, kept, fallback_used): the text without booth announcements, or the whole if little is left."""
+    """Struct (cleaned, removed, kept, fallback_used): the text without booth announcements, or the whole if little is left.
+
+    Each sentence is matched once: the marked sentences, and then the kept ones, are bound to a lambda's variable, so that no
+    later use computes them again.
+    """
     text = F.coalesce(c, F.lit(""))
-    all_of = sentences(text)
-    kept, removed = F.filter(all_of, lambda s: ~is_boilerplate(s)), F.filter(all_of, is_boilerplate)
-    joined = F.array_join(kept, " ")
     none = F.array().cast("array<string>")
     whole = (text == "") | (text == FALLBACK_ABOUT)
-    short = F.length(joined) < MIN_KEEP_CHARS
-    return F.struct(
-        F.when(whole | short, text).otherwise(joined).alias("cleaned"),
-        F.when(whole, none).otherwise(removed).alias("removed"),
-        F.when(text == "", none).when(whole, F.array(text)).otherwise(kept).alias("kept"),
-        F.when(whole, False).otherwise(short).alias("fallback_used"),
-    )
+
+    def parts(marked: Column) -> Column:
+        of = lambda removed: F.transform(F.filter(marked, lambda m: m["out"] == removed), lambda m: m["s"])
+        return F.struct(of(False).alias("kept"), of(True).alias("removed"))
+
+    def joined(p: Column) -> Column:
+        return F.struct(p["kept"].alias("kept"), p["removed"].alias("removed"), F.array_join(p["kept"], " ").alias("joined"))
+
+    def result(p: Column) -> Column:
+        short = F.length(p["joined"]) < MIN_KEEP_CHARS
+        return F.struct(
+            F.when(whole | short, text).otherwise(p["joined"]).alias("cleaned"),
+            F.when(whole, none).otherwise(p["removed"]).alias("removed"),
+            F.when(text == "", none).when(whole, F.array(text)).otherwise(p["kept"]).alias("kept"),
+            F.when(whole, False).otherwise(short).alias("fallback_used"),
+        )
+
+    out = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), is_boilerplate(s).alias("out")))
+    for step in (parts, joined, result):
+        out = F.transform(F.array(out), step)[0]
+    return out
 
 
 def digest(*parts: Column, length: int = 20, sep: str = "\n") -> Column:

@@ -22,7 +22,8 @@ OTHER_HOSTS = [
     "semiconindia.org", "www.semiconindia.org", "maps.google.com",
     "goo.gl", "google.com", "www.google.com",
 ]
-BLOCKED = r"(?i)\.aspx|boothurl|javascript:|mailto:|^#"
+BLOCKED_HOSTS = ["semi.org", "semiconindia.org", "portal2026", "expo.semi.org", "facebook.com", "twitter.com", "x.com", "linkedin.com", "instagram.com", "youtube.com", "wechat.com", "weibo.com", "wa.me", "whatsapp.com", "maps.google", "goo.gl", "google.com/maps"]
+BLOCKED_PARTS = [".aspx", "boothurl", "ebooth", "eventmap", "javascript:", "mailto:", "tel:", "#"]
 
 
 def authority(url: Column) -> Column:
@@ -63,7 +64,14 @@ def is_company_website(url: Column) -> Column:
 
 
 def is_blocked(url: Column) -> Column:
-    return F.coalesce(url, F.lit("")).rlike(BLOCKED)
+    """Whether one of BLOCKED_PARTS stands anywhere in the url, or one of BLOCKED_HOSTS in its host; null isn't blocked."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    host = F.regexp_extract(u, "^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1)
+    out = F.lit(False)
+    for where, parts in ((u, BLOCKED_PARTS), (host, BLOCKED_HOSTS)):
+        for p in parts:
+            out = out | where.contains(p)
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -80,9 +88,9 @@ def joined(base: pd.Series, link: pd.Series) -> pd.Series:
 
 
 def external_url(base: Column, link: Column) -> Column:
-    """The link as an absolute http(s) url with a dotted host, without a slash at the end, or null if it is blocked."""
+    """The link as an absolute http(s) url with a dotted host, without a slash at the end; null if the link or that form is blocked."""
     u = joined(base, link)
-    return F.when(u.rlike(r"(?i)^https?://[^/?#]*\.[^/?#]*") & ~is_blocked(link), F.regexp_replace(u, "/+$", ""))
+    return F.when(u.rlike(r"(?i)^https?://[^/?#]*\.[^/?#]*") & ~is_blocked(strip(link)) & ~is_blocked(u), F.regexp_replace(u, "/+$", ""))
 
 
 def booth_id(url: Column) -> Column:

@@ -6,6 +6,11 @@ corpus; ranks, fusion and reranking then work on at most two shortlists.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +20,8 @@ from ..schema import CANDIDATES, DEFAULT_ALPHA, MIN_JUDGE_COVERAGE
 
 #: Distinct terms of queries up to this number are broadcast.
 BROADCAST_TERMS = 200_000
+#: Queries in a block, about, and queries whose vectors are broadcast at most.
+QUERY_BLOCK, BROADCAST_QUERIES = 1024, 10_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = 1.2, b: float = 0.75, idf: bool = True, corpus: DataFrame | None = None) -> DataFrame:
@@ -34,9 +41,10 @@ def bm25(docs: DataFrame, queries: DataFrame, *, k1: float = 1.2, b: float = 0.7
         return words.join(vocabulary, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
     whole = docs if corpus is None else corpus
-    size = whole.agg(F.count("*").alias("n_docs"), F.avg(F.size(terms(F.col("text")))).alias("avgdl")).first()
     tf = counted(docs)
-    n, avgdl = F.lit(float(size["n_docs"])), F.lit(float(size["avgdl"] or 1.0))
+    # one row that Spark computes with the rest
+    tf = tf.join(F.broadcast(whole.agg(F.count("*").cast("double").alias("n_docs"), F.avg(F.size(terms(F.col("text")))).alias("avgdl"))))
+    n, avgdl = F.col("n_docs"), F.coalesce("avgdl", F.lit(1.0))
     base = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     weight = base
     if idf:
@@ -67,17 +75,61 @@ def distance(a: Column, b: Column, kind: str = "l2") -> Column:
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+def _packed(rows: DataFrame, key: str, ids: str, vectors: str) -> DataFrame:
+    """Blocks (ids, vectors, dim) of the rows of each task's batches: the keys, and the vectors at length 1 as one row-major matrix.
+
+    Null, empty and zero vectors, and those with a null, have no direction and are left out. Vectors of one length share a block.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vector")
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+            for dim in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == dim)
+                m = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, int(dim))
+                length = np.sqrt(np.einsum("ij,ij->i", m, m))
+                good = np.isfinite(length) & (length > 0)
+                if good.any():
+                    keys = batch.column(key).take(pa.array(at[good]))
+                    block = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+                    yield pa.record_batch([block, pa.array([(m[good] / length[good, None]).tobytes()], pa.binary()), pa.array([int(dim)], pa.int32())], names=[ids, vectors, "dim"])
+
+    return rows.select(key, "vector").mapInArrow(run, f"{ids} array<{kind}>, {vectors} binary, dim int")
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, id, score): exact cosine similarity of vectors (id, vector) to a stated set of queries (query_id, vector).
 
-    The queries are the few rows of one request, held in one array literal that each task scans its vectors against.
+    Both sides are packed into blocks of as many rows as an Arrow batch has, at most; each block of vectors meets each block of
+    queries, and a pair of blocks is one matrix product. With k, a pair of blocks gives no more than the k best of each query, and
+    those equal to the last of them in six digits. Blocks of queries are broadcast up to BROADCAST_QUERIES rows, and shuffled beyond.
     """
-    asked = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).collect()
-    if not asked:
-        return vectors.select(F.lit(None).cast("bigint").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    rows = F.array(*(F.struct(F.lit(q["query_id"]).cast("bigint").alias("query_id"), F.array(*(F.lit(x) for x in q["vector"])).alias("vector")) for q in asked))
-    scored = vectors.select("id", "vector", F.explode(rows).alias("q"))
-    return scored.select("q.query_id", "id", F.round(cosine(F.col("vector"), F.col("q.vector")), 6).alias("score")).filter("score IS NOT NULL")
+    n = queries.count()
+    asked = _packed(queries.repartition(max(1, -(-n // QUERY_BLOCK))), "query_id", "qs", "q")
+    if n <= BROADCAST_QUERIES:
+        asked = F.broadcast(asked)
+    pairs = _packed(vectors, "id", "ids", "v").join(asked.withColumnRenamed("dim", "qdim"), F.col("dim") == F.col("qdim"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "id"))]
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim, ids, qs = batch.column("dim")[i].as_py(), batch.column("ids")[i].values, batch.column("qs")[i].values
+                v, q = (np.frombuffer(batch.column(c)[i].as_py(), np.float64).reshape(-1, dim) for c in "vq")
+                scores = q @ v.T
+                if k and scores.shape[1] > k:
+                    least = np.partition(scores, -k, axis=1)[:, -k, None] - 1e-6
+                    query, vector = np.nonzero(scores >= least)
+                else:
+                    query, vector = (x.ravel() for x in np.indices(scores.shape))
+                for a in range(0, len(query), 50_000):
+                    part = slice(a, a + 50_000)
+                    yield pa.record_batch([qs.take(pa.array(query[part])), ids.take(pa.array(vector[part])), pa.array(scores[query[part], vector[part]])], names=["query_id", "id", "score"])
+
+    scored = pairs.select("ids", "v", "dim", "qs", "q").mapInArrow(product, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    return scored.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def top(scores: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -132,12 +184,13 @@ def rerank(shortlist: DataFrame, judged: DataFrame, *, alpha: float = DEFAULT_AL
 
     shortlist has query_id, id, score and rank. Scores are normalised as rounded to four digits. If fewer than MIN_JUDGE_COVERAGE of
     a query's rows have a judgement, or there is a single row, the order stays and the added columns are null. A row without
-    judgement gets the mean of the judged. Judgements outside the shortlist count for coverage; of repeated ones the last wins.
+    judgement gets the mean of the judged. Judgements outside the shortlist count for coverage. Of repeated ones the last wins if
+    judged has their place as pos, and else the highest.
     Adds retrieval_norm, llm_score, final_score and position.
     """
     alpha = min(max(alpha, 0.0), 1.0)
     w = Window.partitionBy("query_id")
-    scores = judged.groupBy("query_id", "id").agg(F.max("judge").alias("judge"))
+    scores = judged.groupBy("query_id", "id").agg((F.max_by("judge", "pos") if "pos" in judged.columns else F.max("judge")).alias("judge"))
     given = scores.groupBy("query_id").agg(F.count("*").alias("given"))
     rows = shortlist.join(scores, ["query_id", "id"], "left").join(given, "query_id", "left")
     size = F.count("*").over(w)

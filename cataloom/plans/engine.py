@@ -49,7 +49,7 @@ class Engine:
         asked = queries.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
         narrow = lambda df: df.join(allowed, "id", "left_semi")
         sparse = rt.top(rt.bm25(narrow(self.texts), asked, corpus=self.texts), candidates)
-        dense = rt.top(rt.dense(narrow(self.vectors), query_vectors.join(asked.select("query_id"), "query_id", "left_semi")), candidates)
+        dense = rt.top(rt.dense(narrow(self.vectors), query_vectors.join(asked.select("query_id"), "query_id", "left_semi"), candidates), candidates)
         depth = max(2 * limit, 20) if judged is not None else limit
         ranked = rt.top(rt.fused(dense, sparse, fusion), max(limit, depth))
         if judged is not None:

@@ -1,4 +1,4 @@
-"""The given tables as a supplier catalogue: suppliers are companies, nations their countries, years of large deliveries the shows,
+"""The given tables as a supplier catalogue: suppliers are companies, nations their countries, years of deliveries the shows,
 brands level-1 categories, and brands with sizes level-2 categories."""
 
 from __future__ import annotations
@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import catalogue_view
 
-#: Deliveries that put a supplier into a show and a category.
-LEAST_QUANTITY = 48
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, company_name, hq_country, expos, cat_l1_ids, cat_l2_ids and cat_tree of each supplier."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace("p_brand", "Brand#", "").cast("int").alias("l1"), "p_size")
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= LEAST_QUANTITY).select("l_suppkey", "l_partkey", F.year("l_shipdate").cast("string").alias("expo"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").cast("string").alias("expo"))
     rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), "expo", "l1", (F.col("l1") * 100 + F.col("p_size")).cast("int").alias("l2"), "p_size")
     per_l1 = rows.groupBy("id", "l1").agg(F.array_sort(F.collect_set("expo")).alias("expos"), F.array_sort(F.collect_set(F.struct(F.col("l2").alias("id"), F.concat(F.lit("Size "), F.col("p_size").cast("string")).alias("name")))).alias("children"))
     node = F.struct(F.col("l1").alias("l1_id"), F.concat(F.lit("Brand "), F.col("l1").cast("string")).alias("l1_name"), "children")
@@ -31,9 +27,9 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same as DuckDB SQL: lines (id, y, l1, l2, size) and cat (id, company_name, hq_country, expos, l1, l2).
-SQL = f"""
+SQL = """
 lines AS (SELECT l_suppkey AS id, year(l_shipdate)::VARCHAR AS y, replace(p_brand, 'Brand#', '')::INTEGER AS l1, (replace(p_brand, 'Brand#', '')::INTEGER * 100 + p_size)::INTEGER AS l2, p_size AS size
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= {LEAST_QUANTITY}),
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
 facts AS (SELECT id, list(DISTINCT y) AS expos, list(DISTINCT l1) AS l1, list(DISTINCT l2) AS l2 FROM lines GROUP BY id),
 cat AS (SELECT s_suppkey AS id, s_name AS company_name, coalesce(n_name, 'Unknown') AS hq_country, coalesce(expos, ['Unknown']) AS expos, coalesce(l1, []) AS l1, coalesce(l2, []) AS l2
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN facts ON s_suppkey = id)"""

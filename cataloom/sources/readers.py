@@ -69,12 +69,14 @@ def pipe_numbers(cell: Column) -> Column:
     return F.transform(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\|"), F.trim), lambda x: x.rlike(r"^\d+$")), lambda x: x.try_cast("int"))
 
 
-def checkpoint_log(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, key: str) -> DataFrame:
+def checkpoint_log(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str, key: str) -> DataFrame:
     """The last record of each key of an append log of JSON lines; broken lines are skipped. Lines have their time in _seq, or else
-    stand in the order of files and lines."""
+    stand in the order of file names, and of places in a file: the block that was read and the line's number in it."""
     df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(paths)
-    order = F.col("_seq") if "_seq" in df.columns else F.monotonically_increasing_id()
-    rows = df.withColumn("_o", order).groupBy(key).agg(F.max_by(F.struct(*df.columns), "_o").alias("r"))
+    columns = df.columns
+    # a task reads a block from front to back, so the number grows inside one, whatever order Spark gives the blocks
+    order = F.col("_seq") if "_seq" in columns else F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = df.select(F.struct(*columns).alias("r"), order.alias("_o"), F.col(key).alias("_k")).groupBy("_k").agg(F.max_by("r", "_o").alias("r"))
     return rows.select("r.*")
 
 

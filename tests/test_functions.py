@@ -127,3 +127,19 @@ def test_listing_and_websites(spark):
     assert value(spark, urls.digits_id, "CatID=      203") == 203
     df = spark.createDataFrame([("https://a.example/x/", "../y/"), ("https://a.example", "mailto:x")], "b string, l string")
     assert [r[0] for r in df.select(urls.external_url(F.col("b"), F.col("l"))).collect()] == ["https://a.example/y", None]
+
+
+def test_blocked_urls(spark):
+    rows = [("https://www.facebook.com/x", True), ("//linkedin.com/y", True), ("https://b.example/x#y", True), ("https://b.example/ebooth/1", True), ("TEL:12", True), ("https://b.example/?u=facebook.com", False), ("https://b.example", False), (None, False)]
+    df = spark.createDataFrame(rows, "u string, want boolean")
+    assert [r[0] for r in df.select(urls.is_blocked(F.col("u"))).collect()] == [w for _, w in rows]
+    links = spark.createDataFrame([("https://a.example/p", x) for x in ("//facebook.com/me", "#top", " https://b.example/ ", "eventmap", "tel:1", "mailto:a@b.c", "q/")], "b string, l string")
+    assert [r[0] for r in links.select(urls.external_url(F.col("b"), F.col("l"))).collect()] == [None, None, "https://b.example", None, None, None, "https://a.example/q"]
+
+
+def test_cleaning_twice_changes_nothing(spark):
+    texts = ["Visit us at booth A12. We make pumps and valves for dairies. Come and see us at booth 7!", "Visit us at booth A12.", "", None, "Pumps. " * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.cleaned_overview(F.col("t")).alias("c"))
+    once = [r.c for r in df.collect()]
+    assert [r.cleaned for r in once] == [r[0] for r in df.select(text.cleaned_overview(F.col("c.cleaned"))["cleaned"]).collect()]
+    assert once[0].cleaned.startswith("We make pumps") and len(once[0].removed) >= 1 and once[1].fallback_used and once[1].cleaned == texts[1]

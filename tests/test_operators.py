@@ -210,3 +210,27 @@ def test_incremental_upsert(spark, tmp_path):
     go()
     got = {r["_seq"]: r["v"] for r in spark.read.parquet(str(tmp_path / "state/t")).collect()}
     assert got == {1: "z", 2: "y", 3: "w"}
+
+
+def test_log_of_files_of_different_size(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"k": 1, "v": "old"}\n')
+    (tmp_path / "b.json").write_text("".join(f'{{"k": {i}, "v": "{"x" * 50}"}}\n' for i in range(2, 300)) + 'broken\n{"k": 1, "v": "new"}\n')
+    (tmp_path / "c.json").write_text('{"k": 2, "v": "last"}\n')
+    got = {r["k"]: r["v"] for r in readers.checkpoint_log(spark, str(tmp_path), "k int, v string", "k").collect()}
+    assert got[1] == "new" and got[2] == "last" and len(got) == 299
+
+
+def test_dense_leaves_out_what_has_no_direction(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [3.0, 4.0]), ("e", [1.0, None]), ("f", [1.0, 2.0, 3.0]), ("g", [0.0, 2.0]), ("a", [1.0, 0.0])], "id string, vector array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 0.0, 1.0])], "query_id int, vector array<float>")
+    got = sorted(tuple(r) for r in retrieve.dense(vectors, asked).collect())
+    assert got == [(1, "a", 1.0), (1, "a", 1.0), (1, "d", 0.6), (1, "g", 0.0), (3, "f", 0.801784)]
+    assert sorted(tuple(r)[:2] for r in retrieve.top(retrieve.dense(vectors.coalesce(1), asked, 2), 2).collect()) == [(1, "a"), (1, "a"), (3, "f")]
+    assert retrieve.dense(vectors.filter("false"), asked).count() == retrieve.dense(vectors, asked.filter("false")).count() == 0
+
+
+def test_last_judgement_wins(spark):
+    short = spark.createDataFrame([(1, 5, 2.0, 1), (1, 6, 1.0, 2)], "query_id int, id int, score double, rank int")
+    judged = spark.createDataFrame([(1, 5, 0.9, 0), (1, 5, 0.1, 1), (1, 6, 0.5, 0)], "query_id int, id int, judge double, pos int")
+    assert {r["id"]: r["llm_score"] for r in retrieve.rerank(short, judged).collect()} == {5: 0.1, 6: 0.5}
+    assert {r["id"]: r["llm_score"] for r in retrieve.rerank(short, judged.drop("pos")).collect()} == {5: 0.9, 6: 0.5}
