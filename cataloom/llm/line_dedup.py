@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import written
 
@@ -22,15 +23,19 @@ def _row_hash(text: str) -> Column:
 
 
 def line_postings(docs: DataFrame, *, min_chars: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(h, k, r, pos): the hash of the key of each line, its document, the hash of the text, and its place; range-partitioned by
-    hash, then document and place, and sorted so. A hot line spreads over partitions, since the range goes on within its hash.
-    Lines whose key has fewer than min_chars code points have no posting."""
+    """(h, k, r, pos, first): the hash of the key of each line, its document, the hash of the text, its place, and whether it is the
+    line's first place in the document.
+
+    Postings are range-partitioned by hash and document and sorted by hash, document and place; first occurrences are streamed from
+    that order, without another shuffle. A hot line spreads over partitions, since the ranges go on within its hash. Lines whose key
+    has fewer than min_chars code points have no posting."""
     lines = F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "\n", -1)
     strip = F.lit(_STRIP)
     hashes = F.transform(lines, lambda x: F.when(F.length(F.btrim(x, strip)) >= min_chars, F.xxhash64(F.btrim(x, strip))))
     rows = docs.select(F.col(key).alias("k"), _row_hash(text).alias("r"), F.posexplode(hashes).alias("pos", "h")).filter("h IS NOT NULL")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("h", "k", "r", "pos").repartitionByRange(n, "h", "k", "pos").sortWithinPartitions("h", "k", "pos")
+    ranges = rows.select("h", "k", "r", "pos").repartitionByRange(n, "h", "k").sortWithinPartitions("h", "k", "pos")
+    return ranges.withColumn("first", F.row_number().over(Window.partitionBy("h", "k").orderBy("pos")) == 1)
 
 
 def line_bitmaps(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,10 +48,10 @@ def line_bitmaps(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 1, keep
     key and other texts. Empty tables give an empty table; other columns are not read.
     """
     postings = written(line_postings(docs, min_chars=min_chars, key=key, text=text), "line-postings")
-    per_doc = postings.groupBy("h", "k").agg(F.min("pos").alias("pos"))
-    found = per_doc.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first")).filter(F.col("n") >= min_docs)
+    # a line's documents lie in one range or in neighbouring ones: each range gives one row of a line, and these are combined
+    found = postings.filter("first").groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("first")).filter(F.col("n") >= min_docs)
     # a table of its own, so that the join can split a hot line's postings, or send the found lines to them if they are few
-    hits = postings.join(written(found.select("h", "first"), "line-found"), "h")
+    hits = postings.drop("first").join(written(found.select("h", "first"), "line-found"), "h")
     if keep_first:
         hits = hits.filter(~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("pos") == F.col("first.pos"))))
     words = hits.groupBy("k", "r", F.shiftright("pos", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos & 63))").alias("dropped"))
