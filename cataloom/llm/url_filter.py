@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Levels of the tree; what is deeper is one segment.
+#: Levels of the tree; the segments from the last one on are one, as a whole.
 MAX_DEPTH = 8
-#: A segment stays literal if it has so many urls, and such a share of its parent's.
+#: A segment can stay literal if it has so many urls, and such a share of its parent's; so 1 / MIN_SHARE of them at most.
 MIN_URLS, MIN_SHARE = 20, 0.01
-#: Branches whose labelled rate differs from their siblings' by fewer standard errors are merged.
+#: Branches whose labelled rates differ by fewer standard errors are merged.
 MERGE_Z = 1.96
 #: Labelled urls that a host's own rate counts for in its templates, and the overall rate in a host.
 SMOOTHING = 8.0
@@ -21,7 +21,7 @@ SMOOTHING = 8.0
 REJECT_SHARE, REJECT_LABELS = 0.5, 5
 
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-WILD, DEEP = "*", "**"
+WILD = "*"
 
 
 def host_of(url: Column) -> Column:
@@ -44,27 +44,68 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def typed_segments(path: Column) -> Column:
-    """The segments of a path, with numbers, dates, hexadecimal and mixed ids as typed wildcards; an end slash is an empty segment."""
+    """The segments of a path, with numbers, dates, hexadecimal and mixed ids as typed wildcards; an end slash is an empty segment,
+    one that itself begins with < gets a =, and what is deeper than MAX_DEPTH is joined to one segment, nothing left out."""
     raw = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    cut = F.when(F.size(raw) <= MAX_DEPTH, raw).otherwise(F.concat(F.slice(raw, 1, MAX_DEPTH - 1), F.array(F.lit(DEEP))))
 
     def kind(s: Column) -> Column:
         number = F.regexp_replace(s, r"^\d+(?=$|\.)", "<n>")
         return (
             F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.lit("<date>"))
             .when(s.rlike(r"^(?=.*\d)[0-9a-fA-F]{8,}$|^[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}$"), F.when(s.rlike(r"^\d+$"), F.lit("<n>")).otherwise(F.lit("<hex>")))
+            .when(s.startswith("<"), F.concat(F.lit("="), s))
             .otherwise(number)
         )
 
-    return F.transform(cut, kind)
+    typed = F.transform(raw, kind)
+    deep = F.concat(F.slice(typed, 1, MAX_DEPTH - 1), F.array(F.array_join(F.slice(typed, MAX_DEPTH, 1 << 30), "/")))
+    return F.when(F.size(raw) <= MAX_DEPTH, typed).otherwise(deep)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether the labelled rates of two branches (labelled, bad), both with labels, don't differ significantly."""
+    pooled = (a["bad"] + b["bad"]) / (a["labelled"] + b["labelled"])
+    error = F.sqrt(pooled * (1 - pooled) * (1 / a["labelled"] + 1 / b["labelled"]))
+    return F.abs(a["bad"] / a["labelled"] - b["bad"] / b["labelled"]) <= MERGE_Z * error
+
+
+def merged_branches(children: DataFrame) -> DataFrame:
+    """(host, prefix, seg, name) for the children (host, prefix, seg, n, labelled, bad) of each parent that keep a name of their own.
+
+    Frequent segments with labels are put in order of their rate, the rest of the siblings among them as one; neighbours that are
+    alike become one branch, and then it and the next are compared. A branch with the rest, or the only one, is a wildcard; any
+    other is named by its segments. At most 1 / MIN_SHARE segments of a parent are compared. An only child keeps its name.
+    """
+    free = children.filter(~(F.col("seg").startswith("<") | (F.col("seg") == "")))
+    sums = free.groupBy("host", "prefix").agg(F.sum("n").alias("all_n"), F.count("*").alias("siblings"))
+    ranked = free.join(sums, ["host", "prefix"]).withColumn("own", (F.col("n") >= MIN_URLS) & (F.col("n") >= MIN_SHARE * F.col("all_n")) & (F.col("labelled") > 0))
+    kind = "array<struct<segs:array<string>,rest:boolean,labelled:bigint,bad:bigint>>"
+    rate = F.col("bad") / F.col("labelled")
+    item = F.struct(rate.alias("rate"), F.array("seg").alias("segs"), F.lit(False).alias("rest"), F.col("labelled").cast("bigint").alias("labelled"), F.col("bad").cast("bigint").alias("bad"))
+    none = F.array().cast("array<string>")
+    parents = ranked.groupBy("host", "prefix", "siblings").agg(F.collect_list(F.when(F.col("own"), item)).alias("items"), *(F.coalesce(F.sum(F.when(~F.col("own"), F.col(c))), F.lit(0)).cast("bigint").alias(c) for c in ("labelled", "bad")))
+    rest = F.struct((F.col("bad") / F.nullif("labelled", F.lit(0))).alias("rate"), none.alias("segs"), F.lit(True).alias("rest"), F.col("labelled"), F.col("bad"))
+    ordered = F.array_sort(F.when(F.col("labelled") > 0, F.concat("items", F.array(rest))).otherwise(F.col("items")))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fresh = F.struct(x["segs"].alias("segs"), x["rest"].alias("rest"), x["labelled"].alias("labelled"), x["bad"].alias("bad"))
+        both = F.struct(F.concat(last["segs"], x["segs"]).alias("segs"), (last["rest"] | x["rest"]).alias("rest"), (last["labelled"] + x["labelled"]).alias("labelled"), (last["bad"] + x["bad"]).alias("bad"))
+        return F.when(F.size(acc) == 0, F.array(fresh)).when(_alike(last, x), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(fresh)))
+
+    groups = parents.filter("siblings > 1").select("host", "prefix", F.aggregate(ordered, F.array().cast(kind), step).alias("groups")).filter("size(groups) > 1")
+    branch = groups.select("host", "prefix", F.explode("groups").alias("g")).filter("NOT g.rest")
+    name = F.when(F.size("g.segs") == 1, F.col("g.segs")[0]).otherwise(F.concat(F.lit("{"), F.array_join(F.array_sort("g.segs"), "|"), F.lit("}")))
+    named = branch.select("host", "prefix", name.alias("name"), F.explode("g.segs").alias("seg")).select("host", "prefix", "seg", "name")
+    return named.union(ranked.filter("siblings = 1 AND n >= " + str(MIN_URLS)).select("host", "prefix", "seg", F.col("seg").alias("name")))
 
 
 def template_tree(urls: DataFrame) -> DataFrame:
     """Templates from (host, path, label), label being 1 for bad, 0 for good and null for unknown.
 
-    Returns (host, segs, template, n, labelled, bad, share, reject), a row for each host and typed path. From the root down, a
-    segment stays literal if it is frequent below its parent and its labelled rate differs significantly from that of its
-    siblings together; other branches are merged into a wildcard. share is the template's smoothed share of bad urls: towards
+    Returns (host, segs, template, n, labelled, bad, share, reject), a row for each host and typed path. From the root down,
+    frequent segments whose labelled rates don't differ significantly are merged, see merged_branches; typed segments stay, and all
+    others are a wildcard. share is the template's smoothed share of bad urls: towards
     its host's share, and that towards the share of all. All urls count.
     """
     leaves = urls.groupBy("host", typed_segments(F.col("path")).alias("segs")).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
@@ -74,16 +115,10 @@ def template_tree(urls: DataFrame) -> DataFrame:
     for d in range(depth):
         seg = F.get("segs", F.lit(d))
         children = leaves.filter(seg.isNotNull()).groupBy("host", "prefix", seg.alias("seg")).agg(*sums)
-        parents = children.groupBy("host", "prefix").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
-        both = children.join(parents, ["host", "prefix"])
-        rest = F.col("all_labelled") - F.col("labelled")
-        pooled = F.col("all_bad") / F.col("all_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest))
-        gap = F.abs(F.col("bad") / F.col("labelled") - (F.col("all_bad") - F.col("bad")) / rest)
-        differs = (F.col("labelled") > 0) & (rest > 0) & F.when((F.col("labelled") > 0) & (rest > 0), gap > MERGE_Z * error).otherwise(False)
-        typed = F.col("seg").startswith("<") | F.col("seg").isin("", DEEP)
-        literal = typed | ((F.col("n") >= MIN_URLS) & (F.col("n") >= MIN_SHARE * F.col("all_n")) & (differs | (F.col("n") == F.col("all_n"))))
-        names = both.select("host", "prefix", "seg", F.concat("prefix", F.lit("/"), F.when(literal, F.col("seg")).otherwise(F.lit(WILD))).alias("next"))
+        children = written(children, f"url-children-{d}")
+        typed = F.col("seg").startswith("<") | (F.col("seg") == "")
+        names = children.select("host", "prefix", "seg").join(written(merged_branches(children), f"url-branches-{d}"), ["host", "prefix", "seg"], "left")
+        names = names.select("host", "prefix", "seg", F.concat("prefix", F.lit("/"), F.when(typed, F.col("seg")).otherwise(F.coalesce("name", F.lit(WILD)))).alias("next"))
         step = leaves.withColumn("seg", seg).join(names, ["host", "prefix", "seg"], "left")
         leaves = written(step.select("host", "segs", "n", "labelled", "bad", F.coalesce("next", "prefix").alias("prefix")), f"url-level-{d}")
     templates = leaves.groupBy("host", F.col("prefix").alias("template")).agg(*sums)

@@ -384,6 +384,26 @@ def test_bad_branch_is_rejected(spark):
     assert got[301] == ("/spam/<n>.html", "block") and got[300][1] == "allow" and got[1000] == ("/news/*", "allow")
 
 
+def test_alike_branches_are_merged_with_each_other(spark):
+    # two bad branches, two good ones, and one of which half is bad
+    bad = {"ads": 1.0, "spam": 1.0, "news": 0.0, "blog": 0.0, "mixed": 0.5}
+    rows = [(i, f"https://h.example/{list(bad)[i % 5]}/p{i}") for i in range(1000)]
+    labels = [(i, int(i % 10 < 5 if list(bad)[i % 5] == "mixed" else bad[list(bad)[i % 5]] == 0.0)) for i in range(500)]
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int"), []).collect()}
+    assert {got[i] for i in (0, 1)} == {("/{ads|spam}/*", "block")} and {got[i] for i in (2, 3)} == {("/{blog|news}/*", "allow")} and got[4][0] == "/mixed/*"
+
+
+def test_deep_and_odd_paths(spark):
+    deep = "/".join(f"d{i}" for i in range(400))
+    rows = [(i, f"https://h.example/{deep}/{'x' if i % 2 else 'y'}") for i in range(100)] + [(200, "https://h.example/<n>/1"), (201, "https://h.example/2024-01-02/7.html"), (202, "https://h.example/" + "z" * 100_000)]
+    segs = {r[0]: r[1] for r in spark.createDataFrame(rows, "k long, url string").select("k", url_filter.typed_segments(url_filter.path_of(F.col("url")))).collect()}
+    assert len(segs[0]) == url_filter.MAX_DEPTH and segs[0][-1].endswith("/d399/y") and segs[1][-1].endswith("/d399/x")
+    assert segs[200] == ["=<n>", "<n>"] and segs[201] == ["<date>", "<n>.html"] and segs[202] == ["z" * 100_000]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels, []).collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(0, 100, 2)} == {"block"} and {got[i] for i in range(1, 100, 2)} == {"allow"}
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>Some  text,\nmore <b>bold<br>words.</p></article><footer>End</footer></body></html>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p"), (1, "u", page), (4, "u", "<article>" + "<p>word word word.</p>" * 3000 + "</article>")]
