@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Sources up to this number are broadcast, a name and a number each, if their names have NAME_BYTES together at most; more are
+#: Sources up to this number are broadcast, a name and some 2,000 bytes each at most, if their names have NAME_BYTES together at most; more are
 #: joined with salt.
 BROADCAST_SOURCES, NAME_BYTES = 20_000, 4 << 20
 #: Parts into which a source's rows are dealt where the sources are too many to broadcast.
 SALTS = 64
+#: Below this rate, a source's distribution is an array of its own, 250 numbers at most; from it on, its terms are summed for each row.
+ARRAY_RATE = 100.0
 #: From this rate on, the count is that of the normal distribution with its mean and variance, rounded.
 NORMAL_RATE = 2000.0
 #: Copies of one row that are made at a time.
@@ -48,16 +50,30 @@ def poisson_count(rate: Column, u: Column) -> Column:
     return F.when(rate < NORMAL_RATE, F.when(rate > 0, small).otherwise(0).cast("bigint")).otherwise(F.greatest(large, F.lit(0.0)).cast("bigint"))
 
 
+def poisson_cdf(rate: Column) -> Column:
+    """P(X <= 0), P(X <= 1), ... of a Poisson distribution with a rate below ARRAY_RATE, up to where it is 1 in double precision."""
+    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    first = F.named_struct(F.lit("log"), -rate, F.lit("sum"), F.exp(-rate), F.lit("all"), F.array(F.exp(-rate)))
+
+    def step(acc: Column, k: Column) -> Column:
+        log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
+        total = acc["sum"] + F.exp(log)
+        return F.named_struct(F.lit("log"), log, F.lit("sum"), total, F.lit("all"), F.concat(acc["all"], F.array(total)))
+
+    cdf = F.aggregate(F.sequence(F.lit(1), F.when(rate < ARRAY_RATE, top).otherwise(1)), first, step)["all"]
+    return F.when(rate >= ARRAY_RATE, F.lit(None)).when(rate > 0, F.filter(cdf, lambda c: c < F.lit(1 - 2.0**-52))).otherwise(F.array().cast("array<double>"))
+
+
 def source_rates(docs: DataFrame, weights: Mapping[str, float], *, default_weight: float = 1.0, total: int | None = None, source: str = "source") -> DataFrame:
     """The mean repetitions of a document of each source, so that the sources share total rows (all rows of docs by default) by
-    weight: s, n, rate. The rows of all docs are counted. A null source is a source without a name; a source that weights
+    weight: s, n, rate, cdf (null from ARRAY_RATE on). The rows of all docs are counted. A null source is a source without a name; a source that weights
     lacks has default_weight."""
     named = F.create_map(*(F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1])))) if weights else F.lit(None).cast("map<string,double>")
     counts = written(docs.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).withColumn("w", F.coalesce(named[F.col("s")], F.lit(float(default_weight)))), "mix-counts")
     sums = counts.agg(F.sum("n"), F.sum("w")).first()
     rows, weight = (total if total is not None else sums[0] or 0), sums[1] or 1.0
     rate = F.lit(float(rows)) * F.col("w") / F.lit(float(weight)) / F.col("n")
-    return counts.select("s", "n", rate.alias("rate"))
+    return counts.select("s", "n", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
 def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, seed: int = 0, default_weight: float = 1.0, total: int | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
@@ -82,7 +98,9 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float], *, seed: int = 0,
         salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         packed = packed.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int"))
         joined = packed.join(salted, packed["s"].eqNullSafe(salted["s"]) & (packed["salt"] == salted["salt"]))
-    counted = joined.select("doc", "k", poisson_count(F.col("rate"), uniform(F.lit(seed), "k")).alias("times")).filter("times > 0")
+    drawn = joined.select("doc", "k", "rate", "cdf", uniform(F.lit(seed), "k").alias("u"))
+    listed = F.size(F.filter("cdf", lambda c: c <= F.col("u"))).cast("bigint")
+    counted = drawn.select("doc", "k", F.when(F.col("cdf").isNotNull(), listed).otherwise(poisson_count(F.col("rate"), F.col("u"))).alias("times")).filter("times > 0")
     parts = counted.select("doc", "k", "times", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / COPIES))).alias("part"))
     copies = parts.select("doc", "k", F.explode(F.sequence(F.col("part") * COPIES + 1, F.least("times", (F.col("part") + 1) * COPIES))).alias("mix_copy")).withColumn("mix_copy", F.col("mix_copy").cast("int"))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.coalesce(F.col("k").cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
