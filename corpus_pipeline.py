@@ -1,4 +1,9 @@
-"""The corpus pipeline: STAGES of (name, function), each a function of (spark, docs, sf_dir)."""
+"""The corpus pipeline: STAGES of (name, function), each a function of (spark, docs, sf_dir).
+
+All stages take whole tables of documents. A null or empty text has no words and no tokens; an empty table gives an empty table; a
+null doc_id is a key like others, and repeated ids are rows of their own, told apart by their texts; further columns are carried
+along, whatever their names. Texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -10,21 +15,23 @@ from cataloom.llm.common import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base limits or the learned rules reject go."""
+    """Documents that the base limits or the learned rules reject go; so do those without words. Rows that repeat get one verdict.
+    Without labels only the base limits hold."""
     from cataloom.llm.quality_rules import fit_rules, kept
 
     return kept(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of exact and near copies stays."""
+    """One document of each class of exact and near copies stays, whatever the ids: the one with the lowest id, null being lowest, and
+    of its texts under that id the one with the lowest hash. Texts without words are one class."""
     from cataloom.llm.minhash_dedup import one_of_each
 
     return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more occurs in benchmark items go."""
+    """Documents of which a twentieth or more occurs in benchmark items go; without items, or without words, none does."""
     from cataloom.llm.decontaminate import contamination
 
     bad = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("k"), "r").distinct()
@@ -33,14 +40,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, or go, by their source's target weight."""
+    """Documents repeat, or go, by their source's target weight. A null source is a source; rows with one id get one number."""
     from cataloom.llm.mixing import poisson_mix
 
     return poisson_mix(docs, q.MIX_WEIGHTS, seed=q.MIX_SEED).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids are written in ascending doc_id order and read back."""
+    """Token ids are written in ascending doc_id order and read back: doc_id, start, n_tokens, ids_crc32. A null id comes first; of
+    rows with one id the order is that of their texts."""
     from cataloom.llm.token_store import token_table
 
     return token_table(docs, q.tokenizer_path(), end_id=q.END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
