@@ -264,13 +264,15 @@ def rerank_coverage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.rerank(short, _judged(spark, sf_dir, short))
 
 
-@query("judge_reply_parse", "SELECT item_id AS query_id, doc_id AS id, greatest(0, least(1, quality * 1.5))::DOUBLE AS judge FROM labels JOIN benchmark ON doc_id % 10 = item_id % 10 WHERE quality IS NOT NULL")
+@query("judge_reply_parse", "SELECT item_id AS query_id, doc_id AS id, greatest(0, least(1, quality * 1.5))::DOUBLE AS judge FROM labels JOIN benchmark ON item_id = doc_id % (SELECT max(item_id) + 1 FROM benchmark) WHERE quality IS NOT NULL")
 def judge_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of a judge as text, made of labels, and parsed again."""
-    item = table(spark, sf_dir, "benchmark").select("item_id", F.pmod("item_id", F.lit(10)).alias("m"))
-    labels = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").withColumn("m", F.pmod("doc_id", F.lit(10)))
+    """Replies of a judge as text, made of labels, and parsed again. A label goes to one item, and a reply has 50 of them at most."""
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    labels = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").join(F.broadcast(items.agg((F.max("item_id") + 1).alias("n"))))
+    dealt = labels.select("doc_id", "quality", F.pmod("doc_id", "n").alias("item_id"), F.floor(F.col("doc_id") / (50 * F.col("n"))).alias("block"))
     pair = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit(", "), (F.col("quality") * 1.5).cast("string"), F.lit("]"))
-    replies = labels.groupBy("m").agg(F.concat(F.lit("```json\n{\"results\": [[\"x\"], "), F.concat_ws(", ", F.collect_list(pair)), F.lit("]}\n```")).alias("raw")).join(item, "m").select(F.col("item_id").alias("query_id"), "raw")
+    reply = F.concat(F.lit("```json\n{\"results\": [[\"x\"], "), F.concat_ws(", ", F.collect_list(pair)), F.lit("]}\n```"))
+    replies = dealt.groupBy("item_id", "block").agg(reply.alias("raw")).join(items, "item_id").select(F.col("item_id").alias("query_id"), "raw")
     return enrich.judge_scores(replies)
 
 
