@@ -1,9 +1,11 @@
 """HTML extraction: a bidirectional LSTM in numpy labels the text blocks of a page as main text or not.
 
 A page is read as the sequence of its leaf blocks. A block is a vector of its hashed tag path (tags, classes and ids of what it
-stands in), its hashed words and a few numbers; the network reads the sequence in both directions, so each decision has the whole
-page for context. It is trained on a bounded sample of the given pages: their semantic elements give labels, and variants of each
-page, with other containers and with notices, forms, sidebars, adverts and comments put in, teach what such elements don't tell.
+stands in), its hashed words and a few numbers, some of them about the whole page; the network reads the sequence in both directions,
+so each decision has the whole page for context. It is trained on a bounded sample of the given pages: their semantic elements give
+labels, and variants of each page, with other containers, lists, tables and quotations and with notices, forms, sidebars, adverts and
+comments put in, teach what such elements don't tell. Many containers and parts of the variants have a random name or none, so that
+place, links, tags and shares of the text must decide.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from .common import by_bytes, small_batches
 
 #: Pages for training, at most, chosen by a hash of their key, and the longest page among them.
 FIT_PAGES, FIT_CHARS = 240, 60_000
-PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 64, 24, 6, 16
+PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 192, 24, 14, 16
+PAGE_NUMBERS = 8
 BATCH_BYTES = 4 << 20
 
 # Elements of HTML.
@@ -158,10 +161,39 @@ class Hasher:
             out[i, :PATH_DIM] = self.path(b.path)
             out[i, PATH_DIM : PATH_DIM + WORD_DIM] = self.text(b.text)
             n = len(b.text)
-            out[i, -NUMBERS:] = (np.log1p(n) / 4, b.linked / n, (b.text.count(".") + b.text.count(",")) / n * 10, len(b.path) / 8, b.text[-1] in ".!?", 1.0)
+            out[i, -NUMBERS : -PAGE_NUMBERS] = (np.log1p(n) / 4, b.linked / n, (b.text.count(".") + b.text.count(",")) / n * 10, len(b.path) / 8, b.text[-1] in ".!?", 1.0)
+        if blocks:
+            out[:, -PAGE_NUMBERS:] = page_numbers(blocks)
         return out
 
 
+def _common(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+
+
+def page_numbers(blocks: list[Block]) -> np.ndarray:
+    """What the whole page tells of each block: the shares of the unlinked text at its path and in its parent, how much of the way to
+    the densest parent it goes and how far beyond, the steps shared with the blocks before and after, and its place."""
+    at: dict[tuple[str, ...], int] = {}
+    under: dict[tuple[str, ...], int] = {}
+    for b in blocks:
+        n = len(b.text) - b.linked
+        at[b.path] = at.get(b.path, 0) + n
+        under[b.path[:-1]] = under.get(b.path[:-1], 0) + n
+    total = max(sum(at.values()), 1)
+    dense = max(under, key=lambda k: (under[k], -len(k)))
+    ways: dict[tuple[str, ...], tuple[float, float]] = {}
+    for path in at:
+        shared = _common(path, dense)
+        ways[path] = shared / max(len(dense), 1), (len(path) - shared) / 4
+    out, last = [], len(blocks) - 1
+    for i, b in enumerate(blocks):
+        before = _common(b.path, blocks[i - 1].path) / len(b.path) if i and b.path else 0.0
+        after = _common(b.path, blocks[i + 1].path) / len(b.path) if i < last and b.path else 0.0
+        out.append((at[b.path] / total, under[b.path[:-1]] / total, *ways[b.path], before, after, i / max(last, 1), i == last))
+    return np.array(out, np.float32)
+
+
 # --- the network ---------------------------------------------------------------------------------------------------------
 
 
@@ -253,7 +285,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: list[np.ndarray], labels: list[np.ndarray], *, epochs: int = 14, batch: int = 24, rate: float = 0.01, seed: int = 5) -> Labeller:
+def train(pages: list[np.ndarray], labels: list[np.ndarray], *, epochs: int = 18, batch: int = 24, rate: float = 0.01, seed: int = 5) -> Labeller:
     """Adam over batches of pages of like length."""
     net, r = Labeller.fresh(seed), np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
@@ -269,7 +301,7 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], *, epochs: int = 14
             _, g = net.gradients(x, mask, y)
             step += 1
             scale = min(1.0, 1.0 / (np.sqrt(sum(float((a * a).sum()) for a in g.values())) + 1e-9))
-            lr = rate * (0.3 if epoch >= epochs * 2 // 3 else 1.0)
+            lr = rate * (1.0 if 2 * epoch < epochs else 0.3 if 6 * epoch < 5 * epochs else 0.1)
             for k, a in g.items():
                 a = a * scale
                 m[k] = 0.9 * m[k] + 0.1 * a
@@ -310,23 +342,61 @@ def _named(path: tuple[str, ...], name: str) -> tuple[str, ...]:
     return (*path, f"{tag} {' '.join(_PARTS.findall(re.sub(r'[a-z]+=', ' ', rest)))}".strip())
 
 
+def _made_up(tags: list[str], strange: list[str], r: np.random.Generator) -> str:
+    """A tag with a random class or id, or with none."""
+    tag = tags[int(r.integers(len(tags)))]
+    if r.random() < 0.35:
+        return tag
+    words = _PARTS.findall(strange[int(r.integers(len(strange)))].lower()) or ["x"]
+    return f"{tag} {'class' if r.random() < 0.7 else 'id'}={words[int(r.integers(len(words)))]}"
+
+
+def _reshaped(main: list[Block], strange: list[str], r: np.random.Generator) -> list[Block]:
+    """Main blocks, some of them as items of lists, cells, quotations or headings, and some runs in an element of their own."""
+    shapes = [("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("table", "tbody", "tr", "td"), ("table", "tr", "td"), ("pre",), ("h2",), ("h3",), ("dl", "dd"), ("figure", "figcaption"), ("div",), ("ul", "li", "p")]
+    out: list[Block] = []
+    i = 0
+    while i < len(main):
+        if r.random() < 0.12:
+            shape = shapes[int(r.integers(len(shapes)))]
+            for b in main[i : i + int(r.integers(1, 4))]:
+                i += 1
+                words = b.text.split()
+                # short ones too, in several items
+                size = len(words) if r.random() < 0.4 else int(r.integers(2, 12))
+                parts = [words[k : k + size] for k in range(0, len(words), size)][:6]
+                out += [Block(" ".join(x), shape, 0) for x in parts]
+            continue
+        out.append(main[i])
+        i += 1
+    if len(out) > 2 and r.random() < 0.3:
+        start = int(r.integers(0, 2))
+        inner = _named((), _made_up(["div", "section", "div", "section"], strange, r))
+        out = [b if k < start else Block(b.text, (*inner, *b.path), b.linked) for k, b in enumerate(out)]
+    return out
+
+
 def variant(blocks: list[Block], labels: np.ndarray, strange: list[str], r: np.random.Generator) -> tuple[list[Block], np.ndarray]:
-    """The page's main blocks in another container, between other parts made of strange texts."""
+    """The page's main blocks in another container and partly in other shapes, between other parts made of strange texts."""
     pick = lambda options: options[int(r.integers(len(options)))]
-    root = pick([("html", "body"), ("html", "body", "div"), ("html", "body", "div wrapper"), ("html", "body", "div page container")])
-    container = _named(root, pick(MAIN_NAMES))
+    root = pick([("html", "body"), ("html", "body"), ("html", "body", "div"), ("html", "body", "div wrapper"), ("html", "body", "div page container")])
+    container = _named(root, pick(MAIN_NAMES) if r.random() < 0.5 else _made_up(["div", "div", "section", "table tr td"], strange, r))
+    if container[-1].startswith("table"):
+        container = (*root, "table", "tr", "td")
     main = []
     for b, y in zip(blocks, labels, strict=True):
         if y:
             places = [i for i, name in enumerate(b.path) if name.split()[0] in _MAIN_TAGS]
-            main.append(Block(b.text, (*container, *b.path[places[-1] + 1 :]), b.linked))
+            main.append(Block(b.text, b.path[places[-1] + 1 :], b.linked))
+    main = [Block(b.text, (*container, *b.path), b.linked) for b in _reshaped(main, strange, r)]
 
     def part(kind: str, path: tuple[str, ...]) -> list[Block]:
-        path = _named(path, pick(SIDE_NAMES[kind]))
+        name = pick(SIDE_NAMES[kind]) if r.random() < 0.6 else _made_up(["div", "section", "div", "ul" if kind == "nav" else "aside"], strange, r)
+        path = _named(path, name)
         out = []
         for _ in range(int(r.integers(1, 7 if kind in ("nav", "comments", "sidebar") else 3))):
             words = pick(strange).split()
-            n = len(words) if kind == "comments" else int(r.integers(1, 6)) if kind in ("nav", "form") else int(r.integers(2, 25))
+            n = (len(words) if r.random() < 0.5 else int(r.integers(3, 40))) if kind == "comments" else int(r.integers(1, 6)) if kind in ("nav", "form") else int(r.integers(2, 25))
             text = " ".join(words[:n])
             inner = {"nav": ("ul", "li", "a"), "comments": pick([("p",), ("div comment", "p"), ("li",)]), "form": pick([("label",), ("p",), ("button",)]), "sidebar": pick([("p",), ("ul", "li", "a")])}.get(kind, pick([(), ("p",)]))
             if text:
@@ -339,17 +409,30 @@ def variant(blocks: list[Block], labels: np.ndarray, strange: list[str], r: np.r
     for kind, share in (("comments", 0.6), ("sidebar", 0.6), ("form", 0.4), ("ad", 0.4), ("notice", 0.3), ("nav", 0.3), ("footer", 0.8)):
         after += part(kind, root) if r.random() < share else []
     out = [(b, 0) for b in before]
-    for b in main:
-        if r.random() < 0.06:
-            out += [(x, 0) for x in part(pick(["ad", "notice", "sidebar", "form"]), container)]
+    for i, b in enumerate(main):
         out.append((b, 1))
+        # more often at the head than farther down
+        if r.random() < (0.25 if i == 0 else 0.05):
+            out += [(x, 0) for x in part(pick(["ad", "notice", "sidebar", "form"]), container)]
     if r.random() < 0.3:
-        out += [(x, 0) for x in part("comments", container)]
+        out += [(x, 0) for x in part(pick(["comments", "form"]), container)]
     out += [(b, 0) for b in after]
     return [b for b, _ in out], np.array([y for _, y in out], np.float32)
 
 
-def fit_labeller(pages: DataFrame, *, fit_pages: int = FIT_PAGES, variants: int = 2, key: str = "page_id", html: str = "html") -> Labeller:
+def fit_blocks(known: list[tuple[list[Block], np.ndarray]], variants: int = 4) -> Labeller:
+    """Trains on pages with labels and on variants of each."""
+    r, hasher = np.random.default_rng(11), Hasher()
+    strange = [b.text[:2000] for blocks, _ in known for b in blocks]
+    xs, ys = [], []
+    for blocks, y in known:
+        for b, z in ((blocks, y), *(variant(blocks, y, strange, r) for _ in range(variants))):
+            xs.append(hasher.page(b))
+            ys.append(z)
+    return train(xs, ys)
+
+
+def fit_labeller(pages: DataFrame, *, fit_pages: int = FIT_PAGES, variants: int = 4, key: str = "page_id", html: str = "html") -> Labeller:
     """Trains on at most fit_pages pages of up to FIT_CHARS characters, chosen by a hash of their key; these go to the driver.
 
     Pages without article or main teach nothing; if there is none with them, a page of this kind is made up of fixed text.
@@ -364,14 +447,7 @@ def fit_labeller(pages: DataFrame, *, fit_pages: int = FIT_PAGES, variants: int
     if not known:
         page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A title</h1><p>Some words of text, and more of it.</p></article><footer>End</footer></body></html>"
         known = [(b := blocks_of(page), weak_labels(b))]
-    r, hasher = np.random.default_rng(11), Hasher()
-    strange = [b.text[:2000] for blocks, _ in known for b in blocks]
-    xs, ys = [], []
-    for blocks, y in known:
-        for b, z in ((blocks, y), *(variant(blocks, y, strange, r) for _ in range(variants))):
-            xs.append(hasher.page(b))
-            ys.append(z)
-    return train(xs, ys)
+    return fit_blocks(known, variants)
 
 
 # --- extraction ----------------------------------------------------------------------------------------------------------

@@ -457,3 +457,27 @@ def test_held_out_accuracy(spark):
     others = [html_extract.variant(b, y, strange, r) for b, y in zip(rows[120:], labels[120:], strict=True)]
     found = html_extract.label_pages(net, [b for b, _ in others], hasher)
     assert np.mean(np.concatenate([a == (y > 0) for a, (_, y) in zip(found, others, strict=True)])) > 0.97
+
+
+def test_unlisted_containers_and_notices(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    known = [(b, html_extract.weak_labels(b)) for b in map(html_extract.blocks_of, pages[:150])]
+    net, hasher = html_extract.fit_blocks(known), html_extract.Hasher()
+    notice = '</h1><div class="gdpr">We use cookies to improve your visit. Accept all.</div>'
+    replies = '<div class="replies"><p>Great read, thanks a lot for this.</p><p>I do not agree with the second part.</p></div><footer>'
+    forms = {
+        "div": (0.95, lambda p: p.replace("<article>", "<div>").replace("</article>", "</div>")),
+        "id": (0.9, lambda p: p.replace("<article>", '<div id="body">').replace("</article>", "</div>")),
+        "section": (0.95, lambda p: p.replace("<article>", "<section>").replace("</article>", "</section>")),
+        "notice": (0.95, lambda p: p.replace("</h1>", notice, 1)),
+        "replies": (0.95, lambda p: p.replace("<footer>", replies)),
+        "list": (0.95, lambda p: p.replace("</article>", "<ul><li>First thing</li><li>Second thing</li></ul></article>")),
+    }
+    for name, (least, change) in forms.items():
+        exact = 0
+        for page in pages[150:]:
+            before = html_extract.blocks_of(page)
+            want = [b.text for b, y in zip(before, html_extract.weak_labels(before), strict=True) if y] + (["First thing", "Second thing"] if name == "list" else [])
+            found = html_extract.blocks_of(change(page))
+            exact += want == [b.text for b, y in zip(found, html_extract.label_pages(net, [found], hasher)[0], strict=True) if y]
+        assert exact >= least * len(pages[150:]), (name, exact)
