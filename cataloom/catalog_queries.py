@@ -731,11 +731,35 @@ def sample_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
-@query("exhibitor_merge")
+def _stands(spark: SparkSession, sf_dir: str, where: str = "TRUE") -> DataFrame:
+    return table(spark, sf_dir, "lineitem").filter(where).select(F.col("l_suppkey").cast("string").alias("name"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("_seq"), F.concat(F.lit("B"), F.col("l_linenumber").cast("string")).alias("booth"), F.array(F.col("l_linenumber").cast("int")).alias("halls"), F.col("l_linestatus").alias("website"))
+
+
+def _merged_sql(first: str) -> str:
+    """Exhibitors of rows x (name, booth, n, website, o): all values in the order of o."""
+    return f"""b AS (SELECT name, string_agg(booth, ' / ' ORDER BY o) AS booth FROM (SELECT name, booth, min(o) AS o FROM x GROUP BY name, booth) GROUP BY name)
+SELECT name, b.booth, halls, website FROM (SELECT name, array_to_string(list_sort(list(DISTINCT n)), '|') AS halls, {first} AS website FROM x GROUP BY name) JOIN b USING (name)"""
+
+
+def _stand_rows(df: DataFrame) -> DataFrame:
+    return df.select("name", "booth", F.array_join(F.transform("halls", lambda h: h.cast("string")), "|").alias("halls"), "website")
+
+
+@query("exhibitor_merge", f"WITH x AS (SELECT l_suppkey::VARCHAR AS name, 'B' || l_linenumber AS booth, l_linenumber AS n, l_linestatus AS website, (l_orderkey, l_linenumber, l_partkey) AS o FROM lineitem), {_merged_sql('arg_min(website, o)')}")
 def exhibitor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines of a supplier as exhibitors: halls in one list, booths joined."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_seq"), F.concat(F.lit("B"), F.col("l_linenumber").cast("string")).alias("booth"), F.array(F.col("l_linenumber").cast("int")).alias("halls"), F.col("l_linestatus").alias("website"))
-    return resolve.merged_exhibitors(rows, F.col("name"))
+    return _stand_rows(resolve.merged_exhibitors(_stands(spark, sf_dir), F.col("name")))
+
+
+@query(
+    "exhibitor_passes",
+    f"""WITH x AS (SELECT l_suppkey::VARCHAR AS name, 'B' || l_linenumber AS booth, l_linenumber AS n, l_linestatus AS website, (0, l_orderkey, l_linenumber, l_partkey) AS o FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL SELECT l_suppkey::VARCHAR, 'B' || l_linenumber, l_linenumber, NULL, (1, l_orderkey, l_linenumber, l_partkey) FROM lineitem WHERE l_returnflag <> 'R'), {_merged_sql("coalesce(arg_min(website, o) FILTER (website IS NOT NULL), '')")}""",
+)
+def exhibitor_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes over one listing, of which the second knows no website."""
+    anchors, cells = _stands(spark, sf_dir, "l_returnflag = 'R'"), _stands(spark, sf_dir, "l_returnflag <> 'R'").drop("website")
+    return _stand_rows(integrate.united_passes(anchors, cells, key=F.col("name")))
 
 
 # --- HTML, enrichment and presentation -----------------------------------------------------------------------------------
@@ -876,6 +900,9 @@ def checkpoint_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("k").alias("user_id"), "event_id", "event_type")
 
 
+from . import record_queries  # noqa: E402, F401  registers the queries of single records
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import Selection, matches
@@ -48,6 +48,11 @@ def facets(catalogue: DataFrame, selection: Selection, pairs: DataFrame) -> Data
     return out.select("dim", "value", F.coalesce("label", F.when(F.col("dim").isin("l1", "l2"), "").otherwise(F.col("value"))).alias("label"), "n")
 
 
+def ranked(counts: DataFrame) -> DataFrame:
+    """Adds pos: the place of a value in its dimension by count, label and value."""
+    return counts.withColumn("pos", F.row_number().over(Window.partitionBy("dim").orderBy(F.col("n").desc(), "label", "value")))
+
+
 def shown(values: DataFrame, selected: list[str], cap: int) -> DataFrame:
     """How a panel lists a dimension: selected values first, then by count and label, at most cap."""
     return values.orderBy(F.col("value").isin(selected).desc(), F.col("n").desc(), "label", "value").limit(cap)

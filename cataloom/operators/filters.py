@@ -70,6 +70,11 @@ def unfinished(directory: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return directory.join(done.select(key).distinct(), key, "left_anti")
 
 
+def to_retest(rows: DataFrame) -> DataFrame:
+    """Rows whose status isn't ok, a missing one included; all of them where there is no status."""
+    return rows.filter(~F.col("status").eqNullSafe(F.lit("ok"))) if "status" in rows.columns else rows
+
+
 def resumable(rows: DataFrame) -> Column:
     """Earlier results worth keeping: a real description and at least one category."""
     from ..schema import FALLBACK_ABOUT

@@ -153,6 +153,18 @@ def mapped_distinct(df: DataFrame, column: str, mapping: Column, name: str) -> D
     return df.join(values, column, "left")
 
 
+def united_passes(*passes: DataFrame, key: Column) -> DataFrame:
+    """Rows of several passes over one listing, or of a flat list and lists of each hall, merged by key: what an earlier pass holds
+    comes before what a later one adds."""
+    from .resolve import merged_exhibitors
+
+    rows = None
+    for i, df in enumerate(passes):
+        ready = df.withColumn("_seq", F.struct(F.lit(i).alias("pass"), F.col("_seq").alias("seq")))
+        rows = ready if rows is None else rows.unionByName(ready, allowMissingColumns=True)
+    return merged_exhibitors(rows, key)
+
+
 def picked_source(rows: DataFrame, least: int = 20) -> DataFrame:
     """Rows of the first source, by priority, that has at least so many."""
     good = rows.groupBy("source", "priority").agg(F.count("*").alias("n")).filter(F.col("n") >= least).agg(F.min_by("source", "priority").alias("source"))

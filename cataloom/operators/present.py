@@ -125,5 +125,11 @@ def badges(country: Column, booth: Column, segment: Column) -> Column:
     return F.filter(F.array(F.when(country != UNKNOWN_COUNTRY, country), F.nullif(booth, F.lit("")), F.nullif(segment, F.lit(""))), lambda x: x.isNotNull())
 
 
+def toggled(chosen: list, value: object) -> list:
+    """A panel's selection after a click on value: without it where it stood, compared as text, or with it at the end."""
+    left = [x for x in chosen if str(x) != str(value)]
+    return left if len(left) < len(chosen) else [*chosen, value]
+
+
 def is_clamped(summary: Column, limit: int = 320) -> Column:
     return F.length(summary) > limit

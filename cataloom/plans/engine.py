@@ -33,7 +33,8 @@ class Engine:
         return fc.taxonomy(self.catalogue)
 
     def facets(self, selection: Selection) -> DataFrame:
-        return fc.facets(self.catalogue, selection, self.taxonomy())
+        """Counts of all dimensions, the most frequent values first."""
+        return fc.ranked(fc.facets(self.catalogue, selection, self.taxonomy())).orderBy("dim", "pos")
 
     def browse(self, selection: Selection, *, limit: int = 10, offset: int = 0) -> tuple[DataFrame, DataFrame]:
         return browse(self.catalogue, selection, limit=min(max(limit, 1), MAX_LIMIT), offset=offset)
@@ -56,5 +57,14 @@ class Engine:
             ranked = rt.rerank(ranked, judged, alpha=alpha, normalise=normalise, top_n=limit)
         return ranked.join(self.catalogue, "id")
 
+    def answer(self, query: str, vector: list[float] | None, selection: Selection = Selection(), *, limit: int = 10, offset: int = 0, **search) -> DataFrame:
+        """The rows for one query: without words the browsing page, else the search with its scores."""
+        if not (query or "").strip():
+            return self.browse(selection, limit=limit, offset=offset)[0]
+        spark = self.catalogue.sparkSession
+        asked = spark.createDataFrame([(0, query)], "query_id long, text string")
+        vectors = spark.createDataFrame([(0, vector)] if vector else [], "query_id long, vector array<float>")
+        return self.search(asked, vectors, selection, limit=limit, **search)
+
     def explain(self, shortlist: DataFrame, explanations: DataFrame) -> DataFrame:
         return rt.explained(shortlist, explanations, DEFAULT_REASON)

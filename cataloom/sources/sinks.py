@@ -35,9 +35,12 @@ def flat_cells(df: DataFrame, sep: str = " | ") -> DataFrame:
     return df.select(*(flat(c, kind) for c, kind in df.dtypes))
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = " | ", mode: str = "overwrite") -> None:
-    """CSV with header, lists joined by sep; columns chooses some."""
-    flat_cells(df.select(*columns) if columns else df, sep).write.mode(mode).option("quoteAll", False).option("escape", '"').csv(path, header=True)
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, sep: str = " | ", mode: str = "overwrite", bom: bool = False) -> None:
+    """CSV with header, lists joined by sep; columns chooses some. With bom each file begins with a byte order mark."""
+    flat = flat_cells(df.select(*columns) if columns else df, sep)
+    if bom:
+        flat = flat.withColumnRenamed(flat.columns[0], "\ufeff" + flat.columns[0])
+    flat.write.mode(mode).option("quoteAll", False).option("escape", '"').csv(path, header=True)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -234,3 +234,35 @@ def test_last_judgement_wins(spark):
     judged = spark.createDataFrame([(1, 5, 0.9, 0), (1, 5, 0.1, 1), (1, 6, 0.5, 0)], "query_id int, id int, judge double, pos int")
     assert {r["id"]: r["llm_score"] for r in retrieve.rerank(short, judged).collect()} == {5: 0.1, 6: 0.5}
     assert {r["id"]: r["llm_score"] for r in retrieve.rerank(short, judged.drop("pos")).collect()} == {5: 0.9, 6: 0.5}
+
+
+def test_csv_with_byte_order_mark(spark, tmp_path):
+    from cataloom.sources.sinks import write_csv
+
+    df = spark.createDataFrame([("a", ["x", "y"])], "name string, halls array<string>").coalesce(1)
+    write_csv(df, str(tmp_path / "out"), bom=True)
+    raw = next((tmp_path / "out").glob("*.csv")).read_bytes()
+    assert raw.decode("utf-8-sig").splitlines() == ["name,halls", "a,x | y"] and raw.startswith(b"\xef\xbb\xbf")
+
+
+def test_retest_and_toggle(spark):
+    from cataloom.operators.filters import to_retest
+    from cataloom.operators.present import toggled
+
+    rows = spark.createDataFrame([(1, "ok"), (2, "timeout"), (3, None)], "id int, status string")
+    assert sorted(r.id for r in to_retest(rows).collect()) == [2, 3]
+    assert to_retest(rows.drop("status")).count() == 3
+    assert toggled([], 3) == [3] and toggled([3, 4], "3") == [4] and toggled(["a"], "b") == ["a", "b"]
+
+
+def test_one_query_is_searched_or_browsed(spark):
+    from cataloom.plans.engine import Engine
+
+    catalogue = spark.createDataFrame([(1, "B", "Japan"), (2, "a", "Japan"), (3, "C", None)], "id long, company_name string, hq_country string").selectExpr("*", "array('x') AS expos", "array(1) AS cat_l1_ids", "array(2) AS cat_l2_ids")
+    texts = spark.createDataFrame([(1, "wafer saws"), (2, "etching"), (3, "wafer")], "id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<float>")
+    engine = Engine(catalogue, texts, vectors)
+    assert [r.id for r in engine.answer("", None).collect()] == [2, 1, 3]
+    assert [r.id for r in engine.answer(None, None, limit=1, offset=1).collect()] == [1]
+    assert {r.id for r in engine.answer("wafer", None).collect()} == {1, 3}
+    assert {r.id for r in engine.answer("wafer", [0.0, 1.0]).collect()} == {1, 2, 3}
