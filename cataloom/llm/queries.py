@@ -90,8 +90,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(pages, fit_labeller(pages))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import repaired_conversations
+
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_decontamination, op4_quality_rules, op5_source_mixing, op6_suffix_dedup, op7_token_store, op8_near_dedup, op9_line_dedup, op10_html_extraction)}
+    numbered = (op1_token_counts, op2_url_filter, op3_decontamination, op4_quality_rules, op5_source_mixing, op6_suffix_dedup, op7_token_store, op8_near_dedup, op9_line_dedup, op10_html_extraction)
+    return {f.__name__: f for f in (*numbered, op13_conversation_repair)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
