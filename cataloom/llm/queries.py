@@ -90,6 +90,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(pages, fit_labeller(pages))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import set_components
+
+    return set_components(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .periodic_runs import periodic_runs, run_digests
 
@@ -104,7 +110,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (op1_token_counts, op2_url_filter, op3_decontamination, op4_quality_rules, op5_source_mixing, op6_suffix_dedup, op7_token_store, op8_near_dedup, op9_line_dedup, op10_html_extraction)
-    return {f.__name__: f for f in (*numbered, op12_periodic_runs, op13_conversation_repair)}
+    return {f.__name__: f for f in (*numbered, op11_ngram_join, op12_periodic_runs, op13_conversation_repair)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
