@@ -18,6 +18,7 @@ by the overlap of their prefixes and verified on their whole sets. No step loses
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,24 +82,24 @@ def set_hash(h: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(k, x, n, slice, counts): the hash x and size n of each row's set; and for each task rows with the counts of its shingles, in
-    slices of counters (n is null there)."""
-    kind = f"k {docs.schema['k'].dataType.simpleString()}, x long, n long, slice int, counts binary"
+    """(k, x, n, lead, slice, counts): the hash x and size n of each row's set and its least hashes; and for each task rows with the
+    counts of its shingles, in slices of counters (n is null there)."""
+    kind = f"k {docs.schema['k'].dataType.simpleString()}, x long, n long, lead array<long>, slice int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, np.uint32)
-        names, some = ["k", "x", "n", "slice", "counts"], False
-        key = None
+        names, lists, some, key = ["k", "x", "n", "lead", "slice", "counts"], pa.list_(pa.int64()), False, None
         for part in by_bytes(batches, "t", BATCH_BYTES):
             sets = sets_of(texts_of(part.column("t")))
             key, m = part.column("k").type, len(sets)
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             np.add.at(counts, (flat >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
             some |= len(flat) > 0
-            yield pa.record_batch([part.column("k"), pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.record_batch([part.column("k"), pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([h[:LEAD].astype(np.int64) for h in sets], lists), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if some:
             for i, piece in enumerate(np.split(counts, 1 << (COUNTER_BITS - SLICE_BITS))):
-                yield pa.record_batch([pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=names)
+                packed = pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())
+                yield pa.record_batch([pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, lists), pa.array([i], pa.int32()), packed], names=names)
 
     return docs.mapInArrow(run, kind)
 
@@ -110,7 +111,7 @@ def _ranks(counted: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(c, np.uint32).astype(np.uint64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64)
         for i, s in sums.items():
             # 40 bits of counts in steps of 0.06 %
             yield pa.record_batch([pa.array([i], pa.int32()), pa.array([(np.log1p(s) * 1600).astype(np.uint16).tobytes()], pa.binary())], names=["slice", "ranks"])
@@ -129,18 +130,18 @@ def ordered(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort(((rank << np.uint64(48)) | (h >> np.uint64(16))) >> np.uint64(1)).astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, ranks: Broadcast) -> DataFrame:
-    """(x, n, p, lead): each set once, with its prefix in order and its least hashes."""
+def _prefixes(docs: DataFrame, ranks: Broadcast, roots: DataFrame) -> DataFrame:
+    """(x, n, p, root): each set once, with its prefix in order and its root; null for a set that is its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = pa.list_(pa.int64())
         for part in by_bytes(batches, "t", BATCH_BYTES):
             sets = [h for h in sets_of(texts_of(part.column("t"))) if len(h)]
             p = [ordered(h, ranks.value)[: prefix_length(len(h))] for h in sets]
-            lead = [h[:LEAD].astype(np.int64) for h in sets]
-            yield pa.record_batch([pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(p, lists), pa.array(lead, lists)], names=["x", "n", "p", "lead"])
+            yield pa.record_batch([pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(p, pa.list_(pa.int64()))], names=["x", "n", "p"])
 
-    return docs.mapInArrow(run, "x long, n int, p array<long>, lead array<long>").groupBy("x").agg(*(F.first(c).alias(c) for c in ("n", "p", "lead")))
+    # grouped and joined by x in one shuffle
+    once = docs.mapInArrow(run, "x long, n int, p array<long>").groupBy("x").agg(F.first("n").alias("n"), F.first("p").alias("p"))
+    return once.join(roots.hint("merge"), "x", "left")
 
 
 # --- pairs ---------------------------------------------------------------------------------------------------------------
@@ -330,9 +331,9 @@ def _whole_sets(left: DataFrame, texts: DataFrame) -> DataFrame:
 # --- the join ------------------------------------------------------------------------------------------------------------
 
 
-def _hub_pairs(prefixes: DataFrame) -> DataFrame:
-    """(a, b): sets with the hubs of their lists by least hashes, if they share LEAD_SHARED of these, or all that the smaller set has."""
-    posts = prefixes.select("x", "n", F.explode("lead").alias("token"))
+def _hub_pairs(leads: DataFrame) -> DataFrame:
+    """(a, b): sets (x, n, lead) with the hubs of their lists by least hashes, if they share LEAD_SHARED of these, or all that the smaller set has."""
+    posts = leads.select("x", "n", F.explode("lead").alias("token"))
     sizes = posts.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
     met = written(posts.join(sizes, "token"), "lead-lists")
     central = met.groupBy("x").agg(F.sum("m").alias("met"))
@@ -357,23 +358,21 @@ def set_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     read = written(_sets(rows), "sets")
     ids = read.filter("n IS NOT NULL").select("k", "x", "n")
     ranks = spark.sparkContext.broadcast(_ranks(read.filter("slice IS NOT NULL").select("slice", "counts")))
-    prefixes = written(_prefixes(rows.select("t"), ranks), "prefixes")
+    leads = written(read.filter("n > 0").groupBy("x").agg(F.first("n").alias("n"), F.first("lead").alias("lead")), "leads")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
         return written(_compared(pairs, _contents(rows, ends, name), THRESHOLD), f"{name}-links").select("a", "b")
 
-    links = compared(written(_hub_pairs(prefixes), "hub-pairs"), "hub")
+    links = compared(written(_hub_pairs(leads), "hub-pairs"), "hub")
     roots = written(components(links).select(F.col("v").alias("x"), "root"), "hub-roots")
+    prefixes = written(_prefixes(rows.select("t"), ranks, roots), "prefixes")
     # hot components, whose sets are marked once in each list they are in, however many they are
-    total = prefixes.count()
-    hot = roots.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") >= max(HOT, total // HOT_PARTS)).select(F.col("root").alias("of"))
-    hot = written(hot, "hot-roots")
-    hot_sets = roots.join(F.broadcast(hot), F.col("root") == F.col("of")).select("x", "root").union(hot.select(F.col("of").alias("x"), F.col("of").alias("root")))
-    hot_sets = written(hot_sets, "hot-sets")
-    rooted = prefixes.select("x", "n", "p").join(roots, "x", "left").select("x", "n", "root", "p")
-    usual = rooted.join(F.broadcast(hot), F.coalesce("root", "x") == F.col("of"), "left_anti").select("x", "n", "root", F.posexplode("p").alias("pos", "token"))
-    crowd = prefixes.select("x", "p").join(hot_sets, "x").select("x", "root", F.explode("p").alias("token"))
+    hot = roots.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") >= max(HOT, leads.count() // HOT_PARTS)).select(F.col("root").alias("of"))
+    hot = F.broadcast(written(hot, "hot-roots"))
+    of_hot = F.coalesce("root", "x") == F.col("of")
+    usual = prefixes.join(hot, of_hot, "left_anti").select("x", "n", "root", F.posexplode("p").alias("pos", "token"))
+    crowd = prefixes.join(hot, of_hot).select("x", F.col("of").alias("root"), F.explode("p").alias("token"))
     marks = crowd.groupBy("token", "root").agg(F.first("x").alias("x"))
     postings = usual.select("token", "x", "root", _place(F.col("pos"), F.col("n"), False).alias("place")).union(marks.select("token", "x", "root", _place(F.lit(0), F.lit(1), True)))
     listed = written(_listed(postings), "index-lists")
