@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Levels of the tree; the segments from the last one on are one, as a whole.
-MAX_DEPTH = 8
 #: A segment can stay literal if it has so many urls, and such a share of its parent's; so 1 / MIN_SHARE of them at most.
 MIN_URLS, MIN_SHARE = 20, 0.01
 #: Branches whose labelled rates differ by fewer standard errors are merged.
@@ -44,8 +42,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def typed_segments(path: Column) -> Column:
-    """The segments of a path, with numbers, dates, hexadecimal and mixed ids as typed wildcards; an end slash is an empty segment,
-    one that itself begins with < gets a =, and what is deeper than MAX_DEPTH is joined to one segment, nothing left out."""
+    """The segments of a path, all of them, with numbers, dates, hexadecimal and mixed ids as typed wildcards; an end slash is an empty
+    segment, and one that itself begins with < gets a =."""
     raw = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
 
     def kind(s: Column) -> Column:
@@ -57,9 +55,11 @@ def typed_segments(path: Column) -> Column:
             .otherwise(number)
         )
 
-    typed = F.transform(raw, kind)
-    deep = F.concat(F.slice(typed, 1, MAX_DEPTH - 1), F.array(F.array_join(F.slice(typed, MAX_DEPTH, 1 << 30), "/")))
-    return F.when(F.size(raw) <= MAX_DEPTH, typed).otherwise(deep)
+    return F.transform(raw, kind)
+
+
+def _is_typed(seg: Column) -> Column:
+    return seg.startswith("<") | (seg == "")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -76,7 +76,7 @@ def merged_branches(children: DataFrame) -> DataFrame:
     alike become one branch, and then it and the next are compared. A branch with the rest, or the only one, is a wildcard; any
     other is named by its segments. At most 1 / MIN_SHARE segments of a parent are compared. An only child keeps its name.
     """
-    free = children.filter(~(F.col("seg").startswith("<") | (F.col("seg") == "")))
+    free = children.filter(~_is_typed(F.col("seg")))
     sums = free.groupBy("host", "prefix").agg(F.sum("n").alias("all_n"), F.count("*").alias("siblings"))
     ranked = free.join(sums, ["host", "prefix"]).withColumn("own", (F.col("n") >= MIN_URLS) & (F.col("n") >= MIN_SHARE * F.col("all_n")) & (F.col("labelled") > 0))
     kind = "array<struct<segs:array<string>,rest:boolean,labelled:bigint,bad:bigint>>"
@@ -100,27 +100,48 @@ def merged_branches(children: DataFrame) -> DataFrame:
     return named.union(ranked.filter("siblings = 1 AND n >= " + str(MIN_URLS)).select("host", "prefix", "seg", F.col("seg").alias("name")))
 
 
+def _behind(segs: str, n: Column) -> Column:
+    return F.slice(segs, n + 1, F.greatest(F.size(segs) - n, F.lit(0)))
+
+
+def _descended(leaves: DataFrame) -> DataFrame:
+    """leaves (host, rest, n, prefix, ...) further down their nodes (host, prefix), as far as one step decides: through the segments
+    that all leaves of a node share, and to the end below nodes of fewer than MIN_URLS urls, where no segment keeps a name."""
+    ends = leaves.groupBy("host", "prefix").agg(F.min("rest").alias("low"), F.max("rest").alias("high"), F.sum("n").alias("node_n"))
+    differ = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False)
+    nodes = ends.select("host", "prefix", "node_n", F.when(differ > 0, differ - 1).otherwise(F.size("low")).cast("int").alias("shared"))
+    few = F.col("node_n") < MIN_URLS
+    named = F.transform(F.slice("rest", 1, F.when(few, F.size("rest")).otherwise(F.col("shared"))), lambda x: F.concat(F.lit("/"), F.when(few & ~_is_typed(x), WILD).otherwise(x)))
+    both = leaves.join(written(nodes, "url-nodes"), ["host", "prefix"])
+    return both.withColumns({"prefix": F.concat("prefix", F.array_join(named, "")), "rest": F.when(few, F.array().cast("array<string>")).otherwise(_behind("rest", F.col("shared")))})
+
+
 def template_tree(urls: DataFrame) -> DataFrame:
     """Templates from (host, path, label), label being 1 for bad, 0 for good and null for unknown.
 
     Returns (host, segs, template, n, labelled, bad, share, reject), a row for each host and typed path. From the root down,
     frequent segments whose labelled rates don't differ significantly are merged, see merged_branches; typed segments stay, and all
-    others are a wildcard. share is the template's smoothed share of bad urls: towards
+    others are a wildcard. Paths of any depth are followed: a turn goes through all segments that a node's urls share, and then one branching. share is the template's smoothed share of bad urls: towards
     its host's share, and that towards the share of all. All urls count.
     """
     leaves = urls.groupBy("host", typed_segments(F.col("path")).alias("segs")).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    leaves = written(leaves.withColumn("prefix", F.lit("")), "url-leaves")
-    depth = leaves.agg(F.max(F.size("segs"))).first()[0] or 0
+    leaves = written(leaves.withColumns({"rest": F.col("segs"), "prefix": F.lit("")}), "url-leaves")
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    for d in range(depth):
-        seg = F.get("segs", F.lit(d))
-        children = leaves.filter(seg.isNotNull()).groupBy("host", "prefix", seg.alias("seg")).agg(*sums)
-        children = written(children, f"url-children-{d}")
-        typed = F.col("seg").startswith("<") | (F.col("seg") == "")
-        names = children.select("host", "prefix", "seg").join(written(merged_branches(children), f"url-branches-{d}"), ["host", "prefix", "seg"], "left")
-        names = names.select("host", "prefix", "seg", F.concat("prefix", F.lit("/"), F.when(typed, F.col("seg")).otherwise(F.coalesce("name", F.lit(WILD)))).alias("next"))
-        step = leaves.withColumn("seg", seg).join(names, ["host", "prefix", "seg"], "left")
-        leaves = written(step.select("host", "segs", "n", "labelled", "bad", F.coalesce("next", "prefix").alias("prefix")), f"url-level-{d}")
+    columns = ["host", "segs", "rest", "n", "labelled", "bad", "prefix"]
+    node, done, turn = ["host", "prefix"], [], 0
+    while not leaves.isEmpty():
+        leaves = written(_descended(leaves).select(*columns), f"url-common-{turn}")
+        done.append(leaves.filter("size(rest) = 0").select(*columns))
+        open_ = leaves.filter("size(rest) > 0").withColumn("seg", F.col("rest")[0])
+        children = written(open_.groupBy(*node, "seg").agg(*sums), f"url-children-{turn}")
+        names = children.join(written(merged_branches(children), f"url-branches-{turn}"), [*node, "seg"], "left")
+        step = F.when(_is_typed(F.col("seg")), F.col("seg")).otherwise(F.coalesce("name", F.lit(WILD)))
+        names = names.select(*node, "seg", F.concat("prefix", F.lit("/"), step).alias("next"))
+        leaves = written(open_.join(names, [*node, "seg"]).withColumns({"prefix": F.col("next"), "rest": _behind("rest", F.lit(1))}).select(*columns), f"url-level-{turn}")
+        turn += 1
+    leaves = done[0] if done else leaves
+    for more in done[1:]:
+        leaves = leaves.union(more)
     templates = leaves.groupBy("host", F.col("prefix").alias("template")).agg(*sums)
     hosts = templates.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     total = templates.agg(F.sum("labelled"), F.sum("bad")).first()
