@@ -17,8 +17,8 @@ BROADCAST_SOURCES, NAME_BYTES = 20_000, 4 << 20
 SALTS = 64
 #: Below this rate, a source's distribution is an array of its own, 250 numbers at most; from it on, its terms are summed for each row.
 ARRAY_RATE = 100.0
-#: From this rate on, the count is that of the normal distribution with its mean and variance, rounded.
-NORMAL_RATE = 2000.0
+#: Sums of terms go over so many standard deviations, and TAIL numbers more, on both sides of the mean.
+DEVIATIONS, TAIL = 12, 30
 #: Copies of one row that are made at a time.
 COPIES = 1000
 
@@ -29,25 +29,33 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
+def _log_term(k: Column, rate: Column) -> Column:
+    """ln P(X = k) for k = 0 or a k of some hundred at least, by Stirling's series, whose error is then below that of the numbers."""
+    # k ln(rate / k) + k - rate without the difference of two large numbers
+    apart = k * F.log1p((rate - k) / k) + (k - rate)
+    return F.when(k > 0, apart - 0.5 * F.log(2 * math.pi * k) - 1 / (12 * k) + 1 / (360 * k * k * k)).otherwise(-rate)
+
+
 def poisson_count(rate: Column, u: Column) -> Column:
-    """The lowest k with P(X <= k) > u of a Poisson distribution: sums of its terms from 0 on, kept as two numbers, no array of them.
+    """The lowest k with P(X <= k) > u of a Poisson distribution, at any rate: sums of its terms, kept as two numbers, no array of them.
 
-    From NORMAL_RATE on, where a sum from 0 would take as long as the rate, it is the rounded quantile of the normal distribution,
-    by two more uniform numbers from u (Box and Muller). Where the sum is 1 in double precision, k is the last before.
+    The sum begins DEVIATIONS standard deviations and TAIL numbers below the mean, or at 0; what lies below has a probability under
+    1e-30. Where the sum is 1 in double precision, k is the last before. So it takes 2 * DEVIATIONS * sqrt(rate) steps, fewer than the
+    copies that it counts from a rate of some hundred on.
     """
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    first = F.named_struct(F.lit("log"), -rate, F.lit("sum"), F.exp(-rate), F.lit("k"), F.when((F.exp(-rate) <= u) & (F.exp(-rate) < 1 - 2.0**-52), 1).otherwise(0))
+    rate = rate.cast("double")
+    top = F.ceil(rate + DEVIATIONS * F.sqrt(rate) + TAIL).cast("bigint")
+    low = F.floor(rate - DEVIATIONS * F.sqrt(rate) - TAIL)
+    low = F.when(low >= 300, low).otherwise(0).cast("bigint")
+    log = _log_term(low.cast("double"), rate)
+    first = F.named_struct(F.lit("log"), log, F.lit("sum"), F.exp(log), F.lit("k"), low + F.when(F.exp(log) <= u, 1).otherwise(0))
 
     def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
+        log = acc["log"] + F.log(rate / k)
         total = acc["sum"] + F.exp(log)
         return F.named_struct(F.lit("log"), log, F.lit("sum"), total, F.lit("k"), acc["k"] + F.when((total <= u) & (total < 1 - 2.0**-52), 1).otherwise(0))
 
-    small = F.aggregate(F.sequence(F.lit(1), F.when(rate < NORMAL_RATE, top).otherwise(1)), first, step)["k"]
-    fine = u * float(1 << 26)
-    normal = F.sqrt(-2 * F.log((F.floor(fine) + 0.5) / float(1 << 26))) * F.cos(2 * math.pi * (fine - F.floor(fine)))
-    large = F.round(rate + F.sqrt(rate) * normal)
-    return F.when(rate < NORMAL_RATE, F.when(rate > 0, small).otherwise(0).cast("bigint")).otherwise(F.greatest(large, F.lit(0.0)).cast("bigint"))
+    return F.when(rate > 0, F.aggregate(F.sequence(low + 1, top), first, step)["k"]).otherwise(F.lit(0).cast("bigint"))
 
 
 def poisson_cdf(rate: Column) -> Column:
