@@ -215,12 +215,16 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, *, min_precision: flo
 def fit_rules(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality", **learning: float) -> list[Rule]:
     """Learns rules for label 0 from at most fit_rows labelled documents, chosen by a hash of their key.
 
-    Null labels and keys are left out, and so are keys with labels that differ. The statistics of the chosen rows, a few MB, go to
-    the driver. Without labels of both kinds there are no rules.
+    Null labels and keys are left out, and so are keys with labels that differ or without a document. Of rows with one key the text
+    with the lowest hash counts, so there is one row for each key. The statistics of the chosen rows, a few MB, go to the driver.
+    Without labels of both kinds there are no rules.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("lk")).agg(F.min(label).alias("a"), F.max(label).alias("b")).filter("a = b")
+    known = known.join(docs.select(F.col(key).alias("lk")).distinct(), "lk", "left_semi")
     chosen = known.select("lk", F.col("a").alias("label")).orderBy(F.xxhash64("lk"), "lk").limit(fit_rows)
-    rows = docs.select(F.col(key).alias("lk"), F.col(text).alias("t")).join(F.broadcast(chosen), "lk").select(F.struct("lk", "label").alias("id"), "t")
+    rows = docs.select(F.col(key).alias("lk"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "lk")
+    # combined before the shuffle, so a key that repeats without end sends one text from each task
+    rows = rows.groupBy("lk", "label").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.col("t"))).alias("t")).select(F.struct("lk", "label").alias("id"), "t")
     sample = text_statistics(rows, key="id", text="t").selectExpr("id.lk AS lk", "id.label AS label", *FEATURES).toPandas()
     sample = sample.sort_values(["lk", *FEATURES], kind="stable")
     if sample["label"].nunique() < 2:
