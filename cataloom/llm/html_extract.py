@@ -28,14 +28,19 @@ FIT_PAGES, FIT_CHARS = 240, 60_000
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 192, 24, 14, 16
 PAGE_NUMBERS = 8
 BATCH_BYTES = 4 << 20
+#: Blocks that the network holds at a time, padding included.
+GROUP_BLOCKS = 4096
 
 # Elements of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style template svg canvas".split())
+SELF_CLOSING = frozenset(["svg"])
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+#: Quotes count behind = only, and one that isn't closed ends with the tag.
+_ATTRIBUTES = r"""((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?+)*+)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*){_ATTRIBUTES}(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -96,7 +101,8 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag in stack:
                 close(len(stack) - 1 - stack[::-1].index(tag))
             continue
-        if tag in RAW_TAGS and not m[0].endswith("/>"):
+        # an end slash counts in foreign elements only
+        if tag in RAW_TAGS and not (tag in SELF_CLOSING and m[0].endswith("/>")):
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -156,14 +162,17 @@ class Hasher:
         return ((counts[:WORD_DIM] - counts[WORD_DIM:]) / np.sqrt(max(len(words), 1))).astype(np.float32)
 
     def page(self, blocks: list[Block]) -> np.ndarray:
+        return self.rows(blocks, page_numbers(blocks) if blocks else np.zeros((0, PAGE_NUMBERS), np.float32))
+
+    def rows(self, blocks: list[Block], numbers: np.ndarray) -> np.ndarray:
+        """Vectors of some blocks of a page and their numbers from the whole page."""
         out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + NUMBERS), np.float32)
         for i, b in enumerate(blocks):
             out[i, :PATH_DIM] = self.path(b.path)
             out[i, PATH_DIM : PATH_DIM + WORD_DIM] = self.text(b.text)
             n = len(b.text)
             out[i, -NUMBERS : -PAGE_NUMBERS] = (np.log1p(n) / 4, b.linked / n, (b.text.count(".") + b.text.count(",")) / n * 10, len(b.path) / 8, b.text[-1] in ".!?", 1.0)
-        if blocks:
-            out[:, -PAGE_NUMBERS:] = page_numbers(blocks)
+        out[:, -PAGE_NUMBERS:] = numbers
         return out
 
 
@@ -220,13 +229,14 @@ class Labeller:
         w["b"] = np.zeros(1, np.float32)
         return Labeller(w)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, tape: list | None) -> np.ndarray:
-        """Hidden states of (pages, blocks, features), in the order of x; beyond a page's end the state stays."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, tape: list | None, state: list[np.ndarray] | None = None) -> np.ndarray:
+        """Hidden states of (pages, blocks, features), in the order of x; beyond a page's end the state stays. state, hidden and cell,
+        is where the pages begin, and is left as they end."""
         n, steps, h = len(x), x.shape[1], HIDDEN
         gates_x = x.reshape(n * steps, -1) @ self.w[f"x{side}"] + self.w[f"c{side}"]
         gates_x = gates_x.reshape(n, steps, 4 * h)
         out = np.zeros((n, steps, h), np.float32)
-        hid, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        hid, cell = state or (np.zeros((n, h), np.float32), np.zeros((n, h), np.float32))
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             g = gates_x[:, t] + hid @ self.w[f"h{side}"]
             i, f, o = (_sigmoid(g[:, k * h : (k + 1) * h]) for k in range(3))
@@ -238,6 +248,8 @@ class Labeller:
                 tape.append((t, hid, cell, i, f, o, a, tc, m))
             hid, cell = np.where(m, o * tc, hid), np.where(m, new, cell)
             out[:, t] = hid
+        if state is not None:
+            state[:] = hid, cell
         return out
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -245,6 +257,24 @@ class Labeller:
         states = [self._run(x, mask, side, None) for side in "fb"]
         return np.concatenate([*states, x], axis=2) @ self.w["o"] + self.w["b"]
 
+    def long_scores(self, blocks: list[Block], hasher: Hasher, steps: int) -> np.ndarray:
+        """scores of one page, steps blocks at a time: the backward states of all blocks are kept, a few numbers each, and the vectors
+        of the blocks in hand only."""
+        numbers, n = page_numbers(blocks), len(blocks)
+        fresh = lambda: [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+        vectors = lambda a: hasher.rows(blocks[a : a + steps], numbers[a : a + steps])[None]
+        back, out = np.zeros((n, HIDDEN), np.float32), np.zeros(n, np.float32)
+        state = fresh()
+        for a in reversed(range(0, n, steps)):
+            x = vectors(a)
+            back[a : a + steps] = self._run(x, np.ones(x.shape[:2], bool), "b", None, state)[0]
+        state = fresh()
+        for a in range(0, n, steps):
+            x = vectors(a)
+            ahead = self._run(x, np.ones(x.shape[:2], bool), "f", None, state)
+            out[a : a + steps] = (np.concatenate([ahead, back[None, a : a + steps], x], axis=2) @ self.w["o"] + self.w["b"])[0]
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean loss of the blocks and its gradient, back through time."""
         tapes: dict[str, list] = {"f": [], "b": []}
@@ -453,23 +483,34 @@ def fit_labeller(pages: DataFrame, *, fit_pages: int = FIT_PAGES, variants: int
 # --- extraction ----------------------------------------------------------------------------------------------------------
 
 
-def label_pages(net: Labeller, pages: list[list[Block]], hasher: Hasher, group: int = 64) -> list[np.ndarray]:
-    """Which blocks of each page are main text; pages of like length run together."""
+def label_pages(net: Labeller, pages: list[list[Block]], hasher: Hasher, group: int = 64, most: int = GROUP_BLOCKS) -> list[np.ndarray]:
+    """Which blocks of each page are main text; pages of like length run together, up to group of them and most blocks with the
+    padding, and a longer page runs alone, most blocks at a time."""
     out = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), group):
-        part = order[at : at + group]
+    at = 0
+    while at < len(order):
+        longest = len(pages[order[at]])
+        if longest > most:
+            out[order[at]] = net.long_scores(pages[order[at]], hasher, most) > 0
+            at += 1
+            continue
+        to = at + 1
+        while to < len(order) and to - at < group and (to - at + 1) * len(pages[order[to]]) <= most:
+            to += 1
+        part = order[at:to]
         x, mask = padded([hasher.page(pages[i]) for i in part])
         score = net.scores(x, mask)
         for j, i in enumerate(part):
             out[i] = score[j, : len(pages[i])] > 0
+        at = to
     return out
 
 
 def main_text(pages: DataFrame, net: Labeller, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of each row of pages: the blocks that net labels as main text, joined by \\n, and its code points.
 
-    The whole html is read. Character references are decoded, and white space inside a block, line breaks too, is one space.
+    The whole html is read; the network's memory doesn't grow with the page. Character references are decoded, and white space inside a block, line breaks too, is one space.
     A null or empty html gives an empty text; repeated rows give repeated rows; null keys and urls stay null; an empty table
     gives an empty table; other columns aren't read.
     """
