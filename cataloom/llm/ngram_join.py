@@ -18,6 +18,7 @@ by the overlap of their prefixes and verified on their whole sets. No step loses
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -25,10 +26,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix64, small_batches, texts_of, windows, word_hashes, written
+from .common import by_bytes, mix64, shared_dir, small_batches, texts_of, windows, word_hashes, written
 from .components import components
 from .minhash_dedup import FOUND, HIGH, LOW, ROUNDS, THRESHOLD, _alike, _found, _held, _tops, differences
 
@@ -361,12 +362,15 @@ def set_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     leads = written(read.filter("n > 0").groupBy("x").agg(F.first("n").alias("n"), F.first("lead").alias("lead")), "leads")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-        return written(_compared(pairs, _contents(rows, ends, name), THRESHOLD), f"{name}-links").select("a", "b")
+        texts, folder = _contents(rows, pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct(), name)
+        found = written(_compared(pairs, texts, THRESHOLD), f"{name}-links").select("a", "b")
+        _released(spark, folder)
+        return found
 
     links = compared(written(_hub_pairs(leads), "hub-pairs"), "hub")
     roots = written(components(links).select(F.col("v").alias("x"), "root"), "hub-roots")
     prefixes = written(_prefixes(rows.select("t"), ranks, roots), "prefixes")
+    _released(spark)
     # hot components, whose sets are marked once in each list they are in, however many they are
     hot = roots.groupBy("root").agg(F.count("*").alias("m")).filter(F.col("m") >= max(HOT, leads.count() // HOT_PARTS)).select(F.col("root").alias("of"))
     hot = F.broadcast(written(hot, "hot-roots"))
@@ -376,6 +380,8 @@ def set_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     marks = crowd.groupBy("token", "root").agg(F.first("x").alias("x"))
     postings = usual.select("token", "x", "root", _place(F.col("pos"), F.col("n"), False).alias("place")).union(marks.select("token", "x", "root", _place(F.lit(0), F.lit(1), True)))
     listed = written(_listed(postings), "index-lists")
+    del postings, usual, marks
+    _released(spark)
     pairs = written(_possible(listed.filter("token IS NULL"), prefixes, THRESHOLD), "list-pairs")
     found = [links, compared(pairs, "list")]
     long = listed.filter("token IS NOT NULL")
@@ -385,8 +391,9 @@ def set_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         members = written(members, "long-members")
         several = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
         members = written(members.join(written(several, "open-lists"), "bucket", "left_semi").select("bucket", "x"), "long-lists")
-        texts = _contents(rows, members.select("x").distinct(), "long")
+        texts, folder = _contents(rows, members.select("x").distinct(), "long")
         found += _by_hubs(members, prefixes, texts, roots)
+        _released(spark, folder)
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
@@ -397,12 +404,24 @@ def set_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     return some.union(classed.filter("n = 0").select("k", "n", "k")).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """(x, t): a text of each wanted set x."""
+def _contents(docs: DataFrame, wanted: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(x, t): a text of each wanted set x, and the folder it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "t", BATCH_BYTES):
             yield pa.record_batch([pa.array([set_hash(h) for h in sets_of(texts_of(part.column("t")))], pa.int64()), part.column("t")], names=["x", "t"])
 
-    named = docs.select("t").mapInArrow(run, "x long, t string")
-    return written(named.join(wanted, "x", "left_semi").dropDuplicates(["x"]), f"{name}-texts")
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, f"{name}-texts")
+    docs.select("t").mapInArrow(run, "x long, t string").join(wanted, "x", "left_semi").dropDuplicates(["x"]).write.parquet(folder)
+    _released(spark)
+    return spark.read.schema("x long, t string").parquet(folder), folder
+
+
+def _released(spark: SparkSession, folder: str | None = None) -> None:
+    """Lets go of what is done with: a folder of texts, and the shuffle files of plans that nothing refers to any more, which Spark's
+    cleaner removes when the driver collects its garbage."""
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -141,6 +141,16 @@ u AS (SELECT *, ('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '
 times AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(f.k) AS times FROM u LEFT JOIN f ON f.source IS NOT DISTINCT FROM u.source AND f.cdf <= u.u AND f.cdf < 1 - 2.220446049250313e-16 GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, mix_copy::INTEGER AS mix_copy, md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || mix_copy) AS mix_order
 FROM (SELECT *, unnest(range(1, times + 1)) AS mix_copy FROM times WHERE times > 0)""",
+    "op11_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(x, ' ') AS g FROM (
+  SELECT doc_id, CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+SELECT a AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = reach.a GROUP BY a""",
     "op9_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
@@ -152,4 +162,6 @@ FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from .oracles import CONVERSATION_REPAIR, PERIODIC_RUNS
+
+    return SQL | {"op12_periodic_runs": PERIODIC_RUNS, "op13_conversation_repair": CONVERSATION_REPAIR}
