@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import geo, text, urls
-from .operators import enrich, facets, html, integrate, present, report, resolve, retrieve
+from .operators import enrich, facets, html, integrate, judge, present, report, resolve, retrieve, sparse_index, vector_index
 from .operators.filters import Selection, browse
 from .plans.engine import Engine
 from .plans.standin import SQL as CAT
 from .plans.standin import catalogue, table
 from .schema import FALLBACK_ABOUT, REFINED
+from .sources.storage import shared_dir, stored
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +44,21 @@ def _in(values: tuple) -> str:
     return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
 
 
+# --- clients for queries that call a model --------------------------------------------------------------------------------
+
+
+class _IdJudge:
+    """Scores a candidate by its id; says nothing of each fifth, everything twice of each third, and fails for some lengths of a query."""
+
+    def complete(self, prompt: str) -> str:
+        asked = re.search(r"Buyer query: (.*?)\n\nid=", prompt, re.S)[1]
+        if len(asked) % 4 == 0:
+            raise ValueError("no reply")
+        ids = [int(x) for x in re.findall(r"(?m)^id=(\d+)$", prompt)]
+        pairs = [[i, (i * 7 % 11) / 11 + 0.123] for i in ids if i % 5]
+        return "```json\n" + json.dumps({"results": [[i, 0.5] for i in ids if i % 3 == 0 and i % 5] + pairs + [[10**9, 1.0]]}) + "\n```"
+
+
 # --- browsing and facets -------------------------------------------------------------------------------------------------
 
 _ROW = "id, company_name, hq_country, array_to_string(list_sort(expos), '|') AS expos"
@@ -147,6 +166,54 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top(retrieve.bm25(docs.filter(F.col("lang").isin("en", "de")), _asked(spark, sf_dir), corpus=docs), TOP)
 
 
+def _sparse_index(spark: SparkSession, sf_dir: str) -> sparse_index.SparseIndex:
+    return sparse_index.build(_texts(spark, sf_dir), shared_dir(spark, "sparse-index"))
+
+
+@query(
+    "index_build",
+    f"""WITH {_bm25_sql()} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS top,
+  least(count(*), 100)::INTEGER AS n_best, round(sum(b) FILTER (place <= 100), 4) AS sum_best
+FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY b DESC) AS place FROM (SELECT term, tf, dl, avgdl, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS b FROM tf, stats)) GROUP BY term""",
+)
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index's terms: documents, occurrences, the greatest impact, and the best impacts."""
+    best = F.aggregate("best", F.lit(0.0), lambda s, x: s + x)
+    return _sparse_index(spark, sf_dir).terms.select("term", "df", "cf", F.round("top", 6).alias("top"), F.size("best").alias("n_best"), F.round(best, 4).alias("sum_best"))
+
+
+@query("bm25_indexed", f"WITH {_bm25_sql()} SELECT query_id, id, score, rank FROM sparse_top WHERE rank <= {TOP}")
+def bm25_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top(_sparse_index(spark, sf_dir).search(_asked(spark, sf_dir), TOP), TOP)
+
+
+@query("bm25_indexed_filtered", f"WITH {_bm25_sql(_LANG)} SELECT query_id, id, score, rank FROM sparse_top WHERE rank <= {TOP}")
+def bm25_indexed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = _texts(spark, sf_dir).filter(F.col("lang").isin("en", "de"))
+    return retrieve.top(_sparse_index(spark, sf_dir).search(_asked(spark, sf_dir), TOP, allowed=allowed), TOP)
+
+
+@query("dense_indexed", f"WITH {_dense_sql()} SELECT query_id, id, score, rank FROM dense_top WHERE rank <= {TOP}")
+def dense_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest lists first, then those that the bounds of lists don't exclude: the result of dense_topk."""
+    index = vector_index.build(_vectors(spark, sf_dir), shared_dir(spark, "vector-index"))
+    return index.search(_query_vectors(spark, sf_dir), TOP, exact=True)
+
+
+@query(
+    "hybrid_indexed",
+    f"WITH {_bm25_sql()}, {_dense_sql('vec_id IN (SELECT doc_id FROM documents)')}, fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM dense_top WHERE rank <= 50 UNION ALL SELECT query_id, id, rank FROM sparse_top WHERE rank <= 50) GROUP BY query_id, id), ranked AS (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INTEGER AS rank FROM fused) SELECT query_id, id, score, rank, 'Firm ' || id AS company_name FROM ranked WHERE rank <= 5",
+)
+def hybrid_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An engine seeded with all documents, found again by its path: both stored indexes, fused."""
+    none = F.array().cast("array<int>")
+    firms = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Firm "), F.col("doc_id").cast("string")).alias("company_name"), F.array("source").alias("expos"), F.col("lang").alias("hq_country"), none.alias("cat_l1_ids"), none.alias("cat_l2_ids"))
+    path = shared_dir(spark, "engine")
+    Engine.seed(firms, _vectors(spark, sf_dir), path, texts=_texts(spark, sf_dir))
+    found = Engine.open(spark, path).search(_asked(spark, sf_dir), _query_vectors(spark, sf_dir))
+    return found.select("query_id", "id", "score", "rank", "company_name")
+
+
 @query("bm25_no_idf", f"WITH {_bm25_sql(idf='1')} SELECT query_id, id, score, rank FROM sparse_top WHERE rank <= {TOP}")
 def bm25_no_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top(retrieve.bm25(_texts(spark, sf_dir), _asked(spark, sf_dir), idf=False), TOP)
@@ -164,8 +231,7 @@ def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vector_distances", f"WITH {_dense_sql()} SELECT query_id, vec_id AS id, round(list_distance(embedding::DOUBLE[], q), 6) AS l2, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda p: abs(p[1] - p[2]))), 6) AS l1 FROM embeddings, vq")
 def vector_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.broadcast(_query_vectors(spark, sf_dir).withColumnRenamed("vector", "q"))
-    both = _vectors(spark, sf_dir).join(asked, F.lit(True))
+    both = retrieve.with_queries(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir))
     return both.select("query_id", "id", F.round(retrieve.distance(F.col("vector"), F.col("q")), 6).alias("l2"), F.round(retrieve.distance(F.col("vector"), F.col("q"), "l1"), 6).alias("l1"))
 
 
@@ -216,7 +282,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_search(spark, sf_dir)
 
 
-_SHORT = f"{_bm25_sql('id IN (SELECT doc_id FROM labels)')}, short AS (SELECT * FROM sparse_top WHERE rank <= 20)"
+_SHORT = f"{_bm25_sql()}, short AS (SELECT * FROM sparse_top WHERE rank <= 20)"
 
 
 def _rerank_sql(base: str, judge: str, part: str) -> str:
@@ -232,35 +298,72 @@ SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC NU
 _MINMAX = "CASE WHEN hi - lo < 1e-12 THEN 0.5::DOUBLE ELSE (raw - lo) / (hi - lo) END"
 _Z = "CASE WHEN sd < 1e-12 THEN 0 ELSE (raw - m) / sd END"
 _ZJ = "CASE WHEN fsd < 1e-12 THEN 0 ELSE (filled - fm) / fsd END"
-_LABEL_JUDGE = "judged AS (SELECT query_id, id, judge FROM short JOIN (SELECT doc_id AS id, (quality * 0.5 + toxic * 0.25)::DOUBLE AS judge FROM labels WHERE quality IS NOT NULL {extra}) USING (id))"
+#: A judge of all documents that says nothing of those with some lengths.
+_LENGTH_JUDGE = "judged AS (SELECT query_id, id, judge FROM short JOIN (SELECT doc_id AS id, (n_chars % 101)::DOUBLE / 101 AS judge FROM documents WHERE n_chars % 5 <> 0) USING (id))"
+_LABEL_JUDGE = "judged AS (SELECT query_id, id, judge FROM short JOIN (SELECT doc_id AS id, (quality * 0.5 + toxic * 0.25)::DOUBLE AS judge FROM labels WHERE quality IS NOT NULL) USING (id))"
 
 
-def _shortlist(spark: SparkSession, sf_dir: str, labelled: bool) -> DataFrame:
-    docs = _texts(spark, sf_dir)
-    some = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi") if labelled else docs
-    return retrieve.top(retrieve.bm25(some, _asked(spark, sf_dir), corpus=docs), 20)
+def _shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top(retrieve.bm25(_texts(spark, sf_dir), _asked(spark, sf_dir)), 20)
+
+
+def _judged_by_length(spark: SparkSession, sf_dir: str, shortlist: DataFrame) -> DataFrame:
+    judged = table(spark, sf_dir, "documents").filter("n_chars % 5 <> 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 101 / 101).alias("judge"))
+    return shortlist.select("query_id", "id").join(judged, "id")
 
 
-def _judged(spark: SparkSession, sf_dir: str, shortlist: DataFrame, condition: str = "true") -> DataFrame:
-    labels = table(spark, sf_dir, "labels").filter(condition).select(F.col("doc_id").alias("id"), (F.col("quality") * 0.5 + F.col("toxic") * 0.25).alias("judge"))
+def _judged(spark: SparkSession, sf_dir: str, shortlist: DataFrame) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 0.5 + F.col("toxic") * 0.25).alias("judge"))
     return shortlist.select("query_id", "id").join(labels, "id")
 
 
-@query("rerank_minmax", f"WITH {_SHORT}, {_LABEL_JUDGE.format(extra='AND toxic = 0')}, {_rerank_sql(_MINMAX, 'filled', 'judged')}")
+@query("rerank_minmax", f"WITH {_SHORT}, {_LENGTH_JUDGE}, {_rerank_sql(_MINMAX, 'filled', 'judged')}")
 def rerank_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _shortlist(spark, sf_dir, True)
-    return retrieve.rerank(short, _judged(spark, sf_dir, short, "toxic = 0"))
+    short = _shortlist(spark, sf_dir)
+    return retrieve.rerank(short, _judged_by_length(spark, sf_dir, short))
+
+
+def _as_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as candidates: languages are countries, sources categories."""
+    none = F.lit(None)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("Firm "), F.col("doc_id").cast("string")).alias("company_name"), F.col("text").alias("about"), none.cast(REFINED).alias("refined"), F.col("lang").alias("hq_country"), none.cast("array<string>").alias("cat_l1_names"), F.array("source").alias("cat_l2_names"))
+
+
+_SPACED = r"trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(
+    "judge_calls",
+    f"""WITH {_bm25_sql()}, short AS (SELECT * FROM sparse_top WHERE rank <= 20),
+judged AS (SELECT query_id, id, least(1::DOUBLE, (id * 7 % 11)::DOUBLE / 11 + 0.123::DOUBLE) AS judge FROM short JOIN benchmark ON item_id = query_id WHERE id % 5 <> 0 AND length({_SPACED}) % 4 <> 0),
+{_rerank_sql(_MINMAX, 'filled', 'judged')}""",
+)
+def judge_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortlists of all documents, judged in prompts of bounded size, and reranked where enough of a shortlist was judged."""
+    short = stored(retrieve.top(retrieve.bm25(_texts(spark, sf_dir), _asked(spark, sf_dir)), 20), "short")
+    scores = judge.judgements(short, _asked(spark, sf_dir), _as_entities(spark, sf_dir), _IdJudge, chars=6000, tries=1)
+    return retrieve.rerank(short, scores)
 
 
-@query("rerank_zscore", f"WITH {_SHORT}, {_LABEL_JUDGE.format(extra='AND toxic = 0')}, {_rerank_sql(_Z, _ZJ, 'judged')}")
+@query("judge_prompts", f"WITH {_bm25_sql()} SELECT query_id, id, rank FROM sparse_top WHERE rank <= 20")
+def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What prompts of 3,000 characters show: each candidate of a shortlist once, in order."""
+    short = retrieve.top(retrieve.bm25(_texts(spark, sf_dir), _asked(spark, sf_dir)), 20)
+    parts = judge.prompts(short, _asked(spark, sf_dir), _as_entities(spark, sf_dir), "Judge.", chars=3000)
+    shown = parts.select("query_id", "part", F.posexplode("ids").alias("pos", "id"))
+    order = Window.partitionBy("query_id").orderBy("part", "pos")
+    return shown.select("query_id", "id", F.row_number().over(order).alias("rank"))
+
+
+@query("rerank_zscore", f"WITH {_SHORT}, {_LENGTH_JUDGE}, {_rerank_sql(_Z, _ZJ, 'judged')}")
 def rerank_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _shortlist(spark, sf_dir, True)
-    return retrieve.rerank(short, _judged(spark, sf_dir, short, "toxic = 0"), normalise="zscore")
+    short = _shortlist(spark, sf_dir)
+    return retrieve.rerank(short, _judged_by_length(spark, sf_dir, short), normalise="zscore")
 
 
-@query("rerank_coverage_fallback", f"WITH {_bm25_sql()}, short AS (SELECT * FROM sparse_top WHERE rank <= 20), {_LABEL_JUDGE.format(extra='')}, {_rerank_sql(_MINMAX, 'filled', 'judged')}")
+@query("rerank_coverage_fallback", f"WITH {_bm25_sql()}, short AS (SELECT * FROM sparse_top WHERE rank <= 20), {_LABEL_JUDGE}, {_rerank_sql(_MINMAX, 'filled', 'judged')}")
 def rerank_coverage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = _shortlist(spark, sf_dir, False)
+    short = _shortlist(spark, sf_dir)
     return retrieve.rerank(short, _judged(spark, sf_dir, short))
 
 
@@ -445,7 +548,16 @@ def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.query_tokens(F.col("text")), " ").alias("tokens")).filter("tokens <> ''")
 
 
-@query("text_parts")
+_PIECES = "list_filter(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '(?s)[^。！？.!?]*[。！？.!?]|[^。！？.!?]+$'), lambda s: list_transform(range((length(s) + 799) // 800), lambda i: s[i * 800 + 1 : i * 800 + 800]))), lambda s: s <> '')"
+
+
+@query(
+    "text_parts",
+    f"""WITH p AS (SELECT doc_id, list_transform({_PIECES}, lambda s: [s]) AS p FROM documents),
+a AS (SELECT doc_id, list_reduce(p, lambda a, b: CASE WHEN length(a[-1] || b[1]) <= 800 THEN list_concat(a[:-2], [a[-1] || b[1]]) ELSE list_concat(a, b) END) AS a FROM p WHERE len(p) > 0),
+u AS (SELECT doc_id, unnest(a) AS part, generate_subscripts(a, 1) AS i FROM a)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS pos, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part FROM u WHERE trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""",
+)
 def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in parts for translation: at most 800 characters each, nothing lost."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("pos", "part"))
@@ -542,10 +654,30 @@ def anti_only_in_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrate.only_in(a, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id")
 
 
-@query("positional_zip", "SELECT doc_id AS _seq, d.source AS left_value, e.lang AS right_value FROM documents d JOIN documents e USING (doc_id)")
+@query(
+    "positional_zip",
+    """WITH a AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS i FROM documents), b AS (SELECT lang, row_number() OVER (ORDER BY doc_id % 7, doc_id) AS i FROM documents)
+SELECT doc_id AS _seq, source AS left_value, lang AS right_value FROM a JOIN b USING (i)""",
+)
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables whose ordinals have other gaps and another order."""
     d = table(spark, sf_dir, "documents")
-    return integrate.zipped(d.select(F.col("doc_id").alias("_seq"), F.col("source").alias("left_value")), d.select(F.col("doc_id").alias("_seq"), F.col("lang").alias("right_value")))
+    ordinal = (F.col("doc_id") % 7) * (1 << 50) + F.col("doc_id") * 3
+    return integrate.zipped(d.select(F.col("doc_id").alias("_seq"), F.col("source").alias("left_value")), d.select(ordinal.alias("_seq"), F.col("lang").alias("right_value")))
+
+
+class _Initials:
+    """Resolves a text to its first letters and length; leaves out those with an even length when asked for several."""
+
+    def resolve(self, values):
+        return {v: f"{v[:2]}{len(v)}" for v in values if len(values) == 1 or len(v) % 2}
+
+
+@query("resolved_in_batches", "SELECT c_custkey AS id, CASE WHEN trim(c_name) <> '' THEN left(trim(c_name), 2) || length(trim(c_name)) END AS resolved FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '  ' WHEN c_custkey % 2 = 0 THEN c_name ELSE ' ' || c_name || c_mktsegment || ' ' END AS c_name FROM customer)")
+def resolved_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, name = table(spark, sf_dir, "customer"), F.col("c_name")
+    raw = F.when(F.col("c_custkey") % 5 == 0, "  ").when(F.col("c_custkey") % 2 == 0, name).otherwise(F.concat(F.lit(" "), name, "c_mktsegment", F.lit(" ")))
+    return integrate.resolved_in_batches(c.select(F.col("c_custkey").alias("id"), raw.alias("raw")), "raw", _Initials, "resolved").select("id", "resolved")
 
 
 @query(
@@ -664,6 +796,51 @@ def tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("k", line.alias("tree"))
 
 
+def _categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as records of suppliers with all that a fold merges: brands are level 1, brands with sizes level 2."""
+    node = F.struct(F.col("l1").alias("l1_id"), F.lit("Brand").alias("l1_name"), F.array(F.struct(F.col("p_size").cast("int").alias("id"), F.lit("Size").alias("name"))).alias("children"))
+    rows = _lines(spark, sf_dir).withColumn("l2", (F.col("l1") * 100 + F.col("p_size")).cast("int"))
+    lists = rows.groupBy("k", "_seq").agg(F.sort_array(F.collect_list(F.struct("name", "l1", "l2"))).alias("v"), F.sort_array(F.collect_list(node)).alias("cat_tree"))
+    name = F.concat(F.lit("Supplier "), F.lpad(F.col("k").cast("string"), 9, "0"))
+    text, place = F.lit("").alias, F.array(F.lit("T"))
+    return lists.select(
+        "_seq", F.when(F.col("_seq") % 2 == 0, F.concat(name, F.lit(" Inc."))).otherwise(F.upper(name)).alias("company_name"), F.concat(F.lit("About "), (F.col("_seq") % 3).cast("string"), F.lit("  x")).alias("about"),
+        F.lit("Japan").alias("hq_country"), text("hq_location"), F.concat(F.lit("https://s"), F.col("k").cast("string"), F.lit(".example")).alias("website"), text("website_scrape"), place.alias("locations"),
+        F.array(F.struct(F.lit("T").alias("location"), F.lit("u").alias("ebooth_url"))).alias("sources"), F.col("v.l1").alias("cat_l1_ids"), F.col("v.name").alias("cat_l1_names"), F.col("v.l2").alias("cat_l2_ids"), F.col("v.name").alias("cat_l2_names"), "cat_tree",
+    )
+
+
+_FOLDS = f"""{_LINES},
+u1 AS (SELECT k, l1, min(seq) AS o, min(struct_pack(s := seq, n := name)).n AS name FROM r GROUP BY k, l1), g1 AS (SELECT k, string_agg(l1::VARCHAR, '|' ORDER BY o, name) AS l1 FROM u1 GROUP BY k),
+u2 AS (SELECT k, l1 * 100 + p_size AS l2, min(seq) AS o, min(struct_pack(s := seq, n := name)).n AS name FROM r GROUP BY 1, 2), g2 AS (SELECT k, string_agg(l2::VARCHAR, '|' ORDER BY o, name) AS l2, count(*) AS n_l2 FROM u2 GROUP BY k),
+c AS (SELECT k, l1, p_size, min(seq) AS o FROM r GROUP BY k, l1, p_size), n AS (SELECT k, l1, min(o) AS o, string_agg(p_size::VARCHAR, ',' ORDER BY o, p_size) AS kids FROM c GROUP BY k, l1),
+t AS (SELECT k, string_agg(l1 || ':' || kids, '|' ORDER BY o, l1) AS tree FROM n GROUP BY k), m AS (SELECT k, count(DISTINCT seq) AS n_sources, min(seq) AS first FROM r GROUP BY k)"""
+
+
+def _merged(e: DataFrame, *columns: Column | str) -> DataFrame:
+    line = F.array_join(F.transform("cat_tree", lambda n: F.concat(n["l1_id"].cast("string"), F.lit(":"), F.array_join(F.transform(n["children"], lambda c: c["id"].cast("string")), ","))), "|")
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c[4:6])
+    return e.select(*columns, ids("cat_l1_ids"), ids("cat_l2_ids"), F.size("cat_l2_names").cast("bigint").alias("n_l2"), line.alias("tree"), F.size("sources").cast("bigint").alias("n_sources"))
+
+
+_NAMED = "CASE WHEN first % 2 = 0 THEN 'Supplier ' || lpad(k::VARCHAR, 9, '0') || ' Inc.' ELSE 'SUPPLIER ' || lpad(k::VARCHAR, 9, '0') END"
+
+
+@query("entities_by_name", f"WITH {_FOLDS} SELECT {_NAMED} AS company_name, l1, l2, n_l2, tree, n_sources FROM m JOIN g1 USING (k) JOIN g2 USING (k) JOIN t USING (k)")
+def entities_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole entities: names in two spellings, categories and trees in one fold."""
+    return _merged(resolve.by_name(_categorised(spark, sf_dir)), "company_name")
+
+
+@query(
+    "entities_by_domain",
+    f"""WITH {_FOLDS}, a AS (SELECT k, seq % 3 AS a, min(seq) AS o FROM r GROUP BY 1, 2), ab AS (SELECT k, string_agg('About ' || a || '  x', chr(10) || chr(10) ORDER BY o) AS about FROM a GROUP BY k)
+SELECT 's' || k || '.example' AS merge_key, about, l1, l2, n_l2, tree, n_sources FROM m JOIN g1 USING (k) JOIN g2 USING (k) JOIN t USING (k) JOIN ab USING (k)""",
+)
+def entities_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(resolve.by_domain(_categorised(spark, sf_dir)), F.col("_merge_key").alias("merge_key"), "about")
+
+
 # --- reports -------------------------------------------------------------------------------------------------------------
 
 
@@ -711,13 +888,13 @@ _STATUS = "CASE event_type WHEN 'error' THEN 'timeout' WHEN 'click' THEN 'ok' WH
 @query(
     "scrape_summary",
     f"""WITH s AS (SELECT user_id AS _file, {_STATUS} AS status, value AS chars FROM events), e AS (SELECT _file, string_agg(status || ': ' || n, '; ' ORDER BY n DESC, status) AS errors FROM (SELECT _file, status, count(*) AS n FROM s WHERE status NOT IN ('ok', 'no_url') GROUP BY 1, 2) GROUP BY 1),
-c AS (SELECT _file, count(*) AS total, count(*) FILTER (status = 'no_url') AS no_url, count(*) FILTER (status = 'ok') AS success, count(*) FILTER (status NOT IN ('ok', 'no_url')) AS failed FROM s GROUP BY 1)
+c AS (SELECT _file, count(*) AS total, count(*) FILTER (status = 'no_url') AS no_url, count(*) FILTER (status = 'ok') AS success, count(*) FILTER (status NOT IN ('ok', 'no_url')) AS failed, round(avg(chars) FILTER (status = 'ok'), 1) AS avg_chars FROM s GROUP BY 1)
 SELECT c.*, CASE WHEN success + failed > 0 THEN round(100 * success / (success + failed), 1) END AS success_rate, coalesce(errors, '') AS errors FROM c LEFT JOIN e USING (_file)""",
 )
 def scrape_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.create_map(*(F.lit(x) for x in ("error", "timeout", "click", "ok", "view", "ok", "login", "no_url")))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("_file"), F.coalesce(status[F.col("event_type")], F.lit("ssl_error")).alias("status"), F.col("value").alias("chars"))
-    return report.scrape_summary(rows).drop("avg_chars")
+    return report.scrape_summary(rows)
 
 
 @query("failure_histogram", f"SELECT {_STATUS} AS status, count(*) AS n FROM events WHERE {_STATUS} <> 'ok' GROUP BY 1")
@@ -797,11 +974,16 @@ def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "text", html.fetch_status(F.col("url"), F.col("html"), F.col("text")).alias("status"))
 
 
-@query("html_table_rows")
+_ITEM = "regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1)"
+_PLAIN_ITEM = r"""trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '\s+', ' ', 'g'))"""
+
+
+@query("html_table_rows", f"SELECT page_id, (i - 1)::INTEGER AS pos, 'No ' || length({_PLAIN_ITEM}) || '|' || {_PLAIN_ITEM} AS cells FROM (SELECT page_id, unnest({_ITEM}) AS x, generate_subscripts({_ITEM}, 1) AS i FROM pages)")
 def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table rows, made of the list items of each page."""
-    as_table = F.regexp_replace(F.regexp_replace("html", "<li>", "<tr><td>"), "</li>", "</td></tr>")
-    return html.table_rows(table(spark, sf_dir, "pages").select("page_id", as_table.alias("html")), "page_id")
+    """Table rows of two cells, made of the list items of each page."""
+    as_table = F.regexp_replace(F.regexp_replace("html", "<li>", "<tr><th>No </th><td>"), "</li>", "</td></tr>")
+    rows = html.table_rows(table(spark, sf_dir, "pages").select("page_id", as_table.alias("html")), "page_id")
+    return rows.select("page_id", "pos", F.concat_ws("|", F.concat(F.get("cells", F.lit(0)), F.lit(" "), F.length(F.get("cells", F.lit(1))).cast("string")), F.get("cells", F.lit(1))).alias("cells"))
 
 
 @query("overview_parse", "SELECT doc_id, 'Makes ' || source || '.' AS summary, 'A' || doc_id AS booth, lang AS valueChain, 'High' AS relevance, source || '|' || lang AS capabilities, TRUE AS structured FROM documents")

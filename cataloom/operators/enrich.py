@@ -11,11 +11,15 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, cleaned_overview, digest, presence, strip, truncated, without_fences
 from ..schema import ABOUT_BUDGET, FALLBACK_ABOUT, MAX_CATEGORY_NAMES, REFINED, SNIPPET_BUDGET, SPARSE_ABOUT_CHARS, UNKNOWN_COUNTRY, WEBSITE_BUDGET
+from ..sources.answers import AnswerLog
+from .numbering import numbered
+from .pace import Bucket, Paced, quotas
 
 
 class Client(Protocol):
@@ -74,14 +78,21 @@ def misses(df: DataFrame, cache: DataFrame, statuses: tuple[str, ...] = ("ok", "
     return df.join(cache.filter(F.col("status").isin(*statuses)).select("cache_key").distinct(), "cache_key", "left_anti")
 
 
-def called(df: DataFrame, client: Callable[[], Client] = Stub, *, concurrency: int = 5, tries: int = 4, wait: float = 2.0) -> DataFrame:
+def called(df: DataFrame, client: Callable[[], Client] = Stub, *, concurrency: int = 5, tries: int = 4, wait: float = 2.0, per_minute: int | None = None) -> DataFrame:
     """(cache_key, raw, status) for rows with input and route, at most concurrency calls at a time.
 
-    A failing call is repeated with growing waits; its last error is the status. Rows without input aren't sent.
+    A failing call is repeated with growing waits; its last error is the status. Rows without input aren't sent, and those of route
+    direct as they are. With per_minute no
+    minute has more calls, repeated ones and both stages included: each task has its share of them, see pace.
     """
+    shares = quotas(per_minute, concurrency) if per_minute else None
+    concurrency = len(shares) if shares else concurrency
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
+        if shares:
+            part = TaskContext.get().partitionId()
+            model = Paced(model, Bucket(shares[part], place=part / len(shares)))
 
         def ask(prompt: str) -> tuple[str | None, str]:
             for i in range(tries):
@@ -107,7 +118,7 @@ def called(df: DataFrame, client: Callable[[], Client] = Stub, *, concurrency: i
                     if status != "ok":
                         rows.append((key, None, f"summarise-failed:{status}"))
                         continue
-                raw, status = ask(f"Refine.\n{text}")
+                raw, status = ask(text if route == "direct" else f"Refine.\n{text}")
                 rows.append((key, raw, status))
             yield pd.DataFrame(rows, columns=["cache_key", "raw", "status"])
 
@@ -140,6 +151,24 @@ def coerced(raw: Column) -> Column:
     return F.when(v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT")), block.cast(REFINED))
 
 
+def refined_with_log(df: DataFrame, log: AnswerLog, client: Callable[[], Client] = Stub, *, repair: DataFrame | None = None, round_keys: int = 1000, **calls: int) -> DataFrame:
+    """refined, from a log of answers that it adds to: what the log has isn't asked for again, by this plan or a later one.
+
+    Keys are asked for in rounds of round_keys, and a round's answers are committed before the next begins, so a run that is killed
+    loses one round at most. repair (cache_key) names answers to ask for again, once, whatever their status; only these get a further
+    attempt, and the last good one counts.
+    """
+    rows = routed(df)
+    todo = misses(rows, log.read())
+    if repair is not None:
+        todo = todo.unionByName(rows.join(log.repaired(repair), "cache_key", "left_semi"))
+    todo = numbered(todo.select("cache_key", "input", "route").dropDuplicates(["cache_key"]), "cache_key", name="_place")
+    n = todo.count()
+    for start in range(0, n, round_keys):
+        log.append(called(todo.filter(F.col("_place").between(start, start + round_keys - 1)), client, **calls))
+    return _with_answers(rows, log.read().select("cache_key", "raw", "status"))
+
+
 def refined(df: DataFrame, cache: DataFrame | None = None, client: Callable[[], Client] = Stub, **calls: int) -> DataFrame:
     """Adds refined and refine_status to entities: from the cache (cache_key, raw, status) where it has them, else by the client."""
     rows = routed(df)
@@ -147,6 +176,10 @@ def refined(df: DataFrame, cache: DataFrame | None = None, client: Callable[[],
     answers = called(todo.dropDuplicates(["cache_key"]), client, **calls)
     if cache is not None:
         answers = answers.unionByName(cache.filter(F.col("status").isin("ok", "empty-input")).select("cache_key", "raw", "status"))
+    return _with_answers(rows, answers)
+
+
+def _with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
     parsed = answers.select("cache_key", coerced(F.col("raw")).alias("refined"), "status")
     parsed = parsed.withColumn("refine_status", F.when((F.col("status") == "ok") & F.col("refined").isNull(), "parse-error").otherwise(F.col("status"))).drop("status")
     return rows.join(parsed, "cache_key", "left").drop("input", "route", "content_hash", "cache_key")
@@ -173,7 +206,7 @@ def explanation_rows(replies: DataFrame) -> DataFrame:
     base = replies.select("query_id", inner.alias("v"))
     flat = base.select("query_id", F.explode(F.try_variant_get("v", "$", "map<string,string>")).alias("id", "reason"))
     each = base.select("query_id", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r"))
-    listed = each.select("query_id", F.try_variant_get("r", "$.id", "string").alias("id"), F.coalesce(F.try_variant_get("r", "$.reason", "string"), F.try_variant_get("r", "$.explanation", "string")).alias("reason"))
+    listed = each.select("query_id", F.try_variant_get("r", "$.id", "string").alias("id"), F.coalesce(*(F.try_variant_get("r", f"$.{k}", "string") for k in ("reasoning", "reason", "explanation"))).alias("reason"))
     return flat.unionByName(listed).filter("id IS NOT NULL AND reason IS NOT NULL")
 
 
@@ -190,12 +223,29 @@ def candidate_prompt() -> Column:
 
 
 def overlaid(catalogue: DataFrame, overlay: DataFrame) -> DataFrame:
-    """Local corrections (company_name, hq_location, website, _seq) by lower-case name, the last of a name: a headquarters counts
-    even if null, a website only if it isn't empty."""
+    """Local corrections (company_name, hq_location, website, _seq) by lower-case name, the last of a name, or else by id where overlay
+    has one. A headquarters counts even if null, and so does hq_country where overlay has it; a website only if it isn't empty, and
+    refined, where overlay has it, only for entities without one of their own."""
+    fields = [c for c in ("hq_location", "website", "hq_country", "refined") if c in overlay.columns]
     k = F.lower(strip(F.col("company_name")))
-    o = overlay.groupBy(k.alias("_ok")).agg(F.max_by(F.struct("hq_location", "website"), "_seq").alias("_o"))
-    out = catalogue.join(o, F.lower(strip(catalogue["company_name"])) == F.col("_ok"), "left")
-    return out.withColumns({"hq_location": F.when(F.col("_ok").isNotNull(), F.col("_o.hq_location")).otherwise(F.col("hq_location")), "website": F.coalesce(F.nullif(F.col("_o.website"), F.lit("")), F.col("website"))}).drop("_ok", "_o")
+    last = F.max_by(F.struct(*fields), "_seq")
+    named = overlay.filter(presence(F.col("company_name")).isNotNull()).groupBy(k.alias("_ok")).agg(last.alias("_o"))
+    out = catalogue.join(named, F.lower(strip(catalogue["company_name"])) == F.col("_ok"), "left")
+    if "id" in overlay.columns:
+        numbered_ = overlay.filter("id IS NOT NULL").groupBy(F.col("id").alias("_oid")).agg(last.alias("_oi"))
+        out = out.join(numbered_, out["id"] == F.col("_oid"), "left").withColumn("_o", F.coalesce("_o", "_oi")).drop("_oid", "_oi")
+    hit = F.col("_o").isNotNull()
+    new = {"hq_location": F.when(hit, F.col("_o.hq_location")).otherwise(F.col("hq_location")), "website": F.coalesce(F.nullif(F.col("_o.website"), F.lit("")), F.col("website"))}
+    if "hq_country" in fields:
+        new["hq_country"] = F.when(hit, F.col("_o.hq_country")).otherwise(F.col("hq_country"))
+    if "refined" in fields:
+        new["refined"] = F.coalesce("refined", "_o.refined") if "refined" in catalogue.columns else F.col("_o.refined")
+    return out.withColumns(new).drop("_ok", "_o")
+
+
+def shaped(found: DataFrame) -> DataFrame:
+    """Rows of a search as they are shown: score in four digits, and the score before in six as retrieval_score."""
+    return found.withColumns({"retrieval_score": F.round("score", 6), "score": F.round("score", 4)})
 
 
 def synthesised_about(refined: Column, booth: Column) -> Column:

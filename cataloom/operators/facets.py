@@ -20,11 +20,11 @@ def names_of(pairs: DataFrame, level: int) -> DataFrame:
     return pairs.groupBy(F.col(f"l{level}_id").alias("value")).agg(F.min(f"l{level}_name").alias("label"))
 
 
-def facets(catalogue: DataFrame, selection: Selection, pairs: DataFrame) -> DataFrame:
-    """(dim, value, label, n): counts of all dimensions and the total, from one pass over the catalogue.
+def facet_cells(selection: Selection) -> Column:
+    """The cells (dim, value) in which an entity counts under a selection.
 
-    The counts of a dimension ignore its own selection; those of level 1 ignore level 2, too, and those of level 2 keep level 1 and
-    list only children of it. Elements of expos count as often as they stand there. Values without rows don't appear.
+    A dimension ignores its own selection; level 1 ignores level 2, too, and level 2 keeps level 1. Elements of expos count as often as
+    they stand there.
     """
     dims = {
         "expos": (selection.without("expo"), F.col("expos")),
@@ -38,8 +38,11 @@ def facets(catalogue: DataFrame, selection: Selection, pairs: DataFrame) -> Data
     def named_values(dim: str, s: Selection, values: Column) -> Column:
         return F.transform(F.when(matches(s), values).otherwise(none), lambda v: F.struct(F.lit(dim).alias("dim"), v.alias("value")))
 
-    cells = F.concat(*(named_values(d, s, values) for d, (s, values) in dims.items()))
-    counted = catalogue.select(F.explode(cells).alias("c")).groupBy("c.dim", "c.value").agg(F.count("*").alias("n"))
+    return F.concat(*(named_values(d, s, values) for d, (s, values) in dims.items()))
+
+
+def named_counts(counted: DataFrame, selection: Selection, pairs: DataFrame) -> DataFrame:
+    """(dim, value, label, n) from counts (dim, value, n); of level 2 only children of the chosen level 1 stay."""
     if selection.l1:
         children = pairs.filter(F.col("l1_id").isin(list(selection.l1))).select(F.col("l2_id").cast("string").alias("value"), F.lit("l2").alias("dim")).distinct()
         counted = counted.filter("dim <> 'l2'").unionByName(counted.filter("dim = 'l2'").join(children, ["dim", "value"], "left_semi"))
@@ -48,6 +51,13 @@ def facets(catalogue: DataFrame, selection: Selection, pairs: DataFrame) -> Data
     return out.select("dim", "value", F.coalesce("label", F.when(F.col("dim").isin("l1", "l2"), "").otherwise(F.col("value"))).alias("label"), "n")
 
 
+def facets(catalogue: DataFrame, selection: Selection, pairs: DataFrame) -> DataFrame:
+    """(dim, value, label, n): counts of all dimensions and the total, from one pass over the catalogue, see facet_cells. Values without
+    rows don't appear."""
+    counted = catalogue.select(F.explode(facet_cells(selection)).alias("c")).groupBy("c.dim", "c.value").agg(F.count("*").alias("n"))
+    return named_counts(counted, selection, pairs)
+
+
 def ranked(counts: DataFrame) -> DataFrame:
     """Adds pos: the place of a value in its dimension by count, label and value."""
     return counts.withColumn("pos", F.row_number().over(Window.partitionBy("dim").orderBy(F.col("n").desc(), "label", "value")))

@@ -191,9 +191,20 @@ def visible_text(pages: Column) -> Column:
     return main_text(pages)
 
 
-def fetch_status(url: Column, html: Column, text: Column, content_type: Column | None = None, http: Column | None = None) -> Column:
-    """Why a homepage gave no text, or ok."""
+#: Classes of a client's errors, by parts of their names, in the order in which they are looked for.
+ERRORS = {"ssl": "ssl_error", "timeout": "timeout", "timedout": "timeout", "redirect": "too_many_redirects", "connection": "connection_error"}
+
+
+def fetch_status(url: Column, html: Column, text: Column, content_type: Column | None = None, http: Column | None = None, error: Column | None = None) -> Column:
+    """Why a homepage gave no text, or ok. error is the name of what the client raised, with a message behind a colon: ssl errors keep 60
+    characters of it, names that aren't known are other:name."""
     out = F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "no_url")
+    if error is not None:
+        name, message = F.substring_index(error, ":", 1), F.substring(F.regexp_replace(error, "^[^:]*:?", ""), 1, 60)
+        for part, status in ERRORS.items():
+            said = F.concat(F.lit("ssl_error:"), message) if status == "ssl_error" else F.lit(status)
+            out = out.when(F.lower(F.coalesce(name, F.lit(""))).contains(part), said)
+        out = out.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("other:"), name))
     if http is not None:
         out = out.when(http >= 400, F.concat(F.lit("http_error:"), http.cast("string")))
     if content_type is not None:

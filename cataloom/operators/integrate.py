@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,14 @@ from ..functions.geo import is_suspicious
 from ..functions.text import presence, snippet_key, strip
 from ..functions.urls import booth_id
 from ..schema import RECORD
+from ..sources.storage import stored
+from .numbering import numbered
+
+
+class Resolver(Protocol):
+    """Says what each of some values stands for, for instance the country of an address."""
+
+    def resolve(self, values: Sequence[str]) -> Mapping[str, str]: ...
 
 
 def conformed(df: DataFrame, schema: T.StructType = RECORD, keep: Sequence[str] = ()) -> DataFrame:
@@ -51,9 +61,15 @@ def schema_drift(raw: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def lift_location(df: DataFrame) -> DataFrame:
-    """location and url as lists, for records of one show."""
-    place = F.when(presence(F.col("location")).isNotNull(), F.array("location")).otherwise(F.array().cast("array<string>"))
-    return df.withColumns({"locations": place, "sources": F.array(F.struct("location", "ebooth_url"))})
+    """location and url as lists, for records of one show. Records that have locations keep them and their sources; one without a place
+    gets empty lists."""
+    source = T.StructType([T.StructField("location", T.StringType()), T.StructField("ebooth_url", T.StringType())])
+    have = lambda c, kind: F.col(c) if c in df.columns else F.lit(None).cast(T.ArrayType(kind))
+    lifted = have("locations", T.StringType()).isNull()
+    placed = F.coalesce(F.col("location"), F.lit("")) != ""
+    locations = F.when(placed, F.array("location")).otherwise(F.array().cast("array<string>"))
+    sources = F.when(placed, F.array(F.struct("location", "ebooth_url").cast(source))).otherwise(F.array().cast(T.ArrayType(source)))
+    return df.withColumns({"locations": F.when(lifted, locations).otherwise(have("locations", T.StringType())), "sources": F.when(lifted, sources).otherwise(have("sources", source))})
 
 
 def last_by(df: DataFrame, key: Column, columns: Sequence[str], seq: str = "_seq") -> DataFrame:
@@ -119,11 +135,17 @@ def only_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def zipped(a: DataFrame, b: DataFrame, seq: str = "_seq") -> DataFrame:
-    """Rows side by side by ordinal; raises if the numbers of rows differ."""
-    n, m = a.count(), b.count()
-    if n != m:
-        raise ValueError(f"tables of {n} and {m} rows can't be joined by position")
-    return a.join(b, seq)
+    """Rows side by side by their place in the order of the ordinal, whatever gaps it has: row i of a with row i of b, and a's ordinal.
+    Raises if the numbers of rows differ, or if an ordinal is null or repeats, since there is no order then."""
+    sides = []
+    for df in (a, b):
+        n, known = df.agg(F.count("*"), F.countDistinct(seq)).first()
+        if n != known:
+            raise ValueError(f"{n} rows have {known} different ordinals")
+        sides.append(n)
+    if sides[0] != sides[1]:
+        raise ValueError(f"tables of {sides[0]} and {sides[1]} rows can't be joined by position")
+    return numbered(a, seq, name="_place").join(numbered(b, seq, name="_place").drop(seq), "_place").drop("_place")
 
 
 def fallback_join(base: DataFrame, other: DataFrame, columns: Sequence[str], index: str = "row_index") -> DataFrame:
@@ -153,6 +175,35 @@ def mapped_distinct(df: DataFrame, column: str, mapping: Column, name: str) -> D
     return df.join(values, column, "left")
 
 
+def resolved_in_batches(df: DataFrame, column: str, resolver: Callable[[], Resolver], name: str, size: int = 50) -> DataFrame:
+    """Adds what a resolver says of each distinct value of column, white space at its ends aside; null where it says nothing.
+
+    Distinct values are numbered densely and dealt in batches of size, so there are as few calls as can be; a value that a batch's reply
+    leaves out, or a batch that fails, is asked for once more, alone. Blank values aren't asked for. Replies are stored before they
+    are joined, so a plan that is reused doesn't ask again.
+    """
+    value = strip(F.col(column))
+    values = numbered(df.select(value.alias("value")).filter("value <> ''").distinct(), "value").withColumn("batch", F.floor(F.col("_n") / size))
+
+    def run(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        model, asked = resolver(), batch["value"].tolist()
+        said = _asked(model, asked) or {}
+        for v in asked:
+            if v not in said and len(asked) > 1:
+                said |= {v: x for w, x in (_asked(model, [v]) or {}).items() if w == v}
+        return pd.DataFrame({"value": asked, "found": [said.get(v) for v in asked]})
+
+    found = stored(values.groupBy("batch").applyInPandas(run, "value string, found string"), "resolved")
+    return df.join(found.withColumnRenamed("value", "_value"), value == F.col("_value"), "left").drop("_value").withColumnRenamed("found", name)
+
+
+def _asked(model: Resolver, values: list[str]) -> dict[str, str] | None:
+    try:
+        return dict(model.resolve(values))
+    except Exception:  # noqa: BLE001  a resolver may raise anything; what it doesn't answer is asked for alone, then stays null
+        return None
+
+
 def united_passes(*passes: DataFrame, key: Column) -> DataFrame:
     """Rows of several passes over one listing, or of a flat list and lists of each hall, merged by key: what an earlier pass holds
     comes before what a later one adds."""
@@ -169,3 +220,14 @@ def picked_source(rows: DataFrame, least: int = 20) -> DataFrame:
     """Rows of the first source, by priority, that has at least so many."""
     good = rows.groupBy("source", "priority").agg(F.count("*").alias("n")).filter(F.col("n") >= least).agg(F.min_by("source", "priority").alias("source"))
     return rows.join(F.broadcast(good), "source", "left_semi")
+
+
+def picked_listing(rows: DataFrame, least: int = 20, hall_least: int = 5) -> DataFrame:
+    """Rows of the first whole listing (hall is null), by priority, that has at least so many; if there is none, those of all hall maps
+    with at least hall_least rows."""
+    lists = picked_source(rows.filter("hall IS NULL"), least)
+    known = F.broadcast(rows.filter("hall IS NULL").groupBy("source").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") >= least).alias("_lists")))
+    halls = rows.filter("hall IS NOT NULL")
+    good = halls.groupBy(F.col("hall").alias("_hall")).agg(F.count("*").alias("n")).filter(F.col("n") >= hall_least).select("_hall")
+    mapped = halls.join(F.broadcast(good), F.col("hall") == F.col("_hall"), "left_semi").join(known).filter("_lists = 0").drop("_lists")
+    return lists.unionByName(mapped)

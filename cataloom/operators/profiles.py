@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..functions import urls
 from ..functions.geo import headquarters_of
 from . import html as pages_html
+from . import nodes
 from .enrich import synthesised_about
 
 OVERVIEW_CHARS, PARAGRAPH_CHARS = 4000, 80
@@ -52,6 +53,19 @@ def portal_profiles(pages: DataFrame, key: str, html: str = "html") -> DataFrame
     return rows.join(first, key, "left").withColumn("website", F.coalesce("website", F.lit("")))
 
 
+def portal_pages(pages: DataFrame, key: str, url: str = "url", html: str = "html") -> DataFrame:
+    """portal_profiles with the website by all three passes and the overview by all four fallbacks (see nodes), and which of them decided
+    (website_by, overview_by); empty where a page doesn't tell."""
+    table = nodes.node_table(pages, key, html)
+    sites = nodes.linked_websites(table, key, pages, url).withColumnRenamed("found_by", "website_by")
+    texts = nodes.portal_overviews(table, key).withColumnRenamed("found_by", "overview_by")
+    out = portal_profiles(pages, key, html).drop("website", "overview")
+    for part in (sites, texts):
+        other = part.withColumnRenamed(key, "_k")
+        out = out.join(other, out[key].eqNullSafe(other["_k"]), "left").drop("_k")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("website", "overview")})
+
+
 def preferred_pages(candidates: DataFrame, key: str = "booth_id", language: str = "en") -> DataFrame:
     """One page of each company: the first in the wanted language, else the first; columns key, ordinal, page_lang, landed_id, ....
 

@@ -64,8 +64,24 @@ def merged_trees(df: DataFrame, key: str, seq: str = "_seq") -> DataFrame:
     return joined.groupBy(key).agg(tree.alias("cat_tree"))
 
 
+def with_categories(entities: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Adds the categories of each entity's records, where rows have them: ids of both levels with their names, and the merged tree."""
+    none = {"cat_l1_ids": "array<int>", "cat_l1_names": "array<string>", "cat_l2_ids": "array<int>", "cat_l2_names": "array<string>"}
+    out = entities
+    for level in (1, 2):
+        ids, names = f"cat_l{level}_ids", f"cat_l{level}_names"
+        if ids in rows.columns and names in rows.columns:
+            lists = id_union(rows, key, ids, names)
+            out = out.join(lists, key, "left").withColumns({c: F.coalesce(c, F.array().cast(none[c])) for c in (ids, names)})
+    if "cat_tree" in rows.columns:
+        trees = merged_trees(rows, key)
+        out = out.join(trees, key, "left").withColumn("cat_tree", F.coalesce("cat_tree", F.array().cast(trees.schema["cat_tree"].dataType)))
+    return out
+
+
 def by_name(records: DataFrame) -> DataFrame:
-    """Entities by name key, from records with _seq, locations and sources; sorted by name.
+    """Entities by name key, from records with _seq, locations and sources; sorted by name. Categories are merged where records have
+    them.
 
     Description: the longest real one. Headquarters: the first known country with its location; other known ones make
     hq_country_conflict, sorted. Website and name: the first. Locations are distinct, sources all. Records without key stay alone.
@@ -86,43 +102,51 @@ def by_name(records: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(in_order(F.col("locations")))).alias("locations"),
         F.flatten(in_order(F.col("sources"))).alias("sources"),
     )
-    return out.orderBy(F.lower("company_name"), "_seq")
+    return with_categories(out, rows, "_key").orderBy(F.lower("company_name"), "_seq")
+
+
+def _paragraphs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, about): distinct real descriptions in order, apart from case and white space, one of each before anything is collected."""
+    about = F.col("about")
+    real = rows.filter(presence(about).isNotNull() & (about != FALLBACK_ABOUT))
+    norm = F.lower(F.regexp_replace(strip(about), r"(?U)\s+", " "))
+    once = real.groupBy(key, norm.alias("norm")).agg(F.min("_seq").alias("o"), F.min_by(strip(about), "_seq").alias("t"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("o", "t"))), lambda x: x["t"])
+    return once.groupBy(key).agg(F.array_join(listed, "\n\n").alias("about"))
 
 
 def by_domain(records: DataFrame) -> DataFrame:
     """Entities by full website domain, or by fallback name key where there is none; names without key are one entity together.
 
     Name: the longest. Description: distinct paragraphs. Country: the first that isn't Unknown; several make a conflict list, in
-    order, Unknown included. Sources without url are left out; a missing website is "#".
+    order, Unknown included. Sources without url are left out; a missing website is "#". Categories are merged where records have them.
     """
     key = F.coalesce(full_domain(F.col("website")), F.concat(F.lit("__name__"), fallback_key(F.col("company_name"))))
     rows = records.withColumn("_merge_key", key)
-    text = presence(F.col("about"))
-    real = text.isNotNull() & (F.col("about") != FALLBACK_ABOUT)
-    norm = F.lower(F.regexp_replace(strip(F.col("about")), r"(?U)\s+", " "))
-    paragraphs = F.filter(in_order(F.when(real, F.struct(norm.alias("n"), strip(F.col("about")).alias("t")))), lambda x: x.isNotNull())
-    first_of = F.filter(paragraphs, lambda x, i: ~F.exists(F.slice(paragraphs, F.lit(1), i), lambda y: y["n"] == x["n"]))
     countries = F.array_distinct(F.filter(in_order(F.coalesce(presence(F.col("hq_country")), F.lit(UNKNOWN_COUNTRY))), lambda x: x.isNotNull()))
     agg = rows.groupBy("_merge_key").agg(
         F.min("_seq").alias("_first"),
         F.coalesce(longest(F.col("company_name"), presence(F.col("company_name")).isNotNull()), F.lit("")).alias("company_name"),
         distinct_trimmed(in_order(F.col("company_name"))).alias("_all_names"),
         distinct_trimmed(in_order(F.col("website"))).alias("_all_websites"),
-        F.array_join(F.transform(first_of, lambda x: x["t"]), "\n\n").alias("about"),
+        F.get(distinct_trimmed(in_order(F.col("hq_location"))), F.lit(0)).alias("hq_location"),
+        F.coalesce(F.get(F.filter(in_order(F.get(F.filter("sources", lambda x: F.coalesce(x["ebooth_url"], F.lit("")) != ""), F.lit(0))["ebooth_url"]), lambda x: x.isNotNull()), F.lit(0)), F.lit(MISSING_URL)).alias("ebooth_url"),
         countries.alias("countries"),
         F.coalesce(longest(F.col("website_scrape")), F.lit("")).alias("website_scrape"),
         F.array_distinct(F.filter(F.flatten(in_order(F.col("locations"))), lambda x: x != "")).alias("locations"),
         F.filter(F.flatten(in_order(F.col("sources"))), lambda s: F.coalesce(s["ebooth_url"], F.lit("")) != "").alias("sources"),
     )
     rest = F.filter("countries", lambda x: x != UNKNOWN_COUNTRY)
-    return agg.withColumns(
+    agg = agg.join(_paragraphs(rows, "_merge_key"), "_merge_key", "left")
+    out = agg.withColumns(
         {
-            "about": F.when(F.col("about") == "", FALLBACK_ABOUT).otherwise(F.col("about")),
+            "about": F.coalesce("about", F.lit(FALLBACK_ABOUT)),
             "hq_country": F.coalesce(F.get(rest, F.lit(0)), F.lit(UNKNOWN_COUNTRY)),
             "_hq_country_conflict": F.when(F.size("countries") > 1, F.col("countries")),
             "website": F.coalesce(F.get("_all_websites", F.lit(0)), F.lit(MISSING_URL)),
         }
     ).drop("countries").withColumnRenamed("_first", "_seq")
+    return with_categories(out, rows, "_merge_key")
 
 
 def merged_exhibitors(rows: DataFrame, key: Column) -> DataFrame:

@@ -6,7 +6,7 @@ corpus; ranks, fusion and reranking then work on at most two shortlists.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +75,16 @@ def distance(a: Column, b: Column, kind: str = "l2") -> Column:
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def with_queries(vectors: DataFrame, queries: DataFrame, parts: int = 64) -> DataFrame:
+    """vectors with each of a stated set of queries (query_id, vector as q). Queries are broadcast up to BROADCAST_QUERIES; more are dealt
+    to parts of the vectors."""
+    asked = queries.withColumnRenamed("vector", "q")
+    if asked.count() <= BROADCAST_QUERIES:
+        return vectors.join(F.broadcast(asked), F.lit(True))
+    part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    return vectors.withColumn("_part", part).join(asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), "_part").drop("_part")
+
+
 def _packed(rows: DataFrame, key: str, ids: str, vectors: str) -> DataFrame:
     """Blocks (ids, vectors, dim) of the rows of each task's batches: the keys, and the vectors at length 1 as one row-major matrix.
 
@@ -112,6 +122,14 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataF
         asked = F.broadcast(asked)
     pairs = _packed(vectors, "id", "ids", "v").join(asked.withColumnRenamed("dim", "qdim"), F.col("dim") == F.col("qdim"))
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "id"))]
+    return matched_blocks(pairs.select("ids", "v", "dim", "qs", "q"), k, kinds)
+
+
+def matched_blocks(pairs: DataFrame, k: int | None, kinds: Sequence[str]) -> DataFrame:
+    """(query_id, id, score) from pairs of packed blocks (ids, v, dim, qs, q) by one matrix product each; kinds: types of the keys.
+
+    With k, a pair of blocks gives no more than the k best of each query, and those equal to the last of them in six digits.
+    """
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +146,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataF
                     part = slice(a, a + 50_000)
                     yield pa.record_batch([qs.take(pa.array(query[part])), ids.take(pa.array(vector[part])), pa.array(scores[query[part], vector[part]])], names=["query_id", "id", "score"])
 
-    scored = pairs.select("ids", "v", "dim", "qs", "q").mapInArrow(product, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    scored = pairs.mapInArrow(product, f"query_id {kinds[0]}, id {kinds[1]}, score double")
     return scored.select("query_id", "id", F.round("score", 6).alias("score"))
 
 

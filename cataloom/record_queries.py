@@ -7,13 +7,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_queries import _FIRMS, _HREFS, _M, _PAIRS, _ROW, _STRIP, CHOSEN, FACETS, _firms, _row, query
+from .catalog_queries import _FIRMS, _HREFS, _M, _PAIRS, _ROW, _STRIP, CHOSEN, FACETS, _firms, _in, _row, query
 from .functions import text, urls
-from .operators import enrich, facets, filters, html, integrate, present, report
+from .operators import enrich, facets, filters, html, integrate, nodes, present, report
 from .plans.engine import Engine
 from .plans.standin import SQL as CAT
 from .plans.standin import catalogue, table
 from .schema import FALLBACK_ABOUT
+from .sources.storage import shared_dir
+from .streaming.live_facets import LiveFacets
 
 # --- the engine ----------------------------------------------------------------------------------------------------------
 
@@ -32,6 +34,24 @@ def facet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.ranked(facets.facets(c, CHOSEN, facets.taxonomy(c)))
 
 
+@query("live_facets", f"WITH {CAT}, {_PAIRS}, f AS ({' UNION ALL '.join(f'({s})' for s in FACETS.values())}) SELECT * FROM f")
+def live_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue comes in three batches: everything in an earlier form, then half of it as it is, then the rest and an older form of
+    the first half, which is late and doesn't count."""
+    c = catalogue(spark, sf_dir)
+    rows = c.withColumns({"_seq": F.lit(2).cast("long"), "_deleted": F.lit(False)})
+    early = rows.withColumns({"_seq": F.lit(1).cast("long"), "expos": F.array(F.lit("1998"), F.lit("1901")), "hq_country": F.lit("NATION_1"), "cat_l1_ids": F.array(F.lit(2)), "cat_l2_ids": F.array(F.lit(203))})
+    gone = early.filter("id = 1").withColumns({"id": F.lit(-1).cast("long"), "_seq": F.lit(1).cast("long")})
+    folder, half = shared_dir(spark, "upserts"), F.col("id") % 2 == 0
+    counts = LiveFacets(spark, shared_dir(spark, "live-facets"), CHOSEN)
+    again = early.filter(half).withColumn("_seq", F.lit(0).cast("long"))
+    batches = [early.unionByName(gone), rows.filter(half).unionByName(gone.withColumns({"_seq": F.lit(2).cast("long"), "_deleted": F.lit(True)})), rows.filter(~half).unionByName(again)]
+    for batch in batches:
+        batch.write.mode("append").parquet(folder)
+        counts.follow(folder, batch.schema).awaitTermination()
+    return facets.named_counts(counts.counts(), CHOSEN, facets.taxonomy(c))
+
+
 # --- names, urls and contacts --------------------------------------------------------------------------------------------
 
 _OTHER = "CASE WHEN c_acctbal >= 0 THEN 'THE ' || upper(c_name) || ', ' || c_mktsegment ELSE c_mktsegment END"
@@ -110,9 +130,21 @@ def resume_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", filters.resumable(rows).alias("keep"))
 
 
-@query("location_lift", "SELECT s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN n_name ELSE '' END AS locations, 1::INTEGER AS n_sources FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query(
+    "location_lift",
+    """SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'Tokyo|' || n_name WHEN s_suppkey % 3 = 1 AND s_acctbal > 0 THEN n_name WHEN s_suppkey % 3 = 2 THEN '' WHEN s_acctbal > 0 THEN n_name ELSE '' END AS locations,
+  (CASE WHEN s_suppkey % 3 = 0 THEN 2 WHEN s_suppkey % 3 = 2 THEN 0 WHEN s_acctbal > 0 THEN 1 ELSE 0 END)::INTEGER AS n_sources FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+)
 def location_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, F.col("n_name")).otherwise("").alias("location"), F.lit("").alias("ebooth_url"))
+    """Of three records one has lists with two places, one has an empty list, and one has none."""
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    source = lambda place: F.struct(place.alias("location"), F.lit("").alias("ebooth_url"))
+    pick = lambda two, none, kind: F.when(F.col("s_suppkey") % 3 == 0, two).when(F.col("s_suppkey") % 3 == 2, none).otherwise(F.lit(None).cast(kind))
+    rows = rows.select(
+        F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, F.col("n_name")).otherwise("").alias("location"), F.lit("").alias("ebooth_url"),
+        pick(F.array(F.lit("Tokyo"), F.col("n_name")), F.array().cast("array<string>"), "array<string>").alias("locations"),
+        pick(F.array(source(F.lit("Tokyo")), source(F.col("n_name"))), F.array().cast("array<struct<location:string,ebooth_url:string>>"), "array<struct<location:string,ebooth_url:string>>").alias("sources"),
+    )
     return integrate.lift_location(rows).select("id", F.array_join("locations", "|").alias("locations"), F.size("sources").alias("n_sources"))
 
 
@@ -209,7 +241,75 @@ def card_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("id"), F.array_join(shown, "|").alias("badges"))
 
 
-@query("directory_anchors", f"WITH {_HREFS} SELECT page_id, count(*) AS n, min(h) AS lowest FROM (SELECT page_id, unnest(h) AS h FROM a) WHERE h LIKE '/%' GROUP BY page_id")
+@query(
+    "directory_anchors",
+    f"""WITH {_HREFS}, b AS (SELECT page_id, i, '/eBooth.aspx?IndexInList=' || i || '&BoothID= ' || length(x) AS href, length(x)::VARCHAR AS booth FROM (SELECT page_id, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM a) WHERE x LIKE '/%')
+SELECT page_id, booth AS booth_id, arg_min(href, i) AS href, count(*) AS n FROM b GROUP BY page_id, booth""",
+)
 def directory_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.links(table(spark, sf_dir, "pages"), "page_id").filter(F.col("href").startswith("/"))
-    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.min("href").alias("lowest"))
+    """Links of the given pages as links to booths, the length of a link being its booth: the first of each booth, and how many there are."""
+    found = html.links(table(spark, sf_dir, "pages"), "page_id")
+    booths = F.concat(F.lit("/eBooth.aspx?IndexInList="), (F.col("pos") + 1).cast("string"), F.lit("&BoothID= "), F.length("href").cast("string"))
+    rows = found.withColumn("href", F.when(F.col("href").startswith("/"), booths).otherwise(F.col("href")))
+    first = html.directory_links(rows, "page_id", "booth").select("page_id", "booth_id", "href")
+    counts = rows.filter(F.col("href").startswith("/eBooth")).groupBy("page_id", F.regexp_extract("href", r"BoothID= (\d+)", 1).alias("booth_id")).agg(F.count("*").alias("n"))
+    return first.join(counts, ["page_id", "booth_id"])
+
+
+# --- node tables ---------------------------------------------------------------------------------------------------------
+
+_INLINE_TAGS = _in(tuple(sorted(nodes.INLINE)))
+_NODES = f"""
+h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '<i>', 'g'), '(?is)<style\\b.*?</style>', '<i>', 'g'), '(?is)<noscript\\b.*?</noscript>', '<i>', 'g') AS h FROM pages),
+tok AS (SELECT page_id, unnest(regexp_extract_all(h, '(?s)<!--.*?-->|<[^>]*>|[^<]+')) AS tok, generate_subscripts(regexp_extract_all(h, '(?s)<!--.*?-->|<[^>]*>|[^<]+'), 1) AS pos FROM h),
+marked AS (SELECT *, tok LIKE '<%' AS is_tag, lower(regexp_extract(tok, '^</?([a-zA-Z0-9]+)', 1)) AS tag, tok LIKE '</%' AS closing,
+  replace(replace(replace(regexp_replace(tok, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"') AS said FROM tok),
+n AS (SELECT *, sum((is_tag AND tag NOT IN ({_INLINE_TAGS}))::INTEGER) OVER (PARTITION BY page_id ORDER BY pos) AS line,
+  sum(CASE WHEN tag = 'a' THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS linked FROM marked),
+strings AS (SELECT page_id, pos, line, linked, trim(regexp_replace(said, '\\s+', ' ', 'g')) AS s FROM n WHERE NOT is_tag AND trim(regexp_replace(said, '\\s+', ' ', 'g')) <> ''),
+h1 AS (SELECT page_id, min(pos) FILTER (tag = 'h1' AND NOT closing) AS a, min(pos) FILTER (tag = 'h1' AND closing) AS b FROM n WHERE is_tag GROUP BY page_id),
+name AS (SELECT page_id, string_agg(s, ' ' ORDER BY pos) AS name FROM strings JOIN h1 USING (page_id) WHERE pos BETWEEN a AND b GROUP BY page_id),
+lines AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY line)) - 1 AS i, s FROM (SELECT page_id, line, trim(regexp_replace(string_agg(said, '' ORDER BY pos), '\\s+', ' ', 'g')) AS s FROM n WHERE NOT is_tag GROUP BY page_id, line) WHERE s <> '')"""
+
+
+def _quoted(values: list[str]) -> str:
+    return _in(tuple(values))
+
+
+@query(
+    "html_profile",
+    f"""WITH {_NODES},
+after_h1 AS (SELECT page_id, pos, b, trim(regexp_replace(said, '\\s+', ' ', 'g')) AS s, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM n JOIN h1 USING (page_id) WHERE NOT is_tag AND pos > a),
+below AS (SELECT *, max((regexp_matches(s, '{nodes.URLISH}') OR regexp_matches(s, '{nodes.BOOTH_LABEL}') OR lower(s) IN ({_quoted([*nodes.TAB_LABELS, '#'])}))::INTEGER) OVER (PARTITION BY page_id ORDER BY pos) AS stopped FROM after_h1 WHERE k <= {nodes.NEXT_STRINGS} AND pos > b AND s <> ''),
+two AS (SELECT page_id, s, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k FROM below WHERE stopped = 0),
+place AS (SELECT page_id, max(s) FILTER (k = 1) AS city, max(s) FILTER (k = 2) AS country FROM two GROUP BY page_id),
+st AS (SELECT l.page_id, coalesce(min(i) FILTER (s = name) + 1, 0) AS start FROM lines l LEFT JOIN name USING (page_id) GROUP BY l.page_id),
+tab AS (SELECT page_id, coalesce(min(i) FILTER (i >= start AND lower(s) IN ({_quoted(nodes.HOME_LABELS)})), min(i) FILTER (i >= start AND regexp_matches(s, '{nodes.BOOTH_LABEL}')), any_value(start)) AS tab FROM lines JOIN st USING (page_id) GROUP BY page_id),
+head AS (SELECT page_id, min(i) AS head FROM lines JOIN tab USING (page_id) WHERE i > tab AND lower(s) NOT IN ({_quoted([*nodes.TAB_LABELS, '#'])}) GROUP BY page_id),
+ends AS (SELECT page_id, min(i) AS ends FROM lines JOIN head USING (page_id) WHERE i >= head AND lower(s) IN ({_quoted(nodes.END_LABELS)}) GROUP BY page_id),
+about AS (SELECT page_id, string_agg(s, chr(10) ORDER BY i) AS about FROM lines JOIN head USING (page_id) LEFT JOIN ends USING (page_id) WHERE i >= head AND (ends IS NULL OR i < ends) GROUP BY page_id),
+whole AS (SELECT page_id, string_agg(s, ' ' ORDER BY pos) AS w FROM strings GROUP BY page_id)
+SELECT page_id, name, nullif(regexp_extract(w, '{nodes.BOOTH_LABEL}', 1), '') AS booth, nullif(array_to_string(list_distinct_ordered, ', '), '') AS city_region, country,
+  CASE WHEN length(about) >= {nodes.MIN_ABOUT} THEN about END AS about, CASE WHEN regexp_matches(w, '{nodes.JAPANESE}') THEN 'ja' ELSE 'en' END AS page_lang
+FROM whole LEFT JOIN name USING (page_id) LEFT JOIN about USING (page_id) LEFT JOIN (SELECT *, list_filter(list_transform(string_split(city, ','), lambda x: trim(x)), lambda x, i: x <> '' AND list_position(list_transform(string_split(city, ','), lambda y: trim(y)), x) = i) AS list_distinct_ordered FROM place) USING (page_id)""",
+)
+def html_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles from node tables of the given pages; their websites are links without a url as text, so none is shown."""
+    found = nodes.profiles(nodes.node_table(table(spark, sf_dir, "pages"), "page_id"), "page_id")
+    return found.drop("website")
+
+
+@query("html_lines", f"WITH {_NODES} SELECT page_id, count(*) AS n, sum(length(s))::BIGINT AS n_chars, md5(string_agg(s, chr(10) ORDER BY i)) AS digest FROM lines GROUP BY page_id")
+def html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = nodes.page_lines(nodes.node_table(table(spark, sf_dir, "pages"), "page_id"), "page_id")
+    chars = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return lines.select("page_id", F.size("lines").cast("bigint").alias("n"), chars.alias("n_chars"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+@query(
+    "linked_texts",
+    f"WITH {_NODES}, a AS (SELECT page_id, pos, regexp_extract(tok, 'href=\"([^\"]*)\"', 1) AS href, lead(pos) OVER (PARTITION BY page_id, tag ORDER BY pos) AS b FROM n WHERE tag = 'a' AND is_tag) SELECT a.page_id, href, coalesce(string_agg(s, ' ' ORDER BY s.pos), '') AS said FROM a LEFT JOIN strings s ON a.page_id = s.page_id AND s.pos BETWEEN a.pos AND b WHERE href <> '' GROUP BY a.page_id, a.pos, href",
+)
+def linked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nodes.element_texts(nodes.node_table(table(spark, sf_dir, "pages"), "page_id"), "page_id", (F.col("tag") == "a") & (F.col("href") != ""))
+    return found.select("page_id", "href", "said")

@@ -30,8 +30,7 @@ def upsert(spark: SparkSession, batch: DataFrame, state: str, buckets: int = 32)
     kept = both.groupBy("_bucket", "_key", "_seq").agg(F.max_by(F.struct(*[c for c in keyed.columns if c not in ("_bucket", "_key", "_seq")]), "_new").alias("r")).select("_bucket", "_key", "_seq", "r.*")
     # checkpoint() cuts the plan from the folders that are overwritten
     kept = kept.checkpoint()
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    kept.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(state)
+    kept.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(state)
 
 
 def follow(spark: SparkSession, folder: str, schema: T.StructType, state: str, checkpoint: str, *, buckets: int = 32) -> StreamingQuery:

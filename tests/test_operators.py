@@ -1,8 +1,10 @@
 """Operators of the catalogue on small tables."""
 
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cataloom.operators import enrich, facets, html, integrate, present, resolve, retrieve
@@ -11,6 +13,9 @@ from cataloom.schema import FALLBACK_ABOUT, RECORD
 from cataloom.sources import readers, sinks
 from cataloom.streaming import incremental
 
+# classes below are sent to the workers, which can't import this file
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREE = "array<struct<l1_id:int,l1_name:string,children:array<struct<id:int,name:string>>>>"
 
 
@@ -266,3 +271,116 @@ def test_one_query_is_searched_or_browsed(spark):
     assert [r.id for r in engine.answer(None, None, limit=1, offset=1).collect()] == [1]
     assert {r.id for r in engine.answer("wafer", None).collect()} == {1, 3}
     assert {r.id for r in engine.answer("wafer", [0.0, 1.0]).collect()} == {1, 2, 3}
+
+
+def test_zipped_by_place(spark):
+    a = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "_seq long, x string")
+    b = spark.createDataFrame([(5, "r"), (0, "p"), (1, "q")], "_seq long, y string")
+    assert sorted(tuple(r) for r in integrate.zipped(a, b).select("_seq", "x", "y").collect()) == [(0, "a", "p"), (1, "b", "q"), (2, "c", "r")]
+    for odd in ([(0, "a"), (0, "b"), (2, "c")], [(0, "a"), (None, "b"), (2, "c")]):
+        with pytest.raises(ValueError, match="ordinals"):
+            integrate.zipped(a, spark.createDataFrame(odd, "_seq long, y string"))
+
+
+def test_lift_location_keeps_lists(spark):
+    rows = [("Taipei", "u", ["Tokyo", "Seoul"]), ("Taipei", "u", None), ("", "u", None), (None, "u", None), ("Taipei", "u", [])]
+    got = integrate.lift_location(spark.createDataFrame(rows, "location string, ebooth_url string, locations array<string>")).collect()
+    assert [r["locations"] for r in got] == [["Tokyo", "Seoul"], ["Taipei"], [], [], []]
+    assert [None if r["sources"] is None else [tuple(s) for s in r["sources"]] for r in got] == [None, [("Taipei", "u")], [], [], None]
+    bare = integrate.lift_location(spark.createDataFrame([("X", "u")], "location string, ebooth_url string")).first()
+    assert bare["locations"] == ["X"] and [tuple(s) for s in bare["sources"]] == [("X", "u")]
+
+
+def test_numbered_is_dense(spark):
+    from cataloom.operators.numbering import numbered
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"), F.lit("x").alias("_at")).repartition(7)
+    assert sorted((r["v"], r["_n"]) for r in numbered(df.drop("_at"), "v").collect()) == [(i, i) for i in range(1000)]
+    assert numbered(df.filter("false"), "v").count() == 0
+
+
+class Counting:
+    """Notes each call in a folder."""
+
+    folder = ""
+
+    def resolve(self, values):
+        import os
+        import uuid
+
+        with open(os.path.join(Counting.folder, uuid.uuid4().hex), "w") as f:
+            f.write("\n".join(values))
+        if "bad" in values and len(values) > 1:
+            raise ValueError("no reply")
+        return {v: v.upper() for v in values if len(values) == 1 or not v.startswith("m")}
+
+
+def test_resolver_is_called_once_a_batch(spark, tmp_path):
+    Counting.folder, folder = str(tmp_path), str(tmp_path)
+
+    def make():
+        Counting.folder = folder
+        return Counting()
+
+    values = [f"v{i:03d}" for i in range(120)] + ["m1", "m2"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values * 3 + [" ", None, " v001 "])], "id long, place string")
+    out = integrate.resolved_in_batches(df, "place", make, "found")
+    got = {r["id"]: (r["place"], r["found"]) for r in out.collect()}
+    out.count()
+    assert len(got) == len(values) * 3 + 3 and all(f == ((p or "").strip().upper() or None) for p, f in got.values())
+    calls = [len((tmp_path / p).read_text().split("\n")) for p in __import__("os").listdir(folder)]
+    # 122 values are three batches, and the two that were left out are asked for alone
+    assert sorted(calls) == [1, 1, 22, 50, 50]
+
+
+def test_a_batch_that_fails_is_asked_one_by_one(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def make():
+        Counting.folder = folder
+        return Counting()
+
+    df = spark.createDataFrame([("bad",), ("a",), ("b",)], "place string")
+    assert {r["place"]: r["found"] for r in integrate.resolved_in_batches(df, "place", make, "found").collect()} == {"bad": "BAD", "a": "A", "b": "B"}
+
+
+def test_overlay_by_name_then_id(spark):
+    c = spark.createDataFrame([(1, "Acme", "Old", "w1", "X"), (2, "Beta", "Old", "w2", "X"), (3, "Gamma", "Old", "w3", "X"), (4, "Delta", "Old", "w4", "X")], "id long, company_name string, hq_location string, website string, hq_country string").withColumn("refined", F.when(F.col("id") == 2, "own"))
+    fixes = [(None, " ACME ", "New", "", "Japan", "r1", 0), (2, "other", None, "n2", None, "r2", 1), (1, None, "By id", "n1", "Y", "r", 2), (3, "gamma", "A", "a", "A", "ra", 3), (3, "gamma", "B", "b", "B", None, 4)]
+    got = {r["id"]: tuple(r)[2:] for r in enrich.overlaid(c, spark.createDataFrame(fixes, "id long, company_name string, hq_location string, website string, hq_country string, refined string, _seq int")).collect()}
+    assert got == {1: ("New", "w1", "Japan", "r1"), 2: (None, "n2", None, "own"), 3: ("B", "b", "B", None), 4: ("Old", "w4", "X", None)}
+    row = enrich.shaped(spark.createDataFrame([(0.123456789,), (None,)], "score double")).collect()
+    assert (row[0]["score"], row[0]["retrieval_score"]) == (0.1235, 0.123457) and row[1]["score"] is None
+
+
+def test_halls_count_where_no_listing_does(spark):
+    row = "source string, priority int, hall int, name string"
+    lists = [("a", 1, None, f"n{i}") for i in range(19)] + [("b", 2, None, f"n{i}") for i in range(20)]
+    halls = [("map", 9, 1, f"h{i}") for i in range(5)] + [("map", 9, 2, f"h{i}") for i in range(4)] + [("map", 9, 3, f"h{i}") for i in range(8)]
+    picked = lambda rows: sorted((r["source"], r["hall"]) for r in integrate.picked_listing(spark.createDataFrame(rows, row)).collect())
+    assert picked(lists + halls) == [("b", None)] * 20
+    assert picked(lists[:30] + halls) == [("map", 1)] * 5 + [("map", 3)] * 8 and picked(halls[5:9]) == []
+
+
+def test_failures_of_a_client_have_classes(spark):
+    names = ["SSLError:bad certificate " + "x" * 99, "ReadTimeout", "TooManyRedirects:30", "ConnectionError", "ValueError:x", None]
+    df = spark.createDataFrame([(i, "u", n, "<p>", "t" * 200) for i, n in enumerate(names)], "i int, url string, error string, html string, text string")
+    got = [r[0] for r in df.orderBy("i").select(html.fetch_status(F.col("url"), F.col("html"), F.col("text"), error=F.col("error"))).collect()]
+    assert got == ["ssl_error:bad certificate " + "x" * 44, "timeout", "too_many_redirects", "connection_error", "other:ValueError", "ok"]
+
+
+def test_folds_merge_categories_into_one_entity(spark):
+    fields = "_seq long, company_name string, about string, hq_country string, hq_location string, website string, website_scrape string, locations array<string>, sources array<struct<location:string,ebooth_url:string>>, cat_l1_ids array<int>, cat_l1_names array<string>, cat_l2_ids array<int>, cat_l2_names array<string>, " + f"cat_tree {TREE}"
+    tree = lambda *nodes: [(i, n, kids) for i, n, kids in nodes]
+    rows = [
+        (1, "Acme Inc.", "One  two", "Unknown", "", "https://acme.example", "", ["T"], [("T", "")], [1, 2], ["a", "b"], [11], ["x"], tree((1, "a", [(11, "x")]), (2, "b", []))),
+        (2, "ACME", "one two", "Japan", "Kyoto", "https://www.acme.example/en", "", ["J"], [("J", "v")], [2, 3], ["B", "c"], [21, 11], ["y", "X"], tree((2, "B", [(21, "y")]), (3, "c", []))),
+        (3, "Solo", None, None, None, None, None, [], [], None, None, [], [], None),
+    ]
+    df = spark.createDataFrame(rows, fields)
+    for e in (resolve.by_name(df), resolve.by_domain(df)):
+        got = {r["company_name"].split()[0].lower(): r for r in e.collect()}
+        assert (got["acme"]["cat_l1_ids"], got["acme"]["cat_l1_names"], got["acme"]["cat_l2_ids"], got["acme"]["cat_l2_names"]) == ([1, 2, 3], ["a", "b", "c"], [11, 21], ["x", "y"])
+        assert [(n["l1_id"], n["l1_name"], [tuple(c) for c in n["children"]]) for n in got["acme"]["cat_tree"]] == [(1, "a", [(11, "x")]), (2, "b", [(21, "y")]), (3, "c", [])]
+        assert got["solo"]["cat_l1_ids"] == [] and got["solo"]["cat_tree"] == []
+    assert (r := {x["_merge_key"]: x for x in resolve.by_domain(df).collect()}["acme.example"]) and (r["about"], r["hq_location"], r["ebooth_url"]) == ("One  two", "Kyoto", "v")
