@@ -43,12 +43,25 @@ def coverage(entities: DataFrame) -> DataFrame:
     )
 
 
+def _exact_mean(value: Column) -> Column:
+    """The mean to one digit, from an exact sum: tenths are the whole part of (20 sum + n) / 2 n for what isn't negative."""
+    exact = value.try_cast("decimal(28,6)")
+    total, n = F.sum(exact), F.count(exact)
+    tenths = F.call_function("div", 20 * F.abs(total) + n, (2 * n).cast("decimal(20,0)"))
+    mean = F.when(n > 0, F.signum(total) * tenths / 10)
+    return F.when(F.count(value) > n, F.round(F.avg(value), 1)).otherwise(mean)
+
+
 def scrape_summary(df: DataFrame, group: str = "_file") -> DataFrame:
-    """By file: rows, without url, read, failed, rate of success in percent, mean characters, and "reason: n; ..." of failures."""
+    """By file: rows, without url, read, failed, rate of success in percent, mean characters, and "reason: n; ..." of failures.
+
+    The mean is that of the values as decimals of six digits, rounded half up from the exact quotient, so it doesn't depend on the order
+    of rows. Values that aren't decimals (NaN, infinite) make it a mean of doubles.
+    """
     ok, no_url = F.col("status") == "ok", F.col("status") == "no_url"
     reasons = df.filter(~ok & ~no_url).groupBy(group, "status").agg(F.count("*").alias("n"))
     texts = reasons.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "status", "n"))), lambda x: F.concat_ws(": ", x["status"], x["n"])), "; ").alias("errors"))
-    sums = df.groupBy(group).agg(F.count("*").alias("total"), F.count_if(no_url).alias("no_url"), F.count_if(ok).alias("success"), F.count_if(~ok & ~no_url).alias("failed"), F.round(F.avg(F.when(ok, F.col("chars"))), 1).alias("avg_chars"))
+    sums = df.groupBy(group).agg(F.count("*").alias("total"), F.count_if(no_url).alias("no_url"), F.count_if(ok).alias("success"), F.count_if(~ok & ~no_url).alias("failed"), _exact_mean(F.when(ok, F.col("chars"))).alias("avg_chars"))
     tried = F.col("success") + F.col("failed")
     return sums.join(texts, group, "left").withColumns({"success_rate": F.when(tried > 0, F.round(100 * F.col("success") / tried, 1)), "errors": F.coalesce("errors", F.lit(""))})
 
