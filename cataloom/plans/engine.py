@@ -97,7 +97,7 @@ class Engine:
         if self.text_index is not None:
             scores = self.text_index.search(asked, candidates, allowed=None if selection == Selection() else allowed)
         else:
-            scores = rt.bm25(narrow(self.texts), asked, corpus=self.texts)
+            scores = rt.bm25(narrow(self.texts), asked, candidates, corpus=self.texts)
         sparse = rt.top(scores, candidates)
         if self.vector_index is not None and selection == Selection():
             dense = self.vector_index.search(wanted, candidates, exact=True)

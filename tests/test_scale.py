@@ -2,7 +2,7 @@
 
 import math
 
-from cataloom.operators import report
+from cataloom.operators import report, retrieve
 
 
 def test_mean_doesnt_depend_on_the_order_of_rows(spark):
@@ -11,3 +11,38 @@ def test_mean_doesnt_depend_on_the_order_of_rows(spark):
     df = spark.createDataFrame(rows, "_file string, status string, chars double").coalesce(1)
     got = {r["_file"]: r["avg_chars"] for r in report.scrape_summary(df).collect()}
     assert got["a"] == 53.4 and got["b"] == -53.4 and math.isnan(got["c"]) and got["d"] is None
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _rows(df):
+    return sorted((r["query_id"], r["id"], round(r["score"], 5)) for r in df.collect())
+
+
+def test_bm25_scores_where_documents_are_read(spark, monkeypatch):
+    words = ["a", "b", "c", "d", "e f", "g", "a a", "x-y", ""]
+    docs = [(i, None if i == 7 else " ".join(words[(i * j + j) % 9] for j in range(i % 13)), "en" if i % 3 else "de") for i in range(300)]
+    docs = spark.createDataFrame(docs, "id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "a b a"), (2, "zz"), (3, "F x"), (4, None), (5, "c d e f g x y")], "query_id long, text string")
+    some = docs.filter("lang = 'de'")
+    made = [retrieve.bm25(docs, asked), retrieve.bm25(docs, asked, idf=False), retrieve.bm25(some, asked, corpus=docs)]
+    assert "Exchange hash" not in _plan(made[0])
+    got, best = [_rows(df) for df in made], _rows(retrieve.top(retrieve.bm25(docs, asked, 5), 5))
+    twice = docs.union(docs.filter("id < 9"))
+    repeated = _rows(retrieve.bm25(twice, asked))
+    # all by joins
+    monkeypatch.setattr(retrieve, "BROADCAST_PAIRS", -1)
+    assert got == [_rows(retrieve.bm25(docs, asked)), _rows(retrieve.bm25(docs, asked, idf=False)), _rows(retrieve.bm25(some, asked, corpus=docs))]
+    assert best == _rows(retrieve.top(retrieve.bm25(docs, asked), 5)) and len(best) == 15
+    assert repeated == _rows(retrieve.bm25(twice, asked))
+
+
+def test_bm25_in_small_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(1 + i % 29))) for i in range(200)], "id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(f"w{(q + j) % 17}" for j in range(q))) for q in range(1, 8)], "query_id long, text string")
+    want = _rows(retrieve.bm25(docs, asked)), _rows(retrieve.top(retrieve.bm25(docs, asked), 3))
+    monkeypatch.setattr(retrieve, "CELLS", 40)
+    monkeypatch.setattr(retrieve, "ADDED", 5)
+    assert want == (_rows(retrieve.bm25(docs, asked)), _rows(retrieve.top(retrieve.bm25(docs, asked, 3), 3)))
