@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fallback_key, name_key, presence, strip
 from ..functions.urls import full_domain, website_domain
 from ..schema import FALLBACK_ABOUT, MISSING_URL, UNKNOWN_COUNTRY
+from ..sources.storage import stored
 
 
 def in_order(value: Column, seq: str = "_seq") -> Column:
@@ -79,6 +80,11 @@ def with_categories(entities: DataFrame, rows: DataFrame, key: str) -> DataFrame
     return out
 
 
+def _read_once(rows: DataFrame) -> DataFrame:
+    """Records with categories as a table, since each fold of categories reads them again; others as they are."""
+    return stored(rows, "records") if any(c.startswith("cat_") for c in rows.columns) else rows
+
+
 def by_name(records: DataFrame) -> DataFrame:
     """Entities by name key, from records with _seq, locations and sources; sorted by name. Categories are merged where records have
     them.
@@ -87,7 +93,7 @@ def by_name(records: DataFrame) -> DataFrame:
     hq_country_conflict, sorted. Website and name: the first. Locations are distinct, sources all. Records without key stay alone.
     """
     key = name_key(F.col("company_name"))
-    rows = records.withColumn("_key", F.when(key == "", F.concat(F.lit("\0"), F.col("_seq").cast("string"))).otherwise(key))
+    rows = _read_once(records.withColumn("_key", F.when(key == "", F.concat(F.lit("\0"), F.col("_seq").cast("string"))).otherwise(key)))
     country = presence(F.col("hq_country"))
     known = country.isNotNull() & (F.col("hq_country") != UNKNOWN_COUNTRY)
     all_known = F.array_sort(F.collect_set(F.when(known, F.col("hq_country"))))
@@ -122,7 +128,7 @@ def by_domain(records: DataFrame) -> DataFrame:
     order, Unknown included. Sources without url are left out; a missing website is "#". Categories are merged where records have them.
     """
     key = F.coalesce(full_domain(F.col("website")), F.concat(F.lit("__name__"), fallback_key(F.col("company_name"))))
-    rows = records.withColumn("_merge_key", key)
+    rows = _read_once(records.withColumn("_merge_key", key))
     countries = F.array_distinct(F.filter(in_order(F.coalesce(presence(F.col("hq_country")), F.lit(UNKNOWN_COUNTRY))), lambda x: x.isNotNull()))
     agg = rows.groupBy("_merge_key").agg(
         F.min("_seq").alias("_first"),
@@ -153,16 +159,26 @@ def merged_exhibitors(rows: DataFrame, key: Column) -> DataFrame:
     """Exhibitors by key: halls in one list, booths joined by " / " where one doesn't hold the next, and the first value of each
     other text column."""
     fill = [c for c, kind in rows.dtypes if kind == "string" and c not in ("booth", "name")]
+    known = {c: presence(F.col(c)).isNotNull() for c in fill}
+    # a booth that repeats adds nothing, so its first place is enough
+    once = rows.groupBy(key.alias("_key"), F.coalesce("booth", F.lit("")).alias("booth")).agg(
+        F.min(F.struct("_seq")).alias("_at"),
+        F.min_by(F.struct("name"), "_seq").alias("_name"),
+        F.min("_seq").alias("_seq"),
+        F.collect_set("halls").alias("halls"),
+        *(F.min(F.when(known[c], F.struct("_seq", F.col(c).alias("v")))).alias(c) for c in fill),
+    )
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col("_at").alias("o"), F.col("booth").alias("v")))), lambda x: x["v"])
     booths = F.aggregate(
-        F.filter(in_order(F.coalesce("booth", F.lit(""))), lambda b: b != ""),
+        F.filter(listed, lambda b: b != ""),
         F.lit(""),
         lambda a, b: F.when(a == "", b).when(a.contains(b), a).otherwise(F.concat(a, F.lit(" / "), b)),
     )
-    out = rows.withColumn("_key", key).groupBy("_key").agg(
-        F.min_by("name", "_seq").alias("name"),
+    out = once.groupBy("_key").agg(
+        F.min_by("_name", "_seq")["name"].alias("name"),
         booths.alias("booth"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("halls")))).alias("halls"),
-        *(F.coalesce(first_where(F.col(c), presence(F.col(c)).isNotNull()), F.lit("")).alias(c) for c in fill),
+        F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("halls"))))).alias("halls"),
+        *(F.coalesce(F.min(c)["v"], F.lit("")).alias(c) for c in fill),
     )
     return out.orderBy(F.lower("name"))
 

@@ -2,7 +2,9 @@
 
 import math
 
-from cataloom.operators import report, retrieve
+from pyspark.sql import functions as F
+
+from cataloom.operators import html, nodes, report, resolve, retrieve
 
 
 def test_mean_doesnt_depend_on_the_order_of_rows(spark):
@@ -46,3 +48,30 @@ def test_bm25_in_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "CELLS", 40)
     monkeypatch.setattr(retrieve, "ADDED", 5)
     assert want == (_rows(retrieve.bm25(docs, asked)), _rows(retrieve.top(retrieve.bm25(docs, asked, 3), 3)))
+
+
+def test_records_with_categories_are_read_once(spark):
+    columns = "_seq long, company_name string, about string, hq_country string, hq_location string, website string, website_scrape string, locations array<string>, sources array<struct<location:string,ebooth_url:string>>, cat_l1_ids array<int>, cat_l1_names array<string>"
+    rows = [(i, f"Firm {i % 2}", "", "Japan", "", f"https://f{i % 2}.example", "", ["T"], [("T", "u")], [i % 3], [f"c{i}"]) for i in range(12)]
+    df = spark.createDataFrame(rows, columns)
+    for fold in (resolve.by_name, resolve.by_domain):
+        found = fold(df)
+        assert "ExistingRDD" not in _plan(found) and "LocalTableScan" not in _plan(found)
+        assert sorted((r["company_name"], r["cat_l1_ids"], r["cat_l1_names"]) for r in found.collect()) == [("Firm 0", [0, 2, 1], ["c0", "c2", "c4"]), ("Firm 1", [1, 0, 2], ["c1", "c3", "c5"])]
+
+
+def test_booths_that_repeat_are_one_row(spark):
+    rows = [("a", "B1", [2], None, 5), ("a", "B12", [1], "x", 6), ("a", "B1", [1], "y", 3), ("a", None, None, "", 1), ("a", "B2", [3], "z", 4), (None, "", [], None, 2)]
+    df = spark.createDataFrame(rows * 50, "name string, booth string, halls array<int>, website string, _seq long")
+    found = resolve.merged_exhibitors(df, F.col("name"))
+    assert {r["name"]: (r["booth"], r["halls"], r["website"]) for r in found.collect()} == {"a": ("B1 / B2 / B12", [1, 2, 3], "y"), None: ("", [], "")}
+    # the lists of a group are made of distinct booths, not of its rows
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [name")[-1]
+
+
+def test_pages_are_parsed_once_in_bounded_batches(spark):
+    pages = spark.createDataFrame([(1, "<h1>Firm</h1><p>Booth: A1</p><table><tr><td>x</td></tr></table>")], "page_id long, html string")
+    found = nodes.profiles(nodes.node_table(pages, "page_id"), "page_id")
+    assert "MapInArrow" not in _plan(found) and [r["booth"] for r in found.collect()] == ["A1"]
+    assert [r["cells"] for r in html.table_rows(pages, "page_id").collect()] == [["x"]]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
