@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from ..functions.geo import deduped_place
 from ..functions.text import is_listing, squash
 from ..functions.urls import external_url, joined
+from ..session import small_batches
+from ..sources.storage import stored
 
 # Elements whose content isn't read, elements without content, and elements that don't break a line.
 DROPPED = frozenset("script style noscript".split())
@@ -112,8 +114,10 @@ def node_table(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
     pos goes on in document order; an element's content is pos to close. A text has no tag. label is the name or property of a meta
     element. Texts on one line, through inline elements, have one line number. Scripts, styles and comments aren't there. A null or
-    empty page has no rows; pages with one key are told apart only if keys are unique.
+    empty page has no rows; pages with one key are told apart only if keys are unique. The rows are stored, since rules read them many
+    times.
     """
+    small_batches(pages.sparkSession, rows=1024)
     kind = pages.schema[key].dataType.simpleString()
     strings = {"tag", "id", "cls", "href", "label", "content", "text"}
 
@@ -126,7 +130,7 @@ def node_table(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
                     keys = batch.column("k").take(pa.array([i] * len(columns[0])))
                     yield pa.record_batch([keys, *(pa.array(c, pa.string() if f in strings else pa.int32()) for f, c in zip(_FIELDS, columns, strict=True))], names=["k", *_FIELDS])
 
-    return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInArrow(run, f"k {kind}, {_KINDS}").withColumnRenamed("k", key)
+    return stored(pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInArrow(run, f"k {kind}, {_KINDS}").withColumnRenamed("k", key), "nodes")
 
 
 def _strings(nodes: DataFrame, key: str) -> DataFrame:
