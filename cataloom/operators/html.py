@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import squash
 from ..functions.urls import digits_id
+from ..session import small_batches
 
 # Elements without main text, elements that break lines, and where main text is looked for.
 DROPPED = frozenset("script style nav header footer aside noscript svg canvas form".split())
@@ -116,6 +117,8 @@ def _parsed(parser: HTMLParser, page: str | None) -> HTMLParser:
 
 
 def _rows(kind: type, fields: str):
+    """Rows of the pages of one batch at a time; small_batches bounds it."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = [(k, i, *(r if kind is _Links else (r,))) for k, page in zip(f["k"], f["h"], strict=True) for i, r in enumerate(_parsed(kind(), page).rows)]
@@ -126,6 +129,7 @@ def _rows(kind: type, fields: str):
 
 def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, pos, href, text) of each anchor, in page order; a null page has none."""
+    small_batches(pages.sparkSession, rows=1024)
     kind = pages.schema[key].dataType.simpleString()
     out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(_rows(_Links, "href text"), f"k {kind}, pos int, href string, text string")
     return out.select(F.col("k").alias(key), "pos", "href", squash(F.col("text")).alias("text"))
@@ -133,6 +137,7 @@ def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 def table_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, pos, cells) of each table row, in page order."""
+    small_batches(pages.sparkSession, rows=1024)
     kind = pages.schema[key].dataType.simpleString()
     out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(_rows(_Tables, "cells"), f"k {kind}, pos int, cells array<string>")
     return out.select(F.col("k").alias(key), "pos", F.transform("cells", squash).alias("cells"))
