@@ -23,6 +23,8 @@ from ..functions.text import terms
 SEGMENT_DOCS = 4096
 #: Folders of blocks.
 BUCKETS = 64
+#: Groups of segments that are dealt to tasks, at least: a folder has a file or two for each.
+LEAST_GROUPS = 8
 #: A term's greatest impacts that are kept: searches for up to so many documents can skip segments.
 BEST = 100
 #: Distinct terms of a request that are written into the plan; more are joined.
@@ -66,26 +68,41 @@ def _impact(tf: Column, dl: Column, k1: float | Column, b: float | Column, avgdl
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def _counted(words: Column) -> Column:
+    """The distinct words of one text as (term, tf): where each begins in the sorted words, up to where the next begins."""
+    def runs(s: Column) -> Column:
+        place = F.sequence(F.lit(1), F.size(s))
+        starts = F.filter(place, lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        ends = F.concat(F.slice(starts, 2, F.size(s)), F.array(F.size(s) + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(s, a).alias("term"), (b - a).alias("tf")))
+
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    # bound once, so that the words are sorted once
+    return F.when(F.size(words) > 0, F.transform(F.array(F.array_sort(words)), runs)[0]).otherwise(none)
+
+
 def build(texts: DataFrame, path: str, *, analyser: Analyser = Analyser(), k1: float = 1.2, b: float = 0.75, buckets: int = BUCKETS, segment_docs: int = SEGMENT_DOCS) -> SparseIndex:
     """Writes the index of texts (id, text) below path: blocks, terms and, last, stats, without which there is no index.
 
     Ids are of any type that has an order; each is one document. A null or empty text is a document without terms. k1 and b are fixed
-    in the bounds of blocks. One shuffle makes the blocks; a term's postings never meet in one task, only those of one segment.
+    in the bounds of blocks. One shuffle makes the blocks; a term's postings meet in one task only for one of LEAST_GROUPS or more groups
+    of segments.
     """
     spark = texts.sparkSession
     docs = texts.select("id", analyser.words(F.col("text")).alias("words"))
     sums = docs.agg(F.count("*").cast("double").alias("n_docs"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("avgdl"))
     stats = sums.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b)), "buckets": F.lit(buckets), "stems": F.lit(analyser.stems), "stopwords": F.array(*(F.lit(w) for w in analyser.stopwords)).cast("array<string>"), "kind": F.lit(texts.schema["id"].dataType.simpleString())}).first()
     segments = max(1, -(-int(stats["n_docs"]) // segment_docs))
-    rows = docs.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    rows = docs.select("id", F.size("words").alias("dl"), F.inline(_counted(F.col("words"))))
     rows = analyser.named(rows).withColumn("seg", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int"))
-    # dealt once by block; both groupings keep that
-    tf = rows.repartition("term", "seg").groupBy("term", "seg", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    blocks = tf.groupBy("term", "seg").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
+    # words are counted where they are read; dealt once by folder and group of segments, and both groupings and the files keep that
+    groups = min(segments, max(LEAST_GROUPS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    rows = rows.withColumns({"bucket": _bucket(F.col("term"), buckets), "part": F.pmod("seg", F.lit(groups))})
+    tf = rows.repartition("bucket", "part").groupBy("bucket", "part", "term", "seg", "id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
+    blocks = tf.groupBy("bucket", "part", "term", "seg").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
     top = F.array_max(F.transform("p", lambda x: _impact(x["tf"], x["dl"], k1, b, F.lit(stats["avgdl"] or 1.0))))
-    packed = blocks.select("term", "seg", F.size("p").alias("n"), top.alias("top"), *(F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")), _bucket(F.col("term"), buckets).alias("bucket"))
-    order = ["bucket", "term", "seg"]
-    packed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/blocks")
+    packed = blocks.select("term", "seg", F.size("p").alias("n"), top.alias("top"), *(F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")), "bucket")
+    packed.sortWithinPartitions("bucket", "term", "seg").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/blocks")
     written = spark.read.schema(BLOCKS.format(kind=stats["kind"])).parquet(f"{path}/blocks")
     # a term's best impacts all lie in its blocks with the greatest bounds
     first = Window.partitionBy("bucket", "term").orderBy(F.col("top").desc(), "seg")
@@ -94,7 +111,7 @@ def build(texts: DataFrame, path: str, *, analyser: Analyser = Analyser(), k1: f
     best = ranked.groupBy("bucket", "term").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some")), asc=False), 1, BEST).alias("best"))
     counts = written.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("top").alias("top"), F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("cf"))
     named = counts.join(best, ["bucket", "term"])
-    named.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    named.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     spark.createDataFrame([stats], STATS).write.mode("overwrite").parquet(f"{path}/stats")
     return SparseIndex(spark, path)
 

@@ -75,3 +75,13 @@ def test_pages_are_parsed_once_in_bounded_batches(spark):
     assert "MapInArrow" not in _plan(found) and [r["booth"] for r in found.collect()] == ["A1"]
     assert [r["cells"] for r in html.table_rows(pages, "page_id").collect()] == [["x"]]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+
+
+def test_words_are_counted_before_they_are_dealt(spark, tmp_path):
+    from cataloom.operators import sparse_index
+
+    texts = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "a " * 500)], "id long, text string")
+    words = texts.select("id", sparse_index._counted(F.split("text", " ")).alias("c")).filter("id = 1").first()["c"]
+    assert [tuple(x) for x in words] == [("a", 1), ("b", 2)]
+    index = sparse_index.build(texts, str(tmp_path / "i"))
+    assert sorted((r["term"], r["df"], r["cf"]) for r in index.terms.collect()) == [("a", 2, 501), ("b", 1, 2)]
