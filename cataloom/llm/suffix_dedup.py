@@ -26,6 +26,8 @@ MIN_WORDS, GRAM, SPREAD = 50, 6, 20
 CORE = MIN_WORDS - SPREAD + 1
 REACH = MIN_WORDS - CORE
 BATCH_BYTES = 2 << 20
+#: Whether a text has all words of a passage that begins {x} words before a core: before and after hold 0 beyond it.
+_INSIDE = f"({{x}} = 0 OR substring(before, 4 * {{x}} - 3, 4) <> X'00000000') AND ({{x}} = {REACH} OR substring(after, 4 * ({REACH} - {{x}}) - 3, 4) <> X'00000000')"
 
 
 def selected(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -203,6 +205,22 @@ def _across(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, T.StructType([*columns, *(T.StructField(c, T.IntegerType()) for c in ("left", "right", "tail", "mixed"))])).select(*edges.columns)
 
 
+def _open_leads(checked: DataFrame) -> DataFrame:
+    """(c, leads): for each class the leads of passages that neighbours leave open, from one sum of bits, one bit for each lead.
+
+    A class that can go on in another task is open if it has more than two suffixes that differ before and behind the core. Bits are
+    combined where the rows are, so a task sends one row for each class, however large the class is.
+    """
+    bits = F.expr(f"aggregate(filter(sequence({REACH} - tail, {REACH}), x -> (x < {REACH} - right OR x > left) AND {_INSIDE.format(x='x')}), 0, (m, x) -> m | shiftleft(1, x))")
+    edge = F.col("mixed").bitwiseAND(2) != 0
+    rows = checked.filter("mixed <> 0").select("c", F.when(F.expr("mixed & 5 <> 0"), bits).otherwise(0).alias("sure"), F.when(F.expr("mixed = 2"), bits).otherwise(0).alias("perhaps"), edge.cast("int").alias("edge"), *(F.when(edge, F.xxhash64(w)).alias(w) for w in ("before", "after")))
+    ends = [f(w).alias(f"{a}_{w}") for w in ("before", "after") for a, f in (("low", F.min), ("high", F.max))]
+    classes = rows.groupBy("c").agg(F.bit_or("sure").alias("sure"), F.bit_or("perhaps").alias("perhaps"), F.sum("edge").alias("n"), *ends)
+    apart = F.expr("n > 2 AND low_before <> high_before AND low_after <> high_after")
+    leads = classes.select("c", F.col("sure").bitwiseOR(F.when(apart, F.col("perhaps")).otherwise(0)).alias("leads")).filter("leads <> 0")
+    return leads.select("c", F.expr(f"filter(sequence(0, {REACH}), x -> leads & shiftleft(1, x) <> 0)").alias("leads"))
+
+
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages of MIN_WORDS or more words that two or more documents share: (key, begin, end, n_words, source).
 
@@ -231,12 +249,8 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     # passages of MIN_WORDS that neighbours leave open, by how many words they begin before the core; those that reach farther behind
     # it than any neighbour agrees aren't shared
     lead = F.col("lead")
-    inside = (F.expr("lead = 0 OR substring(before, 4 * lead - 3, 4) <> X'00000000'")) & (F.expr(f"lead = {REACH} OR substring(after, 4 * ({REACH} - lead) - 3, 4) <> X'00000000'"))
-    ends = [f(F.xxhash64(c)).alias(f"{a}_{c}") for c in ("before", "after") for a, f in (("low", F.min), ("high", F.max))]
-    cut = checked.filter("mixed & 2 <> 0").groupBy("c").agg(F.count("*").alias("n"), *ends).filter("n > 2 AND low_before <> high_before AND low_after <> high_after").select("c")
-    unsure = checked.filter("mixed & 5 <> 0").unionByName(checked.filter("mixed = 2").join(cut, "c", "left_semi"))
-    asked = unsure.select("c", "before", "after", F.explode(F.expr(f"filter(sequence({REACH} - tail, {REACH}), x -> x < {REACH} - right OR x > left)")).alias("lead"))
-    asked = written(asked.filter(inside).groupBy("c").agg(F.collect_set("lead").alias("leads")), "suffix-open")
+    inside = F.expr(_INSIDE.format(x="lead"))
+    asked = written(_open_leads(checked), "suffix-open")
     rest = checked.join(asked, "c")
     head, tail = F.expr("substring(before, 1, 4 * lead)"), F.expr(f"substring(after, 1, 4 * ({REACH} - lead))")
     about = rest.select("c", "k", "r", "pos", "source", "before", "after", F.explode(F.expr(f"filter(leads, x -> x >= {REACH} - tail)")).alias("lead"))

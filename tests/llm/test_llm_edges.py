@@ -251,6 +251,21 @@ def test_passages_of_a_document_over_several_ranges(spark):
     assert {(x["doc_id"], x["begin"], x["end"]) for x in got} == passages_by_force(rows)
 
 
+def test_passages_of_a_large_group_are_asked_without_a_join(spark, monkeypatch):
+    base, plans, write = words(60).split(), {}, suffix_dedup.written
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "written", noted)
+    # all have one core; its class goes over all ranges, and what two of them share differs
+    rows = [(i, f"{words(25)} {' '.join(base[i % 9 : 52 + i % 8])} {words(25)}") for i in range(400)]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["begin"], x["end"]) for x in got} == passages_by_force(rows)
+    assert "Join" not in plans["suffix-open"]
+
+
 def test_passages_of_texts_without_keys_of_their_own(spark):
     p, q = words(60), words(60)
     rows = [(None, p), (None, f"{words(5)} {p}"), (7, q), (7, f"{words(5)} {q}"), (8, words(60))]
