@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -136,8 +137,19 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def released() -> None:
+    """Gives free memory of this process back to the system.
+
+    Workers stay between tasks, and those that wait count in their executor's memory; freed arrays would stay with them otherwise.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about limit bytes of text each, one row at least."""
+    """Slices of the batches that hold about limit bytes of text each, one row at least. After the last, free memory goes back."""
     for batch in batches:
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
         group = np.cumsum(sizes) // limit if len(sizes) else sizes
@@ -145,3 +157,4 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
         for a, b in zip(edges, edges[1:], strict=False):
             if b > a:
                 yield batch.slice(int(a), int(b - a))
+    released()

@@ -100,7 +100,12 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         size = n = 0
 
         def out() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            every = np.concatenate([*held, np.empty(0, np.uint64)])
+            held.clear()
+            # sorted in place: np.unique takes several times the memory
+            every.sort()
+            heads = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+            h, c = every[heads], np.diff(np.append(heads, len(every)))
             if least:
                 keep = c >= math.ceil(FREQUENT * n)
                 h, c = h[keep], c[keep]
@@ -117,7 +122,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             size += len(h)
             if size >= CHUNK_SHINGLES:
                 yield out()
-                held, size, n = [], 0, 0
+                size = n = 0
         if n:
             yield out()
 

@@ -1,6 +1,7 @@
 """No switch by depth, rate, repetition or length changes a result or its bound."""
 
 import json
+import os
 import random
 import resource
 import subprocess
@@ -161,3 +162,19 @@ print(json.dumps((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) /
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss > 0
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=sys.path[0] or ".", env={"PYTHONPATH": ":".join(sys.path), "OMP_NUM_THREADS": "1", "PATH": "/usr/bin"})
     assert json.loads(out.stdout.splitlines()[-1]) < 120
+
+
+def test_a_worker_that_waits_gives_its_free_memory_back():
+    code = """
+import os, psutil
+from cataloom.llm.common import by_bytes
+rss = lambda: psutil.Process().memory_info().rss >> 20
+blocks = [os.urandom(100_000) for _ in range(3000)]
+last = blocks[-1]
+del blocks
+before = rss()
+list(by_bytes(iter([]), "t", 1))
+print(before - rss())
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**os.environ, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}, check=True)
+    assert int(done.stdout) > 200
