@@ -14,7 +14,7 @@ from .plans.engine import Engine
 from .plans.standin import SQL as CAT
 from .plans.standin import catalogue, table
 from .schema import FALLBACK_ABOUT
-from .sources.storage import shared_dir
+from .sources.storage import shared_dir, stored
 from .streaming.live_facets import LiveFacets
 
 # --- the engine ----------------------------------------------------------------------------------------------------------
@@ -37,9 +37,10 @@ def facet_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("live_facets", f"WITH {CAT}, {_PAIRS}, f AS ({' UNION ALL '.join(f'({s})' for s in FACETS.values())}) SELECT * FROM f")
 def live_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue comes in three batches: everything in an earlier form, then half of it as it is, then the rest and an older form of
-    the first half, which is late and doesn't count."""
-    c = catalogue(spark, sf_dir)
-    rows = c.withColumns({"_seq": F.lit(2).cast("long"), "_deleted": F.lit(False)})
+    the first half, which is late and doesn't count. The catalogue is computed once, and not again for each batch."""
+    c = stored(catalogue(spark, sf_dir), "live-catalogue")
+    # no cell comes from the trees
+    rows = c.drop("cat_tree").withColumns({"_seq": F.lit(2).cast("long"), "_deleted": F.lit(False)})
     early = rows.withColumns({"_seq": F.lit(1).cast("long"), "expos": F.array(F.lit("1998"), F.lit("1901")), "hq_country": F.lit("NATION_1"), "cat_l1_ids": F.array(F.lit(2)), "cat_l2_ids": F.array(F.lit(203))})
     gone = early.filter("id = 1").withColumns({"id": F.lit(-1).cast("long"), "_seq": F.lit(1).cast("long")})
     folder, half = shared_dir(spark, "upserts"), F.col("id") % 2 == 0

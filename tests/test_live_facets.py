@@ -5,10 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cataloom import record_queries
 from cataloom.operators.facets import facet_cells
 from cataloom.operators.filters import Selection, catalogue_view
 from cataloom.streaming.live_facets import LiveFacets
 
+DATA = "/root/testdata/sf0.001"
 FIELDS = "id long, company_name string, expos array<string>, hq_country string, cat_l1_ids array<int>, cat_l2_ids array<int>, _seq long, _deleted boolean"
 
 
@@ -41,3 +43,23 @@ def test_counts_follow_upserts(spark, tmp_path, selection):
     before = live.counts().collect()
     live._fold(spark.createDataFrame([("expos", "T", 5)], "dim string, value string, delta long"), 2)
     assert sorted(live.counts().collect()) == sorted(before)
+
+
+def test_query_reads_the_deliveries_once(spark, monkeypatch):
+    reads, catalogue = [], record_queries.catalogue
+
+    def read(s, sf_dir):
+        count = spark.sparkContext.accumulator(0)
+        reads.append(count)
+
+        def noted(batches):
+            for b in batches:
+                count.add(b.num_rows)
+                yield b
+
+        df = catalogue(s, sf_dir)
+        return df.mapInArrow(noted, df.schema)
+
+    monkeypatch.setattr(record_queries, "catalogue", read)
+    record_queries.live_facets(spark, DATA).collect()
+    assert [r.value for r in reads] == [spark.read.parquet(f"{DATA}/supplier.parquet").count()]
