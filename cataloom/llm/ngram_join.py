@@ -145,6 +145,28 @@ def _prefixes(docs: DataFrame, ranks: Broadcast, roots: DataFrame) -> DataFrame:
     return once.join(roots.hint("merge"), "x", "left")
 
 
+# --- texts on their way --------------------------------------------------------------------------------------------------
+
+
+def packed(texts: list[bytes]) -> pa.Array:
+    """The texts by zstd, each behind its length. They are shuffled for each comparison, and the blocks of a shuffle are packed less well."""
+    codec = pa.Codec("zstd", 1)
+    return pa.array([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts], pa.binary())
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts t, which hold about limit bytes each as they were before they were packed."""
+    codec = pa.Codec("zstd", 1)
+    for batch in by_bytes(batches, "t", limit):
+        held = batch.column("t").to_pylist()
+        size = [int.from_bytes(x[:8], "little") for x in held]
+        group = np.cumsum(size) // limit
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(held)]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b > a:
+                yield batch.slice(a, b - a), [codec.decompress(x[8:], n, asbytes=True) for x, n in zip(held[a:b], size[a:b], strict=True)]
+
+
 # --- pairs ---------------------------------------------------------------------------------------------------------------
 
 
@@ -194,9 +216,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float, differ: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.empty(0, np.uint64)
-        for batch in by_bytes(batches, "t", BATCH_BYTES):
+        for batch, own in unpacked(batches, BATCH_BYTES):
             out = []
-            for a, b, x in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), sets_of(texts_of(batch.column("t"))), strict=True):
+            for a, b, x in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), sets_of(own), strict=True):
                 if a is None:
                     hub = x
                     continue
@@ -321,8 +343,8 @@ def _whole_sets(left: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.empty(0, np.uint64), np.empty(0)
-        for batch in by_bytes(batches, "t", BATCH_BYTES):
-            sets = sets_of(texts_of(batch.column("t")))
+        for batch, own in unpacked(batches, BATCH_BYTES):
+            sets = sets_of(own)
             yield _found([(a, None, 0.0, *differences((x, np.ones(len(x))), empty)) for a, x in zip(batch.column("x").to_pylist(), sets, strict=True)])
 
     rows = texts.join(left.select("x").distinct(), "x", "left_semi").select("x", "t").mapInArrow(run, FOUND)
@@ -405,16 +427,18 @@ def set_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """(x, t): a text of each wanted set x, and the folder it is in."""
+    """(x, t): a packed text of each wanted set x, and the folder it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "t", BATCH_BYTES):
-            yield pa.record_batch([pa.array([set_hash(h) for h in sets_of(texts_of(part.column("t")))], pa.int64()), part.column("t")], names=["x", "t"])
+            texts = texts_of(part.column("t"))
+            yield pa.record_batch([pa.array([set_hash(h) for h in sets_of(texts)], pa.int64()), packed(texts)], names=["x", "t"])
 
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, f"{name}-texts")
-    docs.select("t").mapInArrow(run, "x long, t string").join(wanted, "x", "left_semi").dropDuplicates(["x"]).write.parquet(folder)
+    # shuffled at every size, rather than with wanted sent to all tasks while it is small, so that plans stay alike
+    docs.select("t").mapInArrow(run, "x long, t binary").join(wanted.hint("merge"), "x", "left_semi").dropDuplicates(["x"]).write.parquet(folder)
     _released(spark)
-    return spark.read.schema("x long, t string").parquet(folder), folder
+    return spark.read.schema("x long, t binary").parquet(folder), folder
 
 
 def _released(spark: SparkSession, folder: str | None = None) -> None:

@@ -1,9 +1,11 @@
 """The join against all pairs, with its ways for short, long and hot lists, and edge cases."""
 
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,12 @@ def test_pairs_within_lists_lose_no_link():
     found = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
     links = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if nj.linked(len(set(sets[i]) & set(sets[j])), len(sets[i]), len(sets[j]))}
     assert links and links <= found
+
+
+def test_packed_texts_come_back_in_bounded_parts():
+    texts = [b"", b"a" * 3_000_000, "wörter im Text".encode() * 10, b"b" * 3_000_000, os.urandom(500)]
+    column = nj.packed(texts)
+    assert column.nbytes < 100_000  # so the size of the packed column says nothing of the memory that its texts take
+    parts = list(nj.unpacked(iter([pa.record_batch([column], names=["t"])]), 1 << 20))
+    assert [t for _, own in parts for t in own] == texts
+    assert all(batch.num_rows == len(own) for batch, own in parts) and max(sum(map(len, own)) for _, own in parts) < 5_000_000
