@@ -95,10 +95,9 @@ class Engine:
         narrow = lambda df: df.join(allowed, "id", "left_semi")
         wanted = query_vectors.join(asked.select("query_id"), "query_id", "left_semi")
         if self.text_index is not None:
-            scores = self.text_index.search(asked, candidates, allowed=None if selection == Selection() else allowed)
+            sparse = self.text_index.best(asked, candidates, allowed=None if selection == Selection() else allowed)
         else:
-            scores = rt.bm25(narrow(self.texts), asked, candidates, corpus=self.texts)
-        sparse = rt.top(scores, candidates)
+            sparse = rt.top(rt.bm25(narrow(self.texts), asked, candidates, corpus=self.texts), candidates)
         if self.vector_index is not None and selection == Selection():
             dense = self.vector_index.search(wanted, candidates, exact=True)
         else:

@@ -43,6 +43,26 @@ def test_search_is_bm25(spark, texts, asked):
     assert rows(index.search(asked, idf=False)) == rows(retrieve.bm25(texts, asked, idf=False))
 
 
+def test_pairs_of_query_and_document_are_not_shuffled(spark, texts, asked, monkeypatch):
+    """The best of a filtered search: scored where a segment's blocks meet, by single documents too, and as joins find them."""
+    index = sparse_index.build(texts, shared_dir(spark, "t"), segment_docs=64, buckets=8)
+    few = texts.filter("id % 3 = 0").select(F.col("id").cast("int").alias("id"))
+    for allowed in (few.union(few).union(spark.sql("SELECT CAST(NULL AS INT)")), None, few.filter("false")):
+        want = retrieve.top(retrieve.bm25(texts if allowed is None else texts.join(allowed.distinct(), "id", "left_semi"), asked, corpus=texts), 10)
+        found = index.best(asked, 10, allowed=allowed)
+        columns = found.columns
+        # pairs once met by id and by (query_id, id); shortlists meet by query_id
+        plan = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+        assert len(plan) == 2 and "Exchange hashpartitioning(query_id#" in plan[0] and "Exchange hashpartitioning(seg#" in plan[1] and not any("partitioning(id#" in p for p in plan)
+        got = sorted(map(tuple, found.collect()))
+        assert got == sorted(map(tuple, want.select(*columns).collect())) and bool(got) == (allowed is None or allowed.count() > 0)
+        with monkeypatch.context() as m:
+            m.setattr(sparse_index, "CELLS", 1)
+            assert sorted(map(tuple, index.best(asked, 10, allowed=allowed).collect())) == got
+            m.setattr(sparse_index, "BROADCAST_PAIRS", -1)
+            assert sorted(map(tuple, index.best(asked, 10, allowed=allowed).collect())) == got
+
+
 def test_many_terms_are_joined(spark, texts, asked, monkeypatch):
     index = sparse_index.build(texts, shared_dir(spark, "t"), segment_docs=500, buckets=4)
     monkeypatch.setattr(sparse_index, "LITERAL_TERMS", 2)
