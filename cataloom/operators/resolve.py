@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fallback_key, name_key, presence, strip
 from ..functions.urls import full_domain, website_domain
 from ..schema import FALLBACK_ABOUT, MISSING_URL, UNKNOWN_COUNTRY
-from ..sources.storage import stored
+from ..sources.storage import released, stored
 
 
 def in_order(value: Column, seq: str = "_seq") -> Column:
@@ -43,26 +43,35 @@ def distinct_trimmed(values: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(values, strip), lambda x: x != ""))
 
 
-def id_union(df: DataFrame, key: str, ids: str, names: str, seq: str = "_seq") -> DataFrame:
-    """(key, ids, names): ids of a group in order of first appearance, each with the first name; a list that is longer is cut."""
+def id_union(df: DataFrame, key: str, ids: str, names: str, seq: str = "_seq", many: bool = False) -> DataFrame:
+    """(key, ids, names): ids of a group in order of first appearance, each with the first name; a list that is longer is cut.
+
+    many tells that most ids of a group appear once or twice, so that combining before the shuffle saves little: pairs are then dealt by
+    key, once, for the ids and for the lists.
+    """
     pairs = df.select(key, F.col(seq).alias("o"), F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(names).alias("name"))).alias("pos", "p"))
-    pairs = pairs.filter("p.id IS NOT NULL AND p.name IS NOT NULL")
-    first = pairs.groupBy(key, F.col("p.id").alias("id")).agg(F.min(F.struct("o", "pos")).alias("at"), F.min_by("p.name", F.struct("o", "pos")).alias("name"))
+    pairs = pairs.filter("p.id IS NOT NULL AND p.name IS NOT NULL").select(key, "o", "pos", "p.id", "p.name")
+    if many:
+        pairs = pairs.repartition(key)
+    first = pairs.groupBy(key, "id").agg(F.min(F.struct("o", "pos")).alias("at"), F.min_by("name", F.struct("o", "pos")).alias("name"))
     lists = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "id", "name"))).alias("v"))
     return lists.select(key, F.col("v.id").alias(ids), F.col("v.name").alias(names))
 
 
 def merged_trees(df: DataFrame, key: str, seq: str = "_seq") -> DataFrame:
-    """(key, cat_tree): category trees merged by level-1 id and child id, in order of first appearance; first names win."""
-    nodes = df.select(key, F.col(seq).alias("o"), F.posexplode("cat_tree").alias("pos", "n")).select(key, F.struct("o", "pos").alias("at"), "n.*")
-    heads = nodes.groupBy(key, "l1_id").agg(F.min("at").alias("at"), F.min_by("l1_name", "at").alias("l1_name"))
-    children = nodes.select(key, "l1_id", "at", F.posexplode("children").alias("cpos", "c"))
-    firsts = children.groupBy(key, "l1_id", F.col("c.id").alias("id")).agg(F.min(F.struct("at", "cpos")).alias("cat"), F.min_by("c.name", F.struct("at", "cpos")).alias("name"))
-    lists = firsts.groupBy(key, "l1_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("cat", "id", "name"))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"))).alias("children"))
-    same = heads[key].eqNullSafe(lists[key]) & heads["l1_id"].eqNullSafe(lists["l1_id"])
-    joined = heads.join(lists, same, "left").select(heads[key], "at", heads["l1_id"], "l1_name", F.coalesce("children", F.array().cast("array<struct<id:int,name:string>>")).alias("children"))
+    """(key, cat_tree): category trees merged by level-1 id and child id, in order of first appearance; first names win.
+
+    Nodes are dealt by key, once, for children, their lists and the tree. A node without children is a row without a child.
+    """
+    nodes = df.select(key, F.col(seq).alias("o"), F.posexplode("cat_tree").alias("pos", "n"))
+    rows = nodes.select(key, "o", "pos", "n.l1_id", "n.l1_name", F.posexplode_outer("n.children").alias("cpos", "c"))
+    rows = rows.select(key, "o", "pos", "l1_id", "l1_name", "cpos", F.col("c.id").alias("id"), F.col("c.name").alias("name")).repartition(key)
+    at, cat = F.struct("o", "pos"), F.struct("o", "pos", "cpos")
+    firsts = rows.groupBy(key, "l1_id", F.col("cpos").isNotNull().alias("real"), "id").agg(F.min(at).alias("at"), F.min_by("l1_name", at).alias("l1_name"), F.min(cat).alias("cat"), F.min_by("name", cat).alias("name"))
+    child = F.when(F.col("real"), F.struct("cat", "id", "name"))
+    heads = firsts.groupBy(key, "l1_id").agg(F.min_by("l1_name", "at").alias("l1_name"), F.min("at").alias("at"), F.transform(F.sort_array(F.collect_list(child)), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"))).alias("children"))
     tree = F.transform(F.sort_array(F.collect_list(F.struct("at", "l1_id", "l1_name", "children"))), lambda x: F.struct(x["l1_id"].alias("l1_id"), x["l1_name"].alias("l1_name"), x["children"].alias("children")))
-    return joined.groupBy(key).agg(tree.alias("cat_tree"))
+    return heads.groupBy(key).agg(tree.alias("cat_tree"))
 
 
 def with_categories(entities: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -72,7 +81,7 @@ def with_categories(entities: DataFrame, rows: DataFrame, key: str) -> DataFrame
     for level in (1, 2):
         ids, names = f"cat_l{level}_ids", f"cat_l{level}_names"
         if ids in rows.columns and names in rows.columns:
-            lists = id_union(rows, key, ids, names)
+            lists = id_union(rows, key, ids, names, many=level == 2)
             out = out.join(lists, key, "left").withColumns({c: F.coalesce(c, F.array().cast(none[c])) for c in (ids, names)})
     if "cat_tree" in rows.columns:
         trees = merged_trees(rows, key)
@@ -80,9 +89,14 @@ def with_categories(entities: DataFrame, rows: DataFrame, key: str) -> DataFrame
     return out
 
 
-def _read_once(rows: DataFrame) -> DataFrame:
-    """Records with categories as a table, since each fold of categories reads them again; others as they are."""
-    return stored(rows, "records") if any(c.startswith("cat_") for c in rows.columns) else rows
+def _read_once(rows: DataFrame, key: str) -> DataFrame:
+    """Records with categories as a table in order of their keys, since each fold of categories reads them again; others as they are.
+    Records of one entity that lie together combine before they are shuffled, and are small."""
+    if not any(c.startswith("cat_") for c in rows.columns):
+        return rows
+    out = stored(rows.sortWithinPartitions(key, "_seq"), "records", "zstd")
+    released(rows.sparkSession)
+    return out
 
 
 def by_name(records: DataFrame) -> DataFrame:
@@ -93,7 +107,7 @@ def by_name(records: DataFrame) -> DataFrame:
     hq_country_conflict, sorted. Website and name: the first. Locations are distinct, sources all. Records without key stay alone.
     """
     key = name_key(F.col("company_name"))
-    rows = _read_once(records.withColumn("_key", F.when(key == "", F.concat(F.lit("\0"), F.col("_seq").cast("string"))).otherwise(key)))
+    rows = _read_once(records.withColumn("_key", F.when(key == "", F.concat(F.lit("\0"), F.col("_seq").cast("string"))).otherwise(key)), "_key")
     country = presence(F.col("hq_country"))
     known = country.isNotNull() & (F.col("hq_country") != UNKNOWN_COUNTRY)
     all_known = F.array_sort(F.collect_set(F.when(known, F.col("hq_country"))))
@@ -128,7 +142,7 @@ def by_domain(records: DataFrame) -> DataFrame:
     order, Unknown included. Sources without url are left out; a missing website is "#". Categories are merged where records have them.
     """
     key = F.coalesce(full_domain(F.col("website")), F.concat(F.lit("__name__"), fallback_key(F.col("company_name"))))
-    rows = _read_once(records.withColumn("_merge_key", key))
+    rows = _read_once(records.withColumn("_merge_key", key), "_merge_key")
     countries = F.array_distinct(F.filter(in_order(F.coalesce(presence(F.col("hq_country")), F.lit(UNKNOWN_COUNTRY))), lambda x: x.isNotNull()))
     agg = rows.groupBy("_merge_key").agg(
         F.min("_seq").alias("_first"),

@@ -60,6 +60,27 @@ def test_records_with_categories_are_read_once(spark):
         assert sorted((r["company_name"], r["cat_l1_ids"], r["cat_l1_names"]) for r in found.collect()) == [("Firm 0", [0, 2, 1], ["c0", "c2", "c4"]), ("Firm 1", [1, 0, 2], ["c1", "c3", "c5"])]
 
 
+def test_categories_are_dealt_once_by_entity(spark):
+    tree = "array<struct<l1_id:int,l1_name:string,children:array<struct<id:int,name:string>>>>"
+    rows = [
+        (1, 5, [(2, "b", [(21, "x"), (None, "n")]), (1, "a", [])]),
+        (1, 3, [(1, None, [(11, "p")]), (3, "c", None)]),
+        (1, 7, [(2, "B", [(22, "y"), (21, "X"), (None, "m")]), (1, "late", [(12, "q"), (11, "P")]), (None, "u", [(9, "z")])]),
+        (None, 1, [(4, "d", [])]),
+        (2, 1, []),
+        (3, 1, None),
+    ]
+    df = spark.createDataFrame(rows, f"k long, _seq long, cat_tree {tree}").repartition(3, "_seq")
+    found = resolve.merged_trees(df, "k")
+    assert _plan(found).count("Exchange hash") == 1 + 1  # the one of this test
+    got = {r["k"]: [(n["l1_id"], n["l1_name"], [tuple(c) for c in n["children"]]) for n in r["cat_tree"]] for r in found.collect()}
+    assert got == {1: [(1, None, [(11, "p"), (12, "q")]), (3, "c", []), (2, "b", [(21, "x"), (None, "n"), (22, "y")]), (None, "u", [(9, "z")])], None: [(4, "d", [])]}
+    lists = df.select("k", "_seq", F.col("cat_tree.l1_id").alias("ids"), F.col("cat_tree.l1_name").alias("names"))
+    few, many = (resolve.id_union(lists, "k", "ids", "names", many=m) for m in (False, True))
+    assert _plan(many).count("Exchange hash") == 1 + 1 and _plan(few).count("Exchange hash") == 2 + 1
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) == ["Row(k=1, ids=[3, 2, 1], names=['c', 'b', 'a'])", "Row(k=None, ids=[4], names=['d'])"]
+
+
 def test_booths_that_repeat_are_one_row(spark):
     rows = [("a", "B1", [2], None, 5), ("a", "B12", [1], "x", 6), ("a", "B1", [1], "y", 3), ("a", None, None, "", 1), ("a", "B2", [3], "z", 4), (None, "", [], None, 2)]
     df = spark.createDataFrame(rows * 50, "name string, booth string, halls array<int>, website string, _seq long")
