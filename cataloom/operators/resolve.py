@@ -99,9 +99,9 @@ def _read_once(rows: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def by_name(records: DataFrame) -> DataFrame:
-    """Entities by name key, from records with _seq, locations and sources; sorted by name. Categories are merged where records have
-    them.
+def by_name(records: DataFrame, ordered: bool = True) -> DataFrame:
+    """Entities by name key, from records with _seq, locations and sources; sorted by name unless ordered is false. Categories are merged
+    where records have them.
 
     Description: the longest real one. Headquarters: the first known country with its location; other known ones make
     hq_country_conflict, sorted. Website and name: the first. Locations are distinct, sources all. Records without key stay alone.
@@ -122,7 +122,8 @@ def by_name(records: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(in_order(F.col("locations")))).alias("locations"),
         F.flatten(in_order(F.col("sources"))).alias("sources"),
     )
-    return with_categories(out, rows, "_key").orderBy(F.lower("company_name"), "_seq")
+    out = with_categories(out, rows, "_key")
+    return out.orderBy(F.lower("company_name"), "_seq") if ordered else out
 
 
 def _paragraphs(rows: DataFrame, key: str) -> DataFrame:
