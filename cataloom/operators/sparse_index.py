@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from ..functions.stem import stemmed
 from ..functions.text import terms
 from ..session import small_batches
+from ..sources.storage import released
 from .retrieve import BROADCAST_PAIRS, CELLS, Best, Request, top
 
 #: Documents of a segment, about, and so the most postings of a block.
@@ -114,6 +115,7 @@ def build(texts: DataFrame, path: str, *, analyser: Analyser = Analyser(), k1: f
     bound = F.array_max(F.transform("p", lambda x: _impact(x["tf"], x["dl"], k1, b, F.lit(stats["avgdl"] or 1.0))))
     packed = blocks.select("term", "seg", F.size("p").alias("n"), bound.alias("top"), *(F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")), "bucket")
     packed.sortWithinPartitions("bucket", "term", "seg").write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/blocks")
+    released(spark)
     written = spark.read.schema(BLOCKS.format(kind=stats["kind"])).parquet(f"{path}/blocks")
     # a term's best impacts all lie in its blocks with the greatest bounds; of a block its best alone are shuffled
     first = Window.partitionBy("bucket", "term").orderBy(F.col("top").desc(), "seg")
@@ -127,6 +129,7 @@ def build(texts: DataFrame, path: str, *, analyser: Analyser = Analyser(), k1: f
     counts = written.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("top").alias("top"), F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("cf"))
     named = counts.join(best, ["bucket", "term"])
     named.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    released(spark)
     spark.createDataFrame([stats], STATS).write.mode("overwrite").parquet(f"{path}/stats")
     return SparseIndex(spark, path)
 
